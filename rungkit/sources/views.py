@@ -66,3 +66,150 @@ def with_views(names, body: str) -> str:
     for n in names:
         visit(n)
     return "WITH " + ",\n".join(SQL[n].strip() for n in order) + "\n" + body
+
+
+# ------------------------------------------------------------ QA views
+
+def _qa_pairs(spark, sf):
+    conv = table(spark, sf, "conversations")
+    u = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    a = conv.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    j = u.join(a, ["conv_id", "turn"])
+    j = j.withColumn("id", F.col("conv_id") * 100 + F.col("turn"))
+    j = j.withColumn("hh", h32(F.col("id")))
+    return j.withColumn("split", F.when(F.col("conv_id") % 5 == 0, "test").otherwise("train"))
+
+
+def qa_hash(spark: SparkSession, sf: str) -> DataFrame:
+    """GSM8K-shaped rows: question, answer ending in ``#### <number>``."""
+    j = _qa_pairs(spark, sf)
+    n = F.col("hh") % 100000
+    body = F.when((F.col("hh") % 5 == 0) & (n >= 1000),
+                  F.concat(F.floor(n / 1000).cast("bigint").cast("string"), F.lit(","),
+                           F.lpad((n % 1000).cast("string"), 3, "0"))).otherwise(n.cast("string"))
+    num = F.concat(F.when(F.col("hh") % 7 == 0, "-").otherwise(""), body)
+    answer = F.when(F.col("hh") % 11 == 0, F.concat(F.col("reply"), F.lit("\n"), num)) \
+              .otherwise(F.concat(F.col("reply"), F.lit("\n#### "), num))
+    return j.select("id", "question", answer.alias("answer"), "split")
+
+
+def qa_boxed(spark: SparkSession, sf: str) -> DataFrame:
+    r"""MATH-shaped rows: problem, solution with 0, 1 or 2 ``\boxed{}`` blocks."""
+    j = _qa_pairs(spark, sf)
+    n = F.col("hh") % 1000
+    k = F.col("hh") % 4
+    ns = n.cast("string")
+    tailx = F.when(k == 0, F.concat(F.lit(" \\boxed{"), ns, F.lit("}"))) \
+             .when(k == 1, F.concat(F.lit(" \\boxed{\\frac{"), (n % 9 + 1).cast("string"), F.lit("}{2}}"))) \
+             .when(k == 2, F.concat(F.lit(" \\boxed{"), ns, F.lit("} and \\boxed{"), (n + 1).cast("string"), F.lit("}"))) \
+             .otherwise(F.lit(""))
+    return j.select("id", F.col("question").alias("problem"), F.concat("reply", tailx).alias("solution"),
+                    F.col("reply").alias("plain_solution"), ns.alias("short_answer"), "split")
+
+
+def multi_gen(spark: SparkSession, sf: str) -> DataFrame:
+    """OpenR1-shaped rows: several generations with per-generation flags."""
+    d = table(spark, sf, "documents").alias("d")
+    lab = table(spark, sf, "labels").select("doc_id", "quality")
+    j = d.join(lab, "doc_id", "left")
+    hh = h32(F.col("doc_id"))
+    gens = F.split(F.col("text"), "\n", -1)
+    flags = F.transform(gens, lambda g, i: (hash_key_cols(F.col("doc_id"), i) % 2) == F.col("quality"))
+    flags = F.when(F.col("quality").isNull(), F.lit(None).cast("array<boolean>")) \
+             .when(hh % 4 == 0, F.slice(flags, 1, F.greatest(F.size(gens) - 1, F.lit(0)))).otherwise(flags)
+    solution = F.when(F.col("doc_id") % 3 == 0, F.lit("   ")).otherwise(F.col("text"))
+    m4 = F.col("doc_id") % 4
+    answer = F.when(m4 == 0, (F.col("n_chars") % 1000).cast("string")) \
+              .when(m4 == 1, F.concat(F.lit("x"), F.col("lang"))) \
+              .when(m4 == 2, F.lit("")) \
+              .otherwise(F.concat(F.lit(" "), (F.col("doc_id") % 97).cast("string"), F.lit(" ")))
+    return j.select("doc_id",
+                    F.concat(F.lit("  Problem "), F.col("doc_id").cast("string"), F.lit(" ("), F.col("lang"),
+                             F.lit(")  ")).alias("problem"),
+                    solution.alias("solution"), answer.alias("answer"),
+                    F.col("source").alias("problem_type"), F.col("lang").alias("question_type"),
+                    F.col("source").alias("source"),
+                    gens.alias("generations"), flags.alias("correctness_math_verify"))
+
+
+def hash_key_cols(a, b):
+    from rungkit.functions.hashing import hash_key
+    return hash_key(a, b)
+
+
+def cot(spark: SparkSession, sf: str) -> DataFrame:
+    """Reasoning texts: documents as answers."""
+    return table(spark, sf, "documents").select("doc_id", F.col("text").alias("answer"), "source", "lang")
+
+
+def prompts(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.array(F.struct(F.lit("user").alias("role"),
+                                               F.col("text").alias("content"))).alias("prompt"))
+
+
+def chats(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations gathered into ordered message arrays (one per conv)."""
+    c = table(spark, sf, "conversations")
+    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    return g.select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"),
+                                                                    x["text"].alias("content"))).alias("prompt"))
+
+
+def _sql_h(e):
+    return sql_h32(e)
+
+
+SQL["qa_pairs"] = f"""
+qa_pairs AS (
+  SELECT u.conv_id, u.turn, u.text AS question, a.text AS reply, u.conv_id * 100 + u.turn AS id,
+         {sql_h32('u.conv_id * 100 + u.turn')} AS hh,
+         CASE WHEN u.conv_id % 5 = 0 THEN 'test' ELSE 'train' END AS split
+  FROM conversations u JOIN conversations a
+    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user')"""
+SQL["qa_hash"] = """
+qa_hash AS (
+  SELECT id, question,
+         reply || CASE WHEN hh % 11 = 0 THEN chr(10) ELSE chr(10) || '#### ' END
+               || CASE WHEN hh % 7 = 0 THEN '-' ELSE '' END
+               || CASE WHEN hh % 5 = 0 AND hh % 100000 >= 1000
+                       THEN CAST((hh % 100000) // 1000 AS VARCHAR) || ',' || lpad(CAST(hh % 1000 AS VARCHAR), 3, '0')
+                       ELSE CAST(hh % 100000 AS VARCHAR) END AS answer,
+         split
+  FROM qa_pairs)"""
+SQL["qa_boxed"] = """
+qa_boxed AS (
+  SELECT id, question AS problem,
+         reply || CASE hh % 4
+                    WHEN 0 THEN ' \\boxed{' || CAST(hh % 1000 AS VARCHAR) || '}'
+                    WHEN 1 THEN ' \\boxed{\\frac{' || CAST(hh % 1000 % 9 + 1 AS VARCHAR) || '}{2}}'
+                    WHEN 2 THEN ' \\boxed{' || CAST(hh % 1000 AS VARCHAR) || '} and \\boxed{'
+                                || CAST(hh % 1000 + 1 AS VARCHAR) || '}'
+                    ELSE '' END AS solution,
+         reply AS plain_solution, CAST(hh % 1000 AS VARCHAR) AS short_answer, split
+  FROM qa_pairs)"""
+SQL["multi_gen"] = f"""
+multi_gen AS (
+  SELECT d.doc_id, '  Problem ' || CAST(d.doc_id AS VARCHAR) || ' (' || d.lang || ')  ' AS problem,
+         CASE WHEN d.doc_id % 3 = 0 THEN '   ' ELSE d.text END AS solution,
+         CASE d.doc_id % 4 WHEN 0 THEN CAST(d.n_chars % 1000 AS VARCHAR) WHEN 1 THEN 'x' || d.lang
+                           WHEN 2 THEN '' ELSE ' ' || CAST(d.doc_id % 97 AS VARCHAR) || ' ' END AS answer,
+         d.source AS problem_type, d.lang AS question_type, d.source AS source,
+         string_split(d.text, chr(10)) AS generations,
+         CASE WHEN l.quality IS NULL THEN NULL
+              ELSE list_transform(
+                     CASE WHEN {sql_h32('d.doc_id')} % 4 = 0
+                          THEN string_split(d.text, chr(10))[1:greatest(len(string_split(d.text, chr(10))) - 1, 0)]
+                          ELSE string_split(d.text, chr(10)) END,
+                     lambda g, i: ({sql_h32("CAST(d.doc_id AS VARCHAR) || ':' || CAST(i - 1 AS VARCHAR)")} % 2) = l.quality)
+         END AS correctness_math_verify
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+SQL["cot"] = """
+cot AS (SELECT doc_id, text AS answer, source, lang FROM documents)"""
+SQL["chats"] = """
+chats AS (
+  SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS prompt
+  FROM conversations GROUP BY conv_id)"""
+DEPS.update({"qa_hash": ["qa_pairs"], "qa_boxed": ["qa_pairs"]})
