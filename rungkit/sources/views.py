@@ -213,3 +213,93 @@ chats AS (
   SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS prompt
   FROM conversations GROUP BY conv_id)"""
 DEPS.update({"qa_hash": ["qa_pairs"], "qa_boxed": ["qa_pairs"]})
+
+
+# ------------------------------------------------------------ rollout views
+
+def parity_roll(spark: SparkSession, sf: str, cumulative: bool = False) -> DataFrame:
+    """Parity truths from documents.doc_id plus one solution per ``doc_id % 8`` rule:
+    exact, pair flip (y and z), z flip, truncated, extra token, word token, empty, NULL."""
+    from rungkit.sources.generators import gen_parity
+    ids = table(spark, sf, "documents").select("doc_id")
+    g = gen_parity(ids, "doc_id", 8, 1, 0, cumulative)
+    return g.withColumn("solution", parity_solution(F.col("answer"), F.col("doc_id") % 8))
+
+
+def parity_solution(truth, rule):
+    t = F.split(truth, " ")
+    flip = lambda v: (F.lit(1) - v.cast("int")).cast("string")
+    n = F.size(t)
+    return F.when(rule == 0, truth) \
+        .when(rule == 1, F.array_join(F.concat(F.array(flip(t[0]), flip(t[1])), F.slice(t, 3, n)), " ")) \
+        .when(rule == 2, F.array_join(F.concat(F.array(t[0], flip(t[1])), F.slice(t, 3, n)), " ")) \
+        .when(rule == 3, F.array_join(F.slice(t, 1, n - 1), " ")) \
+        .when(rule == 4, F.concat(truth, F.lit(" 1"))) \
+        .when(rule == 5, F.array_join(F.concat(F.slice(t, 1, 3), F.array(F.lit("abc")), F.slice(t, 5, n)), " ")) \
+        .when(rule == 6, F.lit(""))
+
+
+def tensor_roll(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-part truths 'a and b' with one solution per ``doc_id % 7`` rule:
+    exact, swapped, one piece, extra piece, negative, comma, no marker."""
+    d = table(spark, sf, "documents").select("doc_id").withColumn("hh", h32(F.col("doc_id")))
+    a = (F.col("hh") % 100).cast("string")
+    b = (F.floor(F.col("hh") / 100) % 100).cast("string")
+    r = F.col("doc_id") % 7
+    sol = F.when(r == 0, F.concat(F.lit("so #### "), a, F.lit(" then #### "), b)) \
+        .when(r == 1, F.concat(F.lit("#### "), b, F.lit(" #### "), a)) \
+        .when(r == 2, F.concat(F.lit("#### "), a)) \
+        .when(r == 3, F.concat(F.lit("#### "), a, F.lit(" #### "), b, F.lit(" #### 7"))) \
+        .when(r == 4, F.concat(F.lit("#### -"), a, F.lit(" #### "), b)) \
+        .when(r == 5, F.concat(F.lit("#### 1,"), F.lpad(a, 3, "0"), F.lit(" #### "), b)) \
+        .otherwise(F.concat(a, F.lit(" and "), b))
+    return d.select("doc_id", F.concat(a, F.lit(" and "), b).alias("ground_truth"), sol.alias("solution"))
+
+
+def _sql_vals(tag):
+    return (f"list_transform(range(0, 8), lambda i: CAST(({sql_h32_expr_tag(tag)}) % 2 AS INTEGER))")
+
+
+def sql_h32_expr_tag(tag):
+    return sql_h32(f"'0:' || CAST(doc_id AS VARCHAR) || ':{tag}:' || CAST(i AS VARCHAR)")
+
+
+def _sql_parity(cumulative: bool) -> str:
+    z = ("list_transform(range(1, 9), lambda k: list_reduce(list_transform(range(1, k + 1), "
+         "lambda q: xor(x[q], y[q])), lambda a, b: xor(a, b)))") if cumulative else \
+        "list_transform(range(1, 9), lambda k: xor(x[k], y[k]))"
+    flip = lambda e: f"CAST(1 - CAST({e} AS INTEGER) AS VARCHAR)"
+    return f"""(
+  SELECT doc_id, x_text, answer,
+    CASE doc_id % 8
+      WHEN 0 THEN answer
+      WHEN 1 THEN array_to_string([{flip('t[1]')}, {flip('t[2]')}] || t[3:], ' ')
+      WHEN 2 THEN array_to_string([t[1], {flip('t[2]')}] || t[3:], ' ')
+      WHEN 3 THEN array_to_string(t[1:len(t) - 1], ' ')
+      WHEN 4 THEN answer || ' 1'
+      WHEN 5 THEN array_to_string(t[1:3] || ['abc'] || t[5:], ' ')
+      WHEN 6 THEN ''
+      ELSE NULL END AS solution
+  FROM (SELECT *, string_split(answer, ' ') AS t FROM (
+    SELECT doc_id, array_to_string(list_transform(x, lambda v: CAST(v AS VARCHAR)), ' ') AS x_text,
+           array_to_string(flatten(list_transform(range(1, 9), lambda k: [CAST(y[k] AS VARCHAR),
+                                                                    CAST(z[k] AS VARCHAR)])), ' ') AS answer
+    FROM (SELECT doc_id, x, y, {z} AS z FROM (
+      SELECT doc_id, {_sql_vals('x')} AS x, {_sql_vals('y')} AS y FROM documents)))))"""
+
+
+SQL["parity_roll"] = "parity_roll AS " + _sql_parity(False)
+SQL["cparity_roll"] = "cparity_roll AS " + _sql_parity(True)
+SQL["tensor_roll"] = f"""
+tensor_roll AS (
+  SELECT doc_id, a || ' and ' || b AS ground_truth,
+    CASE doc_id % 7
+      WHEN 0 THEN 'so #### ' || a || ' then #### ' || b
+      WHEN 1 THEN '#### ' || b || ' #### ' || a
+      WHEN 2 THEN '#### ' || a
+      WHEN 3 THEN '#### ' || a || ' #### ' || b || ' #### 7'
+      WHEN 4 THEN '#### -' || a || ' #### ' || b
+      WHEN 5 THEN '#### 1,' || lpad(a, 3, '0') || ' #### ' || b
+      ELSE a || ' and ' || b END AS solution
+  FROM (SELECT doc_id, CAST(hh % 100 AS VARCHAR) AS a, CAST((hh // 100) % 100 AS VARCHAR) AS b
+        FROM (SELECT doc_id, {sql_h32('doc_id')} AS hh FROM documents)))"""
