@@ -303,3 +303,38 @@ tensor_roll AS (
       ELSE a || ' and ' || b END AS solution
   FROM (SELECT doc_id, CAST(hh % 100 AS VARCHAR) AS a, CAST((hh // 100) % 100 AS VARCHAR) AS b
         FROM (SELECT doc_id, {sql_h32('doc_id')} AS hh FROM documents)))"""
+
+
+# ------------------------------------------------------------ evaluation views
+
+def rollouts(spark: SparkSession, sf: str) -> DataFrame:
+    """lineitem as scored generations: problem = order, reward by return flag."""
+    li = table(spark, sf, "lineitem")
+    reward = F.when(F.col("l_returnflag") == "R", 1.0).when(F.col("l_returnflag") == "A", 0.1).otherwise(0.0)
+    return li.select(F.col("l_orderkey").alias("problem_id"), F.col("l_linenumber").alias("sample_no"),
+                     reward.alias("reward"))
+
+
+def labelled_rollouts(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("problem_id"),
+                                          F.col("o_orderpriority").alias("label"))
+    return rollouts(spark, sf).join(o, "problem_id")
+
+
+def token_loss(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    return li.select((F.col("l_orderkey") % 64).alias("batch"), F.abs("l_discount").alias("loss"),
+                     (F.col("l_tax") > 0.04).alias("mask"))
+
+
+SQL["rollouts"] = """
+rollouts AS (
+  SELECT l_orderkey AS problem_id, l_linenumber AS sample_no,
+         CASE l_returnflag WHEN 'R' THEN 1.0 WHEN 'A' THEN 0.1 ELSE 0.0 END AS reward
+  FROM lineitem)"""
+SQL["labelled_rollouts"] = """
+labelled_rollouts AS (
+  SELECT r.*, o.o_orderpriority AS label FROM rollouts r JOIN orders o ON o.o_orderkey = r.problem_id)"""
+SQL["token_loss"] = """
+token_loss AS (SELECT l_orderkey % 64 AS batch, abs(l_discount) AS loss, l_tax > 0.04 AS mask FROM lineitem)"""
+DEPS["labelled_rollouts"] = ["rollouts"]
