@@ -338,3 +338,19 @@ labelled_rollouts AS (
 SQL["token_loss"] = """
 token_loss AS (SELECT l_orderkey % 64 AS batch, abs(l_discount) AS loss, l_tax > 0.04 AS mask FROM lineitem)"""
 DEPS["labelled_rollouts"] = ["rollouts"]
+
+
+def sql_gen_parity(length: int, bit_width: int, seed, cumulative: bool) -> str:
+    """DuckDB twin of :func:`rungkit.sources.generators.gen_parity` over documents.doc_id."""
+    m = 1 << bit_width
+
+    def vals(tag):
+        return (f"list_transform(range(0, {length}), lambda i: CAST(({sql_h32(chr(39) + str(seed) + ':' + chr(39) + ' || CAST(doc_id AS VARCHAR) || ' + chr(39) + ':' + tag + ':' + chr(39) + ' || CAST(i AS VARCHAR)')}) % {m} AS INTEGER))")
+    z = (f"list_transform(range(1, {length} + 1), lambda k: list_reduce(list_transform(range(1, k + 1), "
+         f"lambda q: xor(x[q], y[q])), lambda a, b: xor(a, b)))") if cumulative else \
+        f"list_transform(range(1, {length} + 1), lambda k: xor(x[k], y[k]))"
+    return f"""(
+  SELECT doc_id, array_to_string(list_transform(x, lambda v: CAST(v AS VARCHAR)), ' ') AS x_text,
+         array_to_string(flatten(list_transform(range(1, {length} + 1),
+           lambda k: [CAST(y[k] AS VARCHAR), CAST(z[k] AS VARCHAR)])), ' ') AS answer
+  FROM (SELECT doc_id, x, y, {z} AS z FROM (SELECT doc_id, {vals('x')} AS x, {vals('y')} AS y FROM documents)))"""
