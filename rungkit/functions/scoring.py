@@ -30,6 +30,18 @@ def _truth_ok(t: Column) -> Column:
     return (F.size(t) % 2 == 0) & F.forall(ti, lambda v: v.isNotNull())
 
 
+def _pair_values(vals: Column, cumulative: bool) -> Column:
+    """Per pair: y ^ z (or y ^ z ^ previous z). Arrays are HOF arguments,
+    never captured by a lambda, so each is evaluated once per row."""
+    ys = F.filter(vals, lambda v, i: i % 2 == 0)
+    zs = F.filter(vals, lambda v, i: i % 2 == 1)
+    x = F.zip_with(ys, zs, lambda a, b: a.bitwiseXOR(b))
+    if cumulative:
+        prev = F.concat(F.array(F.lit(0).cast("bigint")), F.slice(zs, 1, F.greatest(F.size(zs) - 1, F.lit(0))))
+        x = F.zip_with(x, prev, lambda a, b: a.bitwiseXOR(b))
+    return x
+
+
 def _parity_core(solution: Column, truth: Column, cumulative: bool) -> Column:
     t = tx.words(truth)
     ti = _ints(t)
@@ -38,18 +50,8 @@ def _parity_core(solution: Column, truth: Column, cumulative: bool) -> Column:
     si = _ints(F.slice(s, 1, n))
     # every token of the first L must be present and integer, else 0
     valid = (F.size(si) == n) & F.forall(si, lambda v: v.isNotNull())
-    pairs = F.sequence(F.lit(0), n - 1, F.lit(2))
-    g = lambda arr, i: F.try_element_at(arr, (i + 1).cast("int"))
-
-    def val(arr, i):
-        v = g(arr, i).bitwiseXOR(g(arr, i + 1))
-        if cumulative:
-            prev = F.when(i == 0, F.lit(0).cast("bigint")).otherwise(g(arr, i - 1))
-            v = v.bitwiseXOR(prev)
-        return v
-
-    mismatch = F.exists(F.when(n > 0, pairs).otherwise(F.array().cast("array<int>")),
-                        lambda i: val(ti, i) != val(si, i))
+    mismatch = F.exists(F.zip_with(_pair_values(ti, cumulative), _pair_values(si, cumulative),
+                                   lambda a, b: a != b), lambda m: F.coalesce(m, F.lit(True)))
     score = F.lit(LENGTH_CREDIT) * (n == F.size(s)).cast("double") + \
         F.lit(PARITY_CREDIT) * (~mismatch).cast("double")
     return F.when(~_truth_ok(t), F.lit(None).cast("double")) \

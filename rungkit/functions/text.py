@@ -96,8 +96,9 @@ def _rewrite_tokens(x, fn) -> Column:
     s = _c(x)
     pieces = F.split(s, INT_TOKEN_RE, -1)
     toks = F.regexp_extract_all(s, F.lit(INT_TOKEN_RE), 0)
-    return F.array_join(F.transform(pieces, lambda p, i: F.concat(
-        p, F.coalesce(fn(F.try_element_at(toks, (i + 1).cast("int"))), F.lit("")))), "")
+    # zip_with pads the (one shorter) token list with NULL; no lambda captures an outer array
+    return F.array_join(F.zip_with(pieces, toks, lambda p, t: F.concat(
+        F.coalesce(p, F.lit("")), F.coalesce(fn(t), F.lit("")))), "")
 
 
 def base7_rewrite(x) -> Column:

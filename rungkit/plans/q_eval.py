@@ -137,16 +137,20 @@ def q_token_loss_metrics(spark, sf):
 
 
 def _grid(spark, sf):
+    """Staged columns: each heavy intermediate is a real column computed once,
+    not a Python expression copied into every consumer."""
     p = V.parity_roll(spark, sf)
     g = p.select("doc_id", "answer", F.explode(F.array(*[F.lit(r) for r in RATIOS])).alias("ratio"))
     g = g.select("*", F.explode(F.sequence(F.lit(0), F.lit(GRID_SAMPLES - 1))).alias("sample"))
-    sol = V.parity_solution(F.col("answer"), (F.col("doc_id") + F.col("sample")) % 8)
+    g = g.withColumn("sol", V.parity_solution(F.col("answer"), (F.col("doc_id") + F.col("sample")) % 8))
     part, _ = cut_columns(F.col("answer"), F.col("ratio"), " ")
-    cut = F.floor(F.size(F.split("answer", " ", -1)) * F.col("ratio")).cast("int")
-    toks = F.split(sol, " ", -1)
-    completion = F.array_join(F.slice(toks, cut + 1, F.greatest(F.size(toks) - cut, F.lit(0))), " ")
-    scored = F.when(part != "", F.concat(part, F.lit(" "), completion)).otherwise(sol)
-    return g.withColumn("score", sc.score_parity(F.when(sol.isNotNull(), scored), F.col("answer")))
+    g = g.withColumn("part", part) \
+         .withColumn("cut", F.floor(F.size(F.split("answer", " ", -1)) * F.col("ratio")).cast("int")) \
+         .withColumn("toks", F.split("sol", " ", -1))
+    completion = F.array_join(F.slice("toks", F.col("cut") + 1, F.greatest(F.size("toks") - F.col("cut"), F.lit(0))), " ")
+    scored = F.when(F.col("part") != "", F.concat("part", F.lit(" "), completion)).otherwise(F.col("sol"))
+    g = g.withColumn("scored", F.when(F.col("sol").isNotNull(), scored))
+    return g.withColumn("score", sc.score_parity(F.col("scored"), F.col("answer")))
 
 
 @register("ratio_question_grid", W(["parity_roll"], f""", g AS (
