@@ -65,7 +65,7 @@ def reindex_expanded(df: DataFrame, parent_key: str, rows_per_parent: Column, pa
     rows per parent (over one row per parent) plus the row's ``pos``."""
     parents = df.select(parent_key, *([partition_by] if isinstance(partition_by, str) else partition_by),
                         rows_per_parent.alias("_rows")).dropDuplicates([parent_key])
-    off = prefix_offsets(parents, [parent_key], key_bucket(parents, parent_key), partition_by,
-                         weight=F.col("_rows"), out="_base")
+    off = prefix_offsets(key_bucket(parents, parent_key), [parent_key], F.col("_kb"), partition_by,
+                         weight=F.col("_rows"), out="_base").drop("_kb")
     return df.join(off.select(parent_key, "_base"), parent_key) \
              .withColumn(out, F.col("_base") + F.col("pos")).drop("_base")

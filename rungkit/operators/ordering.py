@@ -33,16 +33,18 @@ def _cols(xs) -> list:
     return list(xs)
 
 
-def key_bucket(df: DataFrame, key: str, n_buckets: int = DEFAULT_KEY_BUCKETS) -> Column:
-    """Range bucket of a dense integer key (one cheap min/max pass).
+def key_bucket(df: DataFrame, key: str, n_buckets: int = DEFAULT_KEY_BUCKETS) -> DataFrame:
+    """Add ``_kb``: range bucket of a dense integer key.
 
-    For unique keys a bucket holds at most ``width`` rows.
+    The key range comes from a one-row aggregate joined back lazily (no
+    driver round trip). For unique keys a bucket holds at most
+    ``ceil(range / n_buckets)`` rows.
     """
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    if lo is None:
-        return F.lit(0).cast("bigint")
-    width = max(1, -(-(int(hi) - int(lo) + 1) // n_buckets))
-    return F.floor((F.col(key) - F.lit(int(lo))) / F.lit(width)).cast("bigint")
+    stats = df.agg(F.min(key).alias("_kmin"), F.max(key).alias("_kmax"))
+    d = df.crossJoin(F.broadcast(stats))   # one-row side
+    width = F.greatest(F.lit(1), F.ceil((F.col("_kmax") - F.col("_kmin") + 1) / F.lit(n_buckets)))
+    return d.withColumn("_kb", F.floor((F.col(key) - F.col("_kmin")) / width).cast("bigint")) \
+            .drop("_kmin", "_kmax")
 
 
 def prefix_offsets(df: DataFrame, order: Sequence, bucket: Column, partition_by=(),
@@ -50,12 +52,15 @@ def prefix_offsets(df: DataFrame, order: Sequence, bucket: Column, partition_by=
     """Add ``out`` = exclusive prefix sum of ``weight`` (default 1) in
     ``order`` within each ``partition_by`` group.
 
-    ``bucket`` must be non-decreasing along ``order`` inside a group.
+    ``bucket`` must be non-decreasing along ``order`` inside a group. The
+    input is exchanged once by (group, bucket); the bucket-size aggregate
+    and the in-bucket window both read that one exchange.
     """
     parts = _cols(partition_by)
     order = _cols(order)
     w = (weight if weight is not None else F.lit(1)).cast("bigint")
     d = df.withColumn("_bk", bucket).withColumn("_wt", w)
+    d = d.repartition(*parts, "_bk")
     sizes = d.groupBy(*parts, "_bk").agg(F.sum("_wt").alias("_bsum"))
     offsets = sizes.withColumn(
         "_boff",
@@ -66,7 +71,7 @@ def prefix_offsets(df: DataFrame, order: Sequence, bucket: Column, partition_by=
     inner = Window.partitionBy(*parts, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_inoff", F.coalesce(F.sum("_wt").over(inner), F.lit(0)))
     # one row per (group, bucket): bounded by the bucket count, safe to broadcast
-    joined = d.join(F.broadcast(offsets), on=[*[p if isinstance(p, str) else p for p in parts], "_bk"])
+    joined = d.join(F.broadcast(offsets), on=[*parts, "_bk"])
     return joined.withColumn(out, (F.col("_boff") + F.col("_inoff")).cast("bigint")) \
                  .drop("_bk", "_wt", "_boff", "_inoff")
 
@@ -74,7 +79,8 @@ def prefix_offsets(df: DataFrame, order: Sequence, bucket: Column, partition_by=
 def assign_index(df: DataFrame, key: str, partition_by=(), out: str = "index",
                  n_buckets: int = DEFAULT_KEY_BUCKETS) -> DataFrame:
     """Contiguous 0-based index in ``key`` order, restarted per ``partition_by``."""
-    return prefix_offsets(df, [key], key_bucket(df, key, n_buckets), partition_by, out=out)
+    d = key_bucket(df, key, n_buckets)
+    return prefix_offsets(d, [key], F.col("_kb"), partition_by, out=out).drop("_kb")
 
 
 def hash_order(seed, key: str) -> Column:

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rungkit.operators.materialize import materialize
 from rungkit.operators.ordering import assign_index, key_bucket, prefix_offsets
 
 SCALE = 1_000_000
@@ -20,9 +21,9 @@ SCALE = 1_000_000
 
 def weighted_resample(df: DataFrame, key: str, weight: str, seed=0, n_draws_from_rows: bool = True) -> DataFrame:
     """N draws (N = number of rows) proportional to ``weight``; returns (draw_id, key)."""
-    d = df.select(key, F.round(F.col(weight) * F.lit(SCALE)).cast("bigint").alias("_wi")) \
-          .filter(F.col("_wi") > 0)
-    d = prefix_offsets(d, [key], key_bucket(d, key), weight=F.col("_wi"), out="_lo")
+    d = materialize(df.select(key, F.round(F.col(weight) * F.lit(SCALE)).cast("bigint").alias("_wi")),
+                    "resample_weights").filter(F.col("_wi") > 0)
+    d = prefix_offsets(key_bucket(d, key), [key], F.col("_kb"), weight=F.col("_wi"), out="_lo").drop("_kb")
     tot = d.agg(F.sum("_wi").alias("_total"), F.count(F.lit(1)).alias("_n"))
     # one block per sample on average
     d = d.crossJoin(F.broadcast(tot)).withColumn(
@@ -31,7 +32,7 @@ def weighted_resample(df: DataFrame, key: str, weight: str, seed=0, n_draws_from
         F.floor(F.col("_lo") / F.col("_bw")).cast("bigint"),
         F.floor((F.col("_lo") + F.col("_wi") - 1) / F.col("_bw")).cast("bigint"))).alias("_blk"))
 
-    draws = assign_index(df.select(key), key, out="draw_id").select("draw_id")
+    draws = assign_index(d.select(key), key, out="draw_id").select("draw_id")
     h48 = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw_id").cast("string"))), 1, 12),
                  16, 10).cast("bigint")
     draws = draws.crossJoin(F.broadcast(tot)) \
