@@ -82,8 +82,9 @@ def quarantine_split(df: DataFrame, ok: Column, on_bad: str = "quarantine"):
     """Return (good, bad). ``on_bad='raise'`` fails the job on any bad row."""
     flagged = df.withColumn("_ok", F.coalesce(ok, F.lit(False)))
     if on_bad == "raise":
-        good = flagged.withColumn("_ok", F.when(F.col("_ok"), F.lit(True))
-                                  .otherwise(F.raise_error(F.lit("row without a valid answer"))))
+        # a filter predicate is never pruned, so every row is checked
+        good = flagged.filter(F.when(F.col("_ok"), F.lit(True))
+                              .otherwise(F.raise_error(F.lit("row without a valid answer")).cast("boolean")))
         return good.drop("_ok"), flagged.filter("false").drop("_ok")
     if on_bad != "quarantine":
         raise ValueError(on_bad)

@@ -161,7 +161,7 @@ def _h(seed, key):
 
 
 @register("split_train_test", f"""
-SELECT doc_id, CASE WHEN r < ceil(n * {TEST_SHARE}) THEN 'test' ELSE 'train' END AS split FROM (
+SELECT doc_id, CASE WHEN r < ceil(n * CAST({TEST_SHARE} AS DOUBLE)) THEN 'test' ELSE 'train' END AS split FROM (
   SELECT doc_id, row_number() OVER (ORDER BY {_h(SPLIT_SEED, 'doc_id')}, doc_id) - 1 AS r, count(*) OVER () AS n
   FROM documents)""")
 def q_split_train_test(spark, sf):

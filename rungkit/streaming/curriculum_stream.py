@@ -41,10 +41,17 @@ class StreamPaths:
 
 
 def closed_steps_query(spark: SparkSession, paths: StreamPaths, step_length: str = "1 day",
-                       delay: str = "0 seconds", max_files_per_trigger: int = 1):
-    """Start stage 1 with an availableNow trigger; returns the StreamingQuery."""
-    src = (spark.readStream.schema(ATTEMPT_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-           .parquet(paths.source))
+                       delay: str = "0 seconds", max_files_per_trigger: int | None = None):
+    """Start stage 1 with an availableNow trigger; returns the StreamingQuery.
+
+    By default everything that has arrived is one micro-batch, so the
+    watermark only moves between arrivals: the files of one arrival may
+    be read in any order without making each other late.
+    """
+    reader = spark.readStream.schema(ATTEMPT_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    src = reader.parquet(paths.source)
     agg = (src.withWatermark("ts", delay)
            .groupBy(F.window("ts", step_length).alias("w"), "sample_id")
            .agg(F.array_sort(F.collect_list(F.struct("step", "pos", "portion", "reward", "split"))).alias("attempts")))
