@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rungkit.functions.hashing import uniform
+from rungkit.operators.materialize import materialize
 
 
 @dataclass(frozen=True)
@@ -44,12 +45,14 @@ def _local_runs(att: DataFrame, key: str) -> DataFrame:
 
 
 def ledger_segments(att: DataFrame, key: str = "sample_id") -> DataFrame:
-    """One row per (sample, step, run) with a global per-sample ``run_id``.
+    """One row per (sample, step, local run) with a global per-sample ``run_id``.
 
     Two-level gaps-and-islands: runs are found inside each (sample, step)
-    and then linked across steps over one summary row per (sample, step),
-    so a sample with a very long history never sorts all its attempts in
-    one task.
+    (a row-level window whose partitions are one sample-step), then linked
+    across steps by one window over the segment rows of a sample, ordered
+    by (step, local_run): a step's first segment continues the previous
+    run when its portion equals the previous segment's. A sample with a
+    very long history is thus never sorted row by row in one task.
     """
     d = _local_runs(att, key)
     seg = d.groupBy(key, "step", "local_run").agg(
@@ -58,25 +61,14 @@ def ledger_segments(att: DataFrame, key: str = "sample_id") -> DataFrame:
         F.sum("reward").alias("reward_sum"),
         F.min("pos").alias("first_pos"),
     )
-    ws = Window.partitionBy(key, "step")
-    seg = seg.withColumn("n_local", F.max("local_run").over(ws) + 1)
-    first_p = F.first(F.when(F.col("local_run") == 0, F.col("portion")), ignorenulls=True).over(ws)
-    last_p = F.first(F.when(F.col("local_run") == F.col("n_local") - 1, F.col("portion")), ignorenulls=True).over(ws)
-    seg = seg.withColumn("_first_p", first_p).withColumn("_last_p", last_p)
-
-    steps = seg.select(key, "step", "n_local", "_first_p", "_last_p").dropDuplicates([key, "step"])
-    w2 = Window.partitionBy(key).orderBy("step")
-    prev_last = F.lag("_last_p").over(w2)
-    starts_new = F.when(prev_last.isNull() | (prev_last != F.col("_first_p")), 1).otherwise(0)
-    steps = steps.withColumn("_new", starts_new)
-    steps = steps.withColumn(
-        "_base",
-        F.coalesce(F.sum(F.col("n_local") - 1 + F.col("_new")).over(w2.rowsBetween(UNBOUNDED, -1)), F.lit(0)))
-    seg = seg.drop("n_local", "_first_p", "_last_p").join(steps.select(key, "step", "_base", "_new", "n_local"),
-                                                            [key, "step"])
-    seg = seg.withColumn("run_id", (F.col("_base") + F.col("local_run") + F.col("_new")).cast("bigint"))
-    seg = seg.withColumn("is_last_in_step", F.col("local_run") == F.col("n_local") - 1)
-    return seg.drop("_base", "_new")
+    w = Window.partitionBy(key).orderBy("step", "local_run")
+    prev = F.lag("portion").over(w)
+    new_run = F.when((F.col("local_run") > 0) | prev.isNull() | (prev != F.col("portion")), 1).otherwise(0)
+    seg = seg.withColumn("_new", new_run) \
+             .withColumn("_next_step", F.lead("step").over(w))
+    seg = seg.withColumn("run_id", F.sum("_new").over(w.rowsBetween(UNBOUNDED, 0)).cast("bigint")) \
+             .withColumn("is_last_in_step", F.coalesce(F.col("_next_step") != F.col("step"), F.lit(True)))
+    return seg.drop("_next_step")
 
 
 def attempt_ledger(att: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -95,19 +87,29 @@ def attempt_ledger(att: DataFrame, key: str = "sample_id") -> DataFrame:
 
 def step_contribution(att: DataFrame, key: str = "sample_id", cfg: CurriculumConfig = DEFAULT) -> DataFrame:
     """Per touched (sample, step): the last run's running mean reward and the
-    upper/lower terms it adds to the step's moving-average update."""
+    upper/lower terms it adds to the step's moving-average update.
+
+    All windows share one partitioning (sample) and order (step, local_run):
+    the running count/sum of the current run = cumulative totals minus the
+    totals at the run's start (the latest start so far).
+    """
     seg = ledger_segments(att, key)
-    wr = Window.partitionBy(key, "run_id").orderBy("step", "local_run").rowsBetween(UNBOUNDED, 0)
-    seg = seg.withColumn("_cn", F.sum("n").over(wr)).withColumn("_cs", F.sum("reward_sum").over(wr))
+    w = Window.partitionBy(key).orderBy("step", "local_run")
+    upto = w.rowsBetween(UNBOUNDED, 0)
+    seg = seg.withColumn("_cn", F.sum("n").over(upto)).withColumn("_cs", F.sum("reward_sum").over(upto))
+    seg = seg.withColumn("_sn", F.last(F.when(F.col("_new") == 1, F.col("_cn") - F.col("n")), ignorenulls=True)
+                         .over(upto)) \
+             .withColumn("_ss", F.last(F.when(F.col("_new") == 1, F.col("_cs") - F.col("reward_sum")),
+                                       ignorenulls=True).over(upto))
     last = seg.filter("is_last_in_step").select(
         key, "step", "run_id", "portion",
-        (F.col("_cs") / F.col("_cn")).alias("run_mean_reward"),
-        F.col("_cn").cast("bigint").alias("run_n"),
+        ((F.col("_cs") - F.col("_ss")) / (F.col("_cn") - F.col("_sn"))).alias("run_mean_reward"),
+        (F.col("_cn") - F.col("_sn")).cast("bigint").alias("run_n"),
     )
     ok = F.col("run_mean_reward") >= F.lit(cfg.reward_threshold)
-    w = Window.partitionBy(key).orderBy("step")
+    ws = Window.partitionBy(key).orderBy("step")
     max_before = F.coalesce(
-        F.last(F.when(ok, F.col("portion")), ignorenulls=True).over(w.rowsBetween(UNBOUNDED, -1)),
+        F.last(F.when(ok, F.col("portion")), ignorenulls=True).over(ws.rowsBetween(UNBOUNDED, -1)),
         F.lit(cfg.max_ratio))
     last = last.withColumn("success", ok).withColumn("max_ratio_before", max_before)
     return last.withColumn("upper_term", F.when(ok, F.col("portion")).otherwise(F.col("max_ratio_before"))) \
@@ -177,7 +179,8 @@ def sample_state(att_train: DataFrame, samples: DataFrame, key: str = "sample_id
 
     ``samples`` is the sample universe (ids without history included).
     """
-    c = step_contribution(att_train, key, cfg)
+    # read by two aggregations (per-sample state, per-step sums): written once
+    c = materialize(step_contribution(att_train, key, cfg), "contributions")
     last = c.groupBy(key).agg(F.max_by(F.struct("portion", "run_mean_reward", "max_ratio_after", "step"),
                                        "step").alias("s"))
     last = last.select(key, F.col("s.portion").alias("last_portion"),

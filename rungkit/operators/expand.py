@@ -60,12 +60,14 @@ def expand_words_k(df: DataFrame, answer: str = "solution", k: int = 4) -> DataF
 
 
 def reindex_expanded(df: DataFrame, parent_key: str, rows_per_parent: Column, partition_by=(),
-                     out: str = "index") -> DataFrame:
+                     out: str = "index", parents: DataFrame | None = None) -> DataFrame:
     """Running index over base + partial rows in parent order: prefix sum of
-    rows per parent (over one row per parent) plus the row's ``pos``."""
-    parents = df.select(parent_key, *([partition_by] if isinstance(partition_by, str) else partition_by),
-                        rows_per_parent.alias("_rows")).dropDuplicates([parent_key])
-    off = prefix_offsets(key_bucket(parents, parent_key), [parent_key], F.col("_kb"), partition_by,
+    rows per parent (computed over one row per parent, from ``parents``
+    when given, so the expansion is not evaluated twice) plus ``pos``."""
+    parts = [partition_by] if isinstance(partition_by, str) else list(partition_by)
+    src = parents if parents is not None else df.dropDuplicates([parent_key])
+    par = src.select(parent_key, *parts, rows_per_parent.alias("_rows"))
+    off = prefix_offsets(key_bucket(par, parent_key), [parent_key], F.col("_kb"), parts,
                          weight=F.col("_rows"), out="_base").drop("_kb")
     return df.join(off.select(parent_key, "_base"), parent_key) \
              .withColumn(out, F.col("_base") + F.col("pos")).drop("_base")

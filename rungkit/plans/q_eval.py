@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rungkit.functions import scoring as sc
 from rungkit.operators import curriculum as cur
 from rungkit.operators import evaluate as ev
+from rungkit.operators.materialize import materialize
 from rungkit.operators.portion import cut_columns
 from rungkit.plans.q_scoring import _parity_sql
 from rungkit.plans.registry import register
@@ -88,7 +89,8 @@ def q_eval_jsonl(spark, sf):
 
 
 def _ledger(spark, sf):
-    return cur.attempt_ledger(V.attempts_train(spark, sf))
+    # read by several aggregations: written once
+    return materialize(cur.attempt_ledger(V.attempts_train(spark, sf)), "ledger")
 
 
 _LEDGER_SQL = """, flagged AS (

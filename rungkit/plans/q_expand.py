@@ -8,6 +8,7 @@ from rungkit.functions import text as tx
 from rungkit.functions.hashing import uniform
 from rungkit.operators import normalize as nz
 from rungkit.operators.expand import expand_steps, expand_words_k, reindex_expanded
+from rungkit.operators.materialize import materialize
 from rungkit.operators.ordering import assign_index
 from rungkit.operators.portion import apply_curriculum, cut_by_portion
 from rungkit.operators.project import render_chat
@@ -45,9 +46,10 @@ FROM e""")
 
 
 def _steps(spark, sf, first):
-    rows = _train_hash_rows(spark, sf)
+    rows = materialize(_train_hash_rows(spark, sf), "r3_parents")
     ex = expand_steps(rows, "answer", first_step=first)
-    ex = reindex_expanded(ex, "id", F.col("n_steps") + 1)
+    n_rows = F.size(F.split("answer", "\n", -1)) + 1     # base row + one row per step, both variants
+    ex = reindex_expanded(ex, "id", n_rows, parents=rows)
     if first == 1:   # the base row keeps its own (absent) index
         ex = ex.withColumn("index", F.when(F.col("pos") > 0, F.col("index")).otherwise(F.col("extra_info.index")))
     return ex.select("id", "n_steps", "pos", "j", "partial_answer", "completion", "portion", "index")
@@ -79,10 +81,11 @@ SELECT id, split, len(w) AS n_words, jj AS pos, CASE WHEN jj > 0 THEN cut END AS
        base_idx + jj AS "index", orig_index
 FROM c"""))
 def q_expand_words_k(spark, sf):
-    d = V.qa_boxed(spark, sf).filter(tx.last_boxed("solution").isNotNull())
+    d = materialize(V.qa_boxed(spark, sf).filter(tx.last_boxed("solution").isNotNull()), "r3_math_parents")
     d = assign_index(d, "id", partition_by="split", out="orig_index")
     ex = expand_words_k(d, "solution", k=4)
-    ex = reindex_expanded(ex, "id", F.when(F.col("n_words") > 0, 5).otherwise(1), partition_by="split")
+    ex = reindex_expanded(ex, "id", F.when(tx.word_count("solution") > 0, 5).otherwise(1), partition_by="split",
+                          parents=d)
     return ex.select("id", "split", "n_words", "pos", "cutoff", "partial_answer", "completion", "portion",
                      "index", "orig_index")
 
@@ -93,8 +96,10 @@ gi AS (SELECT *, sum(n + 1) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - (n
 SELECT doc_id, jj AS pos, base_idx + jj AS "index" FROM (SELECT *, unnest(range(0, n + 1)) AS jj FROM gi)"""))
 def q_reindex_expanded(spark, sf):
     """Line-step expansion of whole documents, indexed over base + partial rows."""
-    ex = expand_steps(V.cot(spark, sf), "answer", first_step=0)
-    return reindex_expanded(ex, "doc_id", F.col("n_steps") + 1).select("doc_id", "pos", "index")
+    docs = V.cot(spark, sf)
+    ex = expand_steps(docs, "answer", first_step=0)
+    return reindex_expanded(ex, "doc_id", F.size(F.split("answer", "\n", -1)) + 1, parents=docs) \
+        .select("doc_id", "pos", "index")
 
 
 def _portion_col():

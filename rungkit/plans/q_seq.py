@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rungkit.operators import normalize as nz
 from rungkit.operators import sequences as sq
 from rungkit.operators.expand import expand_steps
+from rungkit.operators.materialize import materialize
 from rungkit.operators.project import render_chat
 from rungkit.plans.registry import register
 from rungkit.plans.sqlutil import hash_extract, lit
@@ -32,8 +33,8 @@ def _qa(spark, sf):
 
 
 def _encoded(spark, sf):
-    qa = _qa(spark, sf)
-    vocab = sq.vocab_build(qa, ["prompt_text", "answer"])
+    qa = materialize(_qa(spark, sf), "sft_pairs")
+    vocab = materialize(sq.vocab_build(qa, ["prompt_text", "answer"]), "vocab")
     e = sq.encode(qa, "id", F.col("prompt_text"), vocab, "prompt_ids")
     return sq.encode(e, "id", F.col("answer"), vocab, "response_ids")
 
@@ -144,8 +145,9 @@ def q_rl_prompt_tokens(spark, sf):
     good, _ = nz.norm_hash(V.qa_hash(spark, sf))
     ex = expand_steps(good.filter(F.col("extra_info.split") == "train"), "answer", first_step=0)
     ex = ex.withColumn("rid", F.col("id") * 1000 + F.col("pos"))
-    ex = ex.withColumn("txt", render_chat(F.col("prompt"), True, F.col("partial_answer")))
-    vocab = sq.vocab_build(ex, "txt")
+    ex = materialize(ex.withColumn("txt", render_chat(F.col("prompt"), True, F.col("partial_answer")))
+                     .select("id", "pos", "rid", "txt"), "rl_prompts")
+    vocab = materialize(sq.vocab_build(ex, "txt"), "vocab")
     enc = sq.encode(ex, "rid", F.col("txt"), vocab, "ids")
     rl = sq.rl_prompt_tokens(enc, "ids", MAX_PROMPT, "left")
     return rl.select("id", "pos", F.size("raw_prompt_ids").cast("bigint").alias("raw_len"),
