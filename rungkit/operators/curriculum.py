@@ -40,8 +40,8 @@ def _local_runs(att: DataFrame, key: str) -> DataFrame:
     prev = F.lag("portion").over(w)
     chg = F.when(prev.isNull() | (prev != F.col("portion")), 1).otherwise(0)
     d = att.withColumn("_chg", chg)
-    d = d.withColumn("local_run", (F.sum("_chg").over(w.rowsBetween(UNBOUNDED, 0)) - 1).cast("int"))
-    return d.drop("_chg")
+    return d.select(*[c for c in d.columns if c != "_chg"],
+                    (F.sum("_chg").over(w.rowsBetween(UNBOUNDED, 0)) - 1).cast("int").alias("local_run"))
 
 
 def ledger_segments(att: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -64,11 +64,10 @@ def ledger_segments(att: DataFrame, key: str = "sample_id") -> DataFrame:
     w = Window.partitionBy(key).orderBy("step", "local_run")
     prev = F.lag("portion").over(w)
     new_run = F.when((F.col("local_run") > 0) | prev.isNull() | (prev != F.col("portion")), 1).otherwise(0)
-    seg = seg.withColumn("_new", new_run) \
-             .withColumn("_next_step", F.lead("step").over(w))
-    seg = seg.withColumn("run_id", F.sum("_new").over(w.rowsBetween(UNBOUNDED, 0)).cast("bigint")) \
-             .withColumn("is_last_in_step", F.coalesce(F.col("_next_step") != F.col("step"), F.lit(True)))
-    return seg.drop("_next_step")
+    seg = seg.withColumns({"_new": new_run, "_next_step": F.lead("step").over(w)})
+    return seg.select(*[c for c in seg.columns if c != "_next_step"],
+                      F.sum("_new").over(w.rowsBetween(UNBOUNDED, 0)).cast("bigint").alias("run_id"),
+                      F.coalesce(F.col("_next_step") != F.col("step"), F.lit(True)).alias("is_last_in_step"))
 
 
 def attempt_ledger(att: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -96,11 +95,10 @@ def step_contribution(att: DataFrame, key: str = "sample_id", cfg: CurriculumCon
     seg = ledger_segments(att, key)
     w = Window.partitionBy(key).orderBy("step", "local_run")
     upto = w.rowsBetween(UNBOUNDED, 0)
-    seg = seg.withColumn("_cn", F.sum("n").over(upto)).withColumn("_cs", F.sum("reward_sum").over(upto))
-    seg = seg.withColumn("_sn", F.last(F.when(F.col("_new") == 1, F.col("_cn") - F.col("n")), ignorenulls=True)
-                         .over(upto)) \
-             .withColumn("_ss", F.last(F.when(F.col("_new") == 1, F.col("_cs") - F.col("reward_sum")),
-                                       ignorenulls=True).over(upto))
+    seg = seg.withColumns({"_cn": F.sum("n").over(upto), "_cs": F.sum("reward_sum").over(upto)})
+    seg = seg.withColumns({
+        "_sn": F.last(F.when(F.col("_new") == 1, F.col("_cn") - F.col("n")), ignorenulls=True).over(upto),
+        "_ss": F.last(F.when(F.col("_new") == 1, F.col("_cs") - F.col("reward_sum")), ignorenulls=True).over(upto)})
     last = seg.filter("is_last_in_step").select(
         key, "step", "run_id", "portion",
         ((F.col("_cs") - F.col("_ss")) / (F.col("_cn") - F.col("_sn"))).alias("run_mean_reward"),
@@ -111,10 +109,11 @@ def step_contribution(att: DataFrame, key: str = "sample_id", cfg: CurriculumCon
     max_before = F.coalesce(
         F.last(F.when(ok, F.col("portion")), ignorenulls=True).over(ws.rowsBetween(UNBOUNDED, -1)),
         F.lit(cfg.max_ratio))
-    last = last.withColumn("success", ok).withColumn("max_ratio_before", max_before)
-    return last.withColumn("upper_term", F.when(ok, F.col("portion")).otherwise(F.col("max_ratio_before"))) \
-               .withColumn("lower_term", F.when(ok, F.lit(cfg.min_ratio)).otherwise(F.col("portion"))) \
-               .withColumn("max_ratio_after", F.when(ok, F.col("portion")).otherwise(F.col("max_ratio_before")))
+    last = last.withColumns({"success": ok, "max_ratio_before": max_before})
+    return last.withColumns({
+        "upper_term": F.when(ok, F.col("portion")).otherwise(F.col("max_ratio_before")),
+        "lower_term": F.when(ok, F.lit(cfg.min_ratio)).otherwise(F.col("portion")),
+        "max_ratio_after": F.when(ok, F.col("portion")).otherwise(F.col("max_ratio_before"))})
 
 
 def max_ratio_state(att: DataFrame, key: str = "sample_id", cfg: CurriculumConfig = DEFAULT) -> DataFrame:

@@ -51,10 +51,14 @@ def read_splits(spark: SparkSession, path: str, split: str | None = None) -> Dat
 
 def mirror_copy(df: DataFrame, paths: Sequence[str], split_col: str = "split") -> None:
     """Write one computed frame to several destinations (any Hadoop URI):
-    the frame is checkpointed once, so the work is not redone per sink."""
-    frozen = df.checkpoint(eager=True)
-    for p in paths:
-        write_splits(frozen, p, split_col)
+    the frame is computed and written once; the other sinks copy that
+    written table instead of redoing the work."""
+    if not paths:
+        return
+    write_splits(df, paths[0], split_col)
+    first = read_splits(df.sparkSession, paths[0])
+    for p in paths[1:]:
+        write_splits(first, p, split_col)
 
 
 def write_eval_jsonl(rollouts: DataFrame, key: str, sample: str, reward: str, n_max: int, path: str,
