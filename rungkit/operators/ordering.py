@@ -33,14 +33,18 @@ def _cols(xs) -> list:
     return list(xs)
 
 
-def key_bucket(df: DataFrame, key: str, n_buckets: int = DEFAULT_KEY_BUCKETS) -> DataFrame:
+def key_bucket(df: DataFrame, key: str, n_buckets: int = DEFAULT_KEY_BUCKETS,
+               range_from: DataFrame | None = None) -> DataFrame:
     """Add ``_kb``: range bucket of a dense integer key.
 
     The key range comes from a one-row aggregate joined back lazily (no
-    driver round trip). For unique keys a bucket holds at most
+    driver round trip), taken over ``range_from`` when given (any cheaper
+    frame whose keys are a superset, e.g. the input before an expensive
+    filter). For unique keys a bucket holds at most
     ``ceil(range / n_buckets)`` rows.
     """
-    stats = df.agg(F.min(key).alias("_kmin"), F.max(key).alias("_kmax"))
+    src = range_from if range_from is not None else df
+    stats = src.agg(F.min(key).alias("_kmin"), F.max(key).alias("_kmax"))
     d = df.crossJoin(F.broadcast(stats))   # one-row side
     width = F.greatest(F.lit(1), F.ceil((F.col("_kmax") - F.col("_kmin") + 1) / F.lit(n_buckets)))
     return d.withColumn("_kb", F.floor((F.col(key) - F.col("_kmin")) / width).cast("bigint")) \
@@ -77,9 +81,9 @@ def prefix_offsets(df: DataFrame, order: Sequence, bucket: Column, partition_by=
 
 
 def assign_index(df: DataFrame, key: str, partition_by=(), out: str = "index",
-                 n_buckets: int = DEFAULT_KEY_BUCKETS) -> DataFrame:
+                 n_buckets: int = DEFAULT_KEY_BUCKETS, range_from: DataFrame | None = None) -> DataFrame:
     """Contiguous 0-based index in ``key`` order, restarted per ``partition_by``."""
-    d = key_bucket(df, key, n_buckets)
+    d = key_bucket(df, key, n_buckets, range_from)
     return prefix_offsets(d, [key], F.col("_kb"), partition_by, out=out).drop("_kb")
 
 

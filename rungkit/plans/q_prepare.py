@@ -67,8 +67,9 @@ SELECT id, {lit(nz.DS_MATH)} AS data_source, 'user' AS role, problem || ' ' || {
        row_number() OVER (PARTITION BY split ORDER BY id) - 1 AS "index"
 FROM g WHERE gt IS NOT NULL"""))
 def q_norm_boxed(spark, sf):
-    d = V.qa_boxed(spark, sf).filter(tx.last_boxed("solution").isNotNull())
-    d = assign_index(d, "id", partition_by="split", out="index")
+    raw = V.qa_boxed(spark, sf)
+    d = raw.filter(tx.last_boxed("solution").isNotNull())
+    d = assign_index(d, "id", partition_by="split", out="index", range_from=raw.select("id"))
     good, _ = nz.norm_boxed(d)
     return nz.flatten_rl(good, "id", extra=("split", "index"))
 
@@ -125,7 +126,7 @@ SELECT doc_id, {lit(nz.DS_MATH)} AS data_source, 'user' AS role,
 FROM k"""))
 def q_norm_multi_gen(spark, sf):
     d = nz.filter_int_answer_words(V.multi_gen(spark, sf))
-    d = assign_index(d, "doc_id", out="index")
+    d = assign_index(d, "doc_id", out="index", range_from=V.table(spark, sf, "documents").select("doc_id"))
     out = nz.norm_multi_gen(d)
     return nz.flatten_rl(out, "doc_id", extra=("split", "index", "problem", "problem_type", "question_type",
                                                "source"))
