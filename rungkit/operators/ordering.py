@@ -23,6 +23,7 @@ from rungkit.functions.hashing import hash_key
 
 HASH_BUCKET_SHIFT = 20          # 2**32 >> 20 = 4096 hash buckets
 DEFAULT_KEY_BUCKETS = 4096
+BROADCAST_MAX_BUCKETS = 1_000_000   # size check for data-derived bucket kinds
 
 
 def _cols(xs) -> list:
@@ -52,13 +53,19 @@ def key_bucket(df: DataFrame, key: str, n_buckets: int = DEFAULT_KEY_BUCKETS,
 
 
 def prefix_offsets(df: DataFrame, order: Sequence, bucket: Column, partition_by=(),
-                   weight: Column | None = None, out: str = "offset") -> DataFrame:
+                   weight: Column | None = None, out: str = "offset", bounded: bool = True) -> DataFrame:
     """Add ``out`` = exclusive prefix sum of ``weight`` (default 1) in
     ``order`` within each ``partition_by`` group.
 
     ``bucket`` must be non-decreasing along ``order`` inside a group. The
     input is exchanged once by (group, bucket); the bucket-size aggregate
     and the in-bucket window both read that one exchange.
+
+    The offsets table has one row per (group, bucket). For key-range and
+    hash buckets that is at most ``4096 * groups`` rows and it is
+    broadcast; for data-derived buckets (``bounded=False``) its size is
+    counted first and it is broadcast only under ``BROADCAST_MAX_BUCKETS``
+    rows, otherwise shuffle-joined.
     """
     parts = _cols(partition_by)
     order = _cols(order)
@@ -74,8 +81,8 @@ def prefix_offsets(df: DataFrame, order: Sequence, bucket: Column, partition_by=
     ).drop("_bsum")
     inner = Window.partitionBy(*parts, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_inoff", F.coalesce(F.sum("_wt").over(inner), F.lit(0)))
-    # one row per (group, bucket): bounded by the bucket count, safe to broadcast
-    joined = d.join(F.broadcast(offsets), on=[*parts, "_bk"])
+    small = bounded or offsets.count() <= BROADCAST_MAX_BUCKETS
+    joined = d.join(F.broadcast(offsets) if small else offsets, on=[*parts, "_bk"])
     return joined.withColumn(out, (F.col("_boff") + F.col("_inoff")).cast("bigint")) \
                  .drop("_bk", "_wt", "_boff", "_inoff")
 

@@ -40,7 +40,7 @@ def vocab_build(df: DataFrame, text_cols, tokenizer: Tokenizer = default_tokeniz
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).cast("bigint").alias("count"))
     # bucket monotone in (count desc, token): (-count, 2-char token prefix)
     bucket = F.struct((-F.col("count")).alias("c"), F.substring("token", 1, 2).alias("p"))
-    r = prefix_offsets(counts, [F.col("count").desc(), F.col("token")], bucket, out="_rank")
+    r = prefix_offsets(counts, [F.col("count").desc(), F.col("token")], bucket, out="_rank", bounded=False)
     return r.withColumn("id", (F.col("_rank") + F.lit(n_special)).cast("bigint")).drop("_rank")
 
 
