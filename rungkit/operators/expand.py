@@ -59,15 +59,25 @@ def expand_words_k(df: DataFrame, answer: str = "solution", k: int = 4) -> DataF
                     F.when(~is_base, cutoff / F.col("n_words")).alias("portion"))
 
 
+def expansion_offsets(parents: DataFrame, parent_key: str, rows_per_parent: Column, partition_by=(),
+                      out: str = "_base", extra: dict | None = None) -> DataFrame:
+    """Before expanding: each parent's first index among base + partial rows
+    (prefix sum of rows per parent in key order), so that after the explode
+    ``index = base + pos`` with no join back. ``extra`` adds more running
+    sums in the same pass (e.g. the parent's own position)."""
+    parts = [partition_by] if isinstance(partition_by, str) else list(partition_by)
+    return prefix_offsets(key_bucket(parents, parent_key), [parent_key], F.col("_kb"), parts,
+                          weight=rows_per_parent, out=out, extra=extra).drop("_kb")
+
+
 def reindex_expanded(df: DataFrame, parent_key: str, rows_per_parent: Column, partition_by=(),
                      out: str = "index", parents: DataFrame | None = None) -> DataFrame:
-    """Running index over base + partial rows in parent order: prefix sum of
-    rows per parent (computed over one row per parent, from ``parents``
-    when given, so the expansion is not evaluated twice) plus ``pos``."""
+    """Running index over an already expanded table (when the parents were
+    not offset before the explode): offsets over one row per parent, joined
+    back by parent key. Prefer :func:`expansion_offsets` before expanding."""
     parts = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     src = parents if parents is not None else df.dropDuplicates([parent_key])
-    par = src.select(parent_key, *parts, rows_per_parent.alias("_rows"))
-    off = prefix_offsets(key_bucket(par, parent_key), [parent_key], F.col("_kb"), parts,
-                         weight=F.col("_rows"), out="_base").drop("_kb")
+    off = expansion_offsets(src.select(parent_key, *parts, rows_per_parent.alias("_rows")), parent_key,
+                            F.col("_rows"), parts)
     return df.join(off.select(parent_key, "_base"), parent_key) \
              .withColumn(out, F.col("_base") + F.col("pos")).drop("_base")

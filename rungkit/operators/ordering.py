@@ -53,10 +53,14 @@ def key_bucket(df: DataFrame, key: str, n_buckets: int = DEFAULT_KEY_BUCKETS,
 
 
 def prefix_offsets(df: DataFrame, order: Sequence, bucket: Column, partition_by=(),
-                   weight: Column | None = None, out: str = "offset", bounded: bool = True) -> DataFrame:
+                   weight: Column | None = None, out: str = "offset", bounded: bool = True,
+                   extra: dict | None = None, total_out: str | None = None) -> DataFrame:
     """Add ``out`` = exclusive prefix sum of ``weight`` (default 1) in
     ``order`` within each ``partition_by`` group.
 
+    ``extra`` adds more running sums in the same pass ({name: weight});
+    ``total_out`` adds the group total of ``weight``.
+
     ``bucket`` must be non-decreasing along ``order`` inside a group. The
     input is exchanged once by (group, bucket); the bucket-size aggregate
     and the in-bucket window both read that one exchange.
@@ -69,22 +73,26 @@ def prefix_offsets(df: DataFrame, order: Sequence, bucket: Column, partition_by=
     """
     parts = _cols(partition_by)
     order = _cols(order)
-    w = (weight if weight is not None else F.lit(1)).cast("bigint")
-    d = df.withColumn("_bk", bucket).withColumn("_wt", w)
+    sums = {out: (weight if weight is not None else F.lit(1))}
+    sums.update(extra or {})
+    names = list(sums)
+    d = df.withColumn("_bk", bucket).withColumns({f"_w{i}": sums[n].cast("bigint") for i, n in enumerate(names)})
     d = d.repartition(*parts, "_bk")
-    sizes = d.groupBy(*parts, "_bk").agg(F.sum("_wt").alias("_bsum"))
-    offsets = sizes.withColumn(
-        "_boff",
-        F.coalesce(F.sum("_bsum").over(
-            Window.partitionBy(*parts).orderBy("_bk")
-            .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).drop("_bsum")
+    sizes = d.groupBy(*parts, "_bk").agg(*[F.sum(f"_w{i}").alias(f"_s{i}") for i in range(len(names))])
+    wb = Window.partitionBy(*parts).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    cols = {f"_o{i}": F.coalesce(F.sum(f"_s{i}").over(wb), F.lit(0)) for i in range(len(names))}
+    if total_out:
+        cols["_tot"] = F.sum("_s0").over(Window.partitionBy(*parts))
+    offsets = sizes.withColumns(cols).drop(*[f"_s{i}" for i in range(len(names))])
     inner = Window.partitionBy(*parts, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_inoff", F.coalesce(F.sum("_wt").over(inner), F.lit(0)))
+    d = d.withColumns({f"_i{i}": F.coalesce(F.sum(f"_w{i}").over(inner), F.lit(0)) for i in range(len(names))})
     small = bounded or offsets.count() <= BROADCAST_MAX_BUCKETS
     joined = d.join(F.broadcast(offsets) if small else offsets, on=[*parts, "_bk"])
-    return joined.withColumn(out, (F.col("_boff") + F.col("_inoff")).cast("bigint")) \
-                 .drop("_bk", "_wt", "_boff", "_inoff")
+    outs = {n: (F.col(f"_o{i}") + F.col(f"_i{i}")).cast("bigint") for i, n in enumerate(names)}
+    if total_out:
+        outs[total_out] = F.col("_tot").cast("bigint")
+    drop = ["_bk", "_tot"] + [f"_{k}{i}" for k in "wosi" for i in range(len(names))]
+    return joined.withColumns(outs).drop(*drop)
 
 
 def assign_index(df: DataFrame, key: str, partition_by=(), out: str = "index",
@@ -98,10 +106,12 @@ def hash_order(seed, key: str) -> Column:
     return hash_key(F.lit(seed), F.col(key))
 
 
-def hash_rank(df: DataFrame, key: str, seed, partition_by=(), out: str = "rank") -> DataFrame:
+def hash_rank(df: DataFrame, key: str, seed, partition_by=(), out: str = "rank",
+              total_out: str | None = None) -> DataFrame:
     """Rank in a seeded pseudo-random order (hash of seed:key, ties by key)."""
     d = df.withColumn("_h", hash_order(seed, key))
-    r = prefix_offsets(d, ["_h", key], F.shiftright(F.col("_h"), HASH_BUCKET_SHIFT), partition_by, out=out)
+    r = prefix_offsets(d, ["_h", key], F.shiftright(F.col("_h"), HASH_BUCKET_SHIFT), partition_by, out=out,
+                       total_out=total_out)
     return r.drop("_h")
 
 
@@ -110,14 +120,6 @@ def group_sizes(df: DataFrame, partition_by=(), out: str = "n") -> DataFrame:
     return df.groupBy(*parts).agg(F.count(F.lit(1)).cast("bigint").alias(out))
 
 
-def _with_size(df: DataFrame, partition_by, out="_n") -> DataFrame:
-    parts = _cols(partition_by)
-    sizes = group_sizes(df, parts, out)
-    if not parts:
-        return df.crossJoin(F.broadcast(sizes))  # one-row side
-    return df.join(F.broadcast(sizes), on=parts)  # one row per group
-
-
 def take_first_n(df: DataFrame, key: str, n: int) -> DataFrame:
     """First ``n`` rows in ``key`` order (a distributed top-k, never a bare limit)."""
     return df.orderBy(F.col(key).asc()).limit(n)
@@ -126,8 +128,7 @@ def take_first_n(df: DataFrame, key: str, n: int) -> DataFrame:
 def split_train_test(df: DataFrame, key: str, test_share: float, seed=42,
                      partition_by=()) -> DataFrame:
     """Exact-size shuffled split: test = first ceil(n * p) rows in hash order."""
-    r = hash_rank(df, key, seed, partition_by, out="_r")
-    r = _with_size(r, partition_by)
+    r = hash_rank(df, key, seed, partition_by, out="_r", total_out="_n")
     n_test = F.ceil(F.col("_n") * F.lit(float(test_share)))
     return r.withColumn("split", F.when(F.col("_r") < n_test, "test").otherwise("train")) \
             .drop("_r", "_n")
@@ -137,10 +138,10 @@ def shuffle_batches(df: DataFrame, key: str, batch_size: int, seed=1, shuffle: b
                     partition_by=()) -> DataFrame:
     """batch_id / position by seeded hash order (or key order); incomplete last batch dropped."""
     if shuffle:
-        r = hash_rank(df, key, seed, partition_by, out="_r")
+        r = hash_rank(df, key, seed, partition_by, out="_r", total_out="_n")
     else:
-        r = assign_index(df, key, partition_by, out="_r")
-    r = _with_size(r, partition_by)
+        r = prefix_offsets(key_bucket(df, key), [key], F.col("_kb"), partition_by, out="_r",
+                           total_out="_n").drop("_kb")
     B = F.lit(int(batch_size))
     r = r.withColumn("batch_id", F.floor(F.col("_r") / B).cast("bigint")) \
          .withColumn("batch_pos", (F.col("_r") % B).cast("bigint"))
@@ -165,8 +166,7 @@ def rank_shards(df: DataFrame, key: str, world: int, global_batch: int, micro: i
     per_rank = global_batch // world
     if per_rank % micro:
         raise ValueError("per-rank batch must be divisible by micro batch")
-    r = hash_rank(df, key, f"{seed}-{epoch}", out="_r")
-    r = _with_size(r, ())
+    r = hash_rank(df, key, f"{seed}-{epoch}", out="_r", total_out="_n")
     W = F.lit(int(world))
     r = r.withColumn("dp_rank", (F.col("_r") % W).cast("bigint")) \
          .withColumn("slot", F.floor(F.col("_r") / W).cast("bigint")) \

@@ -14,30 +14,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rungkit.operators.materialize import materialize
-from rungkit.operators.ordering import assign_index, key_bucket, prefix_offsets
+from rungkit.operators.ordering import key_bucket, prefix_offsets
 
 SCALE = 1_000_000
 
 
-def weighted_resample(df: DataFrame, key: str, weight: str, seed=0, n_draws_from_rows: bool = True) -> DataFrame:
+def weighted_resample(df: DataFrame, key: str, weight: str, seed=0) -> DataFrame:
     """N draws (N = number of rows) proportional to ``weight``; returns (draw_id, key)."""
-    d = materialize(df.select(key, F.round(F.col(weight) * F.lit(SCALE)).cast("bigint").alias("_wi")),
+    w = materialize(df.select(key, F.round(F.col(weight) * F.lit(SCALE)).cast("bigint").alias("_wi")),
                     "resample_weights").filter(F.col("_wi") > 0)
-    d = prefix_offsets(key_bucket(d, key), [key], F.col("_kb"), weight=F.col("_wi"), out="_lo").drop("_kb")
-    tot = d.agg(F.sum("_wi").alias("_total"), F.count(F.lit(1)).alias("_n"))
-    # one block per sample on average
-    d = d.crossJoin(F.broadcast(tot)).withColumn(
-        "_bw", F.greatest(F.lit(1), F.ceil(F.col("_total") / F.col("_n"))).cast("bigint"))
-    spans = d.select(key, "_lo", "_wi", F.explode(F.sequence(
+    # one prefix pass: cumulative weight (range start) and rank (draw id), plus the total
+    ranked = prefix_offsets(key_bucket(w, key), [key], F.col("_kb"), weight=F.col("_wi"), out="_lo",
+                            extra={"_rank": F.lit(1)}, total_out="_total").drop("_kb")
+    ranked = materialize(ranked, "resample_ranges")
+    n = ranked.agg(F.count(F.lit(1)).alias("_n"))            # one row
+    ranked = ranked.crossJoin(F.broadcast(n)) \
+        .withColumn("_bw", F.greatest(F.lit(1), F.ceil(F.col("_total") / F.col("_n"))).cast("bigint"))
+    # a sample is listed once per block its range touches: <= n_samples + n_blocks rows
+    spans = ranked.select(key, "_lo", "_wi", F.explode(F.sequence(
         F.floor(F.col("_lo") / F.col("_bw")).cast("bigint"),
         F.floor((F.col("_lo") + F.col("_wi") - 1) / F.col("_bw")).cast("bigint"))).alias("_blk"))
-
-    draws = assign_index(d.select(key), key, out="draw_id").select("draw_id")
-    h48 = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw_id").cast("string"))), 1, 12),
+    h48 = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_rank").cast("string"))), 1, 12),
                  16, 10).cast("bigint")
-    draws = draws.crossJoin(F.broadcast(tot)) \
-        .withColumn("_bw", F.greatest(F.lit(1), F.ceil(F.col("_total") / F.col("_n"))).cast("bigint")) \
-        .withColumn("_t", F.pmod(h48, F.col("_total"))) \
-        .withColumn("_blk", F.floor(F.col("_t") / F.col("_bw")).cast("bigint"))
+    draws = ranked.select(F.col("_rank").alias("draw_id"), "_bw", F.pmod(h48, F.col("_total")).alias("_t"))
+    draws = draws.withColumn("_blk", F.floor(F.col("_t") / F.col("_bw")).cast("bigint"))
     hit = draws.join(spans, "_blk").filter((F.col("_t") >= F.col("_lo")) & (F.col("_t") < F.col("_lo") + F.col("_wi")))
     return hit.select("draw_id", key)

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from rungkit.functions import text as tx
 from rungkit.functions.hashing import uniform
 from rungkit.operators import normalize as nz
-from rungkit.operators.expand import expand_steps, expand_words_k, reindex_expanded
+from rungkit.operators.expand import expand_steps, expand_words_k, expansion_offsets
 from rungkit.operators.materialize import materialize
-from rungkit.operators.ordering import assign_index
 from rungkit.operators.portion import apply_curriculum, cut_by_portion
 from rungkit.operators.project import render_chat
 from rungkit.plans.registry import register
@@ -47,9 +46,9 @@ FROM e""")
 
 def _steps(spark, sf, first):
     rows = materialize(_train_hash_rows(spark, sf), "r3_parents")
-    ex = expand_steps(rows, "answer", first_step=first)
     n_rows = F.size(F.split("answer", "\n", -1)) + 1     # base row + one row per step, both variants
-    ex = reindex_expanded(ex, "id", n_rows, parents=rows)
+    ex = expand_steps(expansion_offsets(rows, "id", n_rows), "answer", first_step=first)
+    ex = ex.withColumn("index", F.col("_base") + F.col("pos"))
     if first == 1:   # the base row keeps its own (absent) index
         ex = ex.withColumn("index", F.when(F.col("pos") > 0, F.col("index")).otherwise(F.col("extra_info.index")))
     return ex.select("id", "n_steps", "pos", "j", "partial_answer", "completion", "portion", "index")
@@ -82,10 +81,10 @@ SELECT id, split, len(w) AS n_words, jj AS pos, CASE WHEN jj > 0 THEN cut END AS
 FROM c"""))
 def q_expand_words_k(spark, sf):
     d = materialize(V.qa_boxed(spark, sf).filter(tx.last_boxed("solution").isNotNull()), "r3_math_parents")
-    d = assign_index(d, "id", partition_by="split", out="orig_index")
-    ex = expand_words_k(d, "solution", k=4)
-    ex = reindex_expanded(ex, "id", F.when(tx.word_count("solution") > 0, 5).otherwise(1), partition_by="split",
-                          parents=d)
+    # one prefix pass per split: first index of each parent's rows and its own position
+    d = expansion_offsets(d, "id", F.when(tx.word_count("solution") > 0, 5).otherwise(1), "split",
+                          extra={"orig_index": F.lit(1)})
+    ex = expand_words_k(d, "solution", k=4).withColumn("index", F.col("_base") + F.col("pos"))
     return ex.select("id", "split", "n_words", "pos", "cutoff", "partial_answer", "completion", "portion",
                      "index", "orig_index")
 
@@ -96,10 +95,9 @@ gi AS (SELECT *, sum(n + 1) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - (n
 SELECT doc_id, jj AS pos, base_idx + jj AS "index" FROM (SELECT *, unnest(range(0, n + 1)) AS jj FROM gi)"""))
 def q_reindex_expanded(spark, sf):
     """Line-step expansion of whole documents, indexed over base + partial rows."""
-    docs = V.cot(spark, sf)
+    docs = expansion_offsets(V.cot(spark, sf), "doc_id", F.size(F.split("answer", "\n", -1)) + 1)
     ex = expand_steps(docs, "answer", first_step=0)
-    return reindex_expanded(ex, "doc_id", F.size(F.split("answer", "\n", -1)) + 1, parents=docs) \
-        .select("doc_id", "pos", "index")
+    return ex.select("doc_id", "pos", (F.col("_base") + F.col("pos")).alias("index"))
 
 
 def _portion_col():
