@@ -59,29 +59,33 @@ def trajectory_matrix(ledger: DataFrame, samples: DataFrame, key: str = "sample_
                .select(key, "t", "portion", "reward")
 
 
-def _moments(runs: DataFrame, col: str, t_max_df: DataFrame) -> DataFrame:
-    """Per t: sum and sum of squares over samples with history, last value
-    carried forward, without materialising the sample x t matrix."""
-    active = runs.groupBy("t").agg(F.sum(col).alias("a1"), F.sum(F.col(col) * F.col(col)).alias("a2"),
-                                   F.count(F.lit(1)).alias("an"))
-    last = runs.filter(F.col("t") == F.col("R") - 1)
-    fin = last.groupBy("R").agg(F.sum(col).alias("f1"), F.sum(F.col(col) * F.col(col)).alias("f2"),
-                                F.count(F.lit(1)).alias("fn"))
-    # samples whose history ended before t contribute their last value at t
-    w = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+def _moments(runs: DataFrame, cols, t_max_df: DataFrame) -> DataFrame:
+    """Per t, for each of ``cols``: mean and population std over samples with
+    history, the last value carried forward, without materialising the
+    sample x t matrix: sums over active runs at t plus cumulative sums of
+    the last values of samples whose history ended before t."""
+    aggs1, aggs2 = [F.count(F.lit(1)).alias("an")], [F.count(F.lit(1)).alias("fn")]
+    for c in cols:
+        aggs1 += [F.sum(c).alias(f"a1_{c}"), F.sum(F.col(c) * F.col(c)).alias(f"a2_{c}")]
+        aggs2 += [F.sum(c).alias(f"f1_{c}"), F.sum(F.col(c) * F.col(c)).alias(f"f2_{c}")]
+    active = runs.groupBy("t").agg(*aggs1)
+    fin = runs.filter(F.col("t") == F.col("R") - 1).groupBy("R").agg(*aggs2)
+    w = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)   # one row per iteration
     ts = t_max_df.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("T") - 1)).alias("t"))
+    fcols = ["fn"] + [f"{k}_{c}" for c in cols for k in ("f1", "f2")]
     fin_t = ts.join(fin.withColumn("t", F.col("R")), "t", "left") \
-              .select("t", F.sum(F.coalesce("f1", F.lit(0.0))).over(w).alias("f1"),
-                      F.sum(F.coalesce("f2", F.lit(0.0))).over(w).alias("f2"),
-                      F.sum(F.coalesce("fn", F.lit(0))).over(w).alias("fn"))
+              .select("t", *[F.sum(F.coalesce(F.col(x), F.lit(0))).over(w).alias(x) for x in fcols])
     m = fin_t.join(active, "t", "left")
-    s1 = F.coalesce("a1", F.lit(0.0)) + F.col("f1")
-    s2 = F.coalesce("a2", F.lit(0.0)) + F.col("f2")
     n = F.coalesce("an", F.lit(0)) + F.col("fn")
-    mean = s1 / n
-    var = s2 / n - mean * mean
-    std = F.sqrt(F.when(var < F.lit(VAR_EPS), F.lit(0.0)).otherwise(var))
-    return m.select("t", n.cast("bigint").alias("n"), mean.alias(f"{col}_mean"), std.alias(f"{col}_std"))
+    out = [F.col("t"), n.cast("bigint").alias("n")]
+    for c in cols:
+        s1 = F.coalesce(f"a1_{c}", F.lit(0.0)) + F.col(f"f1_{c}")
+        s2 = F.coalesce(f"a2_{c}", F.lit(0.0)) + F.col(f"f2_{c}")
+        mean = s1 / n
+        var = s2 / n - mean * mean
+        out += [mean.alias(f"{c}_mean"),
+                F.sqrt(F.when(var < F.lit(VAR_EPS), F.lit(0.0)).otherwise(var)).alias(f"{c}_std")]
+    return m.select(*out)
 
 
 def trajectory_bands(ledger: DataFrame, key: str = "sample_id", clip: bool = True) -> DataFrame:
@@ -91,15 +95,13 @@ def trajectory_bands(ledger: DataFrame, key: str = "sample_id", clip: bool = Tru
     runs = ledger.select(key, (F.col("run_id") - 1).alias("t"), "portion",
                          F.col("mean_reward").alias("reward")).join(lens, key)
     T = lens.agg(F.max("R").alias("T"))   # one row
-    p = _moments(runs, "portion", T)
-    r = _moments(runs, "reward", T).drop("n")
-    out = p.join(r, "t")
+    out = _moments(runs, ["portion", "reward"], T)
     for c in ("portion", "reward"):
         lo = F.col(f"{c}_mean") - F.col(f"{c}_std")
         hi = F.col(f"{c}_mean") + F.col(f"{c}_std")
         if clip:
             lo, hi = F.greatest(lo, F.lit(0.0)), F.least(hi, F.lit(1.0))
-        out = out.withColumn(f"{c}_lo", lo).withColumn(f"{c}_hi", hi)
+        out = out.withColumns({f"{c}_lo": lo, f"{c}_hi": hi})
     return out
 
 
