@@ -132,3 +132,21 @@ def test_token_loss(spark):
     r = {x.batch: x for x in ev.token_loss_metrics(d).collect()}
     assert r[0].masked_mean == pytest.approx(1.0) and r[1].masked_mean == pytest.approx(3.0)
     assert r[0].val_mean == pytest.approx(2.0)
+
+
+def test_register_pandas_udf_scorer(spark):
+    """The scorer hook accepts a vectorised pandas UDF next to Column builders."""
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def exact(sol: pd.Series, truth: pd.Series) -> pd.Series:
+        return (sol.fillna("").str.strip() == truth).astype("float64")
+
+    sc.register_scorer("exact_text", lambda s, t: exact(s, t))
+    try:
+        d = spark.createDataFrame([("exact_text", " 4 ", "4"), ("exact_text", "5", "4"), ("tensor", "#### 4", "4")],
+                                  "ds string, s string, t string")
+        got = [r[0] for r in d.select(sc.score_dispatch(F.col("ds"), F.col("s"), F.col("t"))).collect()]
+        assert got == [1.0, 0.0, 1.0]
+    finally:
+        sc.SCORERS.pop("exact_text", None)
