@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rungkit.functions import text as tx
+from rungkit.operators.materialize import materialize
 from rungkit.operators.ordering import prefix_offsets
 
 PAD_ID, EOS_ID, N_SPECIAL = 0, 1, 2
@@ -37,7 +38,8 @@ def vocab_build(df: DataFrame, text_cols, tokenizer: Tokenizer = default_tokeniz
     for c in cols:
         t = df.select(F.explode(tokenizer(F.col(c))).alias("token"))
         toks = t if toks is None else toks.unionByName(t)
-    counts = toks.groupBy("token").agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+    # read by the bucket-size check and by the ranking pass: written once
+    counts = materialize(toks.groupBy("token").agg(F.count(F.lit(1)).cast("bigint").alias("count")), "token_counts")
     # bucket monotone in (count desc, token): (-count, 2-char token prefix)
     bucket = F.struct((-F.col("count")).alias("c"), F.substring("token", 1, 2).alias("p"))
     r = prefix_offsets(counts, [F.col("count").desc(), F.col("token")], bucket, out="_rank", bounded=False)
