@@ -44,8 +44,8 @@ def _local_runs(att: DataFrame, key: str) -> DataFrame:
                     (F.sum("_chg").over(w.rowsBetween(UNBOUNDED, 0)) - 1).cast("int").alias("local_run"))
 
 
-def ledger_segments(att: DataFrame, key: str = "sample_id") -> DataFrame:
-    """One row per (sample, step, local run) with a global per-sample ``run_id``.
+def ledger_segments(att: DataFrame, key: str = "sample_id", prior: DataFrame | None = None) -> DataFrame:
+    """One row per (sample, step, local run) with a per-sample ``run_id``.
 
     Two-level gaps-and-islands: runs are found inside each (sample, step)
     (a row-level window whose partitions are one sample-step), then linked
@@ -53,6 +53,10 @@ def ledger_segments(att: DataFrame, key: str = "sample_id") -> DataFrame:
     by (step, local_run): a step's first segment continues the previous
     run when its portion equals the previous segment's. A sample with a
     very long history is thus never sorted row by row in one task.
+
+    ``prior`` (key, last_portion, ...) carries state from earlier steps: a
+    sample's first new segment continues the stored run when the portions
+    are equal.
     """
     d = _local_runs(att, key)
     seg = d.groupBy(key, "step", "local_run").agg(
@@ -61,11 +65,15 @@ def ledger_segments(att: DataFrame, key: str = "sample_id") -> DataFrame:
         F.sum("reward").alias("reward_sum"),
         F.min("pos").alias("first_pos"),
     )
+    if prior is not None:
+        seg = seg.join(prior.select(key, F.col("last_portion").alias("_prior_p")), key, "left")
+    else:
+        seg = seg.withColumn("_prior_p", F.lit(None).cast("double"))
     w = Window.partitionBy(key).orderBy("step", "local_run")
-    prev = F.lag("portion").over(w)
+    prev = F.coalesce(F.lag("portion").over(w), F.when(F.row_number().over(w) == 1, F.col("_prior_p")))
     new_run = F.when((F.col("local_run") > 0) | prev.isNull() | (prev != F.col("portion")), 1).otherwise(0)
     seg = seg.withColumns({"_new": new_run, "_next_step": F.lead("step").over(w)})
-    return seg.select(*[c for c in seg.columns if c != "_next_step"],
+    return seg.select(*[c for c in seg.columns if c not in ("_next_step", "_prior_p")],
                       F.sum("_new").over(w.rowsBetween(UNBOUNDED, 0)).cast("bigint").alias("run_id"),
                       F.coalesce(F.col("_next_step") != F.col("step"), F.lit(True)).alias("is_last_in_step"))
 
@@ -84,32 +92,48 @@ def attempt_ledger(att: DataFrame, key: str = "sample_id") -> DataFrame:
 
 # ----------------------------------------------- contributions (38) and max (40)
 
-def step_contribution(att: DataFrame, key: str = "sample_id", cfg: CurriculumConfig = DEFAULT) -> DataFrame:
+def step_contribution(att: DataFrame, key: str = "sample_id", cfg: CurriculumConfig = DEFAULT,
+                      prior: DataFrame | None = None) -> DataFrame:
     """Per touched (sample, step): the last run's running mean reward and the
     upper/lower terms it adds to the step's moving-average update.
 
     All windows share one partitioning (sample) and order (step, local_run):
     the running count/sum of the current run = cumulative totals minus the
     totals at the run's start (the latest start so far).
+
+    ``prior`` = per-sample state after earlier steps (key, last_portion,
+    run_n, run_sum, max_per_sample_ratio): a continuing run starts from the
+    stored count/sum and the cap starts from the stored cap. Folding steps
+    in pieces with ``prior`` gives the same result as one pass.
     """
-    seg = ledger_segments(att, key)
+    seg = ledger_segments(att, key, prior)
+    if prior is not None:
+        seg = seg.join(prior.select(key, F.col("run_n").alias("_pn"), F.col("run_sum").alias("_ps"),
+                                    F.col("max_per_sample_ratio").alias("_pmax")), key, "left")
+    else:
+        seg = seg.withColumns({"_pn": F.lit(None).cast("bigint"), "_ps": F.lit(None).cast("double"),
+                               "_pmax": F.lit(None).cast("double")})
     w = Window.partitionBy(key).orderBy("step", "local_run")
     upto = w.rowsBetween(UNBOUNDED, 0)
     seg = seg.withColumns({"_cn": F.sum("n").over(upto), "_cs": F.sum("reward_sum").over(upto)})
+    # start of the current run; a run continuing the stored one starts "before" the new data
     seg = seg.withColumns({
-        "_sn": F.last(F.when(F.col("_new") == 1, F.col("_cn") - F.col("n")), ignorenulls=True).over(upto),
-        "_ss": F.last(F.when(F.col("_new") == 1, F.col("_cs") - F.col("reward_sum")), ignorenulls=True).over(upto)})
+        "_sn": F.coalesce(F.last(F.when(F.col("_new") == 1, F.col("_cn") - F.col("n")), ignorenulls=True).over(upto),
+                          -F.coalesce(F.col("_pn"), F.lit(0))),
+        "_ss": F.coalesce(F.last(F.when(F.col("_new") == 1, F.col("_cs") - F.col("reward_sum")),
+                                 ignorenulls=True).over(upto), -F.coalesce(F.col("_ps"), F.lit(0.0)))})
     last = seg.filter("is_last_in_step").select(
-        key, "step", "run_id", "portion",
+        key, "step", "run_id", "portion", "_pmax",
         ((F.col("_cs") - F.col("_ss")) / (F.col("_cn") - F.col("_sn"))).alias("run_mean_reward"),
         (F.col("_cn") - F.col("_sn")).cast("bigint").alias("run_n"),
+        (F.col("_cs") - F.col("_ss")).alias("run_sum"),
     )
     ok = F.col("run_mean_reward") >= F.lit(cfg.reward_threshold)
     ws = Window.partitionBy(key).orderBy("step")
     max_before = F.coalesce(
         F.last(F.when(ok, F.col("portion")), ignorenulls=True).over(ws.rowsBetween(UNBOUNDED, -1)),
-        F.lit(cfg.max_ratio))
-    last = last.withColumns({"success": ok, "max_ratio_before": max_before})
+        F.col("_pmax"), F.lit(cfg.max_ratio))
+    last = last.withColumns({"success": ok, "max_ratio_before": max_before}).drop("_pmax")
     return last.withColumns({
         "upper_term": F.when(ok, F.col("portion")).otherwise(F.col("max_ratio_before")),
         "lower_term": F.when(ok, F.lit(cfg.min_ratio)).otherwise(F.col("portion")),
@@ -134,11 +158,12 @@ def step_sums(contrib: DataFrame) -> DataFrame:
         F.sum("lower_term").alias("sum_lower"))
 
 
-def ema_bounds(contrib: DataFrame, cfg: CurriculumConfig = DEFAULT) -> DataFrame:
+def ema_bounds(contrib: DataFrame, cfg: CurriculumConfig = DEFAULT, init: tuple | None = None) -> DataFrame:
     """Global moving-average bounds after every step that touched a sample.
 
     A sequential fold, but over one summary row per training step (the
-    number of steps, not the data, bounds it).
+    number of steps, not the data, bounds it). ``init`` = (mean_min,
+    mean_max) after earlier steps, to continue a fold incrementally.
     """
     a, b = float(cfg.alpha), float(1.0 - cfg.alpha)
     per_step = step_sums(contrib)
@@ -146,8 +171,9 @@ def ema_bounds(contrib: DataFrame, cfg: CurriculumConfig = DEFAULT) -> DataFrame
         F.struct("step", "n_touched", "sum_upper", "sum_lower"))).alias("steps"))
     out_t = "array<struct<step:int,n_touched:bigint,sum_upper:double,sum_lower:double," \
             "mean_min_ratio:double,mean_max_ratio:double>>"
-    init = F.struct(F.lit(cfg.min_ratio).cast("double").alias("lo"),
-                    F.lit(cfg.max_ratio).cast("double").alias("hi"),
+    lo0, hi0 = init if init is not None else (cfg.min_ratio, cfg.max_ratio)
+    init = F.struct(F.lit(float(lo0)).cast("double").alias("lo"),
+                    F.lit(float(hi0)).cast("double").alias("hi"),
                     F.array().cast(out_t).alias("out"))
 
     def merge(acc, x):

@@ -8,7 +8,8 @@ from rungkit.plans.q_curriculum import _EMA, _rec
 from rungkit.plans.registry import register
 from rungkit.session import scratch_path
 from rungkit.sources import views as V
-from rungkit.streaming.curriculum_stream import StreamPaths, as_stream_rows, run_until_idle, stream_ema_bounds
+from rungkit.streaming.curriculum_stream import (StreamPaths, as_stream_rows, incremental_ema, incremental_update,
+                                                 run_until_idle)
 
 # arrival plan: files cut at step edges, one cut inside a step, then a late file
 CUTS = [
@@ -25,15 +26,19 @@ SELECT step, n_touched, round(sum_upper, 9) AS sum_upper, round(sum_lower, 9) AS
        round(lo, 9) AS mean_min_ratio, round(hi, 9) AS mean_max_ratio
 FROM ema WHERE rn > 0 AND step < (SELECT max(step) FROM attempts_train)"""))
 def q_curriculum_stream(spark, sf):
-    """Attempts replayed as 4 ordered files (+1 late file), each processed by
-    an availableNow run from the same checkpoint; bounds of closed steps."""
+    """Attempts replayed as 4 ordered arrivals (+1 late file), each processed
+    by an availableNow run from the same checkpoint and folded into the
+    versioned state; moving-average bounds of every closed step."""
     att = as_stream_rows(V.attempts(spark, sf))
     root = scratch_path(spark, "stream")
     paths = StreamPaths(f"{root}/source", f"{root}/closed", f"{root}/ckpt")
+    state = f"{root}/state"
     for cut in CUTS:
         att.filter(cut).write.mode("append").parquet(paths.source)
         run_until_idle(spark, paths)
+        incremental_update(spark, paths, state)
     late = att.filter(LATE).withColumn("pos", F.col("pos") + F.lit(10 ** 9))
     late.write.mode("append").parquet(paths.source)
     run_until_idle(spark, paths)
-    return stream_ema_bounds(spark, paths)
+    incremental_update(spark, paths, state)
+    return incremental_ema(spark, state)

@@ -7,9 +7,10 @@ is exactly the per-step barrier of the online loop. Late attempts of an
 already closed step are dropped by the watermark and counted in the
 query progress.
 
-Stage 2 runs the keyed batch update (ledger -> contributions -> moving
-averages) over the closed steps only, so the result always equals the
-batch update over the same steps.
+Stage 2 folds only the newly closed steps into a versioned state (per
+sample: last portion, its run's count and sum, cap -- O(1) per sample;
+global: moving-average bounds), reading new steps by partition pruning.
+The result equals the batch update over the same steps.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rungkit.operators import curriculum as cur
+from rungkit.operators.materialize import materialize
+from rungkit.sources.io import latest_step, state_restore, state_snapshot
 
 ATTEMPT_SCHEMA = T.StructType([
     T.StructField("sample_id", T.LongType()),
@@ -55,8 +58,10 @@ def closed_steps_query(spark: SparkSession, paths: StreamPaths, step_length: str
     agg = (src.withWatermark("ts", delay)
            .groupBy(F.window("ts", step_length).alias("w"), "sample_id")
            .agg(F.array_sort(F.collect_list(F.struct("step", "pos", "portion", "reward", "split"))).alias("attempts")))
-    out = agg.select(F.col("w.start").alias("window_start"), "sample_id", "attempts")
-    return (out.writeStream.outputMode("append").format("parquet")
+    out = agg.select(F.col("w.start").alias("window_start"), F.col("attempts")[0]["step"].alias("step"),
+                     "sample_id", "attempts")
+    # partitioned by step: the incremental update reads only new steps
+    return (out.writeStream.outputMode("append").format("parquet").partitionBy("step")
             .option("path", paths.sink).option("checkpointLocation", paths.checkpoint)
             .trigger(availableNow=True).start())
 
@@ -73,13 +78,69 @@ def run_until_idle(spark: SparkSession, paths: StreamPaths, **kw) -> int:
     return dropped
 
 
-def closed_attempts(spark: SparkSession, paths: StreamPaths) -> DataFrame:
-    """Attempt rows of every closed step, read from the stage-1 sink."""
+def closed_attempts(spark: SparkSession, paths: StreamPaths, after_step: int | None = None) -> DataFrame:
+    """Attempt rows of closed steps (all, or those after ``after_step``),
+    read from the stage-1 sink with partition pruning on ``step``."""
     s = spark.read.parquet(paths.sink)
+    if after_step is not None:
+        s = s.filter(F.col("step") > F.lit(after_step))
     return s.select("sample_id", F.explode("attempts").alias("a")).select(
         "sample_id", "a.step", "a.pos", "a.portion", "a.reward", "a.split")
 
 
+def incremental_update(spark: SparkSession, paths: StreamPaths, state_root: str, cfg=cur.DEFAULT,
+                       key: str = "sample_id") -> int | None:
+    """Fold the steps closed since the last state version into a new one.
+
+    State = per-sample (last portion, its run's count and reward sum, cap)
+    -- O(1) per sample, never the history -- plus the global bounds. Each
+    version is written under ``state_root/step=N`` (N = last closed step)
+    after its moving-average rows (``state_root/ema/upto=N``); both are
+    overwritten on retry, and a version counts only once complete.
+    Returns the last folded step.
+    """
+    last = latest_step(spark, state_root)
+    new = closed_attempts(spark, paths, last)
+    top = new.agg(F.max("step")).first()[0]
+    if top is None:
+        return last
+    prior, init = None, None
+    if last is not None:
+        prior, glob, _ = state_restore(spark, state_root, last)
+        g = glob.first()
+        init = (g["mean_min_ratio"], g["mean_max_ratio"])
+    train = new.filter(F.col("split") == "train")
+    c = materialize(cur.step_contribution(train, key, cfg, prior=prior), "stream_contrib")
+    ema = materialize(cur.ema_bounds(c, cfg, init), "stream_ema")
+    upd = c.groupBy(key).agg(F.max_by(F.struct("portion", "run_n", "run_sum", "max_ratio_after", "step"),
+                                      "step").alias("s"))
+    upd = upd.select(key, F.col("s.portion").alias("u_p"), F.col("s.run_n").alias("u_n"),
+                     F.col("s.run_sum").alias("u_s"), F.col("s.max_ratio_after").alias("u_m"),
+                     F.col("s.step").alias("u_t"))
+    if prior is None:
+        samples = upd.select(key, F.col("u_p").alias("last_portion"), F.col("u_n").alias("run_n"),
+                             F.col("u_s").alias("run_sum"), F.col("u_m").alias("max_per_sample_ratio"),
+                             F.col("u_t").alias("last_step"))
+    else:
+        j = prior.join(upd, key, "full_outer")
+        samples = j.select(key, F.coalesce("u_p", "last_portion").alias("last_portion"),
+                           F.coalesce("u_n", "run_n").alias("run_n"), F.coalesce("u_s", "run_sum").alias("run_sum"),
+                           F.coalesce("u_m", "max_per_sample_ratio").alias("max_per_sample_ratio"),
+                           F.coalesce("u_t", "last_step").alias("last_step"))
+    lo0, hi0 = init if init is not None else (cfg.min_ratio, cfg.max_ratio)
+    glob = ema.agg(F.max_by(F.struct("mean_min_ratio", "mean_max_ratio"), "step").alias("m")).select(
+        F.coalesce(F.col("m.mean_min_ratio"), F.lit(float(lo0))).alias("mean_min_ratio"),
+        F.coalesce(F.col("m.mean_max_ratio"), F.lit(float(hi0))).alias("mean_max_ratio"))
+    ema.write.mode("overwrite").parquet(f"{state_root.rstrip('/')}/ema/upto={int(top)}")
+    state_snapshot(samples, glob, state_root, int(top))
+    return int(top)
+
+
+def incremental_ema(spark: SparkSession, state_root: str) -> DataFrame:
+    """All moving-average rows folded so far (one per closed training step)."""
+    return spark.read.parquet(f"{state_root.rstrip('/')}/ema").drop("upto")
+
+
 def stream_ema_bounds(spark: SparkSession, paths: StreamPaths, cfg=cur.DEFAULT) -> DataFrame:
     """Stage 2: moving-average bounds after every closed step."""
     att = closed_attempts(spark, paths).filter(F.col("split") == "train")

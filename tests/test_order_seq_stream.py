@@ -10,7 +10,8 @@ from rungkit.operators import sequences as sq
 from rungkit.session import scratch_path
 from rungkit.sources import io
 from rungkit.sources import views as V
-from rungkit.streaming.curriculum_stream import StreamPaths, as_stream_rows, run_until_idle, stream_ema_bounds
+from rungkit.streaming.curriculum_stream import (StreamPaths, as_stream_rows, incremental_ema, incremental_update,
+                                                 run_until_idle, stream_ema_bounds)
 
 
 def _ids(spark, n, step=3):
@@ -116,9 +117,13 @@ def test_stream_equals_batch_with_restart_and_late_rows(spark):
                 "(step = 16 AND pos % 2 = 1) OR step > 16"]:
         att.filter(cut).write.mode("append").parquet(paths.source)
         run_until_idle(spark, paths)          # each run restarts from the checkpoint
+        incremental_update(spark, paths, f"{root}/state")
     att.filter("step = 1").withColumn("pos", F.col("pos") + 10 ** 9).write.mode("append").parquet(paths.source)
     run_until_idle(spark, paths)
+    assert incremental_update(spark, paths, f"{root}/state") == incremental_update(spark, paths, f"{root}/state")
     s = {r.step: (r.n_touched, round(r.mean_max_ratio, 12)) for r in stream_ema_bounds(spark, paths).collect()}
+    inc = {r.step: (r.n_touched, round(r.mean_max_ratio, 12)) for r in incremental_ema(spark, f"{root}/state").collect()}
+    assert inc == s
     tr = V.attempts_train(spark, SF_SMALL)
     last = tr.agg(F.max("step")).first()[0]
     b = {r.step: (r.n_touched, round(r.mean_max_ratio, 12))
