@@ -22,6 +22,7 @@ from rungkit.operators.ordering import prefix_offsets
 
 PAD_ID, EOS_ID, N_SPECIAL = 0, 1, 2
 HOT_TOKEN_SHARE = 1e-4      # tokens above this share of all positions are broadcast
+RARE_COUNT = 4              # counts up to this use finer vocabulary-rank buckets
 
 Tokenizer = Callable[[Column], Column]
 
@@ -40,8 +41,11 @@ def vocab_build(df: DataFrame, text_cols, tokenizer: Tokenizer = default_tokeniz
         toks = t if toks is None else toks.unionByName(t)
     # read by the bucket-size check and by the ranking pass: written once
     counts = materialize(toks.groupBy("token").agg(F.count(F.lit(1)).cast("bigint").alias("count")), "token_counts")
-    # bucket monotone in (count desc, token): (-count, 2-char token prefix)
-    bucket = F.struct((-F.col("count")).alias("c"), F.substring("token", 1, 2).alias("p"))
+    # bucket monotone in (count desc, token): (-count, token prefix). Rare
+    # counts hold most of the vocabulary, so they get a longer prefix (the
+    # prefix length is fixed per count, which keeps the order consistent)
+    plen = F.when(F.col("count") <= F.lit(RARE_COUNT), F.lit(4)).otherwise(F.lit(1))
+    bucket = F.struct((-F.col("count")).alias("c"), F.substring(F.col("token"), F.lit(1), plen).alias("p"))
     r = prefix_offsets(counts, [F.col("count").desc(), F.col("token")], bucket, out="_rank", bounded=False)
     return r.withColumn("id", (F.col("_rank") + F.lit(n_special)).cast("bigint")).drop("_rank")
 

@@ -151,3 +151,52 @@ def test_weighted_resample_exact(spark):
         t = int(hashlib.md5(f"3:{d}".encode()).hexdigest()[:12], 16) % sum(wi)
         expect = max(i for i in range(5) if cum[i] <= t)
         assert got[d] == expect
+
+
+def test_hot_sample_matches_model(spark):
+    """One sample holds a third of all attempts, spread over many steps."""
+    rows, pos = [], 0
+    for step in range(40):
+        for k in range(6):
+            pos += 1
+            rows.append((step, pos, 1, [0.1, 0.3, 0.5][(step // 3 + k // 4) % 3], float((pos * 7) % 3 == 0)))
+        for sid in (2, 3, 4):
+            pos += 1
+            rows.append((step, pos, sid, 0.2 if step % 5 else 0.4, float((pos + sid) % 2)))
+    assert sum(r[2] == 1 for r in rows) * 3 >= len(rows)
+    _, maxr, per_step = sequential_model(rows)
+    a = _att(spark, rows)
+    ema = {r.step: r for r in cur.ema_bounds(cur.step_contribution(a)).collect()}
+    for step, n, lo, hi in per_step:
+        assert ema[step].n_touched == n
+        assert math.isclose(ema[step].mean_max_ratio, hi, abs_tol=1e-12)
+        assert math.isclose(ema[step].mean_min_ratio, lo, abs_tol=1e-12)
+
+
+def test_incremental_fold_equals_one_pass(spark):
+    """Folding steps in two pieces with carried state equals one pass."""
+    a = V.attempts_train(spark, SF_SMALL)
+    whole = {r.step: r for r in cur.step_contribution(a).collect()}
+    first = cur.step_contribution(a.filter("step < 13"))
+    state = first.groupBy("sample_id").agg(F.max_by(F.struct("portion", "run_n", "run_sum", "max_ratio_after"),
+                                                    "step").alias("s")) \
+        .select("sample_id", F.col("s.portion").alias("last_portion"), F.col("s.run_n").alias("run_n"),
+                F.col("s.run_sum").alias("run_sum"), F.col("s.max_ratio_after").alias("max_per_sample_ratio"))
+    second = cur.step_contribution(a.filter("step >= 13"), prior=state).collect()
+    got = {(r.sample_id, r.step): (r.run_n, r.upper_term, r.lower_term) for r in first.collect() + second}
+    exp = {}
+    for r in cur.step_contribution(a).collect():
+        exp[(r.sample_id, r.step)] = (r.run_n, r.upper_term, r.lower_term)
+    assert got == exp and whole
+
+
+@pytest.mark.parametrize("parts", [3, 17])
+def test_ledger_invariant_to_shuffle_partitions(spark, parts):
+    a = V.attempts_train(spark, SF_SMALL)
+    base = sorted(map(tuple, cur.attempt_ledger(a).collect()))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        assert sorted(map(tuple, cur.attempt_ledger(a.repartition(parts)).collect())) == base
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
