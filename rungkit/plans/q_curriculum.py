@@ -46,7 +46,7 @@ sums AS (
          row_number() OVER (ORDER BY step) AS rn
   FROM terms GROUP BY step),
 ema(rn, step, n_touched, sum_upper, sum_lower, lo, hi) AS (
-  SELECT 0, NULL::INTEGER, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, 0.0::DOUBLE, 0.9::DOUBLE
+  SELECT 0, NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, 0.0::DOUBLE, 0.9::DOUBLE
   UNION ALL
   SELECT s.rn, s.step, s.n_touched, s.sum_upper, s.sum_lower,
          {A} * e.lo + {B} * (s.sum_lower / s.n_touched),
@@ -167,7 +167,7 @@ def q_portion_seed(spark, sf):
 
 
 @register("fixed_portion", V.with_views(["attempts"], f"""
-SELECT DISTINCT sample_id, 0.25 AS portion_const,
+SELECT DISTINCT sample_id, 0.25::DOUBLE AS portion_const,
        round(0.5 * {_u(_SEED, 2)}, 9) AS portion_fn
 FROM attempts"""))
 def q_fixed_portion(spark, sf):

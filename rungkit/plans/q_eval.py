@@ -73,7 +73,7 @@ def q_pair_outputs(spark, sf):
 SELECT problem_id AS id, n AS n_completions, c AS n_successes,
        round(CASE WHEN c = 0 THEN 0.0 WHEN c = n THEN 1.0 ELSE 1.0 - list_reduce(
          list_transform(range(n - c + 1, n + 1), lambda i: 1.0 - 1 / i), lambda a, b: a * b) END, 9) AS pass_at_1,
-       round(CASE WHEN c = 0 THEN 0.0 ELSE 1.0 END, 9) AS pass_at_max
+       CAST(CASE WHEN c = 0 THEN 0.0 ELSE 1.0 END AS DOUBLE) AS pass_at_max
 FROM counts"""))
 def q_eval_jsonl(spark, sf):
     """Per-problem eval records written as JSON lines and read back with a schema."""
@@ -131,7 +131,7 @@ def q_trajectory_bands(spark, sf):
   SELECT batch, count(*) AS n_tokens, sum(CAST(mask AS INTEGER)) AS n_valid,
          sum(loss * CAST(mask AS INTEGER)) / (sum(CAST(mask AS INTEGER)) + 1e-8) AS masked_mean
   FROM token_loss GROUP BY batch)
-SELECT batch, n_tokens, n_valid, round(masked_mean, 9) AS masked_mean,
+SELECT batch, n_tokens, CAST(n_valid AS BIGINT) AS n_valid, round(masked_mean, 9) AS masked_mean,
        round((SELECT avg(masked_mean) FROM per), 9) AS val_mean
 FROM per"""))
 def q_token_loss_metrics(spark, sf):

@@ -32,7 +32,8 @@ gi AS (SELECT *, sum(len(st) + 1) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) -
 
 def _steps_sql(first: int) -> str:
     hi = "len(st)" if first == 0 else "len(st) + 1"
-    base_index = "base_idx + jj + 1" if first == 0 else "CASE WHEN jj >= 1 THEN base_idx + jj END"
+    base_index = "CAST(base_idx + jj + 1 AS BIGINT)" if first == 0 else \
+        "CAST(CASE WHEN jj >= 1 THEN base_idx + jj END AS BIGINT)"
     cond = "jj >= 0" if first == 0 else "jj >= 1"
     return W(["qa_hash"], _G_TRAIN + f""",
 e AS (SELECT id, st, len(st) AS n, base_idx, unnest(range({first - 1}, {hi})) AS jj FROM gi)
@@ -77,7 +78,7 @@ SELECT id, split, len(w) AS n_words, jj AS pos, CASE WHEN jj > 0 THEN cut END AS
        CASE WHEN jj > 0 THEN array_to_string(w[1:cut], ' ') END AS partial_answer,
        CASE WHEN jj > 0 THEN array_to_string(w[cut + 1:], ' ') END AS completion,
        CASE WHEN jj > 0 THEN round(cut / len(w), 9) END AS portion,
-       base_idx + jj AS "index", orig_index
+       CAST(base_idx + jj AS BIGINT) AS "index", orig_index
 FROM c"""))
 def q_expand_words_k(spark, sf):
     d = materialize(V.qa_boxed(spark, sf).filter(tx.last_boxed("solution").isNotNull()), "r3_math_parents")
@@ -92,7 +93,7 @@ def q_expand_words_k(spark, sf):
 @register("reindex_expanded", W(["cot"], """, g AS (
   SELECT doc_id, len(string_split(answer, chr(10))) AS n FROM cot),
 gi AS (SELECT *, sum(n + 1) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - (n + 1) AS base_idx FROM g)
-SELECT doc_id, jj AS pos, base_idx + jj AS "index" FROM (SELECT *, unnest(range(0, n + 1)) AS jj FROM gi)"""))
+SELECT doc_id, jj AS pos, CAST(base_idx + jj AS BIGINT) AS "index" FROM (SELECT *, unnest(range(0, n + 1)) AS jj FROM gi)"""))
 def q_reindex_expanded(spark, sf):
     """Line-step expansion of whole documents, indexed over base + partial rows."""
     docs = expansion_offsets(V.cot(spark, sf), "doc_id", F.size(F.split("answer", "\n", -1)) + 1)

@@ -20,7 +20,7 @@ SUBSET_N = 64
 def _hash_rows_sql(src: str, instr: str = nz.INSTR_HASH) -> str:
     return f"""
 SELECT id, {lit(nz.DS_GSM8K)} AS data_source, 'user' AS role, question || ' ' || {lit(instr)} AS content,
-       1 AS n_msgs, answer, 'math' AS ability, 'rule' AS style, {hash_extract('answer')} AS ground_truth,
+       CAST(1 AS BIGINT) AS n_msgs, answer, 'math' AS ability, 'rule' AS style, {hash_extract('answer')} AS ground_truth,
        split, question
 FROM {src} WHERE {hash_extract('answer')} IS NOT NULL"""
 
@@ -63,7 +63,7 @@ def q_extract_boxed_answer(spark, sf):
 @register("norm_boxed", W(["qa_boxed"], f""", g AS (
   SELECT *, {last_boxed('solution')} AS gt FROM qa_boxed)
 SELECT id, {lit(nz.DS_MATH)} AS data_source, 'user' AS role, problem || ' ' || {lit(nz.INSTR_BOXED)} AS content,
-       1 AS n_msgs, solution AS answer, 'math' AS ability, 'rule' AS style, gt AS ground_truth, split,
+       CAST(1 AS BIGINT) AS n_msgs, solution AS answer, 'math' AS ability, 'rule' AS style, gt AS ground_truth, split,
        row_number() OVER (PARTITION BY split ORDER BY id) - 1 AS "index"
 FROM g WHERE gt IS NOT NULL"""))
 def q_norm_boxed(spark, sf):
@@ -76,7 +76,7 @@ def q_norm_boxed(spark, sf):
 
 @register("norm_append_boxed", W(["qa_boxed"], f""", ix AS (
   SELECT *, row_number() OVER (PARTITION BY split ORDER BY id) - 1 AS idx FROM qa_boxed)
-SELECT id, ds AS data_source, 'user' AS role, problem || ' ' || {lit(nz.INSTR_BOXED)} AS content, 1 AS n_msgs,
+SELECT id, ds AS data_source, 'user' AS role, problem || ' ' || {lit(nz.INSTR_BOXED)} AS content, CAST(1 AS BIGINT) AS n_msgs,
        plain_solution || ' \\boxed{{' || short_answer || '}}' AS answer, 'math' AS ability, 'rule' AS style,
        short_answer AS ground_truth, split, idx AS "index"
 FROM ix CROSS JOIN (VALUES ({lit(nz.DS_DEEPSCALER)}), ({lit(nz.DS_OPENMATH_FORCED)})) v(ds)"""))
@@ -119,7 +119,7 @@ def q_filter_int_answer_words(spark, sf):
 @register("norm_multi_gen", W(["multi_gen"], f""", p AS (SELECT *, {_pick_sql()} AS picked FROM multi_gen),
 k AS (SELECT * FROM p WHERE coalesce(answer, '') <> '' AND {_INT} AND {_WC} BETWEEN 100 AND 1000)
 SELECT doc_id, {lit(nz.DS_MATH)} AS data_source, 'user' AS role,
-       {strip('problem')} || ' ' || {lit(nz.INSTR_OPENR1)} AS content, 1 AS n_msgs, picked AS answer,
+       {strip('problem')} || ' ' || {lit(nz.INSTR_OPENR1)} AS content, CAST(1 AS BIGINT) AS n_msgs, picked AS answer,
        'math' AS ability, 'rule' AS style, {strip("coalesce(answer, '')")} AS ground_truth, 'train' AS split,
        row_number() OVER (ORDER BY doc_id) - 1 AS "index", {strip('problem')} AS problem,
        problem_type, question_type, source
@@ -180,7 +180,7 @@ def q_filter_integer_only(spark, sf):
 r AS (SELECT id, split, {rewrite_tokens('question', _B7)} AS q7, {rewrite_tokens('answer', _B7)} AS a7 FROM f),
 t AS (SELECT *, {hash_extract('a7')} AS raw FROM r)
 SELECT id, {lit(nz.DS_GSM8K)} AS data_source, 'user' AS role, q7 || ' ' || {lit(nz.INSTR_BASE7)} AS content,
-       1 AS n_msgs, a7 AS answer, 'math' AS ability, 'rule' AS style,
+       CAST(1 AS BIGINT) AS n_msgs, a7 AS answer, 'math' AS ability, 'rule' AS style,
        CASE WHEN regexp_matches(raw, '^[+-]?[0-9]+$') THEN CAST(CAST(raw AS BIGINT) AS VARCHAR) ELSE raw END
          AS ground_truth, split, q7 AS question
 FROM t WHERE raw IS NOT NULL"""))

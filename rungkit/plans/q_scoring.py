@@ -36,8 +36,8 @@ def _tensor_sql(sol="solution", truth="ground_truth"):
     got = f"coalesce(TRY_CAST(regexp_extract({pc}[i], '^\\s*(\\d+)', 1) AS BIGINT), -1234)"
     want = f"TRY_CAST(trim({tr}[i]) AS BIGINT)"
     allm = f"coalesce(list_bool_and(list_transform(range(1, len({tr}) + 1), lambda i: coalesce({got} = {want}, false))), true)"
-    return (f"CASE WHEN {sol} IS NULL THEN 0.0 WHEN len({pc}) < len({tr}) THEN 0.0 "
-            f"WHEN len({pc}) > len({tr}) OR NOT {allm} THEN 0.1 ELSE 1.0 END")
+    return (f"CAST(CASE WHEN {sol} IS NULL THEN 0.0 WHEN len({pc}) < len({tr}) THEN 0.0 "
+            f"WHEN len({pc}) > len({tr}) OR NOT {allm} THEN 0.1 ELSE 1.0 END AS DOUBLE)")
 
 
 @register("score_parity", W(["parity_roll"], f"""
@@ -146,7 +146,7 @@ def q_score_with_partial(spark, sf):
   SELECT doc_id, {_tensor_sql()} AS r, least(len(regexp_extract_all(solution, '\\S+')), {VEC_LEN}) AS n_valid
   FROM tensor_roll)
 SELECT doc_id, n_valid, CASE WHEN n_valid > 0 THEN n_valid - 1 END AS reward_pos,
-       CASE WHEN n_valid > 0 THEN r ELSE 0.0 END AS vec_sum, CAST(n_valid = 0 AS BIGINT) AS no_valid_token
+       CAST(CASE WHEN n_valid > 0 THEN r ELSE 0.0 END AS DOUBLE) AS vec_sum, CAST(n_valid = 0 AS BIGINT) AS no_valid_token
 FROM s"""))
 def q_sparse_token_reward(spark, sf):
     """Per-token reward vectors (length 16) with the score on the last valid token."""

@@ -29,7 +29,7 @@ def _path(sf, name):
 
 
 @register("scan_concat", """
-SELECT 0 AS file_idx, doc_id AS row_id, length(text) AS text_len, lang FROM documents
+SELECT CAST(0 AS BIGINT) AS file_idx, doc_id AS row_id, length(text) AS text_len, lang FROM documents
 UNION ALL SELECT 1, item_id, length(text), NULL FROM benchmark""")
 def q_scan_concat(spark, sf):
     """documents and benchmark read as one table in list order (unequal schemas unioned by name)."""
@@ -39,7 +39,7 @@ def q_scan_concat(spark, sf):
 
 
 @register("take_first_n", """
-(SELECT 0 AS file_idx, doc_id AS row_id FROM documents ORDER BY doc_id LIMIT 100)
+(SELECT CAST(0 AS BIGINT) AS file_idx, doc_id AS row_id FROM documents ORDER BY doc_id LIMIT 100)
 UNION ALL (SELECT 1, item_id FROM benchmark ORDER BY item_id LIMIT 20)""")
 def q_take_first_n(spark, sf):
     """First n rows of each input in key order (a top-k, then concatenation)."""
@@ -67,7 +67,7 @@ def q_write_splits(spark, sf):
 
 
 @register("mirror_copy", W(["qa_hash"], f""", r AS ({_NORM_ROWS.strip()})
-SELECT c.copy_idx, split, count(*) AS n_rows FROM r, (SELECT unnest([0, 1]) AS copy_idx) c GROUP BY c.copy_idx, split"""))
+SELECT c.copy_idx, split, count(*) AS n_rows FROM r, (SELECT unnest([0, 1]::BIGINT[]) AS copy_idx) c GROUP BY c.copy_idx, split"""))
 def q_mirror_copy(spark, sf):
     """One computed frame written to two destinations; both read back and counted."""
     good, _ = nz.norm_hash(V.qa_hash(spark, sf))
@@ -115,7 +115,7 @@ def q_gen_cumulative_parity(spark, sf):
 
 @register("norm_parity", "WITH g AS " + V.sql_gen_parity(GEN_LEN, GEN_BITS, GEN_SEED, False) + f"""
 SELECT doc_id, 'xor/sequence_{GEN_LEN}_bitwidth_{GEN_BITS}' AS data_source, 'user' AS role, x_text AS content,
-       1 AS n_msgs, answer, 'math' AS ability, 'rule' AS style, answer AS ground_truth,
+       CAST(1 AS BIGINT) AS n_msgs, answer, 'math' AS ability, 'rule' AS style, answer AS ground_truth,
        CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split,
        row_number() OVER (PARTITION BY doc_id % 5 = 0 ORDER BY doc_id) - 1 AS "index"
 FROM g""")
@@ -181,7 +181,7 @@ def q_shuffle_batches(spark, sf):
 
 
 @register("val_single_batch", W(["qa_hash"], """
-SELECT id, 0 AS batch_id, row_number() OVER (ORDER BY id) - 1 AS batch_pos FROM qa_hash WHERE split = 'test'"""))
+SELECT id, CAST(0 AS BIGINT) AS batch_id, row_number() OVER (ORDER BY id) - 1 AS batch_pos FROM qa_hash WHERE split = 'test'"""))
 def q_val_single_batch(spark, sf):
     """Validation split as one unshuffled batch holding every row."""
     return od.val_single_batch(V.qa_hash(spark, sf).filter("split = 'test'"), "id").select("id", "batch_id", "batch_pos")

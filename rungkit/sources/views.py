@@ -41,10 +41,10 @@ SQL = {}
 SQL["attempts"] = f"""
 attempts AS (
   SELECT user_id AS sample_id,
-         CAST(date_diff('day', DATE '{EPOCH}', CAST(ts AS DATE)) AS INTEGER) AS step,
+         CAST(date_diff('day', DATE '{EPOCH}', CAST(ts AS DATE)) AS BIGINT) AS step,
          event_id AS pos,
          floor(CAST(json_extract_string(props, '$.k') AS INTEGER) / 25) / 10.0 AS portion,
-         CASE WHEN value > 25 THEN 1.0 ELSE 0.0 END AS reward,
+         CAST(CASE WHEN value > 25 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS reward,
          CASE WHEN event_type = 'signup' THEN 'test' ELSE 'train' END AS split,
          ts
   FROM events)"""
@@ -329,8 +329,8 @@ def token_loss(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL["rollouts"] = """
 rollouts AS (
-  SELECT l_orderkey AS problem_id, l_linenumber AS sample_no,
-         CASE l_returnflag WHEN 'R' THEN 1.0 WHEN 'A' THEN 0.1 ELSE 0.0 END AS reward
+  SELECT l_orderkey AS problem_id, CAST(l_linenumber AS BIGINT) AS sample_no,
+         CAST(CASE l_returnflag WHEN 'R' THEN 1.0 WHEN 'A' THEN 0.1 ELSE 0.0 END AS DOUBLE) AS reward
   FROM lineitem)"""
 SQL["labelled_rollouts"] = """
 labelled_rollouts AS (
