@@ -11,6 +11,7 @@ from conftest import SF_SMALL
 from rungkit.sources.tables import TABLES
 
 NAMES = sorted(E.queries())
+TYPE_MAP = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
 
 
 def _norm(v):
@@ -48,6 +49,9 @@ def test_query_matches_oracle(spark, con, name):
     ocols = [d[0] for d in cur.description]
     orows = cur.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    otypes = {r[0]: r[1] for r in con.execute(f"DESCRIBE {E.oracle_sql()[name]}").fetchall()}
+    for f in df.schema.fields:   # same column types on both sides
+        assert TYPE_MAP.get(otypes[f.name], otypes[f.name]) == f.dataType.simpleString(), f.name
     assert len(srows) == len(orows)
     assert _digest(df.columns, srows) == _digest(ocols, orows)
 
