@@ -75,7 +75,8 @@ def rl_row(data_source, content: Column, answer: Column, truth: Column, extra: C
 
 
 def with_question(q: Column, instr: str, sep: str = " ") -> Column:
-    return F.concat(q, F.lit(sep + instr if instr or sep else ""))
+    """question + sep + instruction (the separator is kept even for an empty instruction)."""
+    return F.concat(q, F.lit(sep + instr))
 
 
 def quarantine_split(df: DataFrame, ok: Column, on_bad: str = "quarantine"):
@@ -155,11 +156,12 @@ def norm_multi_gen(df: DataFrame, key="doc_id", min_words=100, max_words=1000, i
                             tx.py_strip(F.coalesce(F.col("answer"), F.lit(""))), ex, keep=[key]))
 
 
-def norm_parity(df: DataFrame, key="doc_id", ds="xor/sequence_8_bitwidth_1", r3: bool = False) -> DataFrame:
+def norm_parity(df: DataFrame, key="doc_id", ds="xor/sequence_8_bitwidth_1", r3: bool = False,
+                index: str | None = None) -> DataFrame:
     """Parity text rows: prompt = x + instr (no space; R3 variant adds ' '),
     ground truth = whole answer."""
     content = F.concat(F.col("x_text"), F.lit(" " if r3 else ""), F.lit(INSTR_PARITY))
-    ex = extra_info(split=F.col("split"), index=F.col(key))
+    ex = extra_info(split=F.col("split"), index=F.col(index) if index else None)
     return df.select(*rl_row(ds, content, F.col("answer"), F.col("answer"), ex, keep=[key]))
 
 

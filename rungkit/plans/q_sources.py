@@ -123,12 +123,9 @@ def q_norm_parity(spark, sf):
     """Generated parity rows as rl rows (prompt = x, no instruction, truth = answer)."""
     g = gen_parity(table(spark, sf, "documents").select("doc_id"), "doc_id", GEN_LEN, GEN_BITS, GEN_SEED)
     g = g.withColumn("split", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train"))
-    g = od.assign_index(g, "doc_id", partition_by="split", out="idx")
-    rows = nz.norm_parity(g.withColumn("doc_id_", F.col("doc_id")), key="doc_id",
-                          ds=f"xor/sequence_{GEN_LEN}_bitwidth_{GEN_BITS}")
-    rows = rows.join(g.select("doc_id", "idx"), "doc_id")
-    flat = nz.flatten_rl(rows, "doc_id", extra=("split",))
-    return flat.join(g.select("doc_id", F.col("idx").alias("index")), "doc_id")
+    g = od.assign_index(g, "doc_id", partition_by="split", out="index")
+    rows = nz.norm_parity(g, key="doc_id", ds=f"xor/sequence_{GEN_LEN}_bitwidth_{GEN_BITS}", index="index")
+    return nz.flatten_rl(rows, "doc_id", extra=("split", "index"))
 
 
 @register("state_snapshot", _rec(["attempts_train"], "," + _STATE.lstrip() + """

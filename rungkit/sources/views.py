@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rungkit.functions.hashing import h32, sql_h32
+from rungkit.functions.hashing import h32, hash_key, sql_h32
 from rungkit.sources.tables import table
 
 EPOCH = "2024-01-01"
@@ -115,7 +115,7 @@ def multi_gen(spark: SparkSession, sf: str) -> DataFrame:
     j = d.join(lab, "doc_id", "left")
     hh = h32(F.col("doc_id"))
     gens = F.split(F.col("text"), "\n", -1)
-    flags = F.transform(gens, lambda g, i: (hash_key_cols(F.col("doc_id"), i) % 2) == F.col("quality"))
+    flags = F.transform(gens, lambda g, i: (hash_key(F.col("doc_id"), i) % 2) == F.col("quality"))
     flags = F.when(F.col("quality").isNull(), F.lit(None).cast("array<boolean>")) \
              .when(hh % 4 == 0, F.slice(flags, 1, F.greatest(F.size(gens) - 1, F.lit(0)))).otherwise(flags)
     solution = F.when(F.col("doc_id") % 3 == 0, F.lit("   ")).otherwise(F.col("text"))
@@ -133,11 +133,6 @@ def multi_gen(spark: SparkSession, sf: str) -> DataFrame:
                     gens.alias("generations"), flags.alias("correctness_math_verify"))
 
 
-def hash_key_cols(a, b):
-    from rungkit.functions.hashing import hash_key
-    return hash_key(a, b)
-
-
 def cot(spark: SparkSession, sf: str) -> DataFrame:
     """Reasoning texts: documents as answers."""
     return table(spark, sf, "documents").select("doc_id", F.col("text").alias("answer"), "source", "lang")
@@ -157,10 +152,6 @@ def chats(spark: SparkSession, sf: str) -> DataFrame:
                                                                     x["text"].alias("content"))).alias("prompt"))
 
 
-def _sql_h(e):
-    return sql_h32(e)
-
-
 SQL["qa_pairs"] = f"""
 qa_pairs AS (
   SELECT u.conv_id, u.turn, u.text AS question, a.text AS reply, u.conv_id * 100 + u.turn AS id,
