@@ -66,6 +66,29 @@ def encode(df: DataFrame, key: str, text: Column, vocab: DataFrame, out: str,
     return df.join(g, key, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<bigint>")))
 
 
+def encode_many(df: DataFrame, key: str, texts: dict, vocab: DataFrame,
+                tokenizer: Tokenizer = default_tokenizer) -> DataFrame:
+    """Encode several text columns in one pass ({out: text Column}): one
+    explode, one vocabulary join, one aggregation (pivoted on the column
+    tag) and one join back."""
+    outs = list(texts)
+    parts = [df.select(key, F.lit(o).alias("_part"), F.posexplode(tokenizer(c)).alias("pos", "token"))
+             for o, c in texts.items()]
+    pos = parts[0]
+    for p in parts[1:]:
+        pos = pos.unionByName(p)
+    total = vocab.agg(F.greatest(F.lit(1.0), F.sum("count") * F.lit(HOT_TOKEN_SHARE)).alias("_thr"))
+    v = vocab.crossJoin(F.broadcast(total))            # one-row side
+    hot = v.filter(F.col("count") >= F.col("_thr")).select("token", F.col("id").alias("_hid"))
+    cold = v.filter(F.col("count") < F.col("_thr")).select("token", F.col("id").alias("_cid"))
+    j = pos.join(F.broadcast(hot), "token", "left").join(cold, "token", "left")   # hot set: <= 1/share rows
+    j = j.select(key, "_part", "pos", F.coalesce("_hid", "_cid").alias("_tid"))
+    g = j.groupBy(key).pivot("_part", outs).agg(F.array_sort(F.collect_list(F.struct("pos", "_tid"))))
+    g = g.select(key, *[F.transform(F.col(o), lambda x: x["_tid"]).alias(o) for o in outs])
+    out = df.join(g, key, "left")
+    return out.withColumns({o: F.coalesce(F.col(o), F.array().cast("array<bigint>")) for o in outs})
+
+
 def position_ids(mask: Column) -> Column:
     """max(cumsum(mask) - 1, 0) for any 0/1 mask (running fold)."""
     run = F.aggregate(mask, F.array().cast("array<bigint>"),

@@ -35,8 +35,7 @@ def _qa(spark, sf):
 def _encoded(spark, sf):
     qa = materialize(_qa(spark, sf), "sft_pairs")
     vocab = materialize(sq.vocab_build(qa, ["prompt_text", "answer"]), "vocab")
-    e = sq.encode(qa, "id", F.col("prompt_text"), vocab, "prompt_ids")
-    return sq.encode(e, "id", F.col("answer"), vocab, "response_ids")
+    return sq.encode_many(qa, "id", {"prompt_ids": F.col("prompt_text"), "response_ids": F.col("answer")}, vocab)
 
 
 _QA_SQL = f""", qa AS (

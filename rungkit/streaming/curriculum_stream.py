@@ -111,7 +111,9 @@ def incremental_update(spark: SparkSession, paths: StreamPaths, state_root: str,
         init = (g["mean_min_ratio"], g["mean_max_ratio"])
     train = new.filter(F.col("split") == "train")
     c = materialize(cur.step_contribution(train, key, cfg, prior=prior), "stream_contrib")
-    ema = materialize(cur.ema_bounds(c, cfg, init), "stream_ema")
+    ema_path = f"{state_root.rstrip('/')}/ema/upto={int(top)}"
+    cur.ema_bounds(c, cfg, init).write.mode("overwrite").parquet(ema_path)
+    ema = spark.read.parquet(ema_path)
     upd = c.groupBy(key).agg(F.max_by(F.struct("portion", "run_n", "run_sum", "max_ratio_after", "step"),
                                       "step").alias("s"))
     upd = upd.select(key, F.col("s.portion").alias("u_p"), F.col("s.run_n").alias("u_n"),
@@ -131,7 +133,6 @@ def incremental_update(spark: SparkSession, paths: StreamPaths, state_root: str,
     glob = ema.agg(F.max_by(F.struct("mean_min_ratio", "mean_max_ratio"), "step").alias("m")).select(
         F.coalesce(F.col("m.mean_min_ratio"), F.lit(float(lo0))).alias("mean_min_ratio"),
         F.coalesce(F.col("m.mean_max_ratio"), F.lit(float(hi0))).alias("mean_max_ratio"))
-    ema.write.mode("overwrite").parquet(f"{state_root.rstrip('/')}/ema/upto={int(top)}")
     state_snapshot(samples, glob, state_root, int(top))
     return int(top)
 

@@ -147,3 +147,12 @@ def test_filters_and_columns_pushed(spark):
     plan = _plan(d)
     assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,R)]" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_returnflag:string>" in plan
+
+
+def test_encode_many_equals_single(spark):
+    d = spark.createDataFrame([(1, "a b a", "c"), (2, "", "b  c"), (3, "x", None)], "id long, p string, r string")
+    vocab = sq.vocab_build(d, ["p", "r"])
+    many = {x.id: (x.pi, x.ri) for x in sq.encode_many(d, "id", {"pi": F.col("p"), "ri": F.col("r")}, vocab).collect()}
+    one = sq.encode(sq.encode(d, "id", F.col("p"), vocab, "pi"), "id", F.col("r"), vocab, "ri")
+    assert many == {x.id: (x.pi, x.ri) for x in one.collect()}
+    assert many[2][0] == [] and many[3][1] == []
