@@ -176,3 +176,21 @@ def q_filter_overlong(spark, sf):
     d = good.select("id", tx.word_count(render_chat(F.col("prompt"), True)).cast("bigint").alias("prompt_tokens"),
                     tx.word_count("answer").cast("bigint").alias("answer_tokens"))
     return d.filter(F.col("prompt_tokens") + F.col("answer_tokens") <= MAX_TOKENS)
+
+
+@register("filter_overlong_report", W(["qa_hash"], f"""
+SELECT count(*) AS n_before, count(*) FILTER (WHERE n_p + n_a <= {MAX_TOKENS}) AS n_after,
+       count(*) FILTER (WHERE n_p + n_a <= {MAX_TOKENS}) - count(*) AS removed
+FROM (
+  SELECT len(regexp_extract_all('user: ' || question || ' ' || {{instr}} || chr(10) || 'assistant: ', '\\S+')) AS n_p,
+         len(regexp_extract_all(answer, '\\S+')) AS n_a
+  FROM qa_hash WHERE {hash_extract('answer')} IS NOT NULL)""".replace("{instr}", "'" + nz.INSTR_HASH.replace("'", "''") + "'")))
+def q_filter_overlong_report(spark, sf):
+    """Rows before and after the length filter; removed rows as a negative
+    number (after - before), as the SFT path reports it."""
+    good, _ = nz.norm_hash(V.qa_hash(spark, sf))
+    n = tx.word_count(render_chat(F.col("prompt"), True)) + tx.word_count("answer")
+    d = good.select(n.alias("_n"))
+    kept = F.count(F.when(F.col("_n") <= MAX_TOKENS, 1))
+    return d.agg(F.count(F.lit(1)).alias("n_before"), kept.alias("n_after"),
+                 (kept - F.count(F.lit(1))).alias("removed"))

@@ -128,6 +128,20 @@ def q_norm_parity(spark, sf):
     return nz.flatten_rl(rows, "doc_id", extra=("split", "index"))
 
 
+@register("norm_parity_r3", "WITH g AS " + V.sql_gen_parity(GEN_LEN, GEN_BITS, GEN_SEED, True) + f"""
+SELECT doc_id, 'xor/r3_sequence_{GEN_LEN}_bitwidth_{GEN_BITS}' AS data_source, 'user' AS role,
+       x_text || ' ' AS content, CAST(1 AS BIGINT) AS n_msgs, answer, 'math' AS ability, 'rule' AS style,
+       answer AS ground_truth, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split
+FROM g""")
+def q_norm_parity_r3(spark, sf):
+    """Cumulative-parity rows in the R3 form: the prompt keeps a trailing space."""
+    g = gen_parity(table(spark, sf, "documents").select("doc_id"), "doc_id", GEN_LEN, GEN_BITS, GEN_SEED,
+                   cumulative=True)
+    g = g.withColumn("split", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train"))
+    rows = nz.norm_parity(g, key="doc_id", ds=f"xor/r3_sequence_{GEN_LEN}_bitwidth_{GEN_BITS}", r3=True)
+    return nz.flatten_rl(rows, "doc_id", extra=("split",))
+
+
 @register("state_snapshot", _rec(["attempts_train"], "," + _STATE.lstrip() + """
 SELECT sample_id, last_portion, round(last_mean_reward, 9) AS last_mean_reward,
        round(max_per_sample_ratio, 9) AS max_per_sample_ratio, round(mean_min_ratio, 9) AS mean_min_ratio,
