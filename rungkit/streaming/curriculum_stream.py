@@ -73,8 +73,10 @@ def run_until_idle(spark: SparkSession, paths: StreamPaths, **kw) -> int:
     q.awaitTermination()
     dropped = 0
     for p in q.recentProgress:
-        for s in p.get("stateOperators", []) if isinstance(p, dict) else []:
-            dropped += int(s.get("numRowsDroppedByWatermark", 0) or 0)
+        ops = p.get("stateOperators", []) if isinstance(p, dict) else (p.stateOperators or [])
+        for s in ops:
+            n = s.get("numRowsDroppedByWatermark", 0) if isinstance(s, dict) else s.numRowsDroppedByWatermark
+            dropped += int(n or 0)
     return dropped
 
 
