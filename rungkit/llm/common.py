@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +16,8 @@ from rungkit.operators.materialize import materialize
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+_shipped: set[str] = set()
+
 #: rows that share a crc32 remainder of 2 are held out of every fit
 HELD_OUT_MOD, HELD_OUT_REMAINDER = 4, 2
 
@@ -19,13 +25,34 @@ HELD_OUT_MOD, HELD_OUT_REMAINDER = 4, 2
 def query(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name``."""
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark, sf_dir):
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
     return deco
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand the package's modules to the Python workers through Spark's own
+    file distribution, so that executors need no checkout on their path."""
+    import rungkit
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(rungkit.__file__).parent
+    folder = tempfile.mkdtemp(prefix="rungkit-py-")       # read by the driver only
+    target = os.path.join(folder, "rungkit.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(target)
+    _shipped.add(sc.applicationId)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -54,41 +81,36 @@ def uniform_open(*cols: Column, seed: int) -> Column:
     return (F.shiftrightunsigned(h, 11).cast("double") + F.lit(0.5)) / F.lit(float(2 ** 53))
 
 
-def kth_largest(df: DataFrame, col: str, k: int, bits: int = 16) -> tuple[float, int] | None:
-    """The k-th largest value of a double column (NaN/null rows are ignored)
-    and how many rows equal to it belong to the top k.
+def kth_largest(df: DataFrame, col: str, k: int, bits: int = 16) -> float | None:
+    """The k-th largest :func:`grid_value` of a double column, None if the
+    table has fewer than k rows.
 
     Radix selection: each round counts rows by the next ``bits`` bits of an
     order-preserving integer image of the double, so at most 2**bits counts
     reach the driver and no task sorts or holds the column.
     """
-    v = df.where(F.col(col).isNotNull() & ~F.isnan(col)).select(_ordered_bits(F.col(col)).alias("v"))
-    lo, hi, left = -(2 ** 63), 2 ** 63 - 1, k
-    while lo < hi:
+    v = df.select(_ordered_bits(F.col(col)).alias("v")).where("v is not null")
+    lo, hi, left = -(2 ** 62), 2 ** 62, k
+    while True:
         width = max(0, (hi - lo).bit_length() - bits)
         part = v.where((F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi)))
         counts = {r["b"]: r["count"] for r in
                   part.groupBy(F.shiftright("v", width).alias("b")).count().collect()}
         for b in sorted(counts, reverse=True):
             if counts[b] >= left:
-                lo, hi = max(lo, b << width), min(hi, ((b + 1) << width) - 1)
                 break
             left -= counts[b]
         else:
             return None
+        lo, hi = max(lo, b << width), min(hi, ((b + 1) << width) - 1)
         if width == 0:
-            break
-    return _from_ordered(lo), left
+            return lo / 2 ** 32
 
 
 def _ordered_bits(c: Column) -> Column:
-    """Order-preserving bigint image of a double: its value on a fixed grid of
-    2**-32 (scores here lie far inside +-2**30; ties on the grid are ties)."""
-    return F.round(c * F.lit(float(2 ** 32))).cast("bigint")
-
-
-def _from_ordered(v: int) -> float:
-    return v / 2 ** 32
+    """The double on a grid of 2**-32, as bigint; beyond +-2**30 it is cut off."""
+    at = F.greatest(F.least(c, F.lit(float(2 ** 30))), F.lit(-float(2 ** 30)))
+    return F.round(at * F.lit(float(2 ** 32))).cast("bigint")
 
 
 def grid_value(c: Column) -> Column:
