@@ -1,4 +1,4 @@
 """Importing this module registers the package's queries."""
 
-from rungkit.llm import q_classify, q_dedup, q_text  # noqa: F401
+from rungkit.llm import q_classify, q_dedup, q_mix, q_text  # noqa: F401
 from rungkit.llm.common import ORACLE, QUERIES  # noqa: F401
