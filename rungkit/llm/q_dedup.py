@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rungkit.llm import embed_dedup, simhash
+from rungkit.llm import embed_dedup, simhash, suffix_dedup
 from rungkit.llm.common import query, read
 
 
@@ -18,3 +18,10 @@ def op8_simhash(spark, sf_dir):
 def op10_embedding_dedup(spark, sf_dir):
     out = embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", min_cosine=0.9)
     return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark, sf_dir):
+    out = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), "doc_id", "text", length=400)
+    return out.select("doc_id", "n_bytes", suffix_dedup.removed_bytes(F.col("spans")).alias("n_removed"),
+                      F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
