@@ -315,6 +315,24 @@ def round_trip(df: DataFrame, id_col: str, text_col: str, vocab: Vocabulary) ->
             .select(F.col("c0").alias(id_col), "b.ids", "b.decoded"))
 
 
+def checked_ids(df: DataFrame, id_col: str, text_col: str, vocab: Vocabulary) -> DataFrame:
+    """One row per input row: ``id_col``, ``n_tokens``, ``ids`` and
+    ``same_text`` (the ids decode to the text's bytes)."""
+    bc = _broadcast(df.sparkSession, vocab)
+
+    @F.pandas_udf("ids binary, same boolean")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        e, tok = _encoder(bc), bc.value.tokens.__getitem__
+        for s in batches:
+            ids = [e.encode(t) for t in s]
+            same = [b"".join(map(tok, np.frombuffer(x, "<u4").tolist())) == (t or "").encode() for x, t in zip(ids, s)]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "same": same})
+
+    return (keyed(df, id_col, text_col).select(F.col("c0"), both("c1").alias("b"))
+            .select(F.col("c0").alias(id_col), token_count(F.col("b.ids")).alias("n_tokens"), "b.ids",
+                    F.col("b.same").alias("same_text")))
+
+
 def token_count(ids: Column) -> Column:
     return (F.octet_length(ids) / 4).cast("bigint")
 

@@ -57,7 +57,7 @@ def _bucket(word: Column) -> Column:
 
 def posteriors(df: DataFrame, id_col: str, text_col: str, domain_col: str, trust: float = TRUST) -> tuple[DataFrame, list]:
     """Rows (c0 id, c2 domain, h text hash, tokens, p0..pK-1) saved, and the domains."""
-    rows = keyed(df, id_col, text_col, domain_col).withColumn("h", F.xxhash64(F.coalesce("c1", F.lit(""))))
+    rows = keyed(df, id_col, text_col, domain_col).withColumn("h", F.xxhash64("c1"))
     found = (rows.where("c2 is not null").groupBy("c2").count().orderBy("c2").limit(MAX_DOMAINS + 1).collect())
     if len(found) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")

@@ -12,8 +12,9 @@ TOXIC_FROM = 0.3
 
 @query("op4_quality")
 def op4_quality(spark, sf_dir):
-    return quality.importance(read(spark, sf_dir, "documents"), "doc_id", "text",
-                              read(spark, sf_dir, "labels"), "doc_id", "quality")
+    out = quality.importance(read(spark, sf_dir, "documents"), "doc_id", "text",
+                             read(spark, sf_dir, "labels"), "doc_id", "quality")
+    return out.select("doc_id", "log_weight", "sample_key", "kept")
 
 
 @query("op5_language")

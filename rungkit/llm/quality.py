@@ -91,9 +91,10 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 def importance(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str,
                label_col: str, keep_share: float | None = None, seed: int = SEED) -> DataFrame:
-    """One row per input row: ``id_col``, ``log_weight``, ``sample_key``,
-    ``kept``.  ``keep_share``: share of documents to draw; None: the share of
-    good rows among the labelled ones."""
+    """One row per input row: ``id_col``, ``text_hash``, ``log_weight``,
+    ``sample_key``, ``kept``.  ``keep_share``: share of documents to draw;
+    None: the upper 95 % bound of the share of good rows, as the labelled ones
+    tell it (rather a bad document too many than a good one too few)."""
     spark = df.sparkSession
     rows = keyed(df, id_col, text_col)
     lab = (keyed(labels, label_id, label_col).where("c0 is not null and c1 is not null")
@@ -119,11 +120,11 @@ def importance(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, lab
 
     gumbel = -F.log(-F.log(uniform_open(F.col("c0"), F.col("h"), seed=seed)))
     scored = saved(rows.select("c0", F.xxhash64("c1").alias("h"), log_weight("c1").alias("log_weight"))
-                   .withColumn("sample_key", F.col("log_weight") + gumbel).drop("h"), "importance")
+                   .withColumn("sample_key", F.col("log_weight") + gumbel), "importance")
     if keep_share is None:
-        share = lab.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0]
-        keep_share = 1.0 if share is None else share
+        share, n = lab.agg(F.avg((F.col("label") == 1).cast("double")), F.count("*")).first()
+        keep_share = 1.0 if share is None else min(1.0, share + 1.96 * (share * (1 - share) / n) ** 0.5)
     k = round(keep_share * scored.count())
     cut = kth_largest(scored, "sample_key", k) if k else None
     kept = F.lit(False) if cut is None else grid_value(F.col("sample_key")) >= F.lit(cut)
-    return scored.select(F.col("c0").alias(id_col), "log_weight", "sample_key", kept.alias("kept"))
+    return scored.select(F.col("c0").alias(id_col), F.col("h").alias("text_hash"), "log_weight", "sample_key", kept.alias("kept"))

@@ -1,4 +1,9 @@
 """Importing this module registers the package's queries."""
 
+import corpus_pipeline
 from rungkit.llm import q_classify, q_dedup, q_mix, q_text  # noqa: F401
-from rungkit.llm.common import ORACLE, QUERIES  # noqa: F401
+from rungkit.llm.common import ORACLE, QUERIES
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -65,14 +65,16 @@ def _fingerprint(text: str | None, width: int) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
-    """One row per input row: ``id_col``, ``fp`` (bigint holding the 64 bits)."""
+    """One row per input row: ``id_col``, ``text_hash``, ``fp`` (bigint holding
+    the 64 bits)."""
 
     @F.pandas_udf("bigint")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series([_fingerprint(t, shingle) for t in s], dtype="int64")
 
-    return keyed(df, id_col, text_col).select(F.col("c0").alias(id_col), fp("c1").alias("fp"))
+    return keyed(df, id_col, text_col).select(F.col("c0").alias(id_col), F.xxhash64("c1").alias("text_hash"),
+                                              fp("c1").alias("fp"))
 
 
 class _Linker:
@@ -205,13 +207,14 @@ def _whole_postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """One row per input row: ``id_col``, ``fp``, ``component_id`` (smallest id
-    reachable over links between fingerprints)."""
-    rows = saved(fingerprints(df, id_col, text_col, shingle).select(F.col(id_col).alias("c0"), "fp"), "simhash")
+    """One row per input row: ``id_col``, ``text_hash``, ``fp``, ``group`` (a
+    number of the component) and ``component_id`` (smallest id reachable over
+    links between fingerprints)."""
+    rows = saved(fingerprints(df, id_col, text_col, shingle).withColumnRenamed(id_col, "c0"), "simhash")
     fps = saved(rows.groupBy("fp").agg(F.min("c0").alias("least")), "simhash-fp")
     linked = connected_components(fingerprint_links(fps, max_bits))
     member = (fps.join(linked, F.col("fp") == F.col("node"), "left")
               .select("fp", "least", F.coalesce("component", "fp").alias("component")))
     least = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = member.join(least, "component").select("fp", "component_id")
-    return rows.join(classes, "fp").select(F.col("c0").alias(id_col), "fp", "component_id")
+    classes = member.join(least, "component").select("fp", F.col("component").alias("group"), "component_id")
+    return rows.join(classes, "fp").select(F.col("c0").alias(id_col), "text_hash", "fp", "group", "component_id")

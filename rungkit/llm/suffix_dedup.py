@@ -276,14 +276,8 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = 400)
 
     @F.pandas_udf("binary")
     def keep(text: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, runs in zip(text, spans):
-            b, at, parts = t.encode(), 0, []
-            for x in runs if runs is not None else ():
-                parts.append(b[at:x["a"]])
-                at = x["b"]
-            out.append(b"".join([*parts, b[at:]]) if at else b)
-        return pd.Series(out, dtype=object)
+        return pd.Series([t.encode() if runs is None else cut_out(t.encode(), runs)
+                          for t, runs in zip(text, spans)], dtype=object)
 
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
     return (rows.join(spans, "digest", "left")
@@ -291,5 +285,32 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = 400)
                     F.coalesce("spans", none).alias("spans"), keep("text", "spans").alias("kept")))
 
 
+def rewrite(df: DataFrame, text_col: str, length: int = 400) -> DataFrame:
+    """``df`` with repeated strings cut out of ``text_col``; characters of
+    which only some bytes are left go whole.  Null texts stay null; all other
+    columns and all rows stay."""
+    key = "__repeat_digest"
+    rows = df.withColumn(key, text_digest(F.coalesce(F.col(text_col), F.lit(""))))
+    spans = saved(repeated_spans(rows.select(F.col(key).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text")),
+                                 length), "spans")
+    spans = spans.select(F.col("digest").alias(key), F.col("spans").alias("__repeat_spans"))
+
+    @F.pandas_udf("string")
+    def keep(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else t if runs is None else cut_out(t.encode(), runs).decode("utf-8", "ignore")
+                          for t, runs in zip(text, spans)], dtype=object)
+
+    return (rows.join(spans, key, "left").withColumn(text_col, keep(F.col(text_col), F.col("__repeat_spans")))
+            .drop(key, "__repeat_spans"))
+
+
+def cut_out(b: bytes, runs) -> bytes:
+    at, parts = 0, []
+    for x in runs:
+        parts.append(b[at:x["a"]])
+        at = x["b"]
+    return b"".join([*parts, b[at:]])
+
+
 def removed_bytes(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("bigint"), lambda s, x: s + x["b"] - x["a"])
