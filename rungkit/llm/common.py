@@ -110,7 +110,7 @@ def kth_largest(df: DataFrame, col: str, k: int, bits: int = 16) -> float | None
 def _ordered_bits(c: Column) -> Column:
     """The double on a grid of 2**-32, as bigint; beyond +-2**30 it is cut off."""
     at = F.greatest(F.least(c, F.lit(float(2 ** 30))), F.lit(-float(2 ** 30)))
-    return F.round(at * F.lit(float(2 ** 32))).cast("bigint")
+    return F.when(c.isNotNull(), F.round(at * F.lit(float(2 ** 32))).cast("bigint"))
 
 
 def grid_value(c: Column) -> Column:
