@@ -73,21 +73,25 @@ def score_tensor(solution: Column, truth: Column) -> Column:
     """Pieces after each '####' vs ' and '-separated integer truths:
     fewer pieces 0; any mismatch, bad truth or extra piece 0.1; else 1."""
     truths = F.split(truth, " and ", -1)
-    pieces = F.slice(F.split(solution, "####", -1), 2, 1 << 30)
+    parts = F.split(solution, "####", -1)
+    pieces = F.slice(parts, 2, F.size(parts))
     nt, np_ = F.size(truths), F.size(pieces)
     got = F.transform(pieces, lambda p: F.coalesce(
         F.regexp_extract(p, r"^(?U)\s*(\d+)", 1).try_cast("bigint"), F.lit(TENSOR_MISS).cast("bigint")))
     want = F.transform(truths, lambda t: tx.py_strip(t).try_cast("bigint"))
     all_match = F.forall(F.zip_with(got, want, lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x)
-    return F.when(solution.isNull(), F.lit(0.0)) \
+    return F.when(truth.isNull(), F.lit(None).cast("double")) \
+            .when(solution.isNull(), F.lit(0.0)) \
             .when(np_ < nt, F.lit(0.0)) \
-            .when((np_ > nt) | ~all_match, F.lit(TENSOR_PARTIAL)).otherwise(F.lit(1.0))
+            .when((np_ == nt) & all_match, F.lit(1.0)).otherwise(F.lit(TENSOR_PARTIAL))
 
 
 def score_exact_hash(solution: Column, truth: Column) -> Column:
-    """Default scorer: the answer after '####' equals the truth exactly."""
-    got = tx.extract_hash_answer(solution)
-    return F.when(F.coalesce(got == truth, F.lit(False)), F.lit(1.0)).otherwise(F.lit(0.0))
+    """Default scorer: the answer after '####' equals the truth exactly; a
+    solution without such an answer is judged by its last boxed expression."""
+    got = F.coalesce(tx.extract_hash_answer(solution), tx.last_boxed(solution))
+    return F.when(truth.isNull(), F.lit(None).cast("double")) \
+            .when(F.coalesce(got == truth, F.lit(False)), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
 SCORERS: dict[str, Callable[[Column, Column], Column]] = {}
@@ -105,11 +109,14 @@ register_scorer("tensor", score_tensor)
 
 
 def score_dispatch(data_source: Column, solution: Column, truth: Column, default=score_exact_hash) -> Column:
-    """Score each row with the scorer registered for its data source
-    (one CASE over the registry, evaluated JVM-side)."""
+    """Score each row with the scorer registered for its data source or for
+    the family it belongs to: ``xor/sequence`` also scores what a normaliser
+    labels ``xor/sequence_16_bitwidth_1`` (one CASE over the registry, longest
+    name first, evaluated JVM-side)."""
     expr = None
-    for name, fn in SCORERS.items():
-        cond = data_source == F.lit(name)
+    for name in sorted(SCORERS, key=len, reverse=True):
+        fn = SCORERS[name]
+        cond = (data_source == F.lit(name)) | F.startswith(data_source, F.lit(f"{name}_"))
         expr = F.when(cond, fn(solution, truth)) if expr is None else expr.when(cond, fn(solution, truth))
     fallback = default(solution, truth)
     return fallback if expr is None else expr.otherwise(fallback)

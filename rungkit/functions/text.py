@@ -128,7 +128,8 @@ def base7_final_answer(x) -> Column:
     pos = F.position(m, s) + F.lit(5)  # 1-based start of the number
     out = F.concat(F.substr(s, F.lit(1), pos - 1), to_base7_signed(val),
                    F.substr(s, pos + F.length(num)))
-    return F.when(num == "", s).otherwise(out)
+    # a marker whose number does not parse leaves the text as it is
+    return F.when((num == "") | val.isNull(), s).otherwise(out)
 
 
 def has_decimal(x) -> Column:

@@ -1,8 +1,8 @@
 """Keep-first deduplication by prompt (ops 25, 26).
 
-``min_by`` aggregation keeps the first row per key with partial
-(map-side) aggregation, so a key repeated across a third of the table
-still shuffles one row per map task, not every copy.
+The first position of each prompt is a hash aggregate over the prompt's
+digest (one small row per key and map task, however often a prompt occurs);
+rows then stay if they hold that position.  No prompt text is sorted.
 """
 
 from __future__ import annotations
@@ -25,12 +25,11 @@ def prompt_key(df: DataFrame, prompt: str = "prompt", mode: str = "first_message
 
 
 def dedup_first(df: DataFrame, order: str, prompt: str = "prompt", mode: str = "first_message") -> DataFrame:
-    cols = df.columns
-    k = df.withColumn("_k", prompt_key(df, prompt, mode))
-    # whole first row per key through a partial aggregate: each map task
-    # ships one row per key, however many copies a hot key has
-    firsts = k.groupBy("_k").agg(F.min_by(F.struct(*cols), F.col(order)).alias("_r"))
-    return firsts.select("_r.*")
+    """First row of every prompt by ``order`` (a unique column); rows without
+    a prompt are one group."""
+    k = df.withColumn("_k", F.coalesce(F.sha2(prompt_key(df, prompt, mode), 256), F.lit("")))
+    first = k.groupBy("_k").agg(F.min(order).alias("_first")).select(F.col("_k").alias("_k1"), "_first")
+    return k.join(first, (k["_k"] == first["_k1"]) & (k[order] == first["_first"]), "left_semi").drop("_k")
 
 
 def dedup_report(original: DataFrame, kept: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from rungkit.functions.hashing import hash_key
 
 HASH_BUCKET_SHIFT = 20          # 2**32 >> 20 = 4096 hash buckets
 DEFAULT_KEY_BUCKETS = 4096
-BROADCAST_MAX_BUCKETS = 1_000_000   # size check for data-derived bucket kinds
+NULL_BUCKET = -(2 ** 63)         # rows without a key or bucket come first in their group
 
 
 def _cols(xs) -> list:
@@ -42,14 +42,15 @@ def key_bucket(df: DataFrame, key: str, n_buckets: int = DEFAULT_KEY_BUCKETS,
     driver round trip), taken over ``range_from`` when given (any cheaper
     frame whose keys are a superset, e.g. the input before an expensive
     filter). For unique keys a bucket holds at most
-    ``ceil(range / n_buckets)`` rows.
+    ``ceil(range / n_buckets)`` rows. Rows without a key share a bucket
+    before all others.
     """
     src = range_from if range_from is not None else df
     stats = src.agg(F.min(key).alias("_kmin"), F.max(key).alias("_kmax"))
     d = df.crossJoin(F.broadcast(stats))   # one-row side
     width = F.greatest(F.lit(1), F.ceil((F.col("_kmax") - F.col("_kmin") + 1) / F.lit(n_buckets)))
-    return d.withColumn("_kb", F.floor((F.col(key) - F.col("_kmin")) / width).cast("bigint")) \
-            .drop("_kmin", "_kmax")
+    place = F.floor((F.col(key) - F.col("_kmin")) / width).cast("bigint")
+    return d.withColumn("_kb", F.coalesce(place, F.lit(NULL_BUCKET))).drop("_kmin", "_kmax")
 
 
 def prefix_offsets(df: DataFrame, order: Sequence, bucket: Column, partition_by=(),
@@ -65,11 +66,13 @@ def prefix_offsets(df: DataFrame, order: Sequence, bucket: Column, partition_by=
     input is exchanged once by (group, bucket); the bucket-size aggregate
     and the in-bucket window both read that one exchange.
 
-    The offsets table has one row per (group, bucket). For key-range and
-    hash buckets that is at most ``4096 * groups`` rows and it is
-    broadcast; for data-derived buckets (``bounded=False``) its size is
-    counted first and it is broadcast only under ``BROADCAST_MAX_BUCKETS``
-    rows, otherwise shuffle-joined.
+    The offsets table has one row per (group, bucket). Without groups,
+    key-range and hash buckets make at most 4,096 rows, which are broadcast;
+    with groups, or with data-derived buckets (``bounded=False``), its size
+    is known only at run time and adaptive execution chooses the join.
+
+    Rows with a NULL group form a group of their own. No row is lost, as
+    long as ``bucket`` is not NULL.
     """
     parts = _cols(partition_by)
     order = _cols(order)
@@ -86,8 +89,14 @@ def prefix_offsets(df: DataFrame, order: Sequence, bucket: Column, partition_by=
     offsets = sizes.withColumns(cols).drop(*[f"_s{i}" for i in range(len(names))])
     inner = Window.partitionBy(*parts, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumns({f"_i{i}": F.coalesce(F.sum(f"_w{i}").over(inner), F.lit(0)) for i in range(len(names))})
-    small = bounded or offsets.count() <= BROADCAST_MAX_BUCKETS
-    joined = d.join(F.broadcast(offsets) if small else offsets, on=[*parts, "_bk"])
+    if parts:
+        offsets = offsets.withColumnsRenamed({c: f"_g{i}" for i, c in enumerate([*parts, "_bk"])})
+        same = F.lit(True)
+        for i, c in enumerate([*parts, "_bk"]):
+            same = same & (d[c] == offsets[f"_g{i}"] if c == "_bk" else d[c].eqNullSafe(offsets[f"_g{i}"]))
+        joined = d.join(offsets, same).drop(*[f"_g{i}" for i in range(len(parts) + 1)])
+    else:
+        joined = d.join(F.broadcast(offsets) if bounded else offsets, on="_bk")
     outs = {n: (F.col(f"_o{i}") + F.col(f"_i{i}")).cast("bigint") for i, n in enumerate(names)}
     if total_out:
         outs[total_out] = F.col("_tot").cast("bigint")
@@ -120,9 +129,18 @@ def group_sizes(df: DataFrame, partition_by=(), out: str = "n") -> DataFrame:
     return df.groupBy(*parts).agg(F.count(F.lit(1)).cast("bigint").alias(out))
 
 
-def take_first_n(df: DataFrame, key: str, n: int) -> DataFrame:
-    """First ``n`` rows in ``key`` order (a distributed top-k, never a bare limit)."""
-    return df.orderBy(F.col(key).asc()).limit(n)
+def take_first_n(df: DataFrame, key: str, n: int, strict: bool = True) -> DataFrame:
+    """First ``n`` rows in ``key`` order (a distributed top-k, never a bare limit).
+
+    ``strict``: fewer than ``n`` rows fail the job when it runs (an empty
+    input gives an empty result).
+    """
+    top = df.orderBy(F.col(key).asc()).limit(n)
+    if not strict:
+        return top
+    short = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))      # over n rows
+    wrong = F.raise_error(F.concat(F.lit(f"asked for {n} rows, found "), F.col("_have").cast("string")))
+    return top.withColumn("_have", short).filter(F.when(F.col("_have") < n, wrong.cast("string")).isNull()).drop("_have")
 
 
 def split_train_test(df: DataFrame, key: str, test_share: float, seed=42,

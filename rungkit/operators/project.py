@@ -8,9 +8,11 @@ from pyspark.sql import types as T
 
 
 def _unwrap(c: Column, dtype) -> tuple[Column, object]:
-    """Unwrap length-1 sequences (a longer one is kept as is)."""
+    """Unwrap length-1 sequences; null and empty ones give NULL, a longer one
+    has no single value and fails the job."""
     while isinstance(dtype, T.ArrayType):
-        c = F.when(F.size(c) == 1, F.element_at(c, 1))
+        many = F.raise_error(F.lit("cannot take one value of a sequence of several")).cast(dtype.elementType)
+        c = F.when(F.size(c) == 1, F.try_element_at(c, F.lit(1))).when(F.size(c) > 1, many)
         dtype = dtype.elementType
     return c, dtype
 

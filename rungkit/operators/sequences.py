@@ -21,6 +21,7 @@ from rungkit.operators.materialize import materialize
 from rungkit.operators.ordering import prefix_offsets
 
 PAD_ID, EOS_ID, N_SPECIAL = 0, 1, 2
+UNKNOWN_FAILS = None        # policy for tokens outside the vocabulary: fail the job
 HOT_TOKEN_SHARE = 1e-4      # tokens above this share of all positions are broadcast
 RARE_COUNT = 4              # counts up to this use finer vocabulary-rank buckets
 
@@ -50,9 +51,19 @@ def vocab_build(df: DataFrame, text_cols, tokenizer: Tokenizer = default_tokeniz
     return r.withColumn("id", (F.col("_rank") + F.lit(n_special)).cast("bigint")).drop("_rank")
 
 
+def _known(id_: Column, token: str, unknown_id: int | None) -> Column:
+    """The id, ``unknown_id`` for a token outside the vocabulary, or a failed
+    job if there is none."""
+    if unknown_id is not None:
+        return F.coalesce(id_, F.lit(int(unknown_id)).cast("bigint"))
+    bad = F.raise_error(F.concat(F.lit("token outside the vocabulary: "), F.col(token))).cast("bigint")
+    return F.when(id_.isNull(), bad).otherwise(id_)
+
+
 def encode(df: DataFrame, key: str, text: Column, vocab: DataFrame, out: str,
-           tokenizer: Tokenizer = default_tokenizer) -> DataFrame:
-    """Add ``out`` = token ids of ``text`` in order (empty array for no tokens)."""
+           tokenizer: Tokenizer = default_tokenizer, unknown_id: int | None = UNKNOWN_FAILS) -> DataFrame:
+    """Add ``out`` = token ids of ``text`` in order (empty array for no tokens).
+    ``key`` must be unique."""
     pos = df.select(key, F.posexplode(tokenizer(text)).alias("pos", "token"))
     total = vocab.agg(F.greatest(F.lit(1.0), F.sum("count") * F.lit(HOT_TOKEN_SHARE)).alias("_thr"))
     v = vocab.crossJoin(F.broadcast(total))            # one-row side
@@ -60,14 +71,14 @@ def encode(df: DataFrame, key: str, text: Column, vocab: DataFrame, out: str,
     cold = v.filter(F.col("count") < F.col("_thr")).select("token", F.col("id").alias("_cid"))
     j = pos.join(F.broadcast(hot), "token", "left")          # <= 1/HOT_TOKEN_SHARE rows
     j = j.join(cold, "token", "left")                        # no cold key is hot
-    j = j.select(key, "pos", F.coalesce("_hid", "_cid").alias("_tid"))
+    j = j.select(key, "pos", _known(F.coalesce("_hid", "_cid"), "token", unknown_id).alias("_tid"))
     g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "_tid"))).alias("_p"))
     g = g.select(key, F.transform("_p", lambda x: x["_tid"]).alias(out))
     return df.join(g, key, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<bigint>")))
 
 
 def encode_many(df: DataFrame, key: str, texts: dict, vocab: DataFrame,
-                tokenizer: Tokenizer = default_tokenizer) -> DataFrame:
+                tokenizer: Tokenizer = default_tokenizer, unknown_id: int | None = UNKNOWN_FAILS) -> DataFrame:
     """Encode several text columns in one pass ({out: text Column}): one
     explode, one vocabulary join, one aggregation (pivoted on the column
     tag) and one join back."""
@@ -82,7 +93,7 @@ def encode_many(df: DataFrame, key: str, texts: dict, vocab: DataFrame,
     hot = v.filter(F.col("count") >= F.col("_thr")).select("token", F.col("id").alias("_hid"))
     cold = v.filter(F.col("count") < F.col("_thr")).select("token", F.col("id").alias("_cid"))
     j = pos.join(F.broadcast(hot), "token", "left").join(cold, "token", "left")   # hot set: <= 1/share rows
-    j = j.select(key, "_part", "pos", F.coalesce("_hid", "_cid").alias("_tid"))
+    j = j.select(key, "_part", "pos", _known(F.coalesce("_hid", "_cid"), "token", unknown_id).alias("_tid"))
     g = j.groupBy(key).pivot("_part", outs).agg(F.array_sort(F.collect_list(F.struct("pos", "_tid"))))
     g = g.select(key, *[F.transform(F.col(o), lambda x: x["_tid"]).alias(o) for o in outs])
     out = df.join(g, key, "left")

@@ -214,8 +214,9 @@ w AS (SELECT sample_id, CAST(round(weight * 1000000) AS BIGINT) AS wi FROM weigh
 cum AS (SELECT sample_id, wi, sum(wi) OVER (ORDER BY sample_id ROWS UNBOUNDED PRECEDING) - wi AS lo FROM w),
 tot AS (SELECT sum(wi) AS total, count(*) AS n FROM w),
 draws AS (SELECT row_number() OVER (ORDER BY sample_id) - 1 AS draw_id FROM w),
-tgt AS (SELECT draw_id, (('0x' || substr(md5('7:' || CAST(draw_id AS VARCHAR)), 1, 8))::BIGINT * 65536
-                         + ('0x' || substr(md5('7:' || CAST(draw_id AS VARCHAR)), 9, 4))::BIGINT) % total AS target
+tgt AS (SELECT draw_id, ((('0x' || substr(md5('7:' || CAST(draw_id AS VARCHAR)), 1, 8))::HUGEINT * 268435456
+                         + ('0x' || substr(md5('7:' || CAST(draw_id AS VARCHAR)), 9, 7))::HUGEINT) * total::HUGEINT)
+                         // 1152921504606846976::HUGEINT AS target
         FROM draws CROSS JOIN tot)
 SELECT t.draw_id, c.sample_id FROM tgt t JOIN cum c ON t.target >= c.lo AND t.target < c.lo + c.wi"""))
 def q_weighted_resample(spark, sf):

@@ -112,7 +112,7 @@ def q_score_distribution(spark, sf):
 def _split_partial(sol):
     toks = F.split(sol, " ", -1)
     part = F.concat(F.array_join(F.slice(toks, 1, 4), " "), F.lit(" "))
-    resp = F.array_join(F.slice(toks, 5, 1 << 20), " ")
+    resp = F.array_join(F.slice(toks, 5, F.size(toks)), " ")
     return part, resp
 
 
@@ -170,8 +170,9 @@ UNPIVOT (value FOR metric IN (score, n_pieces, n_truths))"""))
 def q_score_metrics_flatten(spark, sf):
     """Dict-valued scores to long (id, metric, value) form; ``score`` is the reward."""
     d = V.tensor_roll(spark, sf)
+    pieces = F.size(F.split("solution", "####", -1)) - 1
     m = F.create_map(F.lit("score"), sc.score_tensor(F.col("solution"), F.col("ground_truth")),
-                     F.lit("n_pieces"), F.size(F.slice(F.split("solution", "####", -1), 2, 1 << 30)).cast("double"),
+                     F.lit("n_pieces"), pieces.cast("double"),
                      F.lit("n_truths"), F.size(F.split("ground_truth", " and ", -1)).cast("double"))
     return d.select("doc_id", F.explode(m).alias("metric", "value"))
 

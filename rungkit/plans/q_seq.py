@@ -143,7 +143,7 @@ def q_rl_prompt_tokens(spark, sf):
     answer as an open assistant turn (or a generation prompt)."""
     good, _ = nz.norm_hash(V.qa_hash(spark, sf))
     ex = expand_steps(good.filter(F.col("extra_info.split") == "train"), "answer", first_step=0)
-    ex = ex.withColumn("rid", F.col("id") * 1000 + F.col("pos"))
+    ex = ex.withColumn("rid", F.struct("id", "pos"))
     ex = materialize(ex.withColumn("txt", render_chat(F.col("prompt"), True, F.col("partial_answer")))
                      .select("id", "pos", "rid", "txt"), "rl_prompts")
     vocab = materialize(sq.vocab_build(ex, "txt"), "vocab")

@@ -108,20 +108,25 @@ def state_snapshot(per_sample: DataFrame, global_state: DataFrame, root: str, st
     return base
 
 
-def latest_step(spark: SparkSession, root: str) -> int | None:
-    """Largest complete snapshot step under ``root`` (via the Hadoop FS API)."""
+def complete_steps(spark: SparkSession, root: str) -> list[int]:
+    """Snapshot steps under ``root`` whose last part, the global state, is
+    written in full (via the Hadoop FS API)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(root)
     fs = p.getFileSystem(conf)
     if not fs.exists(p):
-        return None
+        return []
     steps = []
     for st in fs.listStatus(p):
         name = st.getPath().getName()
         if name.startswith("step=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "global/_SUCCESS")):
             steps.append(int(name.split("=", 1)[1]))
-    return max(steps) if steps else None
+    return sorted(steps)
+
+
+def latest_step(spark: SparkSession, root: str) -> int | None:
+    return max(complete_steps(spark, root), default=None)
 
 
 def state_restore(spark: SparkSession, root: str, step: int | None = None):

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from rungkit.operators import curriculum as cur
 from rungkit.operators.materialize import materialize
-from rungkit.sources.io import latest_step, state_restore, state_snapshot
+from rungkit.sources.io import complete_steps, latest_step, state_restore, state_snapshot
 
 ATTEMPT_SCHEMA = T.StructType([
     T.StructField("sample_id", T.LongType()),
@@ -69,6 +69,8 @@ def closed_steps_query(spark: SparkSession, paths: StreamPaths, step_length: str
 def run_until_idle(spark: SparkSession, paths: StreamPaths, **kw) -> int:
     """Process everything available, from the checkpoint; returns rows
     dropped by the watermark in this run."""
+    # keep every progress object of the run (100 by default)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 1_000_000)
     q = closed_steps_query(spark, paths, **kw)
     q.awaitTermination()
     dropped = 0
@@ -96,9 +98,10 @@ def incremental_update(spark: SparkSession, paths: StreamPaths, state_root: str,
 
     State = per-sample (last portion, its run's count and reward sum, cap)
     -- O(1) per sample, never the history -- plus the global bounds. Each
-    version is written under ``state_root/step=N`` (N = last closed step)
-    after its moving-average rows (``state_root/ema/upto=N``); both are
-    overwritten on retry, and a version counts only once complete.
+    version is written under ``state_root/step=N`` (N = last closed step):
+    its moving-average rows, the samples and last the global bounds, whose
+    completion marker makes the version count. What an interrupted run left
+    is overwritten or never read, whatever arrives before the next run.
     Returns the last folded step.
     """
     last = latest_step(spark, state_root)
@@ -113,7 +116,7 @@ def incremental_update(spark: SparkSession, paths: StreamPaths, state_root: str,
         init = (g["mean_min_ratio"], g["mean_max_ratio"])
     train = new.filter(F.col("split") == "train")
     c = materialize(cur.step_contribution(train, key, cfg, prior=prior), "stream_contrib")
-    ema_path = f"{state_root.rstrip('/')}/ema/upto={int(top)}"
+    ema_path = f"{state_root.rstrip('/')}/step={int(top)}/ema"
     cur.ema_bounds(c, cfg, init).write.mode("overwrite").parquet(ema_path)
     ema = spark.read.parquet(ema_path)
     upd = c.groupBy(key).agg(F.max_by(F.struct("portion", "run_n", "run_sum", "max_ratio_after", "step"),
@@ -140,8 +143,23 @@ def incremental_update(spark: SparkSession, paths: StreamPaths, state_root: str,
 
 
 def incremental_ema(spark: SparkSession, state_root: str) -> DataFrame:
-    """All moving-average rows folded so far (one per closed training step)."""
-    return spark.read.parquet(f"{state_root.rstrip('/')}/ema").drop("upto")
+    """All moving-average rows folded so far (one per closed training step),
+    from complete versions only."""
+    root = state_root.rstrip("/")
+    return spark.read.parquet(*[f"{root}/step={s}/ema" for s in complete_steps(spark, root)])
+
+
+def late_attempts(spark: SparkSession, paths: StreamPaths) -> DataFrame:
+    """Attempts of closed steps that came too late to be counted in them."""
+    closed = closed_attempts(spark, paths)
+    steps = closed.agg(F.max("step").alias("top"))
+    src = spark.read.schema(ATTEMPT_SCHEMA).parquet(paths.source)
+    cols = ["sample_id", "step", "pos", "portion", "reward", "split"]
+    same = [src[c].eqNullSafe(closed[c]) for c in cols]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    return src.join(F.broadcast(steps), F.col("step") <= F.col("top")).drop("top").join(closed, cond, "left_anti")
 
 
 def stream_ema_bounds(spark: SparkSession, paths: StreamPaths, cfg=cur.DEFAULT) -> DataFrame:

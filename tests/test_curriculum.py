@@ -148,7 +148,7 @@ def test_weighted_resample_exact(spark):
     wi = [round(w * SCALE) for w in [1.0, 0.02, 1.9, 0.5, 1.0]]
     cum = [sum(wi[:i]) for i in range(5)]
     for d in range(5):
-        t = int(hashlib.md5(f"3:{d}".encode()).hexdigest()[:12], 16) % sum(wi)
+        t = int(hashlib.md5(f"3:{d}".encode()).hexdigest()[:15], 16) * sum(wi) >> 60
         expect = max(i for i in range(5) if cum[i] <= t)
         assert got[d] == expect
 
