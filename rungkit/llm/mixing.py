@@ -1,7 +1,8 @@
 """Mixing sources to target weights, DataFrame functions only.
 
-Soft membership: a naive Bayes classifier over hashed words is counted on the
-rows whose domain is known and predicts a posterior over domains for every
+Soft membership: a classifier over hashed words is counted on the rows whose
+domain is known (each word bucket weighs for the one domain whose naive Bayes
+log ratio is largest) and predicts a posterior over domains for every
 document; a recorded domain is trusted to ``trust`` and the posterior shares
 the rest, so a document belongs to several domains in part.  Nonnegative
 document rates r are then fitted by projected-gradient least squares so that
@@ -17,8 +18,8 @@ ends when the totals are met, or when a step no longer brings them nearer
 
 The classifier is counted on at most about ``FIT_ROWS`` labelled rows (drawn
 by a hash of the text); posteriors, totals and rates cover all documents and
-whole texts.  The posterior uses the mean log likelihood of the words times
-``EVIDENCE_WORDS``, since words of a text are far from independent.
+whole texts.  The posterior uses the mean log likelihood ratio of the words
+times ``EVIDENCE_WORDS``, since words of a text are far from independent.
 
 Edge cases: a null or empty text has no tokens, a prior posterior and the
 rate 1 before fitting, and adds nothing to any total; a null domain is
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from rungkit.llm.common import keyed, saved, uniform_open
 
 BUCKETS = 2048
-FIT_ROWS = 20_000
+FIT_ROWS = 10_000
 MAX_DOMAINS = 64
 EVIDENCE_WORDS = 20.0
 TRUST = 0.9
@@ -51,12 +52,13 @@ SEED = 7
 
 
 def _words(text: Column) -> Column:
-    """Runs of non-space characters, as an array (empty for null)."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    """Runs of non-space characters; empty strings may stand at the ends."""
+    return F.split(text, r"\s+")
 
 
 def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lower(word)), F.lit(BUCKETS)).cast("int")
+    """Hash bucket of a word, null for the empty string."""
+    return F.when(word != "", F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int"))
 
 
 def posteriors(df: DataFrame, id_col: str, text_col: str, domain_col: str, trust: float = TRUST) -> tuple[DataFrame, list]:
@@ -67,42 +69,50 @@ def posteriors(df: DataFrame, id_col: str, text_col: str, domain_col: str, trust
         raise ValueError(f"more than {MAX_DOMAINS} domains")
     domains, n = [r["c2"] for r in found], [r["count"] for r in found]
     if not domains:
-        return saved(rows.select("c0", "c2", "h", F.size(_words(F.col("c1"))).cast("bigint").alias("tokens")),
-                     "mix-rows"), []
+        tokens = F.size(F.filter(_words(F.coalesce("c1", F.lit(""))), lambda w: w != ""))
+        return saved(rows.select("c0", "c2", "h", tokens.cast("bigint").alias("tokens")), "mix-rows"), []
     rate = min(1.0, FIT_ROWS / sum(n))
     place = F.create_map(*[x for k, d in enumerate(domains) for x in (F.lit(d), F.lit(k))])
     model = (rows.where(F.col("c2").isNotNull() & (uniform_open(F.col("h"), seed=SEED) < rate))
-             .select(F.element_at(place, F.col("c2")).alias("k"), F.explode(_words(F.col("c1"))).alias("w"))
-             .groupBy(_bucket(F.col("w")).alias("bucket"), "k").count())
+             .withColumn("k", F.element_at(place, F.col("c2")))         # once a row, not once a word
+             .select("k", F.explode(_words(F.lower("c1"))).alias("w"))
+             .groupBy(_bucket(F.col("w")).alias("bucket"), "k").count().where("bucket is not null"))
     counts = np.ones((BUCKETS, len(domains)))
     for r in model.collect():                     # at most BUCKETS x domains rows
         counts[r["bucket"], r["k"]] += r["count"]
-    log_p = np.log(counts / counts.sum(axis=0))
-    spark = df.sparkSession
+    # how much more likely a word is in a domain than overall; each bucket
+    # speaks for (or against) the one domain it tells most about
+    ratio = np.log(counts / counts.sum(axis=0)) - np.log(counts.sum(axis=1) / counts.sum())[:, None]
+    best = np.abs(ratio).argmax(axis=1)
     names = [f"s{k}" for k in range(len(domains))]
-    table = spark.createDataFrame([(b, *map(float, log_p[b])) for b in range(BUCKETS)],
-                                  "bucket int, " + ", ".join(f"{s} double" for s in names))
-    words = (rows.withColumn("row", F.monotonically_increasing_id())
-             .select("row", "c0", "c2", "h", F.explode_outer(_words(F.col("c1"))).alias("w"))
-             .select("row", "c0", "c2", "h", F.when(F.col("w").isNotNull(), _bucket(F.col("w"))).alias("bucket")))
-    # all rows of a text leave its map task as one partial sum
-    sums = (words.join(F.broadcast(table), "bucket", "left").groupBy("row")
-            .agg(F.first("c0").alias("c0"), F.first("c2").alias("c2"), F.first("h").alias("h"),
-                 F.count("bucket").alias("tokens"), *[F.sum(s).alias(s) for s in names]))
+    table = df.sparkSession.createDataFrame(
+        [(i, int(k), float(ratio[i, k])) for i, k in enumerate(best)], "bucket int, k int, w double")
+    words = (rows.withColumn("row", F.monotonically_increasing_id()).withColumn("own", F.element_at(place, F.col("c2")))
+             .select("row", "c0", "own", "h", F.explode_outer(_words(F.lower("c1"))).alias("word"))
+             .select("row", "c0", "own", "h", _bucket(F.col("word")).alias("bucket")))
+    # a text leaves its map task as one partial sum for each domain it has
+    # evidence on; grouping by what belongs to the row keeps the aggregate a
+    # hash aggregate (a first() of a string would sort every word)
+    per = (words.join(F.broadcast(table), "bucket", "left").groupBy("row", "c0", "own", "h", "k")
+           .agg(F.sum("w").alias("w"), F.count("bucket").alias("n")))
+    sums = per.groupBy("row", "c0", "own", "h").agg(
+        F.sum("n").alias("tokens"),
+        *[F.sum(F.when(F.col("k") == k, F.col("w")).otherwise(F.lit(0.0))).alias(s) for k, s in enumerate(names)])
     total = sum(n)
     logit = [F.lit(math.log(c / total)) + F.when(F.col("tokens") > 0, F.col(s) * EVIDENCE_WORDS
                                                 / F.greatest(F.col("tokens"), F.lit(1))).otherwise(F.lit(0.0))
              for s, c in zip(names, n)]
-    sums = sums.select("c0", "c2", "h", "tokens", *[x.alias(s) for x, s in zip(logit, names)])
+    sums = sums.select("c0", "own", "h", "tokens", *[x.alias(s) for x, s in zip(logit, names)])
     top = F.greatest(*names, F.lit(-math.inf)) if names else None
-    sums = sums.select("c0", "c2", "h", "tokens", *[F.exp(F.col(s) - top).alias(s) for s in names])
+    sums = sums.select("c0", "own", "h", "tokens", *[F.exp(F.col(s) - top).alias(s) for s in names])
     norm = sum((F.col(s) for s in names[1:]), F.col(names[0]))
     post = []
-    for k, (s, d) in enumerate(zip(names, domains)):
+    for k, s in enumerate(names):
         soft = F.col(s) / norm
-        own = F.when(F.col("c2") == F.lit(d), F.lit(trust)).otherwise(F.lit(0.0))
-        post.append(F.when(F.col("c2").isNull(), soft).otherwise(own + (1 - trust) * soft).alias(f"p{k}"))
-    return saved(sums.select("c0", "c2", "h", F.col("tokens").cast("bigint").alias("tokens"), *post), "mix-rows"), domains
+        sure = F.when(F.col("own") == k, F.lit(trust)).otherwise(F.lit(0.0))
+        post.append(F.when(F.col("own").isNull(), soft).otherwise(sure + (1 - trust) * soft).alias(f"p{k}"))
+    name = F.element_at(F.array(*[F.lit(d) for d in domains]), F.col("own") + 1)
+    return saved(sums.select("c0", F.when(F.col("own").isNotNull(), name).alias("c2"), "h", F.col("tokens").cast("bigint").alias("tokens"), *post), "mix-rows"), domains
 
 
 def totals(rows: DataFrame, n_domains: int, rate: Column) -> np.ndarray:

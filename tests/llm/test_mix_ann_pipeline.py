@@ -29,11 +29,12 @@ def test_posteriors_equal_brute_force(ready):
         for w in (t or "").split():
             if s:
                 count[bucket[w], domains.index(s)] += 1
-    logp = np.log(count / count.sum(axis=0))
+    ratio = np.log(count / count.sum(axis=0)) - np.log(count.sum(axis=1) / count.sum())[:, None]
+    ratio[np.abs(ratio) < np.abs(ratio).max(axis=1, keepdims=True)] = 0
     for r in got.collect():
         _, t, s = rows[r.c0 - 1]
         w = [bucket[x] for x in (t or "").split()]
-        z = np.log([0.5, 0.5]) + (logp[w].mean(axis=0) * mixing.EVIDENCE_WORDS if w else 0)
+        z = np.log([0.5, 0.5]) + (ratio[w].mean(axis=0) * mixing.EVIDENCE_WORDS if w else 0)
         p = np.exp(z - z.max())
         p /= p.sum()
         if s:
