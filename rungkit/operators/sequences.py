@@ -23,7 +23,6 @@ from rungkit.operators.ordering import prefix_offsets
 PAD_ID, EOS_ID, N_SPECIAL = 0, 1, 2
 UNKNOWN_FAILS = None        # policy for tokens outside the vocabulary: fail the job
 HOT_TOKEN_SHARE = 1e-4      # tokens above this share of all positions are broadcast
-RARE_COUNT = 4              # counts up to this use finer vocabulary-rank buckets
 
 Tokenizer = Callable[[Column], Column]
 
@@ -40,15 +39,15 @@ def vocab_build(df: DataFrame, text_cols, tokenizer: Tokenizer = default_tokeniz
     for c in cols:
         t = df.select(F.explode(tokenizer(F.col(c))).alias("token"))
         toks = t if toks is None else toks.unionByName(t)
-    # read by the bucket-size check and by the ranking pass: written once
-    counts = materialize(toks.groupBy("token").agg(F.count(F.lit(1)).cast("bigint").alias("count")), "token_counts")
-    # bucket monotone in (count desc, token): (-count, token prefix). Rare
-    # counts hold most of the vocabulary, so they get a longer prefix (the
-    # prefix length is fixed per count, which keeps the order consistent)
-    plen = F.when(F.col("count") <= F.lit(RARE_COUNT), F.lit(4)).otherwise(F.lit(1))
-    bucket = F.struct((-F.col("count")).alias("c"), F.substring(F.col("token"), F.lit(1), plen).alias("p"))
-    r = prefix_offsets(counts, [F.col("count").desc(), F.col("token")], bucket, out="_rank", bounded=False)
-    return r.withColumn("id", (F.col("_rank") + F.lit(n_special)).cast("bigint")).drop("_rank")
+    counts = toks.groupBy("token").agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+    # ranges of the order with sampled bounds: even whatever the tokens look
+    # like; written once, so that a row's range is settled
+    n_ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("count").desc(), F.col("token")]
+    ranged = materialize(counts.repartitionByRange(n_ranges, *order)
+                         .withColumn("_range", F.spark_partition_id().cast("bigint")), "token_counts")
+    r = prefix_offsets(ranged, order, F.col("_range"), out="_rank")      # n_ranges offsets
+    return r.withColumn("id", (F.col("_rank") + F.lit(n_special)).cast("bigint")).drop("_rank", "_range")
 
 
 def _known(id_: Column, token: str, unknown_id: int | None) -> Column:
@@ -101,7 +100,23 @@ def encode_many(df: DataFrame, key: str, texts: dict, vocab: DataFrame,
 
 
 def position_ids(mask: Column) -> Column:
-    """max(cumsum(mask) - 1, 0) for any 0/1 mask (running fold)."""
+    """max(cumsum(mask) - 1, 0) for any 0/1 mask.
+
+    A padded mask holds its ones in one run, where the place inside the run
+    is the answer (linear); only a mask with gaps takes the running fold.
+    """
+    ones = F.aggregate(mask, F.lit(0).cast("bigint"), lambda n, m: n + m.cast("bigint"))
+    first = F.array_position(mask, F.lit(1)).cast("bigint")
+    whole = F.aggregate(F.slice(mask, F.greatest(first, F.lit(1)).cast("int"), F.greatest(ones, F.lit(0)).cast("int")),
+                        F.lit(0).cast("bigint"), lambda n, m: n + m.cast("bigint")) == ones
+    spots = F.when(F.size(mask) > 0, F.sequence(F.lit(1), F.size(mask))).otherwise(F.array().cast("array<int>"))
+    shape = F.transform(spots, lambda i: F.struct(i.alias("i")))
+    placed = F.zip_with(shape, F.array_repeat(F.struct(first.alias("f"), ones.alias("n")), F.size(mask)),
+                        lambda s, x: F.greatest(F.least(s["i"] - x["f"], x["n"] - 1), F.lit(0)).cast("bigint"))
+    return F.when(whole, placed).otherwise(_running_ids(mask))
+
+
+def _running_ids(mask: Column) -> Column:
     run = F.aggregate(mask, F.array().cast("array<bigint>"),
                       lambda acc, m: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))
                                                            + m.cast("bigint"))))

@@ -182,7 +182,6 @@ SELECT data_source, rid, score FROM (
   SELECT *, row_number() OVER (PARTITION BY data_source ORDER BY rid) AS rn FROM scored) WHERE rn <= 1"""))
 def q_examine_samples(spark, sf):
     """First ``num_examine`` (=1) scored rows per data source."""
-    r = _rollouts(spark, sf)
-    s = r.select("data_source", "rid", sc.score_dispatch(F.col("data_source"), F.col("solution"),
-                                                         F.col("ground_truth")).alias("score"))
-    return top_k_per_group(s, "data_source", "rid", 1)
+    r = top_k_per_group(_rollouts(spark, sf), "data_source", "rid", 1)      # scored after the pick
+    return r.select("data_source", "rid", sc.score_dispatch(F.col("data_source"), F.col("solution"),
+                                                            F.col("ground_truth")).alias("score"))
