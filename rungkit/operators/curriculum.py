@@ -262,8 +262,23 @@ def fixed_portion(df: DataFrame, portion, seed_col: Column | None = None) -> Dat
     raise ValueError("portion must be a number or a callable(seed) -> Column")
 
 
-def sampling_weights(state: DataFrame, cfg: CurriculumConfig = DEFAULT) -> DataFrame:
-    """Sampler weights (op 41): harder and more-helped samples weigh more."""
+def dataset_portion(df: DataFrame, dataset_type: str, base=1.0, adaptive=None, seed_col: Column | None = None) -> DataFrame:
+    """Portion policy by dataset type: ``base`` takes ``base`` (a number or a
+    function of the seed), ``adaptive`` the function ``adaptive(df)``."""
+    if dataset_type == "base":
+        return fixed_portion(df, base, seed_col)
+    if dataset_type == "adaptive":
+        if adaptive is None:
+            raise ValueError("an adaptive dataset needs its portion function")
+        return adaptive(df)
+    raise ValueError(f"dataset type must be 'base' or 'adaptive', not {dataset_type!r}")
+
+
+def sampling_weights(state: DataFrame, cfg: CurriculumConfig = DEFAULT, weight_fn=None) -> DataFrame:
+    """Sampler weights (op 41): harder and more-helped samples weigh more;
+    ``weight_fn(state) -> Column`` replaces the rule."""
+    if weight_fn is not None:
+        return state.withColumn("weight", weight_fn(state))
     r, p = F.col("last_mean_reward"), F.col("last_portion")
     base = (F.lit(1.0) - r) + p
     easy = (r >= F.lit(0.99)) & (p <= F.lit(0.01))

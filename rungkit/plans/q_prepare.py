@@ -9,6 +9,7 @@ from rungkit.operators import dedup as dd
 from rungkit.operators import normalize as nz
 from rungkit.operators.ordering import assign_index, take_first_n
 from rungkit.operators.project import nested_project, render_chat
+from rungkit.operators.summary import misses, rule_summary
 from rungkit.plans.registry import register
 from rungkit.plans.sqlutil import base7, hash_extract, last_boxed, lit, rewrite_tokens, strip
 from rungkit.sources import views as V
@@ -60,6 +61,25 @@ def q_extract_boxed_answer(spark, sf):
     return V.qa_boxed(spark, sf).select("id", tx.last_boxed("solution").alias("boxed"))
 
 
+_BOXED_ROWS = f""", b AS (SELECT id, split, {last_boxed('solution')} AS boxed FROM qa_boxed)"""
+
+
+@register("extract_boxed_summary", W(["qa_boxed"], _BOXED_ROWS + """
+SELECT split, count(*) AS n_rows, count(boxed) AS hits, count(*) - count(boxed) AS misses,
+       count(DISTINCT boxed) AS distinct_answers FROM b GROUP BY split"""))
+def q_extract_boxed_summary(spark, sf):
+    d = V.qa_boxed(spark, sf).select("split", tx.last_boxed("solution").alias("boxed"))
+    return rule_summary(d, ["split"], F.col("boxed").isNotNull(), answer=F.col("boxed"))
+
+
+@register("extract_boxed_misses", W(["qa_boxed"], _BOXED_ROWS + """
+SELECT id, split FROM b WHERE boxed IS NULL"""))
+def q_extract_boxed_misses(spark, sf):
+    """Quarantine of rows without a boxed answer."""
+    d = V.qa_boxed(spark, sf).select("id", "split", tx.last_boxed("solution").alias("boxed"))
+    return misses(d, F.col("boxed").isNotNull()).select("id", "split")
+
+
 @register("norm_boxed", W(["qa_boxed"], f""", g AS (
   SELECT *, {last_boxed('solution')} AS gt FROM qa_boxed)
 SELECT id, {lit(nz.DS_MATH)} AS data_source, 'user' AS role, problem || ' ' || {lit(nz.INSTR_BOXED)} AS content,
@@ -104,6 +124,15 @@ def q_pick_solution(spark, sf):
     return d.select("doc_id", tx.pick_solution("solution", "generations", "correctness_math_verify").alias("picked"))
 
 
+@register("pick_solution_summary", W(["multi_gen"], f""", p AS (SELECT source, {_pick_sql()} AS picked FROM multi_gen)
+SELECT source, count(*) AS n_rows, count(*) FILTER (WHERE picked <> '') AS hits,
+       count(*) FILTER (WHERE picked = '') AS misses FROM p GROUP BY source"""))
+def q_pick_solution_summary(spark, sf):
+    d = V.multi_gen(spark, sf)
+    d = d.select("source", tx.pick_solution("solution", "generations", "correctness_math_verify").alias("picked"))
+    return rule_summary(d, ["source"], F.col("picked") != "")
+
+
 _WC = "len(regexp_extract_all(picked, '\\S+'))"
 _INT = (f"(regexp_matches({strip('answer')}, '^[+-]?[0-9]+$') "
         f"AND TRY_CAST({strip('answer')} AS BIGINT) IS NOT NULL)")
@@ -146,6 +175,17 @@ def q_base7_rewrite(spark, sf):
                     tx.int_token_count("answer").alias("n_tokens"))
 
 
+@register("base7_rewrite_summary", W(["cot"], """, n AS (
+  SELECT source, len(regexp_extract_all(answer, '\\b\\d{1,6}\\b')) AS n FROM cot)
+SELECT source, count(*) AS n_rows, count(*) FILTER (WHERE n > 0) AS hits,
+       count(*) FILTER (WHERE NOT coalesce(n > 0, false)) AS misses,
+       CAST(coalesce(sum(n), 0) AS BIGINT) AS n_tokens FROM n GROUP BY source"""))
+def q_base7_rewrite_summary(spark, sf):
+    """Numbers rewritten, by source (the same for base 7 and modulo 7)."""
+    d = V.cot(spark, sf).select("source", tx.int_token_count("answer").alias("n"))
+    return rule_summary(d, ["source"], F.col("n") > 0, tokens=F.col("n"))
+
+
 @register("mod7_rewrite", W(["cot"], f"""
 SELECT doc_id, {rewrite_tokens('answer', _M7)} AS rewritten FROM cot"""))
 def q_mod7_rewrite(spark, sf):

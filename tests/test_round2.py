@@ -114,3 +114,27 @@ def test_interrupted_fold_counts_every_step_once(spark, tmp_path, monkeypatch):
     assert sorted(steps) == sorted(set(steps)) and {0, 1, 14} <= set(steps)
     assert cs.late_attempts(spark, paths).count() == 3
     att.unpersist()
+
+
+def test_weight_and_dataset_hooks(spark):
+    from rungkit.operators import curriculum as cur
+    st = spark.createDataFrame([(1, 0.5, 0.2)], "sample_id long, last_mean_reward double, last_portion double")
+    assert cur.sampling_weights(st, weight_fn=lambda d: d["last_portion"] * 10).first().weight == 2.0
+    assert cur.dataset_portion(st, "base", 0.25).first().portion == 0.25
+    assert cur.dataset_portion(st, "adaptive", adaptive=lambda d: d.withColumn("portion", F.lit(0.5))).first().portion == 0.5
+    with pytest.raises(ValueError, match="dataset type"):
+        cur.dataset_portion(st, "other")
+
+
+def test_position_ids_with_and_without_gaps(spark):
+    masks = [[0, 0, 1, 1, 1], [1, 1, 0, 0], [1, 0, 1, 1, 0], [0, 0], [], [1], None]
+    df = spark.createDataFrame([(m,) for m in masks], "m array<int>")
+    got = [r.p for r in df.select(sequences.position_ids(F.col("m")).alias("p")).collect()]
+    want = []
+    for m in masks:
+        s, out = 0, []
+        for x in m or []:
+            s += x
+            out.append(max(s - 1, 0))
+        want.append(None if m is None else out)
+    assert got == want
