@@ -71,17 +71,26 @@ def ngram_buckets(text: str | None) -> np.ndarray:
 def _counts(rows: DataFrame) -> DataFrame:
     """``rows``: c1 (text), good (boolean).  ``bucket``, ``raw``, ``target``."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        raw, target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+        sums = [np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)]
+        held, size = ([], []), 0
+
+        def flush():
+            for total, parts in zip(sums, held):
+                if parts:
+                    total += np.bincount(np.concatenate(parts), minlength=BUCKETS)
+                    parts.clear()
+
         for pdf in batches:
             for text, good in zip(pdf["c1"], pdf["good"]):
-                b = ngram_buckets(text)
-                for lo in range(0, len(b), 1 << 20):
-                    c = np.bincount(b[lo:lo + (1 << 20)], minlength=BUCKETS) if len(b) > 4096 else None
-                    for into in (raw, target) if good else (raw,):
-                        if c is None:
-                            np.add.at(into, b, 1)
-                        else:
-                            into += c
+                grams = ngram_buckets(text)
+                for parts in held if good else held[:1]:
+                    parts.append(grams)
+                size += len(grams)
+                if size > 1 << 20:
+                    flush()
+                    size = 0
+        flush()
+        raw, target = sums
         some = np.flatnonzero(raw)
         yield pd.DataFrame({"bucket": some, "raw": raw[some], "target": target[some]})
 

@@ -47,6 +47,7 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine i
 _UNDO = str.maketrans("013457@$!|", "oieastasii", "*.-_")
 _TOKENS = re.compile(r"[^\W\d_]+(?:[0-9@$!|*.\-_]+[^\W\d_]+)*").findall
 _SIGNS = re.compile(r"[^\w\s]").findall
+_CAPITALS = re.compile("[A-Z\u00c0-\u00d6\u00d8-\u00de\u0391-\u03a9\u0410-\u042f]").findall     # Latin, Greek, Cyrillic
 N_FEATURES = 14
 
 
@@ -77,7 +78,7 @@ def text_features(text: str | None, lexicon: dict[str, float], memo: dict[str, f
     chars = len(text)
     marks = len(_SIGNS(text))
     letters = sum(map(len, tokens))
-    upper = sum(map(str.isupper, text)) if not text.islower() else 0
+    upper = len(_CAPITALS(text))
     out[8], out[9], out[10] = upper / max(letters, 1), marks / chars, text.count("!") / chars
     n = len(tokens)
     out[13] = np.log1p(n)
