@@ -1,9 +1,8 @@
 """Mixing sources to target weights, DataFrame functions only.
 
-Soft membership: a classifier over hashed words is counted on the rows whose
-domain is known (each word bucket weighs for the one domain whose naive Bayes
-log ratio is largest) and predicts a posterior over domains for every
-document; a recorded domain is trusted to ``trust`` and the posterior shares
+Soft membership: a naive Bayes classifier over hashed words is counted on the
+rows whose domain is known (each word bucket has a log ratio for every domain)
+and predicts a posterior over domains for every document; a recorded domain is trusted to ``trust`` and the posterior shares
 the rest, so a document belongs to several domains in part.  Nonnegative
 document rates r are then fitted by projected-gradient least squares so that
 the expected token totals  sum_d r_d * tokens_d * p(domain | d)  match the
@@ -80,24 +79,19 @@ def posteriors(df: DataFrame, id_col: str, text_col: str, domain_col: str, trust
     counts = np.ones((BUCKETS, len(domains)))
     for r in model.collect():                     # at most BUCKETS x domains rows
         counts[r["bucket"], r["k"]] += r["count"]
-    # how much more likely a word is in a domain than overall; each bucket
-    # speaks for (or against) the one domain it tells most about
+    # how much more likely a word is in each domain than overall
     ratio = np.log(counts / counts.sum(axis=0)) - np.log(counts.sum(axis=1) / counts.sum())[:, None]
-    best = np.abs(ratio).argmax(axis=1)
     names = [f"s{k}" for k in range(len(domains))]
-    table = df.sparkSession.createDataFrame(
-        [(i, int(k), float(ratio[i, k])) for i, k in enumerate(best)], "bucket int, k int, w double")
+    table = df.sparkSession.createDataFrame([(i, *map(float, r)) for i, r in enumerate(ratio)],
+                                            "bucket int, " + ", ".join(f"{s} double" for s in names))
     words = (rows.withColumn("row", F.monotonically_increasing_id()).withColumn("own", F.element_at(place, F.col("c2")))
              .select("row", "c0", "own", "h", F.explode_outer(_words(F.lower("c1"))).alias("word"))
              .select("row", "c0", "own", "h", _bucket(F.col("word")).alias("bucket")))
-    # a text leaves its map task as one partial sum for each domain it has
-    # evidence on; grouping by what belongs to the row keeps the aggregate a
-    # hash aggregate (a first() of a string would sort every word)
-    per = (words.join(F.broadcast(table), "bucket", "left").groupBy("row", "c0", "own", "h", "k")
-           .agg(F.sum("w").alias("w"), F.count("bucket").alias("n")))
-    sums = per.groupBy("row", "c0", "own", "h").agg(
-        F.sum("n").alias("tokens"),
-        *[F.sum(F.when(F.col("k") == k, F.col("w")).otherwise(F.lit(0.0))).alias(s) for k, s in enumerate(names)])
+    # a text leaves its map task as one partial sum for every domain; grouping
+    # by what belongs to the row keeps the aggregate a hash aggregate (a
+    # first() of a string would sort every word)
+    sums = (words.join(F.broadcast(table), "bucket", "left").groupBy("row", "c0", "own", "h")
+            .agg(F.count("bucket").alias("tokens"), *[F.sum(s).alias(s) for s in names]))
     total = sum(n)
     logit = [F.lit(math.log(c / total)) + F.when(F.col("tokens") > 0, F.col(s) * EVIDENCE_WORDS
                                                 / F.greatest(F.col("tokens"), F.lit(1))).otherwise(F.lit(0.0))

@@ -42,6 +42,31 @@ def test_posteriors_equal_brute_force(ready):
         assert np.allclose([r.p0, r.p1], p) and r.tokens == len(w)
 
 
+def test_posteriors_use_every_ratio(ready):
+    rows = [(1, "a b c", "x"), (2, "a a d", "x"), (3, "e f a", "y"), (4, "e e f g", None), (5, "b g h", "z"),
+            (6, "a e g", None), (7, None, "y"), (8, "", None)]
+    df = ready.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got, domains = mixing.posteriors(df, "doc_id", "text", "source", trust=0.9)
+    assert domains == ["x", "y", "z"]
+    bucket = {r.w: r.b for r in ready.createDataFrame([(w,) for w in "abcdefgh"], "w string")
+              .select("w", mixing._bucket(F.col("w")).alias("b")).collect()}
+    count = np.ones((mixing.BUCKETS, 3))
+    for _, t, s in rows:
+        for w in (t or "").split():
+            if s:
+                count[bucket[w], domains.index(s)] += 1
+    logp = np.log(count / count.sum(axis=0))
+    for r in got.collect():
+        _, t, s = rows[r.c0 - 1]
+        w = [bucket[x] for x in (t or "").split()]
+        z = np.log([2 / 5, 2 / 5, 1 / 5]) + (logp[w].mean(axis=0) * mixing.EVIDENCE_WORDS if w else 0)
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        if s:
+            p = 0.9 * (np.array(domains) == s) + 0.1 * p
+        assert np.allclose([r.p0, r.p1, r.p2], p) and r.tokens == len(w)
+
+
 def test_projected_gradient_with_floor(ready):
     rng = np.random.default_rng(1)
     rows = [(i, "w " * int(rng.integers(1, 50)), "abc"[min(int(rng.integers(0, 5)), 2)]) for i in range(200)]
