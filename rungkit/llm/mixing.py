@@ -15,9 +15,8 @@ later step corrects for the rates that ``min_rate`` has stopped.  Iteration
 ends when the totals are met, or when a step no longer brings them nearer
 (targets that nonnegative rates cannot reach).
 
-The classifier is counted on at most about ``FIT_ROWS`` labelled rows (drawn
-by a hash of the text); posteriors, totals and rates cover all documents and
-whole texts.  The posterior uses the mean log likelihood ratio of the words
+The classifier is counted on every row with a domain (a count for each bucket
+and domain); posteriors, totals and rates cover all documents and whole texts.  The posterior uses the mean log likelihood ratio of the words
 times ``EVIDENCE_WORDS``, since words of a text are far from independent.
 
 Edge cases: a null or empty text has no tokens, a prior posterior and the
@@ -39,7 +38,6 @@ from pyspark.sql import functions as F
 from rungkit.llm.common import keyed, saved, uniform_open
 
 BUCKETS = 2048
-FIT_ROWS = 10_000
 MAX_DOMAINS = 64
 EVIDENCE_WORDS = 20.0
 TRUST = 0.9
@@ -70,9 +68,8 @@ def posteriors(df: DataFrame, id_col: str, text_col: str, domain_col: str, trust
     if not domains:
         tokens = F.size(F.filter(_words(F.coalesce("c1", F.lit(""))), lambda w: w != ""))
         return saved(rows.select("c0", "c2", "h", tokens.cast("bigint").alias("tokens")), "mix-rows"), []
-    rate = min(1.0, FIT_ROWS / sum(n))
     place = F.create_map(*[x for k, d in enumerate(domains) for x in (F.lit(d), F.lit(k))])
-    model = (rows.where(F.col("c2").isNotNull() & (uniform_open(F.col("h"), seed=SEED) < rate))
+    model = (rows.where("c2 is not null")
              .withColumn("k", F.element_at(place, F.col("c2")))         # once a row, not once a word
              .select("k", F.explode(_words(F.lower("c1"))).alias("w"))
              .groupBy(_bucket(F.col("w")).alias("bucket"), "k").count().where("bucket is not null"))

@@ -67,6 +67,19 @@ def test_posteriors_use_every_ratio(ready):
         assert np.allclose([r.p0, r.p1, r.p2], p) and r.tokens == len(w)
 
 
+def test_small_sources_are_counted(ready):
+    n = F.col("id")
+    rows = ready.range(200_000).select(
+        n.alias("doc_id"),
+        F.when(n < 4, "red red red red").when(n < 8, "blue blue blue blue").when(n < 9, "red red").when(n < 10, "blue blue")
+        .otherwise(F.concat(F.lit("green word"), n)).alias("text"),
+        F.when(n < 4, "r").when(n < 8, "b").when(n < 10, None).otherwise("g").alias("source"))
+    got, domains = mixing.posteriors(rows, "doc_id", "text", "source")
+    assert domains == ["b", "g", "r"]
+    p = {r.c0: r for r in got.where("c0 in (8, 9)").collect()}
+    assert p[8].p2 > 0.9 and p[9].p0 > 0.9
+
+
 def test_projected_gradient_with_floor(ready):
     rng = np.random.default_rng(1)
     rows = [(i, "w " * int(rng.integers(1, 50)), "abc"[min(int(rng.integers(0, 5)), 2)]) for i in range(200)]
