@@ -6,14 +6,16 @@ and predicts a posterior over domains for every document; a recorded domain is t
 the rest, so a document belongs to several domains in part.  Nonnegative
 document rates r are then fitted by projected-gradient least squares so that
 the expected token totals  sum_d r_d * tokens_d * p(domain | d)  match the
-targets: each iteration is one aggregate over all documents (a total for
-every domain) and one more step in the rate expression,
-    r <- max(min_rate, r - p . lambda),   lambda = M (totals - targets),
-with M the inverse of the second moments of the domains over the rates that
-are free to move: without clipping a step meets the targets at once, and each
-later step corrects for the rates that ``min_rate`` has stopped.  Iteration
-ends when the totals are met, or when a step no longer brings them nearer
-(targets that nonnegative rates cannot reach).
+targets: of all rates that come nearest to them, those least changed,
+    r = max(min_rate, start - p . lambda).
+The multipliers lambda minimise a convex function whose gradient is what the
+totals miss; each step follows that gradient in the metric M of the rates that
+are free to move (the inverse of the domains' second moments over them), is
+projected on ``min_rate`` by the formula above, and is halved while the
+function does not fall.  One aggregate over all documents evaluates a step (a
+total for every domain and the moments).  Iteration ends when the totals are
+met or when the gradient has vanished (targets that rates above the floor
+cannot reach: then the totals are the nearest ones in least squares).
 
 The classifier is counted on every row with a domain (a count for each bucket
 and domain); posteriors, totals and rates cover all documents and whole texts.  The posterior uses the mean log likelihood ratio of the words
@@ -42,9 +44,9 @@ MAX_DOMAINS = 64
 EVIDENCE_WORDS = 20.0
 TRUST = 0.9
 TOLERANCE = 1e-6         # of the mixture's tokens
-LEAST_GAIN = 0.02        # a step must cut the largest miss by this share
+SLACK = 1e-9             # weight of unchanged rates against totals, of the mean moment
 MAX_STEPS = 40
-STEPS_PER_WRITE = 4
+MAX_HALVINGS = 20
 SEED = 7
 
 
@@ -112,19 +114,27 @@ def totals(rows: DataFrame, n_domains: int, rate: Column) -> np.ndarray:
     return np.array([x or 0.0 for x in r])
 
 
-def _state(rows: DataFrame, n: int, rate: Column, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Totals at ``rate``, and the moments sum tokens p p' over the rates above
-    ``floor`` (one row reaches the driver)."""
+def _moved(n: int, start: float, pull: np.ndarray) -> Column:
+    """start - p . pull"""
+    return F.lit(start) - sum((F.col(f"p{k}") * F.lit(float(pull[k])) for k in range(1, n)), F.col("p0") * F.lit(float(pull[0])))
+
+
+def _state(rows: DataFrame, n: int, start: float, pull: np.ndarray, floor: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """At the multipliers ``pull``: the convex function's sum over documents,
+    the totals, and the moments sum tokens p p' over the rates that the floor
+    does not stop (one row reaches the driver)."""
     cells = [(i, j) for i in range(n) for j in range(i, n)]
     p = [F.col(f"p{k}") for k in range(n)]
-    rows = rows.select("tokens", *p, rate.alias("r")).withColumn(
-        "free", F.when(F.col("r") > floor, F.col("tokens")).otherwise(F.lit(0)))
-    r = rows.agg(*[F.sum(F.col("r") * F.col("tokens") * x) for x in p],
+    low = F.lit(float(floor))
+    rows = rows.select("tokens", *p, _moved(n, start, pull).alias("u")).withColumn(
+        "free", F.when(F.col("u") >= low, F.col("tokens")).otherwise(F.lit(0))).withColumn("r", F.greatest(low, F.col("u")))
+    r = rows.agg(F.sum(F.col("tokens") * F.col("r") * (F.col("u") - F.col("r") / 2)),
+                 *[F.sum(F.col("r") * F.col("tokens") * x) for x in p],
                  *[F.sum(F.col("free") * p[i] * p[j]) for i, j in cells]).first()
     out = np.zeros((n, n))
-    for (i, j), x in zip(cells, r[n:]):
+    for (i, j), x in zip(cells, r[n + 1:]):
         out[i, j] = out[j, i] = x or 0.0
-    return np.array([x or 0.0 for x in r[:n]]), out
+    return r[0] or 0.0, np.array([x or 0.0 for x in r[1:n + 1]]), out
 
 
 def tempered_targets(weights: dict, exponent: float) -> dict:
@@ -147,12 +157,12 @@ def fit_rates(df: DataFrame, id_col: str, text_col: str, domain_col: str, target
     """
     rows, domains = posteriors(df, id_col, text_col, domain_col, trust)
     n = len(domains)
-    start = F.lit(max(1.0, min_rate))
+    start = float(max(1.0, min_rate))
     if not n:
-        return _named(rows, id_col, start), {}
+        return _named(rows, id_col, F.lit(start)), {}
     have = totals(rows, n, F.lit(1.0))
     if not have.sum():
-        return _named(rows, id_col, start), {}
+        return _named(rows, id_col, F.lit(start)), {}
     if target is None:
         target = tempered_targets(dict(zip(domains, have)), exponent)
     share = np.array([float(target.get(d, 0.0)) for d in domains])
@@ -164,25 +174,25 @@ def fit_rates(df: DataFrame, id_col: str, text_col: str, domain_col: str, target
         if min_rate >= 1:
             budget = min_rate * max(h / s for h, s in zip(have, share) if s > 0)
     goal = share * budget
-    work, rate, report = rows, start, {}
-    floor = -1.0                   # before the first step all rates are free
-    best = np.inf
-    for step in range(MAX_STEPS + 1):
-        got, moments = _state(work, n, rate, floor)
-        miss = np.abs(got - goal).max()
-        if miss < best:
-            kept, report = (work, rate), {d: (float(g), float(x)) for d, g, x in zip(domains, goal, got)}
-        if step == MAX_STEPS or miss <= TOLERANCE * budget or miss > (1 - LEAST_GAIN) * best:
+    pull = np.zeros(n)
+    sums, got, moments = _state(rows, n, start, pull, min_rate)
+    slack = SLACK * np.trace(moments) / n
+    value = sums + pull @ goal + slack * (pull @ pull) / 2
+    for _ in range(MAX_STEPS):
+        ahead = got - goal - slack * pull              # minus the gradient
+        if min(np.abs(got - goal).max(), np.abs(ahead).max()) <= TOLERANCE * budget:
             break
-        best, floor = miss, min_rate
-        metric = np.linalg.pinv(moments, rcond=1e-9)
-        pull = metric @ (got - goal)
-        move = sum((F.col(f"p{k}") * F.lit(float(pull[k])) for k in range(1, n)), F.col("p0") * F.lit(float(pull[0])))
-        rate = F.greatest(F.lit(float(min_rate)), rate - move)
-        if step % STEPS_PER_WRITE == STEPS_PER_WRITE - 1:
-            work, rate = saved(work.select("c0", "c2", "h", "tokens", *[f"p{k}" for k in range(n)],
-                                           rate.alias("rate")), "mix-rates"), F.col("rate")
-    return _named(kept[0], id_col, kept[1]), report
+        move = np.linalg.solve(moments + slack * np.eye(n), ahead)
+        slope = ahead @ move
+        for halved in range(MAX_HALVINGS + 1):
+            at, size = pull + move / 2 ** halved, slope / 2 ** halved
+            sums, got, moments = _state(rows, n, start, at, min_rate)
+            reached = sums + at @ goal + slack * (at @ at) / 2
+            if reached <= value - 1e-4 * size:
+                break
+        pull, value = at, reached
+    report = {d: (float(g), float(x)) for d, g, x in zip(domains, goal, got)}
+    return _named(rows, id_col, F.greatest(F.lit(float(min_rate)), _moved(n, start, pull))), report
 
 
 def _named(rows: DataFrame, id_col: str, rate: Column) -> DataFrame:

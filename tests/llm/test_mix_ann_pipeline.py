@@ -89,6 +89,31 @@ def test_projected_gradient_with_floor(ready):
     assert max(abs(a - b) / a for a, b in report.values()) < 0.01
 
 
+def test_floor_with_soft_memberships(ready):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(600):
+        k = max(0, int(rng.integers(0, 6)) - 2)
+        words = [f"w{k if rng.random() < 0.2 else rng.integers(0, 4)}x{rng.integers(0, 9)}" for _ in range(rng.integers(5, 60))]
+        rows.append((i, " ".join(words), "abcd"[k]))
+    df = ready.createDataFrame(rows, "doc_id bigint, text string, source string")
+    rates, report = mixing.fit_rates(df, "doc_id", "text", "source", exponent=0.3, min_rate=1.0)
+    assert rates.where("rate < 1").count() == 0
+    goal, reached = (np.array(x) for x in zip(*report.values()))
+    got = mixing.posteriors(df, "doc_id", "text", "source")[0].collect()
+    p, tokens = np.array([[r[f"p{k}"] for k in range(4)] for r in got]), np.array([r.tokens for r in got])
+    # accelerated projected gradient on every rate
+    part = p * tokens[:, None]
+    r = y = np.ones(len(p))
+    t, lip = 1.0, np.linalg.eigvalsh(part.T @ p).max()
+    for _ in range(20_000):
+        new = np.maximum(1.0, y - p @ (part.T @ y - goal) / lip)
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        r, y, t = new, new + (t - 1) / after * (new - r), after
+    least = np.linalg.norm(part.T @ r - goal)
+    assert np.linalg.norm(reached - goal) <= 1.05 * least + 1e-5 * goal.sum()
+
+
 def test_mixing_edge_cases(ready, awkward, nothing):
     rates, report = mixing.fit_rates(awkward, "doc_id", "text", "source")
     assert rates.count() == awkward.count() and set(report) == {"a", "b", "c"}
