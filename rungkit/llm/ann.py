@@ -13,9 +13,9 @@ expanded yet among the ``BEAM`` nearest found, along edges in both directions,
 until nothing is left to expand.  Every round is a join of the queries'
 frontier with the graph and with the vectors.
 
-While the graph is built and searched, vectors are compared on 8-bit
-components (a quarter of the shuffle); the beam's vectors are then compared
-in double precision on the original components.
+Graph and search compare unit vectors in double precision, so that nearness
+inside a crowd of near copies is not lost to rounding; the beam's vectors are
+then compared on the original components.
 
 Equal vectors are one node that keeps its smallest ids, so a vector with any
 number of copies neither crowds a bucket nor hides its ties.
@@ -50,18 +50,6 @@ PER_MEETING = 6        # neighbours one meeting reports of each vector
 BEAM = 160
 SEARCH_ROUNDS = 12
 SEED = 2
-_SCALE = 127.0
-
-
-def _packed(m: np.ndarray) -> np.ndarray:
-    """Unit rows to 8-bit components, scaled by their largest one."""
-    top = np.abs(m).max(axis=1, keepdims=True)
-    return np.rint(m / top * _SCALE).astype(np.int8)
-
-
-def _unpacked(raw: np.ndarray) -> np.ndarray:
-    x = raw.astype(np.float32)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def _batches(batches: Iterator[pa.RecordBatch], names: list[str]):
@@ -84,34 +72,34 @@ def _batches(batches: Iterator[pa.RecordBatch], names: list[str]):
 
 def _bytes_matrix(c: pa.Array) -> np.ndarray:
     if not len(c):
-        return np.empty((0, 1), dtype=np.int8)
-    return np.frombuffer(b"".join(c.to_pylist()), dtype=np.int8).reshape(len(c), -1)
+        return np.empty((0, 1))
+    return np.frombuffer(b"".join(c.to_pylist())).reshape(len(c), -1)
 
 
 def build_graph(nodes: DataFrame, dim: int) -> DataFrame:
-    """``nodes``: node, v8 (packed).  Returns edges ``u``, ``v``, ``sim``."""
+    """``nodes``: node, vec (unit vector, doubles).  Returns edges ``u``, ``v``, ``sim``."""
     rng = np.random.default_rng(SEED)
     total = nodes.count()
     bits = max(0, int(np.ceil(np.log2(max(total, 1) / BUCKET_ROWS))))
-    planes = rng.standard_normal((TABLES, bits, dim)).astype(np.float32)
+    planes = rng.standard_normal((TABLES, bits, dim))
     shared = nodes.sparkSession.sparkContext.broadcast(planes)
 
     def bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = np.frombuffer(b"".join(pdf["v8"]), dtype=np.int8).reshape(len(pdf), -1).astype(np.float32)
+            x = np.frombuffer(b"".join(pdf["vec"])).reshape(len(pdf), -1)
             for t, p in enumerate(shared.value):
                 code = ((x @ p.T > 0) @ (1 << np.arange(bits))).astype(np.int64) if bits else np.zeros(len(x), np.int64)
-                yield pd.DataFrame({"t": np.int32(t), "code": code, "node": pdf["node"], "v8": pdf["v8"]})
+                yield pd.DataFrame({"t": np.int32(t), "code": code, "node": pdf["node"], "vec": pdf["vec"]})
 
-    dealt = saved(nodes.mapInPandas(bucket, "t int, code bigint, node bigint, v8 binary"), "ann-bucket")
+    dealt = saved(nodes.mapInPandas(bucket, "t int, code bigint, node bigint, vec binary"), "ann-bucket")
     sizes = dealt.groupBy("t", "code").count()
     # a crowded bucket is dealt over several, at random
     part = F.pmod(F.xxhash64("node", "t"), F.greatest(F.lit(1), F.ceil(F.col("count") / (2 * BUCKET_ROWS))))
     groups = (dealt.join(sizes, ["t", "code"]).withColumn("part", part)
               .groupBy("t", "code", "part")
-              .agg(F.collect_list(F.struct("node", F.lit(-1.0).cast("float").alias("worst"), "v8")).alias("met")))
+              .agg(F.collect_list(F.struct("node", F.lit(-1.0).alias("worst"), "vec")).alias("met")))
     edges = _nearest(_meet(groups, DEGREE // 2), None)
     for _ in range(ROUNDS):
         edges = saved(edges, "ann-graph")
@@ -138,21 +126,21 @@ def _meetings(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     nearness of its worst neighbour."""
     worst = edges.groupBy("u").agg(F.min("sim").alias("worst"), F.count("*").alias("n"))
     worst = worst.select(F.col("u").alias("node"), F.when(F.col("n") < DEGREE, F.lit(-1.0)).otherwise(F.col("worst"))
-                         .cast("float").alias("worst"))
+                         .alias("worst"))
     known = nodes.join(worst, "node", "left").select(
-        F.col("node").alias("v"), F.coalesce("worst", F.lit(-1.0).cast("float")).alias("worst"), "v8")
+        F.col("node").alias("v"), F.coalesce("worst", F.lit(-1.0)).alias("worst"), "vec")
     return (_both_ways(edges).join(known, "v").groupBy("u")
-            .agg(F.collect_list(F.struct(F.col("v").alias("node"), "worst", "v8")).alias("met")))
+            .agg(F.collect_list(F.struct(F.col("v").alias("node"), "worst", "vec")).alias("met")))
 
 
 def _meet(groups: DataFrame, per_meeting: int) -> DataFrame:
     """Compare the members of each list: improvements ``u``, ``v``, ``sim``."""
-    flat = groups.select(F.col("met.node").alias("node"), F.col("met.worst").alias("worst"), F.col("met.v8").alias("v8"))
+    flat = groups.select(F.col("met.node").alias("node"), F.col("met.worst").alias("worst"), F.col("met.vec").alias("vec"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, c in _batches(batches, ["node", "worst", "v8"]):
+        for n, c in _batches(batches, ["node", "worst", "vec"]):
             off, node = c["node"]
-            worst, x = c["worst"][1], _unpacked(c["v8"][1])
+            worst, x = c["worst"][1], c["vec"][1]
             out = []
             for i in range(n):
                 a, b = off[i], off[i + 1]
@@ -171,10 +159,10 @@ def _meet(groups: DataFrame, per_meeting: int) -> DataFrame:
                 u, v, s = (np.concatenate(z) for z in zip(*out))
                 for lo in range(0, len(u), 200_000):
                     e = slice(lo, lo + 200_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(u[e]), pa.array(v[e]), pa.array(s[e].astype(np.float32))],
+                    yield pa.RecordBatch.from_arrays([pa.array(u[e]), pa.array(v[e]), pa.array(s[e])],
                                                      names=["u", "v", "sim"])
 
-    return flat.mapInArrow(compare, "u bigint, v bigint, sim float")
+    return flat.mapInArrow(compare, "u bigint, v bigint, sim double")
 
 
 def _nearest(found: DataFrame, edges: DataFrame | None) -> DataFrame:
@@ -186,17 +174,17 @@ def _nearest(found: DataFrame, edges: DataFrame | None) -> DataFrame:
 
 
 def search(queries: DataFrame, entries: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``queries``: query, q8 (packed); ``entries``: query, node to start from;
+    """``queries``: query, q_vec (unit vector, doubles); ``entries``: query, node to start from;
     returns ``query``, ``node``: the beams after greedy search."""
     around = saved(_both_ways(edges).groupBy("u").agg(F.collect_list("v").alias("next")), "ann-around")
-    beam_type = "query bigint, q8 binary, node array<bigint>, sim array<float>, done array<boolean>"
-    none = [F.array().cast(t) for t in ("array<bigint>", "array<float>", "array<boolean>")]
-    state = queries.select("query", "q8", none[0].alias("node"), none[1].alias("sim"), none[2].alias("done"))
+    beam_type = "query bigint, q_vec binary, node array<bigint>, sim array<double>, done array<boolean>"
+    none = [F.array().cast(t) for t in ("array<bigint>", "array<double>", "array<boolean>")]
+    state = queries.select("query", "q_vec", none[0].alias("node"), none[1].alias("sim"), none[2].alias("done"))
     wanted = entries.select("query", "node")
     for _ in range(SEARCH_ROUNDS):
         seen = (wanted.distinct().join(nodes, "node").groupBy("query")
-                .agg(F.collect_list(F.struct("node", "v8")).alias("met"))
-                .select("query", F.col("met.node").alias("new"), F.col("met.v8").alias("new8")))
+                .agg(F.collect_list(F.struct("node", "vec")).alias("met"))
+                .select("query", F.col("met.node").alias("new"), F.col("met.vec").alias("new_vec")))
         state = saved(state.join(seen, "query", "left").mapInArrow(_merge_beams, beam_type), "ann-beam")
         open_ends = (state.select("query", F.explode(F.arrays_zip("node", "done")).alias("x"))
                      .where(~F.col("x.done")).select("query", F.col("x.node").alias("u")))
@@ -213,28 +201,28 @@ def _merge_beams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = {k: batch.column(batch.schema.get_field_index(k)) for k in batch.schema.names}
         rows = []
         for i in range(batch.num_rows):
-            q8 = d["q8"][i].as_py()
+            q_vec = d["q_vec"][i].as_py()
             node = np.array(d["node"][i].values.to_numpy(zero_copy_only=False), dtype=np.int64)
-            sim = np.array(d["sim"][i].values.to_numpy(zero_copy_only=False), dtype=np.float32)
+            sim = np.array(d["sim"][i].values.to_numpy(zero_copy_only=False), dtype=np.float64)
             done = np.array(d["done"][i].values.to_numpy(zero_copy_only=False), dtype=bool)
             if d["new"][i].is_valid:
                 new = d["new"][i].values.to_numpy(zero_copy_only=False)
-                raw = _bytes_matrix(d["new8"][i].values)
+                raw = _bytes_matrix(d["new_vec"][i].values)
                 fresh = ~np.isin(new, node)
-                q = _unpacked(np.frombuffer(q8, dtype=np.int8)[None, :])[0]
+                q = np.frombuffer(q_vec)
                 node = np.concatenate([node, new[fresh]])
-                sim = np.concatenate([sim, _unpacked(raw[fresh]) @ q])
+                sim = np.concatenate([sim, raw[fresh] @ q])
                 done = np.concatenate([done, np.zeros(int(fresh.sum()), dtype=bool)])
                 best = np.argsort(-sim, kind="stable")[:BEAM]
                 node, sim, done = node[best], sim[best], done[best]
-            rows.append((d["query"][i].as_py(), q8, node, sim, done))
+            rows.append((d["query"][i].as_py(), q_vec, node, sim, done))
         if rows:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
                  pa.array([r[2] for r in rows], pa.list_(pa.int64())),
-                 pa.array([r[3].astype(np.float32) for r in rows], pa.list_(pa.float32())),
+                 pa.array([r[3] for r in rows], pa.list_(pa.float64())),
                  pa.array([r[4] for r in rows], pa.list_(pa.bool_()))],
-                names=["query", "q8", "node", "sim", "done"])
+                names=["query", "q_vec", "node", "sim", "done"])
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
@@ -269,13 +257,13 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, is_query: Colum
 def _search_dim(classes: DataFrame, asked: DataFrame, dim: int, k: int) -> DataFrame:
     @F.pandas_udf("binary")
     def pack(s: pd.Series) -> pd.Series:
-        return pd.Series([x.tobytes() for x in _packed(unit_matrix(s.tolist()))] if len(s) else [], dtype=object)
+        return pd.Series([x.tobytes() for x in unit_matrix(s.tolist())] if len(s) else [], dtype=object)
 
-    nodes = saved(classes.select("node", pack("vec").alias("v8")), "ann-nodes")
+    nodes = saved(classes.select("node", pack("vec").alias("vec")), "ann-nodes")
     edges = build_graph(nodes, dim)
     own = asked.join(classes.select("key", F.col("node").alias("own"), F.col("vec").alias("q")), "key").drop("key")
     own = saved(own, "ann-query")
-    queries = own.join(nodes, F.col("own") == F.col("node")).select("query", F.col("v8").alias("q8"))
+    queries = own.join(nodes, F.col("own") == F.col("node")).select("query", F.col("vec").alias("q_vec"))
     # a row of the table starts at its own place in the graph
     entries = own.select("query", F.col("own").alias("node"))
     beams = search(queries, entries, edges, nodes)

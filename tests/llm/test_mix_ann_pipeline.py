@@ -142,6 +142,20 @@ def test_neighbours_recall(ready):
     assert hits >= 0.9 * 5 * len(asked)
 
 
+def test_neighbours_recall_in_a_crowd(ready):
+    rng = np.random.default_rng(3)
+    one = rng.standard_normal(64)
+    crowd = one + rng.standard_normal((2000, 64)) * 1e-4
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([crowd, rng.standard_normal((1000, 64))]))]
+    df = ready.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.nearest_neighbours(df, "vec_id", "embedding", F.col("c0") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    asked = range(0, 2000, 50)
+    hits = sum(len(set(got[q]) & set(slow_nearest(rows, q))) for q in asked)
+    assert hits >= 0.9 * 5 * len(asked), hits / (5 * len(asked))
+
+
 def test_neighbours_edge_cases(ready):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.5, 0.5]), (4, None), (5, [0.0, 0.0]),
             (6, [float("nan"), 1.0]), (7, [1.0, 1.0, 1.0]), (None, [1.0, 0.1]), (50, [1.0, None])] + \
