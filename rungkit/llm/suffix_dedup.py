@@ -190,23 +190,26 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
               .groupBy("digest").agg(F.collect_list(F.struct("lo", "hi", "key")).alias("want")))
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["key", "piece", "digest", "lo", "bytes", "n"]
         for pdf in batches:
             rows, size = [], 0
+            copies = pdf["digest"].value_counts()          # a batch writes the pieces of copies once
+            pdf = pdf.drop_duplicates("digest")
             for digest, text, want in zip(pdf["digest"], pdf["text"], pdf["want"]):
-                b = text.encode()
+                b, n = text.encode(), int(copies[digest])
                 for x in want:
                     piece = b[x["lo"]:x["hi"] + length]
-                    rows.append((x["key"], hashlib.blake2b(piece, digest_size=16).digest(), digest, x["lo"], piece))
+                    rows.append((x["key"], hashlib.blake2b(piece, digest_size=16).digest(), digest, x["lo"], piece, n))
                     size += len(piece)
                     if size > 16 << 20:
-                        yield pd.DataFrame(rows, columns=["key", "piece", "digest", "lo", "bytes"])
+                        yield pd.DataFrame(rows, columns=names)
                         rows, size = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=["key", "piece", "digest", "lo", "bytes"])
+                yield pd.DataFrame(rows, columns=names)
 
     found = saved(long.join(wanted, "digest").select("digest", "text", "want")
-                  .mapInPandas(extract, "key bigint, piece binary, digest binary, lo bigint, bytes binary"), "pieces")
-    distinct = found.groupBy("key", "piece", "bytes").agg(F.count("*").alias("n"))
+                  .mapInPandas(extract, "key bigint, piece binary, digest binary, lo bigint, bytes binary, n bigint"), "pieces")
+    distinct = found.groupBy("key", "piece", "bytes").agg(F.sum("n").alias("n"))
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _shards(batches):
@@ -218,16 +221,20 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
 
     marked = (distinct.repartition("key").sortWithinPartitions("key", "piece")
               .mapInPandas(sort, "key bigint, piece binary, runs array<struct<a:bigint,b:bigint>>"))
-    starts = (found.select("key", "piece", "digest", "lo").join(marked, ["key", "piece"])
-              .select("digest", F.transform("runs", lambda r: F.struct(
-                  (F.col("lo") + r["a"]).alias("a"), (F.col("lo") + r["b"] - 1 + F.lit(length)).alias("b"))).alias("runs"))
-              .groupBy("digest").agg(F.flatten(F.collect_list("runs")).alias("runs")))
-
     @F.pandas_udf("array<struct<a:bigint,b:bigint>>")
     def merge(s: pd.Series) -> pd.Series:
         return pd.Series([_merge([(x["a"], x["b"]) for x in runs]) for runs in s], dtype=object)
 
-    return starts.select("digest", merge("runs").alias("spans"))
+    return _starts(found, marked, length).select("digest", merge("runs").alias("spans"))
+
+
+def _starts(found: DataFrame, marked: DataFrame, length: int) -> DataFrame:
+    """``digest``, ``runs``: the marked runs of all pieces of a text, those of
+    its copies once (no longer a list than the text has pieces)."""
+    return (found.select("key", "piece", "digest", "lo").distinct().join(marked, ["key", "piece"])
+            .select("digest", F.transform("runs", lambda r: F.struct(
+                (F.col("lo") + r["a"]).alias("a"), (F.col("lo") + r["b"] - 1 + F.lit(length)).alias("b"))).alias("runs"))
+            .groupBy("digest").agg(F.flatten(F.collect_list("runs")).alias("runs")))
 
 
 def _merge(runs: list[tuple[int, int]]) -> list[dict]:

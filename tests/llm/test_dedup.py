@@ -200,3 +200,23 @@ def test_embedding_repeated_and_null_ids(ready):
     df = ready.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     got = sorted((r.vec_id or -1, r.n_links, r.component_id or -1) for r in embed_dedup.near_duplicates(df, "vec_id", "embedding").collect())
     assert got == [(-1, 0, -1), (-1, 2, 5), (5, 2, 5), (5, 2, 5), (7, 0, 7)]
+
+
+def test_pieces_of_copies_are_taken_once(ready, monkeypatch):
+    rng = np.random.default_rng(8)
+    text = bytes(rng.integers(97, 123, 3000).astype(np.uint8)).decode()
+    copies = 3000
+    rows = (ready.range(copies).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+            .union(ready.createDataFrame([(copies, "x" + text[500:1500] + "y")], "doc_id bigint, text string")))
+    tables = []
+    keep = suffix_dedup.saved
+    monkeypatch.setattr(suffix_dedup, "saved", lambda df, name: tables.append((name, keep(df, name))) or tables[-1][1])
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(rows, "doc_id", "text").where(f"doc_id in (0, {copies})").collect()}
+    assert got[0].kept == b"" and got[copies].kept == b"xy"
+    pieces, found = [t for name, t in tables if name == "pieces"]
+    assert found.count() < pieces.count() / 10
+    row = [(1, b"p", b"d", 7)] * 500 + [(1, b"p", b"d", 9), (1, b"p", b"e", 7)]
+    many = ready.createDataFrame(row, "key bigint, piece binary, digest binary, lo bigint")
+    marked = ready.createDataFrame([(1, b"p", [(0, 3)])], "key bigint, piece binary, runs array<struct<a:bigint,b:bigint>>")
+    lists = {bytes(r.digest): sorted((x.a, x.b) for x in r.runs) for r in suffix_dedup._starts(many, marked, 400).collect()}
+    assert lists == {b"d": [(7, 409), (9, 411)], b"e": [(7, 409)]}
