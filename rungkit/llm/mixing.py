@@ -150,6 +150,7 @@ def fit_rates(df: DataFrame, id_col: str, text_col: str, domain_col: str, target
     """One row per input row: ``id_col``, ``domain``, ``text_hash``,
     ``tokens``, ``rate``; and a report {domain: (target, reached)}.
 
+    Tokens are runs of non-space characters (a text without spaces has one).
     ``target``: share of each domain in the mixture; None: the expected
     shares tempered by ``exponent``.  ``budget``: tokens of the mixture; None:
     as many as there are, or, where ``min_rate`` is 1 or more, the least that
