@@ -13,7 +13,9 @@ and each shard's suffixes are sorted by external induced sorting
 (:mod:`rungkit.llm.induced_sort`), whose common-prefix values mark the windows.
 
 Shards are cut by size at key boundaries; a key with more than that is one
-shard, which the sort takes from disk-backed queues.
+shard.  Only the sort's queues and results are backed by disk: a shard's pieces,
+text, types and rank levels are held in memory, so all distinct pieces of one
+key have to fit there.
 
 Rows are handled by the digest of their text, so copies and repeated ids are
 no special case: the copies of a text are each other's second place.
