@@ -19,8 +19,7 @@ leaf to the new root; siblings are read from the untouched tree.  Many changed
 leaves (a third of all rows, say) make many versions, each within its leaf's
 block, so no task holds the versions that meet in a node near the root.
 
-Places are counted without one task holding a group: rows are range-partitioned
-by (group, id), counted within partitions and shifted by the counts before.
+Places come from :mod:`rungkit.llm.numbering`; no task holds a group.
 
 Edge cases: nulls are written as ``-``, empty texts as ``0:``; rows without a
 group form one (before all others), ids that are null come first, rows with
@@ -34,10 +33,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rungkit.llm.common import saved
+from rungkit.llm.numbering import numbered
 
 FANOUT = 8
 LEVELS = 4               # of a block, above its leaves
@@ -57,36 +57,6 @@ def leaf_digest(*values: Column) -> Column:
     return F.sha2(F.encode(F.concat(*map(field, values)), "utf-8"), 256)
 
 
-# -- places ------------------------------------------------------------------
-
-def numbered(df: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """``df`` with ``idx`` (place within the string column ``group``, from 0)
-    and ``n`` (rows of the group).  Rows that ``order`` does not tell apart may
-    stand in any order."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen = None, 0                     # the group that the batch before ended in
-        for b in batches:
-            g = b.column(group).to_pylist()
-            spot = []
-            for x in g:
-                seen = seen + 1 if (x,) == last else 0
-                last = (x,)
-                spot.append(seen)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spot, pa.int64())], [*b.schema.names, "spot"])
-
-    kinds = ", ".join(f"{c} {t}" for c, t in df.dtypes)
-    parted = saved(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
-                   .withColumn("part", F.spark_partition_id())
-                   .mapInArrow(count, f"{kinds}, part int, spot bigint"), "merkle-sorted")
-    counts = parted.groupBy("part", group).agg(F.count("*").alias("here"))      # a row for each partition and group in it
-    w = Window.partitionBy(group).orderBy("part")
-    counts = counts.select(F.col("part").alias("c_part"), F.col(group).alias("c_group"),
-                           (F.sum("here").over(w) - F.col("here")).alias("before"),
-                           F.sum("here").over(Window.partitionBy(group)).alias("n"))
-    return (parted.join(counts, (F.col("part") == F.col("c_part")) & F.col(group).eqNullSafe(F.col("c_group")))
-            .withColumn("idx", F.col("before") + F.col("spot")).drop("part", "spot", "before", "c_part", "c_group"))
-
-
 # -- a block -----------------------------------------------------------------
 
 def block_levels(leaves: list[str], n: int, fanout: int, levels: int) -> list[list[str]]:

@@ -1,7 +1,7 @@
 """Importing this module registers the package's queries."""
 
 import corpus_pipeline
-from rungkit.llm import q_ann, q_classify, q_dedup, q_merkle, q_mix, q_text  # noqa: F401
+from rungkit.llm import q_ann, q_classify, q_dedup, q_merkle, q_mix, q_phrases, q_text  # noqa: F401
 from rungkit.llm.common import ORACLE, QUERIES
 
 QUERIES["pipeline"] = corpus_pipeline.run
