@@ -7,15 +7,22 @@ the rest, so a document belongs to several domains in part.  Nonnegative
 document rates r are then fitted by projected-gradient least squares so that
 the expected token totals  sum_d r_d * tokens_d * p(domain | d)  match the
 targets: of all rates that come nearest to them, those least changed,
-    r = max(min_rate, start - p . lambda).
+    r = min(max_rate, max(min_rate, start - p . lambda)).
 The multipliers lambda minimise a convex function whose gradient is what the
 totals miss; each step follows that gradient in the metric M of the rates that
 are free to move (the inverse of the domains' second moments over them), is
-projected on ``min_rate`` by the formula above, and is halved while the
-function does not fall.  One aggregate over all documents evaluates a step (a
-total for every domain and the moments).  Iteration ends when the totals are
-met or when the gradient has vanished (targets that rates above the floor
-cannot reach: then the totals are the nearest ones in least squares).
+projected on the box ``min_rate`` to ``max_rate`` by the formula above, and is
+halved while the function does not fall.  One aggregate over all documents
+evaluates a step (a total for every domain and the moments; beyond
+FULL_METRIC domains only the moments' row sums, which bound them, so that a
+step costs one sum a domain).  Iteration ends when the totals are met or when
+a smaller weight of the rates' own change no longer brings them nearer (targets
+that rates within the box cannot reach: then the totals are the nearest ones in
+least squares); the report says which, and says so too if MAX_STEPS ended it.
+
+No document is repeated more than ``max_rate`` times, however far the targets
+are: without that bound, targets that are out of reach by a hair are approached
+by heaping all of the difference on a few documents.
 
 The classifier is counted on every row with a domain (a count for each bucket
 and domain); posteriors, totals and rates cover all documents and whole texts.  The posterior uses the mean log likelihood ratio of the words
@@ -26,7 +33,8 @@ rate 1 before fitting, and adds nothing to any total; a null domain is
 unknown; without any known domain all rates are 1; targets for domains
 without documents are unreachable and reported by :func:`totals`; repeated
 rows each get their rate (equal, since it depends on domain and text only);
-an empty table gives an empty table.  More than ``MAX_DOMAINS`` domains raise.
+an empty table gives an empty table.  More than ``MAX_DOMAINS`` domains raise
+(each is a column).
 """
 
 from __future__ import annotations
@@ -40,13 +48,19 @@ from pyspark.sql import functions as F
 from rungkit.llm.common import keyed, saved, uniform_open
 
 BUCKETS = 2048
-MAX_DOMAINS = 64
+MAX_DOMAINS = 2048       # the classifier's table is BUCKETS x MAX_DOMAINS numbers at most
+FULL_METRIC = 64         # domains up to which all second moments are summed
+MAX_RATE = 8.0
+ROOM = 1.1               # with a floor: the mixture's tokens over the least that the floor allows
 EVIDENCE_WORDS = 20.0
 TRUST = 0.9
 TOLERANCE = 1e-6         # of the mixture's tokens
-SLACK = 1e-9             # weight of unchanged rates against totals, of the mean moment
-MAX_STEPS = 40
-MAX_HALVINGS = 20
+#: weights of unchanged rates against totals, of the tokens a domain; from each
+#: to the next the multipliers start where they were or scaled by their ratio
+SLACKS = (1e-3, 1e-5, 1e-7, 1e-9)
+LEAST_GAIN = 0.99        # what is missed has to fall to so much of it, or it is the least
+MAX_STEPS = 30           # at one weight; ten times as many without the full metric
+MAX_HALVINGS = 12
 SEED = 7
 
 
@@ -119,24 +133,36 @@ def _moved(n: int, start: float, pull: np.ndarray) -> Column:
     return F.lit(start) - sum((F.col(f"p{k}") * F.lit(float(pull[k])) for k in range(1, n)), F.col("p0") * F.lit(float(pull[0])))
 
 
-def _state(rows: DataFrame, n: int, start: float, pull: np.ndarray, floor: float) -> tuple[float, np.ndarray, np.ndarray]:
+def _state(rows: DataFrame, n: int, start: float, pull: np.ndarray, floor: float, top: float) -> tuple[float, np.ndarray, np.ndarray]:
     """At the multipliers ``pull``: the convex function's sum over documents,
-    the totals, and the moments sum tokens p p' over the rates that the floor
-    does not stop (one row reaches the driver)."""
-    cells = [(i, j) for i in range(n) for j in range(i, n)]
+    the totals, and the moments sum tokens p p' over the rates strictly within
+    the box, or their row sums (one row reaches the driver)."""
+    full = n <= FULL_METRIC
+    cells = [(i, j) for i in range(n) for j in range(i, n if full else i + 1)]
     p = [F.col(f"p{k}") for k in range(n)]
-    low = F.lit(float(floor))
+    low, high = F.lit(float(floor)), F.lit(float(top))
     rows = rows.select("tokens", *p, _moved(n, start, pull).alias("u")).withColumn(
-        "free", F.when(F.col("u") >= low, F.col("tokens")).otherwise(F.lit(0))).withColumn("r", F.greatest(low, F.col("u")))
+        "free", F.when((F.col("u") >= low) & (F.col("u") <= high), F.col("tokens")).otherwise(F.lit(0))).withColumn(
+        "r", F.least(high, F.greatest(low, F.col("u"))))
     r = rows.agg(F.sum(F.col("tokens") * F.col("r") * (F.col("u") - F.col("r") / 2)),
                  *[F.sum(F.col("r") * F.col("tokens") * x) for x in p],
-                 *[F.sum(F.col("free") * p[i] * p[j]) for i, j in cells]).first()
+                 *[F.sum(F.col("free") * p[i] * (p[j] if full else F.lit(1.0))) for i, j in cells]).first()
     out = np.zeros((n, n))
     for (i, j), x in zip(cells, r[n + 1:]):
         out[i, j] = out[j, i] = x or 0.0
     return r[0] or 0.0, np.array([x or 0.0 for x in r[1:n + 1]]), out
 
 
+class Report(dict):
+    """{domain: (target, reached)} in tokens.  ``met``: every target within
+    TOLERANCE of the mixture; ``ended``: 'met', 'nearest' (no rates in the box
+    come nearer) or 'steps' (stopped before either)."""
+
+    def __init__(self, domains: list, goal, reached, ended: str, steps: int):
+        super().__init__((d, (float(g), float(x))) for d, g, x in zip(domains, goal, reached))
+        self.ended, self.steps, self.met = ended, steps, ended == "met"
+
+
 def tempered_targets(weights: dict, exponent: float) -> dict:
     """Shares raised to ``exponent`` (0: equal, 1: as they are), summing to 1."""
     up = {d: w ** exponent if w > 0 else 0.0 for d, w in weights.items()}
@@ -146,24 +172,25 @@ def tempered_targets(weights: dict, exponent: float) -> dict:
 
 def fit_rates(df: DataFrame, id_col: str, text_col: str, domain_col: str, target: dict | None = None,
               exponent: float = 0.7, budget: float | None = None, min_rate: float = 0.0,
-              trust: float = TRUST) -> tuple[DataFrame, dict]:
+              trust: float = TRUST, max_rate: float = MAX_RATE) -> tuple[DataFrame, Report]:
     """One row per input row: ``id_col``, ``domain``, ``text_hash``,
-    ``tokens``, ``rate``; and a report {domain: (target, reached)}.
+    ``tokens``, ``rate``; and a :class:`Report`.
 
     Tokens are runs of non-space characters (a text without spaces has one).
     ``target``: share of each domain in the mixture; None: the expected
     shares tempered by ``exponent``.  ``budget``: tokens of the mixture; None:
-    as many as there are, or, where ``min_rate`` is 1 or more, the least that
-    gives every domain ``min_rate`` times its tokens.
+    as many as there are, or, where ``min_rate`` is 1 or more, ROOM times the
+    least that gives every domain ``min_rate`` times its tokens.  Rates lie
+    between ``min_rate`` and ``max_rate``.
     """
+    if not 0 <= min_rate <= max_rate:
+        raise ValueError("0 <= min_rate <= max_rate is needed")
     rows, domains = posteriors(df, id_col, text_col, domain_col, trust)
     n = len(domains)
-    start = float(max(1.0, min_rate))
-    if not n:
-        return _named(rows, id_col, F.lit(start)), {}
-    have = totals(rows, n, F.lit(1.0))
+    start = float(min(max(1.0, min_rate), max_rate))
+    have = totals(rows, n, F.lit(1.0)) if n else np.zeros(0)
     if not have.sum():
-        return _named(rows, id_col, F.lit(start)), {}
+        return _named(rows, id_col, F.lit(start)), Report([], [], [], "met", 0)
     if target is None:
         target = tempered_targets(dict(zip(domains, have)), exponent)
     share = np.array([float(target.get(d, 0.0)) for d in domains])
@@ -173,27 +200,54 @@ def fit_rates(df: DataFrame, id_col: str, text_col: str, domain_col: str, target
     if budget is None:
         budget = have.sum()
         if min_rate >= 1:
-            budget = min_rate * max(h / s for h, s in zip(have, share) if s > 0)
+            budget = ROOM * min_rate * max(h / s for h, s in zip(have, share) if s > 0)
     goal = share * budget
-    pull = np.zeros(n)
-    sums, got, moments = _state(rows, n, start, pull, min_rate)
-    slack = SLACK * np.trace(moments) / n
-    value = sums + pull @ goal + slack * (pull @ pull) / 2
-    for _ in range(MAX_STEPS):
-        ahead = got - goal - slack * pull              # minus the gradient
-        if min(np.abs(got - goal).max(), np.abs(ahead).max()) <= TOLERANCE * budget:
+    at = lambda pull: _state(rows, n, start, pull, min_rate, max_rate)
+    pull, missed, steps, ended, before = np.zeros(n), math.inf, 0, "", None
+    state = at(pull)
+    best = pull, state
+    for weight in SLACKS:
+        slack = weight * have.sum() / n
+        value = lambda pull, state: state[0] + pull @ goal + slack * (pull @ pull) / 2
+        if before:                                     # out of reach, the multipliers grow as the weight falls
+            far = pull * (before / weight)
+            there = at(far)
+            if value(far, there) < value(pull, state):
+                pull, state = far, there
+        pull, state, ended, k = _descend(pull, state, at, value, goal, slack, MAX_STEPS * (1 if n <= FULL_METRIC else 10))
+        steps, miss = steps + k, np.linalg.norm(state[1] - goal)
+        gain, before = miss <= LEAST_GAIN * missed, weight
+        if miss < missed:
+            missed, best = miss, (pull, state)
+        if ended in ("met", "steps") or not gain:
             break
-        move = np.linalg.solve(moments + slack * np.eye(n), ahead)
-        slope = ahead @ move
+    pull, (_, got, _) = best
+    rate = F.least(F.lit(float(max_rate)), F.greatest(F.lit(float(min_rate)), _moved(n, start, pull)))
+    return _named(rows, id_col, rate), Report(domains, goal, got, ended, steps)
+
+
+def _descend(pull: np.ndarray, state: tuple, at, value, goal: np.ndarray, slack: float, most: int) -> tuple:
+    """Projected-gradient steps at one weight: (multipliers, their state, how
+    it ended, steps)."""
+    tolerance = TOLERANCE * goal.sum()
+    for k in range(most):
+        _, got, moments = state
+        ahead = got - goal - slack * pull              # minus the gradient
+        if np.abs(got - goal).max() <= tolerance:
+            return pull, state, "met", k
+        if np.abs(ahead).max() <= tolerance:
+            return pull, state, "nearest", k
+        move = np.linalg.solve(moments + slack * np.eye(len(goal)), ahead)
+        here, slope = value(pull, state), ahead @ move
         for halved in range(MAX_HALVINGS + 1):
-            at, size = pull + move / 2 ** halved, slope / 2 ** halved
-            sums, got, moments = _state(rows, n, start, at, min_rate)
-            reached = sums + at @ goal + slack * (at @ at) / 2
-            if reached <= value - 1e-4 * size:
+            step = pull + move / 2 ** halved
+            there = at(step)
+            if value(step, there) <= here - 1e-4 * slope / 2 ** halved:
+                pull, state = step, there
                 break
-        pull, value = at, reached
-    report = {d: (float(g), float(x)) for d, g, x in zip(domains, goal, got)}
-    return _named(rows, id_col, F.greatest(F.lit(float(min_rate)), _moved(n, start, pull))), report
+        else:                                          # nothing falls any more in double precision
+            return pull, state, "nearest", k + 1
+    return pull, state, "steps", most
 
 
 def _named(rows: DataFrame, id_col: str, rate: Column) -> DataFrame:
@@ -204,4 +258,4 @@ def _named(rows: DataFrame, id_col: str, rate: Column) -> DataFrame:
 def copies(rate: Column, *key: Column, seed: int = SEED) -> Column:
     """Whole number of copies with expectation ``rate``."""
     whole = F.floor(rate)
-    return (whole + (uniform_open(*key, seed=seed) < rate - whole).cast("bigint")).cast("int")
+    return whole + (uniform_open(*key, seed=seed) < rate - whole).cast("bigint")

@@ -12,13 +12,15 @@ the other keys go to the shard of their key, equal pieces as one with a count,
 and each shard's suffixes are sorted by external induced sorting
 (:mod:`rungkit.llm.induced_sort`), whose common-prefix values mark the windows.
 
-Shards are cut by size at key boundaries; a key with more than that is one
-shard.  Only the sort's queues and results are backed by disk: a shard's pieces,
-text, types and rank levels are held in memory, so all distinct pieces of one
-key have to fit there.
+Shards are cut by size at key boundaries.  A key whose distinct pieces exceed a
+shard (a passage in very many contexts) is parted: each of its windows is keyed
+by the hash of its whole content, keys that stand at one place only go, and the
+windows left are sorted as pieces of their own.  So no shard grows with the
+input; one of SHARD_BYTES takes about 100 bytes of memory a byte.
 
-Rows are handled by the digest of their text, so copies and repeated ids are
-no special case: the copies of a text are each other's second place.
+Rows are handled by the digest of their text.  A text that occurs twice goes
+whole, since its copies are each other's second place; to other texts all its
+copies are one place.
 
 Edge cases: a null text is empty; texts shorter than ``length`` lose nothing;
 strings overlap freely and are judged on the input; windows never cross
@@ -41,7 +43,7 @@ from rungkit.llm.induced_sort import Workspace, suffix_array
 GRAM = 128                # bytes hashed at once; at most the length
 PIECE_WINDOWS = 4096      # windows of a piece at most
 BATCH_BYTES = 1 << 20     # bytes hashed together
-SHARD_BYTES = 6 << 20     # bytes sorted together, as far as keys allow
+SHARD_BYTES = 5 << 18     # bytes sorted together; a key with more is parted by whole windows
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _powers: dict[int, tuple] = {}
@@ -84,7 +86,8 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def _pieces(texts: list[bytes], length: int, gram: int):
-    """(text number, first window, last window, key, place moves) of all pieces."""
+    """(text number, first window, last window, key, place moves) of all pieces
+    (with ``gram`` equal to ``length`` every window is one)."""
     w = length - gram + 1
     n_bits = np.uint64(BATCH_BYTES.bit_length() + 1)
     run, size = [], 0
@@ -168,40 +171,50 @@ def _runs(flag: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
-    """``texts``: digest, text.  Returns ``digest``, ``spans`` (start and end
-    byte of the maximal runs covered by repeated strings) where there are any."""
-    gram = min(GRAM, length)
-
+def _keyed_pieces(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """digest, d1, d2 (the digest's two halves), lo, hi, key, moves."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = _pieces([t.encode() for t in pdf["text"]], length, gram)
             if got is not None:
                 number, lo, hi, key, moves = got
+                digest = pdf["digest"].to_numpy()
+                half = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
                 for s in range(0, len(number), 100_000):
                     e = slice(s, s + 100_000)
-                    yield pd.DataFrame({"digest": pdf["digest"].to_numpy()[number[e]], "lo": lo[e], "hi": hi[e],
+                    n = number[e]
+                    yield pd.DataFrame({"digest": digest[n], "d1": half[n, 0], "d2": half[n, 1], "lo": lo[e], "hi": hi[e],
                                         "key": key[e], "moves": moves[e]})
 
-    long = texts.where(F.octet_length("text") >= length)
-    pieces = saved(long.mapInPandas(cut, "digest binary, lo bigint, hi bigint, key bigint, moves boolean"), "pieces")
-    shared = (pieces.groupBy("key").agg(F.count("*").alias("n"), F.max("moves").alias("moves"))
-              .where("n > 1 or moves").select("key"))
-    # of one text (copies have one digest), a list no longer than the text
-    wanted = (pieces.join(shared, "key", "left_semi").select("digest", "lo", "hi", "key").distinct()
+    return saved(texts.mapInPandas(cut, "digest binary, d1 bigint, d2 bigint, lo bigint, hi bigint, key bigint, moves boolean"), "pieces")
+
+
+def _shared_keys(pieces: DataFrame) -> DataFrame:
+    """Keys that stand at two places of different texts or of one text (copies
+    of a text are one), or whose place moves within a piece."""
+    ends = [f(c).alias(f"{name}_{c}") for c in ("d1", "d2", "lo") for f, name in ((F.min, "least"), (F.max, "most"))]
+    differ = " or ".join(f"least_{c} <> most_{c}" for c in ("d1", "d2", "lo"))
+    return pieces.groupBy("key").agg(*ends, F.max("moves").alias("moves")).where(f"moves or {differ}").select("key")
+
+
+def _extracted(texts: DataFrame, pieces: DataFrame, length: int) -> DataFrame:
+    """key, piece (digest of its bytes), digest, lo, bytes of ``pieces``, those
+    of a text's copies once."""
+    # of one text, a list no longer than the text
+    wanted = (pieces.select("digest", "lo", "hi", "key").distinct()
               .groupBy("digest").agg(F.collect_list(F.struct("lo", "hi", "key")).alias("want")))
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["key", "piece", "digest", "lo", "bytes", "n"]
+        names, last = ["key", "piece", "digest", "lo", "bytes"], None
         for pdf in batches:
             rows, size = [], 0
-            copies = pdf["digest"].value_counts()          # a batch writes the pieces of copies once
-            pdf = pdf.drop_duplicates("digest")
             for digest, text, want in zip(pdf["digest"], pdf["text"], pdf["want"]):
-                b, n = text.encode(), int(copies[digest])
+                if digest == last:                  # the join puts copies in a row
+                    continue
+                last, b = digest, text.encode()
                 for x in want:
                     piece = b[x["lo"]:x["hi"] + length]
-                    rows.append((x["key"], hashlib.blake2b(piece, digest_size=16).digest(), digest, x["lo"], piece, n))
+                    rows.append((x["key"], hashlib.blake2b(piece, digest_size=16).digest(), digest, x["lo"], piece))
                     size += len(piece)
                     if size > 16 << 20:
                         yield pd.DataFrame(rows, columns=names)
@@ -209,9 +222,76 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
-    found = saved(long.join(wanted, "digest").select("digest", "text", "want")
-                  .mapInPandas(extract, "key bigint, piece binary, digest binary, lo bigint, bytes binary, n bigint"), "pieces")
-    distinct = found.groupBy("key", "piece", "bytes").agg(F.sum("n").alias("n"))
+    return saved(texts.join(wanted, "digest").select("digest", "text", "want")
+                 .mapInPandas(extract, "key bigint, piece binary, digest binary, lo bigint, bytes binary"), "pieces")
+
+
+def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
+    """``texts``: digest, text.  Returns ``digest``, ``spans`` (start and end
+    byte of the maximal runs covered by repeated strings) where there are any."""
+    gram = min(GRAM, length)
+    long = texts.where(F.octet_length("text") >= length)
+    # the whole of a text that occurs twice is repeated; to other texts its copies are one place more
+    copied = saved(long.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size"))
+                   .where("n > 1").select("digest", F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.col("size").cast("bigint").alias("b")))
+                                          .alias("spans")), "copied")
+    pieces = _keyed_pieces(long, length, gram)
+    found = _extracted(long, pieces.join(_shared_keys(pieces), "key", "left_semi"), length)
+    distinct = found.groupBy("key", "piece").agg(F.max(F.octet_length("bytes")).alias("size"))
+    wide = saved(distinct.groupBy("key").agg(F.sum("size").alias("size")).where(F.col("size") > SHARD_BYTES).select("key"), "wide-keys")
+    marked = _marked(found.join(wide, "key", "left_anti"), length)
+    runs = _starts(found, marked, length)
+    if wide.limit(1).count():
+        # a key beyond a shard: its windows get keys of their own, and only those seen twice go on
+        inner = found.join(wide, "key", "left_semi")
+        windows = _window_pieces(inner, length)
+        again = _window_bytes(inner, windows.join(_shared_keys(windows), "key", "left_semi"), length)
+        runs = (runs.unionByName(_starts(again, _marked(again, length), length))
+                .groupBy("digest").agg(F.flatten(F.collect_list("runs")).alias("runs")))
+
+    @F.pandas_udf("array<struct<a:bigint,b:bigint>>")
+    def merge(s: pd.Series) -> pd.Series:
+        return pd.Series([_merge([(x["a"], x["b"]) for x in runs]) for runs in s], dtype=object)
+
+    return (runs.join(copied.select("digest"), "digest", "left_anti").select("digest", merge("runs").alias("spans"))
+            .unionByName(copied))
+
+
+def _window_pieces(found: DataFrame, length: int) -> DataFrame:
+    """Every window of the pieces ``found`` as a piece, keyed by its whole content."""
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            digest, base = pdf["digest"].to_numpy(), pdf["lo"].to_numpy()
+            half = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
+            for i, b in enumerate(pdf["bytes"]):
+                key = gram_hashes(np.frombuffer(b, np.uint8), length).view(np.int64)
+                lo = base[i] + np.arange(len(key))
+                yield pd.DataFrame({"digest": [digest[i]] * len(key), "d1": half[i, 0], "d2": half[i, 1], "lo": lo, "key": key,
+                                    "moves": False, "start": base[i]})
+
+    return saved(found.select("digest", "lo", "bytes").mapInPandas(
+        cut, "digest binary, d1 bigint, d2 bigint, lo bigint, key bigint, moves boolean, start bigint"), "windows")
+
+
+def _window_bytes(found: DataFrame, windows: DataFrame, length: int) -> DataFrame:
+    """key, piece, digest, lo, bytes of ``windows`` (each inside the piece of
+    ``found`` that starts at its ``start``)."""
+    own = windows.groupBy("digest", "start").agg(F.collect_list(F.struct("lo", "key")).alias("want"))     # a piece's windows
+
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for digest, start, b, want in zip(pdf["digest"], pdf["start"], pdf["bytes"], pdf["want"]):
+                part = [b[x["lo"] - start:x["lo"] - start + length] for x in want]
+                yield pd.DataFrame({"key": [x["key"] for x in want], "piece": [hashlib.blake2b(p, digest_size=16).digest() for p in part],
+                                    "digest": [digest] * len(part), "lo": [x["lo"] for x in want], "bytes": part})
+
+    return saved(found.select("digest", F.col("lo").alias("start"), "bytes").join(own, ["digest", "start"])
+                 .mapInPandas(extract, "key bigint, piece binary, digest binary, lo bigint, bytes binary"), "window-pieces")
+
+
+def _marked(found: DataFrame, length: int) -> DataFrame:
+    """key, piece, runs of window starts that begin repeated strings."""
+    distinct = found.groupBy("key", "piece", "bytes").agg(F.count("*").alias("n"))
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _shards(batches):
@@ -221,13 +301,8 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
             out = pd.DataFrame({"key": pdf["key"].to_numpy(), "piece": pdf["piece"].to_numpy(), "runs": runs})
             yield out[[bool(r) for r in runs]]
 
-    marked = (distinct.repartition("key").sortWithinPartitions("key", "piece")
-              .mapInPandas(sort, "key bigint, piece binary, runs array<struct<a:bigint,b:bigint>>"))
-    @F.pandas_udf("array<struct<a:bigint,b:bigint>>")
-    def merge(s: pd.Series) -> pd.Series:
-        return pd.Series([_merge([(x["a"], x["b"]) for x in runs]) for runs in s], dtype=object)
-
-    return _starts(found, marked, length).select("digest", merge("runs").alias("spans"))
+    return (distinct.repartition("key").sortWithinPartitions("key", "piece")
+            .mapInPandas(sort, "key bigint, piece binary, runs array<struct<a:bigint,b:bigint>>"))
 
 
 def _starts(found: DataFrame, marked: DataFrame, length: int) -> DataFrame:

@@ -220,3 +220,19 @@ def test_pieces_of_copies_are_taken_once(ready, monkeypatch):
     marked = ready.createDataFrame([(1, b"p", [(0, 3)])], "key bigint, piece binary, runs array<struct<a:bigint,b:bigint>>")
     lists = {bytes(r.digest): sorted((x.a, x.b) for x in r.runs) for r in suffix_dedup._starts(many, marked, 400).collect()}
     assert lists == {b"d": [(7, 409), (9, 411)], b"e": [(7, 409)]}
+
+
+@pytest.mark.parametrize("limit", [1, 3000])
+def test_wide_keys_are_parted_by_whole_windows(ready, monkeypatch, limit):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", limit)
+    rng = np.random.default_rng(21)
+    word = lambda n: "".join(rng.choice(list("abcdé "), n))
+    passage = word(50)              # one key in very many contexts, some of them twice
+    ends = [word(30) for _ in range(25)]
+    texts = [word(int(rng.integers(0, 40))) + passage + ends[int(rng.integers(0, 25))] for _ in range(60)] + [passage * 3, None]
+    texts += texts[:2]
+    df = ready.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(df, "doc_id", "text", 60)
+           .withColumn("n", suffix_dedup.removed_bytes(F.col("spans"))).collect()}
+    for i, (kept, n, spans) in enumerate(slow_removal(texts, 60)):
+        assert (bytes(got[i].kept), got[i].n, len(got[i].spans)) == (kept, n, spans), i

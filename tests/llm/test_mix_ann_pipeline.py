@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -17,54 +18,32 @@ def test_rates_meet_targets(ready):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
-def test_posteriors_equal_brute_force(ready):
-    rows = [(1, "a b c", "x"), (2, "a a d", "x"), (3, "e f", "y"), (4, "e e f g", None), (5, None, "y"), (6, "", None)]
+@pytest.mark.parametrize("rows,names", [
+    ([(1, "a b c", "x"), (2, "a a d", "x"), (3, "e f", "y"), (4, "e e f g", None), (5, None, "y"), (6, "", None)], ["x", "y"]),
+    ([(1, "a b c", "x"), (2, "a a d", "x"), (3, "e f a", "y"), (4, "e e f g", None), (5, "b g h", "z"),
+      (6, "a e g", None), (7, None, "y"), (8, "", None)], ["x", "y", "z"])])
+def test_posteriors_equal_brute_force(ready, rows, names):
     df = ready.createDataFrame(rows, "doc_id bigint, text string, source string")
     got, domains = mixing.posteriors(df, "doc_id", "text", "source", trust=0.9)
-    assert domains == ["x", "y"]
-    bucket = {r.w: r.b for r in ready.createDataFrame([(w,) for w in "abcdefg"], "w string")
-              .select("w", mixing._bucket(F.col("w")).alias("b")).collect()}
-    count = np.ones((mixing.BUCKETS, 2))
-    for _, t, s in rows:
-        for w in (t or "").split():
-            if s:
-                count[bucket[w], domains.index(s)] += 1
-    ratio = np.log(count / count.sum(axis=0)) - np.log(count.sum(axis=1) / count.sum())[:, None]
-    ratio[np.abs(ratio) < np.abs(ratio).max(axis=1, keepdims=True)] = 0
-    for r in got.collect():
-        _, t, s = rows[r.c0 - 1]
-        w = [bucket[x] for x in (t or "").split()]
-        z = np.log([0.5, 0.5]) + (ratio[w].mean(axis=0) * mixing.EVIDENCE_WORDS if w else 0)
-        p = np.exp(z - z.max())
-        p /= p.sum()
-        if s:
-            p = 0.9 * (np.array(domains) == s) + 0.1 * p
-        assert np.allclose([r.p0, r.p1], p) and r.tokens == len(w)
-
-
-def test_posteriors_use_every_ratio(ready):
-    rows = [(1, "a b c", "x"), (2, "a a d", "x"), (3, "e f a", "y"), (4, "e e f g", None), (5, "b g h", "z"),
-            (6, "a e g", None), (7, None, "y"), (8, "", None)]
-    df = ready.createDataFrame(rows, "doc_id bigint, text string, source string")
-    got, domains = mixing.posteriors(df, "doc_id", "text", "source", trust=0.9)
-    assert domains == ["x", "y", "z"]
+    assert domains == names
     bucket = {r.w: r.b for r in ready.createDataFrame([(w,) for w in "abcdefgh"], "w string")
               .select("w", mixing._bucket(F.col("w")).alias("b")).collect()}
-    count = np.ones((mixing.BUCKETS, 3))
+    count = np.ones((mixing.BUCKETS, len(names)))
     for _, t, s in rows:
         for w in (t or "").split():
             if s:
                 count[bucket[w], domains.index(s)] += 1
+    prior = np.array([sum(s == d for _, _, s in rows) for d in names])
     logp = np.log(count / count.sum(axis=0))
     for r in got.collect():
         _, t, s = rows[r.c0 - 1]
         w = [bucket[x] for x in (t or "").split()]
-        z = np.log([2 / 5, 2 / 5, 1 / 5]) + (logp[w].mean(axis=0) * mixing.EVIDENCE_WORDS if w else 0)
+        z = np.log(prior / prior.sum()) + (logp[w].mean(axis=0) * mixing.EVIDENCE_WORDS if w else 0)
         p = np.exp(z - z.max())
         p /= p.sum()
         if s:
             p = 0.9 * (np.array(domains) == s) + 0.1 * p
-        assert np.allclose([r.p0, r.p1, r.p2], p) and r.tokens == len(w)
+        assert np.allclose([r[f"p{k}"] for k in range(len(names))], p) and r.tokens == len(w)
 
 
 def test_small_sources_are_counted(ready):
@@ -102,16 +81,54 @@ def test_floor_with_soft_memberships(ready):
     goal, reached = (np.array(x) for x in zip(*report.values()))
     got = mixing.posteriors(df, "doc_id", "text", "source")[0].collect()
     p, tokens = np.array([[r[f"p{k}"] for k in range(4)] for r in got]), np.array([r.tokens for r in got])
-    # accelerated projected gradient on every rate
     part = p * tokens[:, None]
+    least = np.linalg.norm(part.T @ box_fit(part, p, goal, 1.0, mixing.MAX_RATE) - goal)
+    assert np.linalg.norm(reached - goal) <= 1.05 * least + 1e-5 * goal.sum()
+
+
+def box_fit(part, p, goal, low, high, steps=20_000):
+    """Accelerated projected gradient on every rate."""
+    lip = np.linalg.eigvalsh(part.T @ p).max()
     r = y = np.ones(len(p))
-    t, lip = 1.0, np.linalg.eigvalsh(part.T @ p).max()
-    for _ in range(20_000):
-        new = np.maximum(1.0, y - p @ (part.T @ y - goal) / lip)
+    t = 1.0
+    for _ in range(steps):
+        new = np.clip(y - p @ (part.T @ y - goal) / lip, low, high)
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         r, y, t = new, new + (t - 1) / after * (new - r), after
-    least = np.linalg.norm(part.T @ r - goal)
-    assert np.linalg.norm(reached - goal) <= 1.05 * least + 1e-5 * goal.sum()
+    return r
+
+
+def test_rates_stay_in_the_box_and_come_nearest(ready):
+    rng = np.random.default_rng(9)
+    # long texts of one source, texts of one word of another: out of reach without huge rates
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 40, 200)), "a") for i in range(60)]
+    rows += [(100 + i, f"w{rng.integers(0, 40)}", "b") for i in range(40)]
+    df = ready.createDataFrame(rows, "doc_id bigint, text string, source string")
+    rates, report = mixing.fit_rates(df, "doc_id", "text", "source", exponent=0.3, min_rate=1.0, max_rate=3.0)
+    got = [r.rate for r in rates.collect()]
+    assert min(got) >= 1 and max(got) <= 3 and not report.met and report.ended == "nearest"
+    post = mixing.posteriors(df, "doc_id", "text", "source")[0].collect()
+    p, tokens = np.array([[r.p0, r.p1] for r in post]), np.array([r.tokens for r in post])
+    part = p * tokens[:, None]
+    goal, reached = (np.array(x) for x in zip(*report.values()))
+    best = part.T @ box_fit(part, p, goal, 1, 3)
+    assert np.linalg.norm(reached - goal) <= 1.001 * np.linalg.norm(best - goal) + 1e-6 * goal.sum()
+
+
+def test_nearly_equal_sources_are_not_blown_up(ready):
+    docs = read(ready, SF_MID.replace("0.01", "0.1"), "documents")
+    rates, report = mixing.fit_rates(docs, "doc_id", "text", "source", exponent=0.9, min_rate=1.0, max_rate=corpus_pipeline.MIX_MAX_RATE)
+    got = rates.select(F.max("rate"), F.avg("rate")).first()
+    assert report.met and got[0] <= 3 and got[1] < 1.5
+
+
+def test_many_sources(ready):
+    n = F.col("id")
+    rows = ready.range(2000).select(n.alias("doc_id"), F.concat_ws(" ", F.concat(F.lit("w"), n % 90), F.concat(F.lit("v"), n % 7)).alias("text"),
+                                    F.concat(F.lit("s"), F.least(n % 90, n % 80)).alias("source"))
+    rates, report = mixing.fit_rates(rows, "doc_id", "text", "source", exponent=0.5)
+    assert len(report) == 80 > mixing.FULL_METRIC and report.met
+    assert rates.count() == 2000
 
 
 def test_mixing_edge_cases(ready, awkward, nothing):
