@@ -16,7 +16,7 @@ from rungkit.llm.common import read, saved, ship_package
 
 SHINGLE_WORDS, MAX_BITS = 3, 3
 REPEAT_BYTES = 400
-MIX_EXPONENT = 0.9
+MIX_EXPONENT, MIX_MAX_RATE = 0.9, 3.0
 _KEY, _HASH = "__key_id", "__key_text"
 
 
@@ -61,15 +61,17 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to tempered weights by repeating documents of the
-    rarer ones; every document stays at least once."""
+    rarer ones; every document stays at least once and comes MIX_MAX_RATE times
+    at most.  Empty and null texts stay once; equal rows get equal numbers of
+    copies each."""
     ship_package(spark)
-    rates, _ = mixing.fit_rates(docs, "doc_id", "text", "source", exponent=MIX_EXPONENT, min_rate=1.0)
+    rates, _ = mixing.fit_rates(docs, "doc_id", "text", "source", exponent=MIX_EXPONENT, min_rate=1.0, max_rate=MIX_MAX_RATE)
     key = [F.col("doc_id"), F.col("text_hash")]
     times = (rates.select(F.col("doc_id").alias(_KEY), F.col("text_hash").alias(_HASH), F.col("domain").alias("__domain"),
                           mixing.copies(F.col("rate"), *key).alias("__copies")).distinct())
     same = (docs["doc_id"].eqNullSafe(times[_KEY]) & (F.xxhash64(docs["text"]) == times[_HASH])
             & docs["source"].eqNullSafe(times["__domain"]))
-    return (docs.join(times, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return (docs.join(times, same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))))
             .select(*docs.columns))
 
 
