@@ -4,13 +4,15 @@ The graph holds for every vector its ``DEGREE`` nearest found so far.  It
 starts from neighbours inside buckets of random projections, and each round
 joins neighbours of neighbours: both directions of every edge are gathered at
 their common end, and the vectors that meet there are compared with each
-other (a bounded list, so a round is linear in the number of vectors).  Each
-vector tells the others how near its worst neighbour is, so only improvements
-leave the task.
+other (a bounded list, so a round is linear in the number of vectors).  Edges
+that were there a round ago are old: only lists with a new edge are gathered,
+and two ends of old edges are not compared again.  Each vector tells the others
+how near its worst neighbour is, so only improvements leave the task.
 
 A query starts at its entry points and repeatedly expands what it has not
 expanded yet among the ``BEAM`` nearest found, along edges in both directions,
-until nothing is left to expand.  Every round is a join of the queries'
+until nothing is left to expand.  A warning says so when ROUNDS or
+SEARCH_ROUNDS ended a run that had not settled.  Every round is a join of the queries'
 frontier with the graph and with the vectors.
 
 Graph and search compare unit vectors in double precision, so that nearness
@@ -28,6 +30,7 @@ returned; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,7 +80,8 @@ def _bytes_matrix(c: pa.Array) -> np.ndarray:
 
 
 def build_graph(nodes: DataFrame, dim: int) -> DataFrame:
-    """``nodes``: node, vec (unit vector, doubles).  Returns edges ``u``, ``v``, ``sim``."""
+    """``nodes``: node, vec (unit vector, doubles).  Returns edges ``u``, ``v``, ``sim``, ``new``
+    (found in the last round)."""
     rng = np.random.default_rng(SEED)
     total = nodes.count()
     bits = max(0, int(np.ceil(np.log2(max(total, 1) / BUCKET_ROWS))))
@@ -100,15 +104,16 @@ def build_graph(nodes: DataFrame, dim: int) -> DataFrame:
     groups = (dealt.join(sizes, ["t", "code"]).withColumn("part", part)
               .groupBy("t", "code", "part")
               .agg(F.collect_list(F.struct("node", F.lit(-1.0).alias("worst"), "vec")).alias("met")))
-    edges = _nearest(_meet(groups, DEGREE // 2), None)
+    groups = groups.withColumn("met", F.transform("met", lambda x: x.withField("new", F.lit(True))))
+    edges = saved(_nearest(_meet(groups, DEGREE // 2), None), "ann-graph")
     for _ in range(ROUNDS):
-        edges = saved(edges, "ann-graph")
         met = _meet(_meetings(edges, nodes), PER_MEETING)
-        new = saved(_nearest(met, edges), "ann-graph")
-        changed = new.join(edges, ["u", "v"], "left_anti").count()
-        edges = new
+        edges = saved(_nearest(met, edges), "ann-graph")
+        changed = edges.where("new").count()
         if changed <= SETTLED * total * DEGREE:
             break
+    else:
+        warnings.warn(f"the graph still changed in {changed} of {total * DEGREE} edges after {ROUNDS} rounds", stacklevel=2)
     return edges
 
 
@@ -117,8 +122,8 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     that come first by a hash)."""
     rank = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("u", "v")))
     back = (edges.withColumn("r", rank).where(F.col("r") <= REVERSE)
-            .select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return edges.select("u", "v").union(back).distinct()
+            .select(F.col("v").alias("u"), F.col("u").alias("v"), "new"))
+    return edges.select("u", "v", "new").union(back).groupBy("u", "v").agg(F.max("new").alias("new"))
 
 
 def _meetings(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -129,18 +134,20 @@ def _meetings(edges: DataFrame, nodes: DataFrame) -> DataFrame:
                          .alias("worst"))
     known = nodes.join(worst, "node", "left").select(
         F.col("node").alias("v"), F.coalesce("worst", F.lit(-1.0)).alias("worst"), "vec")
-    return (_both_ways(edges).join(known, "v").groupBy("u")
-            .agg(F.collect_list(F.struct(F.col("v").alias("node"), "worst", "vec")).alias("met")))
+    ends = saved(_both_ways(edges), "ann-ends")
+    live = ends.groupBy("u").agg(F.max("new").alias("any")).where("any").select("u")
+    return (ends.join(live, "u", "left_semi").join(known, "v").groupBy("u")
+            .agg(F.collect_list(F.struct(F.col("v").alias("node"), "worst", "vec", "new")).alias("met")))
 
 
 def _meet(groups: DataFrame, per_meeting: int) -> DataFrame:
     """Compare the members of each list: improvements ``u``, ``v``, ``sim``."""
-    flat = groups.select(F.col("met.node").alias("node"), F.col("met.worst").alias("worst"), F.col("met.vec").alias("vec"))
+    flat = groups.select(F.col("met.node").alias("node"), F.col("met.worst").alias("worst"), F.col("met.vec").alias("vec"), F.col("met.new").alias("new"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, c in _batches(batches, ["node", "worst", "vec"]):
+        for n, c in _batches(batches, ["node", "worst", "vec", "new"]):
             off, node = c["node"]
-            worst, x = c["worst"][1], c["vec"][1]
+            worst, x, new = c["worst"][1], c["vec"][1], c["new"][1].astype(bool)
             out = []
             for i in range(n):
                 a, b = off[i], off[i + 1]
@@ -148,12 +155,14 @@ def _meet(groups: DataFrame, per_meeting: int) -> DataFrame:
                     continue
                 sim = x[a:b] @ x[a:b].T
                 np.fill_diagonal(sim, -2.0)
+                old = np.flatnonzero(~new[a:b])
+                sim[np.ix_(old, old)] = -2.0
                 k = min(per_meeting, b - a - 1)
                 near = np.argpartition(sim, -k, axis=1)[:, -k:]
                 row = np.repeat(np.arange(b - a), k)
                 col = near.ravel()
                 s = sim[row, col]
-                good = s > worst[a:b][row]
+                good = (s > worst[a:b][row]) & (s > -1.5)
                 out.append((node[a:b][row[good]], node[a:b][col[good]], s[good]))
             if out:
                 u, v, s = (np.concatenate(z) for z in zip(*out))
@@ -166,11 +175,13 @@ def _meet(groups: DataFrame, per_meeting: int) -> DataFrame:
 
 
 def _nearest(found: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """The DEGREE nearest of every node."""
-    both = found if edges is None else found.union(edges)
+    """The DEGREE nearest of every node; ``new``: not in ``edges``."""
+    both = found.withColumn("new", F.lit(True))
+    if edges is not None:
+        both = both.union(edges.select("u", "v", "sim", F.lit(False)))
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    return (both.groupBy("u", "v").agg(F.max("sim").alias("sim")).withColumn("r", rank)
-            .where(F.col("r") <= DEGREE).select("u", "v", "sim"))
+    return (both.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new")).withColumn("r", rank)
+            .where(F.col("r") <= DEGREE).select("u", "v", "sim", "new"))
 
 
 def search(queries: DataFrame, entries: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -193,6 +204,8 @@ def search(queries: DataFrame, entries: DataFrame, edges: DataFrame, nodes: Data
             break
         wanted = (open_ends.join(around, "u").select("query", F.explode("next").alias("node")))
         state = state.withColumn("done", F.transform("done", lambda x: F.lit(True)))
+    else:
+        warnings.warn(f"some beams still grew after {SEARCH_ROUNDS} rounds", stacklevel=2)
     return state.select("query", F.explode("node").alias("node"))
 
 
@@ -226,6 +239,8 @@ def _merge_beams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
+    """Scaled by the largest components first, so that no square overflows or vanishes."""
+    a, b = a / np.abs(a).max(), b / np.abs(b).max()
     return float(np.dot(a, b) / (np.sqrt(np.dot(a, a)) * np.sqrt(np.dot(b, b))))
 
 

@@ -22,6 +22,7 @@ any length are encoded whole.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import struct
 from collections.abc import Iterator
@@ -93,6 +94,10 @@ class Vocabulary:
         self.ranks = [ranks[k] for k in self.keys]
         self.tokens = dict(zip(self.ranks, self.keys))
         self.byte_rank = [ranks[bytes([i])] for i in range(256)]
+        content = hashlib.sha256(pattern.encode())
+        for r in sorted(self.tokens):
+            content.update(b"%d:%d:%b" % (r, len(self.tokens[r]), self.tokens[r]))
+        self.digest = content.hexdigest()
 
     def rank(self, b: bytes) -> int:
         s = self.mph.slot(_xxh64(b))
@@ -245,22 +250,22 @@ def split_chunks(text: str) -> list[str]:
     return out
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def _encoder(bc) -> Encoder:
-    """One encoder (and memo) per worker process and vocabulary."""
-    if bc.id not in _encoders:
+def _encoder(shared) -> Encoder:
+    """One encoder (and memo) per worker process and vocabulary content."""
+    if shared.id not in _encoders:
         _encoders.clear()
-        _encoders[bc.id] = Encoder(bc.value)
-    return _encoders[bc.id]
+        _encoders[shared.id] = Encoder(shared.value)
+    return _encoders[shared.id]
 
 
 class _Shared:
-    """A broadcast vocabulary with a stable key for the worker's memo."""
+    """A broadcast vocabulary with the digest of its content."""
 
-    def __init__(self, bc):
-        self.bc, self.id = bc, id(bc)
+    def __init__(self, bc, digest: str):
+        self.bc, self.id = bc, digest
 
     @property
     def value(self):
@@ -268,7 +273,7 @@ class _Shared:
 
 
 def _broadcast(spark: SparkSession, vocab: Vocabulary) -> _Shared:
-    return _Shared(spark.sparkContext.broadcast(vocab))
+    return _Shared(spark.sparkContext.broadcast(vocab), vocab.digest)
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, vocab: Vocabulary) -> DataFrame:

@@ -14,13 +14,15 @@ a phrase of one more word is a pair (unit, word), counted over the same kind of
 tiles; and so on to the longest phrases.  What is frequent is the only thing
 carried on, since no phrase occurs more often than its parts.
 
-A chunk learns the ids of its words, and later of its units, from what it has
-distinct: words by a join of distinct words, pairs by sending its cells to the
-tile's ids (salted likewise) and getting back those that are frequent.  No
-dictionary is broadcast.
+The text is read twice, to count words and to write chunks of word ids.  The
+HEAD_WORDS most frequent words (of at most HEAD_LENGTH bytes, so the size is
+bounded) are handed to every task; where there are more frequent ones, a chunk
+learns their ids by a join of its other distinct words.  The ids of its units a
+chunk learns by sending its cells to the tile's ids (salted likewise) and
+getting back those that are frequent; no dictionary of pairs is broadcast.
 
 Pieces of text end at punctuation and line ends; phrases do not cross them.
-Chunks are cut at such ends only, so very long texts need no special care; one
+Texts are cut at such ends only, so very long ones need no special care; one
 piece alone is held whole.
 
 Counts are exact; scores are integers computed in decimals of 38 digits.
@@ -31,7 +33,9 @@ words; repeated rows count again; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +43,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rungkit.llm.common import keyed, saved
+from rungkit.llm.common import discard, keyed, saved
 from rungkit.llm.numbering import numbered
 
 TILE_BITS = 11
 TILE = 1 << TILE_BITS
 DENSE = TILE * TILE // 16        # pairs of a tile from which its cells are counted directly
-CHUNK_BYTES = 8 << 20            # text of a chunk
-HELD_CHUNKS = 3                  # chunks' text that a task holds over all groups
-SALTS = 16
+PART_BYTES = 1 << 20             # text cut into words at a time
+CHUNK_WORDS = 1 << 20            # words of a chunk
+HELD_CHUNKS = 3                  # chunks' words that a task holds over all groups
+HELD_WORDS = 300_000             # distinct words that a task counts before it passes them on
+HEAD_WORDS, HEAD_LENGTH = 1 << 18, 64
+SALTS = 8
 NO_GROUP = "und"
 _END = b"\xff"                   # ends a piece; no byte of UTF-8
 _CUT = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", _END * 10)
@@ -57,11 +64,14 @@ _TILE_KEYS = "lang string, r int, c int"
 def pack(x: np.ndarray) -> bytes:
     """32-bit integers by byte planes (small numbers leave planes of zeros,
     which compress away)."""
-    return x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    import zstandard
+    return zstandard.ZstdCompressor(level=1).compress(x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpack(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+    import zstandard
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel()
 
 
 def pack_cells(x: np.ndarray) -> bytes:
@@ -74,25 +84,11 @@ def unpack_cells(b: bytes) -> np.ndarray:
 
 # -- words -------------------------------------------------------------------
 
-class _Codes(dict):
-    def __missing__(self, word):
-        code = self[word] = len(self)
-        return code
-
-
-def _coded(text: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """(code of each word or -1 at a piece's end, distinct words, counts)."""
-    table = _Codes({_END: 0})
-    codes = np.fromiter(map(table.__getitem__, text.replace(_END, b" \xff ").split()), np.int64)
-    counts = np.bincount(codes, minlength=len(table))[1:]
-    return codes - 1, list(table)[1:], counts
-
-
 def _parts(text: bytes) -> Iterator[bytes]:
-    """A text cut at piece ends into parts of about a chunk."""
+    """A text cut at piece ends into parts of about PART_BYTES."""
     at = 0
-    while len(text) - at > CHUNK_BYTES:
-        end = text.find(_END, at + CHUNK_BYTES)
+    while len(text) - at > PART_BYTES:
+        end = text.find(_END, at + PART_BYTES)
         if end < 0:
             break
         yield text[at:end]
@@ -100,57 +96,129 @@ def _parts(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def _chunked(rows: DataFrame) -> DataFrame:
-    """chunk, lang, codes (packed), words, counts of rows (text, lang)."""
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """(group, words and ends of pieces) of about PART_BYTES of text each;
+    texts of a group are put together."""
+    held: dict[str, list] = {}
+    size: dict[str, int] = {}
+    for b in batches:
+        for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for part in _parts(text.encode().lower().translate(_CUT)):
+                held.setdefault(lang, []).append(part)
+                size[lang] = size.get(lang, 0) + len(part) + 50
+                if size[lang] >= PART_BYTES or sum(size.values()) >= 8 * PART_BYTES:
+                    most = max(size, key=size.get)
+                    del size[most]
+                    yield most, _words(held.pop(most))
+    for lang, parts in held.items():
+        yield lang, _words(parts)
+
+
+def _words(parts: list[bytes]) -> list[bytes]:
+    return _END.join([*parts, b""]).replace(_END, b" \xff ").split()
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """lang, word, n of rows (text, lang)."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, words in held.items():
+                words.pop(_END, None)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(words), pa.string()),
+                                                  "word": pa.array([w.decode() for w in words], pa.string()),
+                                                  "n": pa.array(list(words.values()), pa.int64())})
+            held.clear()
+
+        for lang, words in _by_group(batches):
+            held.setdefault(lang, Counter()).update(words)
+            if sum(map(len, held.values())) > HELD_WORDS:
+                yield from flush()
+        yield from flush()
+
+    return saved(rows.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "phrase-counts")
+
+
+class _Ids(dict):
+    """Ids of a chunk's words: the known ones, and codes from -2 down for others."""
+
+    def __init__(self, known: dict):
+        super().__init__(known)
+        self.others: list[bytes] = []
+
+    def __missing__(self, word):
+        self.others.append(word)
+        code = self[word] = -1 - len(self.others)
+        return code
+
+
+def _chunked(rows: DataFrame, vocab: DataFrame) -> DataFrame:
+    """chunk, lang, w: the ids of a chunk's words, -1 at ends and rare words."""
+    short = vocab.where(F.octet_length("word") <= HEAD_LENGTH).orderBy(F.desc("n"), "lang", "word").limit(HEAD_WORDS)
+    head: dict[str, dict[bytes, int]] = {}
+    for r in short.select("lang", "word", "idx").collect():            # HEAD_WORDS rows of HEAD_LENGTH bytes at most
+        head.setdefault(r.lang, {_END: -1})[r.word.encode()] = r.idx
+    known = sum(len(x) - 1 for x in head.values())
+    whole = vocab.count() == known                                     # no frequent word besides
+    shared = rows.sparkSession.sparkContext.broadcast(head)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
-        size: dict[str, int] = {}
+        ids: dict[str, _Ids] = {}
         number = TaskContext.get().partitionId() << 32
 
         def flush(lang: str) -> pa.RecordBatch:
             nonlocal number
-            codes, words, counts = _coded(_END.join(held.pop(lang)))
-            del size[lang]
             number += 1
+            others = ids.pop(lang).others if lang in ids else []
             return pa.RecordBatch.from_pydict({
                 "chunk": pa.array([number], pa.int64()), "lang": pa.array([lang], pa.string()),
-                "codes": pa.array([pack(codes)], pa.binary()),
-                "words": pa.array([[w.decode() for w in words]], pa.list_(pa.string())),
-                "counts": pa.array([counts.tolist()], pa.list_(pa.int64()))})
-
-        for b in batches:
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for part in _parts(text.encode().lower().translate(_CUT)):
-                    held.setdefault(lang, []).append(part)
-                    size[lang] = size.get(lang, 0) + len(part)
-                    if size[lang] >= CHUNK_BYTES:
-                        yield flush(lang)
-                while sum(size.values()) > HELD_CHUNKS * CHUNK_BYTES:
-                    yield flush(max(size, key=size.get))
+                "w": pa.array([pack(np.concatenate(held.pop(lang)))], pa.binary()),
+                "others": pa.array([[w.decode() for w in others]], pa.list_(pa.string()))})
+
+        for lang, words in _by_group(batches):
+            table = shared.value.get(lang, {_END: -1})
+            if whole:
+                got = np.fromiter(map(table.get, words, repeat(-1)), np.int32, len(words))
+            else:
+                if lang not in ids:
+                    ids[lang] = _Ids(table)
+                got = np.fromiter(map(ids[lang].__getitem__, words), np.int32, len(words))
+            held.setdefault(lang, []).append(got)
+            size = {x: sum(map(len, parts)) for x, parts in held.items()}
+            if size[lang] >= CHUNK_WORDS:
+                yield flush(lang)
+            elif sum(size.values()) > HELD_CHUNKS * CHUNK_WORDS or len(ids) > HELD_CHUNKS:
+                yield flush(max(size, key=size.get))
         for lang in list(held):
             yield flush(lang)
 
-    return saved(rows.mapInArrow(cut, "chunk bigint, lang string, codes binary, words array<string>, counts array<bigint>"), "phrase-chunks")
+    chunks = saved(rows.mapInArrow(cut, "chunk bigint, lang string, w binary, others array<string>"), "phrase-words")
+    return chunks.drop("others") if whole else _with_others(chunks, vocab)
 
 
-def _with_ids(chunks: DataFrame, vocab: DataFrame) -> DataFrame:
-    """chunk, lang, w: the ids of a chunk's words, -1 at ends and rare words."""
-    seen = chunks.select("chunk", "lang", F.posexplode("words").alias("spot", "word"))
+def _with_others(chunks: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``chunks`` with the ids of the words beyond the head."""
+    seen = chunks.select("chunk", "lang", F.posexplode("others").alias("spot", "word"))
     own = (seen.join(vocab.select("lang", "word", "idx"), ["lang", "word"])
-           .groupBy("chunk").agg(F.collect_list(F.struct("spot", "idx")).alias("known")))
+           .groupBy("chunk").agg(F.collect_list(F.struct("spot", "idx")).alias("known")))      # of a chunk's words
 
     def translate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             known = b.column("known")
             for i in range(b.num_rows):
-                pairs = known[i].values
-                table = np.full(b.column("n")[i].as_py() + 1, -1, np.int64)      # its last entry: ends of pieces
-                table[pairs.field("spot").to_numpy()] = pairs.field("idx").to_numpy()
+                w = unpack(b.column("w")[i].as_py()).astype(np.int64)
+                table = np.full(b.column("n")[i].as_py() + 1, -1, np.int64)
+                if known[i].is_valid:
+                    pairs = known[i].values
+                    table[pairs.field("spot").to_numpy()] = pairs.field("idx").to_numpy()
+                w = np.where(w < -1, table[np.minimum(-2 - w, len(table) - 1)], w)
                 yield pa.RecordBatch.from_pydict({
                     "chunk": b.column("chunk").slice(i, 1), "lang": b.column("lang").slice(i, 1),
-                    "w": pa.array([pack(table[unpack(b.column("codes")[i].as_py())])], pa.binary())})
+                    "w": pa.array([pack(w)], pa.binary())})
 
-    return saved(chunks.select("chunk", "lang", "codes", F.size("words").alias("n")).join(own, "chunk")
+    return saved(chunks.select("chunk", "lang", "w", F.size("others").alias("n")).join(own, "chunk", "left")
                  .mapInArrow(translate, "chunk bigint, lang string, w binary"), "phrase-words")
 
 
@@ -358,12 +426,10 @@ def frequent_phrases(df: DataFrame, text_col: str, group_col: str, least: int, m
     are their words' ids, ``firsts`` the counts of their beginnings."""
     rows = keyed(df, text_col, group_col).select(F.coalesce(F.col("c0").cast("string"), F.lit("")).alias("text"),
                                                  F.coalesce(F.col("c1").cast("string"), F.lit(NO_GROUP)).alias("lang"))
-    chunks = _chunked(rows)
-    counted = saved(chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x"))
-                    .groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("n")), "phrase-counts")
+    counted = _counted(rows)
     totals = saved(counted.groupBy("lang").agg(F.sum("n").alias("words")), "phrase-totals")
     vocab = saved(numbered(counted.where(F.col("n") >= least).withColumn("less", -F.col("n")), "lang", ["less", "word"], keep_n="size"), "phrase-vocabulary")
-    units = _with_ids(chunks, vocab).withColumn("u", F.lit(None).cast("binary"))
+    units = _chunked(rows, vocab).withColumn("u", F.lit(None).cast("binary"))
     words = vocab.select("lang", "idx", F.array("idx").alias("ids"), F.col("word").alias("phrase"), F.col("n").alias("a"),
                          F.array().cast("array<bigint>").alias("firsts"))
     found, shorter = [words], words
@@ -378,9 +444,13 @@ def frequent_phrases(df: DataFrame, text_col: str, group_col: str, least: int, m
                         .select("lang", "idx", F.concat("s_ids", F.array("w")).alias("ids"), F.concat_ws(" ", "s_phrase", "word").alias("phrase"),
                                 F.col("n").alias("a"), F.concat("s_firsts", F.array("s_a")).alias("firsts")), f"phrase-found{k}")
         found.append(shorter)
-        if k == most_words or not shorter.limit(1).count():
+        more = k < most_words and bool(shorter.limit(1).count())
+        after = _renamed(units, partial, ranked, k) if more else None
+        for done in (units, partial, often):           # what comes after is written
+            discard(done)
+        if not more:
             break
-        units = _renamed(units, partial, ranked, k)
+        units = after
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)

@@ -22,6 +22,9 @@ _shipped: set[str] = set()
 HELD_OUT_MOD, HELD_OUT_REMAINDER = 4, 2
 
 
+ARROW_BYTES = 8 << 20
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name``."""
     def deco(fn):
@@ -71,8 +74,25 @@ def held_out(id_col: Column) -> Column:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write under ``spark.checkpoint.dir`` and read back: computed once,
-    lineage cut, safe against lost executors."""
-    return materialize(df, f"llm-{name}")
+    lineage cut, safe against lost executors.  Rows reach Python in batches of
+    at most ARROW_BYTES meanwhile."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key, None)
+    conf.set(key, str(min(ARROW_BYTES, int(before or ARROW_BYTES))))
+    try:
+        return materialize(df, f"llm-{name}")
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the written table ``df`` reads, once all that was made of it is
+    written itself."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/rungkit/llm-" in folder:                   # only what saved() wrote
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def uniform_open(*cols: Column, seed: int) -> Column:

@@ -12,11 +12,12 @@ the other keys go to the shard of their key, equal pieces as one with a count,
 and each shard's suffixes are sorted by external induced sorting
 (:mod:`rungkit.llm.induced_sort`), whose common-prefix values mark the windows.
 
-Shards are cut by size at key boundaries.  A key whose distinct pieces exceed a
-shard (a passage in very many contexts) is parted: each of its windows is keyed
-by the hash of its whole content, keys that stand at one place only go, and the
-windows left are sorted as pieces of their own.  So no shard grows with the
-input; one of SHARD_BYTES takes about 100 bytes of memory a byte.
+Shards are cut by size at key boundaries.  A key with more is one shard, which
+the sort takes in bounded memory (its pieces are held, everything else is in
+disk-backed arrays).  A key beyond WIDE_BYTES (a passage in very many contexts)
+is parted: each of its windows is keyed by the hash of its whole content, keys
+that stand at one place only go, and the windows left are sorted as pieces of
+their own.  So no shard grows with the input.
 
 Rows are handled by the digest of their text.  A text that occurs twice goes
 whole, since its copies are each other's second place; to other texts all its
@@ -42,8 +43,9 @@ from rungkit.llm.induced_sort import Workspace, suffix_array
 
 GRAM = 128                # bytes hashed at once; at most the length
 PIECE_WINDOWS = 4096      # windows of a piece at most
-BATCH_BYTES = 1 << 20     # bytes hashed together
-SHARD_BYTES = 5 << 18     # bytes sorted together; a key with more is parted by whole windows
+BATCH_BYTES = 1 << 18     # bytes hashed together
+SHARD_BYTES = 5 << 18     # bytes sorted together, as far as keys allow
+WIDE_BYTES = 24 << 20     # bytes of a key from which it is parted by whole windows
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _powers: dict[int, tuple] = {}
@@ -132,38 +134,44 @@ def _pieces(texts: list[bytes], length: int, gram: int):
     return [np.concatenate(x) for x in zip(*out)] if out else None
 
 
-def repeated_windows(pieces: list[bytes], windows: list[int], twice: list[bool], length: int) -> list[np.ndarray]:
+def repeated_windows(pieces: list[bytes], windows: list[int], twice: list[bool], length: int,
+                     work: Workspace | None = None) -> list[np.ndarray]:
     """For each of the distinct ``pieces``, which of its first ``windows``
     starts begin a string of ``length`` bytes that starts elsewhere too.
     ``twice``: the piece itself occurs more than once."""
     sizes = np.array([len(p) + 1 for p in pieces])
     start = np.cumsum(sizes) - sizes
-    b = np.frombuffer(b"\x00".join(pieces) + b"\x00", dtype=np.uint8)
-    text = np.empty(len(b) + 1, dtype=np.uint16)
-    text[:-1] = b
-    text[:-1] += 2
-    text[start + sizes - 1] = 1            # between pieces
-    text[-1] = 0
-    marked = np.zeros(len(text), dtype=bool)
-    counted = np.zeros(len(text), dtype=bool)
-    for s, n, more in zip(start, windows, twice):
-        counted[s:s + n] = True
-        if more:
-            marked[s:s + n] = True
-    with Workspace() as work:
+    n = int(sizes.sum()) + 1
+    with work or Workspace() as work:
+        text, marked, counted = work.array(n, np.uint16), work.array(n, bool), work.array(n, bool)
+        for s, p, k, more in zip(start.tolist(), pieces, windows, twice):
+            b = np.frombuffer(p, dtype=np.uint8)
+            text[s:s + len(b)] = b
+            text[s:s + len(b)] += 2
+            text[s + len(b)] = 1               # between pieces
+            counted[s:s + k] = True
+            if more:
+                marked[s:s + k] = True
+        text[n - 1] = 0
         order, common = suffix_array(text, work)
         # windows of pieces, in suffix order; a place that is no window of its
         # own piece repeats one that is, so it stands between without harm
-        spot = np.flatnonzero(counted[order])
-        between = np.minimum.reduceat(common, np.minimum(spot[:-1] + 1, len(common) - 1)) if len(spot) > 1 else []
-        if len(spot) > 1:
-            between[-1] = common[spot[-2] + 1:spot[-1] + 1].min()
-            hit = np.flatnonzero(np.asarray(between) >= length)
-            places = order[spot]
+        last, least = None, 0
+        for lo, hi in work.blocks(n):
+            places, near = np.array(order[lo:hi]), np.array(common[lo:hi])
+            spot = np.flatnonzero(counted[places])
+            if not len(spot):
+                least = min(least, int(near.min()))
+                continue
+            between = np.minimum.reduceat(near[:spot[-1] + 1], np.append(0, spot[:-1] + 1))
+            places = places[spot]
+            between[0] = min(int(between[0]), least) if last is not None else 0
+            before = np.append(places[0] if last is None else last, places[:-1])
+            hit = between >= length
             marked[places[hit]] = True
-            marked[places[hit + 1]] = True
-        del order, common
-    return [marked[s:s + n] for s, n in zip(start, windows)]
+            marked[before[hit]] = True
+            last, least = places[-1], int(near[spot[-1] + 1:].min()) if spot[-1] + 1 < len(near) else 1 << 30
+        return [np.array(marked[s:s + k]) for s, k in zip(start.tolist(), windows)]
 
 
 def _runs(flag: np.ndarray) -> list[tuple[int, int]]:
@@ -216,7 +224,7 @@ def _extracted(texts: DataFrame, pieces: DataFrame, length: int) -> DataFrame:
                     piece = b[x["lo"]:x["hi"] + length]
                     rows.append((x["key"], hashlib.blake2b(piece, digest_size=16).digest(), digest, x["lo"], piece))
                     size += len(piece)
-                    if size > 16 << 20:
+                    if size > 4 << 20:
                         yield pd.DataFrame(rows, columns=names)
                         rows, size = [], 0
             if rows:
@@ -237,17 +245,13 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
                                           .alias("spans")), "copied")
     pieces = _keyed_pieces(long, length, gram)
     found = _extracted(long, pieces.join(_shared_keys(pieces), "key", "left_semi"), length)
-    distinct = found.groupBy("key", "piece").agg(F.max(F.octet_length("bytes")).alias("size"))
-    wide = saved(distinct.groupBy("key").agg(F.sum("size").alias("size")).where(F.col("size") > SHARD_BYTES).select("key"), "wide-keys")
-    marked = _marked(found.join(wide, "key", "left_anti"), length)
-    runs = _starts(found, marked, length)
+    distinct = found.groupBy("key", "piece", "bytes").agg(F.count("*").alias("n"))
+    sizes = found.groupBy("key", "piece").agg(F.max(F.octet_length("bytes")).alias("size"))
+    wide = saved(sizes.groupBy("key").agg(F.sum("size").alias("size")).where(F.col("size") > WIDE_BYTES).select("key"), "wide-keys")
+    marked = _marked(distinct.join(wide, "key", "left_anti"), length)
     if wide.limit(1).count():
-        # a key beyond a shard: its windows get keys of their own, and only those seen twice go on
-        inner = found.join(wide, "key", "left_semi")
-        windows = _window_pieces(inner, length)
-        again = _window_bytes(inner, windows.join(_shared_keys(windows), "key", "left_semi"), length)
-        runs = (runs.unionByName(_starts(again, _marked(again, length), length))
-                .groupBy("digest").agg(F.flatten(F.collect_list("runs")).alias("runs")))
+        marked = marked.unionByName(_marked_windows(saved(distinct.join(wide, "key", "left_semi"), "wide-pieces"), length))
+    runs = _starts(found, marked, length)
 
     @F.pandas_udf("array<struct<a:bigint,b:bigint>>")
     def merge(s: pd.Series) -> pd.Series:
@@ -257,42 +261,39 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
             .unionByName(copied))
 
 
-def _window_pieces(found: DataFrame, length: int) -> DataFrame:
-    """Every window of the pieces ``found`` as a piece, keyed by its whole content."""
+def _marked_windows(distinct: DataFrame, length: int) -> DataFrame:
+    """key, piece, runs of the ``distinct`` pieces of keys that are no shard:
+    each window gets a key of its own, the hash of its whole content, and those
+    whose key stands twice are sorted as pieces."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            digest, base = pdf["digest"].to_numpy(), pdf["lo"].to_numpy()
-            half = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
-            for i, b in enumerate(pdf["bytes"]):
-                key = gram_hashes(np.frombuffer(b, np.uint8), length).view(np.int64)
-                lo = base[i] + np.arange(len(key))
-                yield pd.DataFrame({"digest": [digest[i]] * len(key), "d1": half[i, 0], "d2": half[i, 1], "lo": lo, "key": key,
-                                    "moves": False, "start": base[i]})
-
-    return saved(found.select("digest", "lo", "bytes").mapInPandas(
-        cut, "digest binary, d1 bigint, d2 bigint, lo bigint, key bigint, moves boolean, start bigint"), "windows")
+            half = np.frombuffer(b"".join(pdf["piece"]), "<i8").reshape(-1, 2)
+            for i, (key, piece, b, n) in enumerate(zip(pdf["key"], pdf["piece"], pdf["bytes"], pdf["n"])):
+                own = gram_hashes(np.frombuffer(b, np.uint8), length).view(np.int64)
+                yield pd.DataFrame({"key": own, "d1": half[i, 0], "d2": half[i, 1], "lo": np.arange(len(own)), "moves": n > 1,
+                                    "of": key, "piece": [piece] * len(own)})
 
-
-def _window_bytes(found: DataFrame, windows: DataFrame, length: int) -> DataFrame:
-    """key, piece, digest, lo, bytes of ``windows`` (each inside the piece of
-    ``found`` that starts at its ``start``)."""
-    own = windows.groupBy("digest", "start").agg(F.collect_list(F.struct("lo", "key")).alias("want"))     # a piece's windows
+    windows = saved(distinct.mapInPandas(cut, "key bigint, d1 bigint, d2 bigint, lo bigint, moves boolean, of bigint, piece binary"), "windows")
+    twice = windows.join(_shared_keys(windows), "key", "left_semi")
+    own = twice.groupBy("of", "piece").agg(F.collect_list(F.struct("lo", "key")).alias("want"))        # a piece's windows
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for digest, start, b, want in zip(pdf["digest"], pdf["start"], pdf["bytes"], pdf["want"]):
-                part = [b[x["lo"] - start:x["lo"] - start + length] for x in want]
+            for of, piece, b, n, want in zip(pdf["key"], pdf["piece"], pdf["bytes"], pdf["n"], pdf["want"]):
+                part = [b[x["lo"]:x["lo"] + length] for x in want]
                 yield pd.DataFrame({"key": [x["key"] for x in want], "piece": [hashlib.blake2b(p, digest_size=16).digest() for p in part],
-                                    "digest": [digest] * len(part), "lo": [x["lo"] for x in want], "bytes": part})
+                                    "bytes": part, "n": n, "of": of, "whole": [piece] * len(part), "lo": [x["lo"] for x in want]})
 
-    return saved(found.select("digest", F.col("lo").alias("start"), "bytes").join(own, ["digest", "start"])
-                 .mapInPandas(extract, "key bigint, piece binary, digest binary, lo bigint, bytes binary"), "window-pieces")
+    found = saved(distinct.join(own.withColumnRenamed("of", "key"), ["key", "piece"])
+                  .mapInPandas(extract, "key bigint, piece binary, bytes binary, n bigint, of bigint, whole binary, lo bigint"), "window-pieces")
+    marked = _marked(found.groupBy("key", "piece", "bytes").agg(F.sum("n").alias("n")), length).select("key", "piece")
+    return (found.select("key", "piece", "of", "whole", "lo").join(marked, ["key", "piece"])
+            .groupBy(F.col("of").alias("key"), F.col("whole").alias("piece"))
+            .agg(F.collect_list(F.struct(F.col("lo").alias("a"), (F.col("lo") + 1).alias("b"))).alias("runs")))
 
 
-def _marked(found: DataFrame, length: int) -> DataFrame:
+def _marked(distinct: DataFrame, length: int) -> DataFrame:
     """key, piece, runs of window starts that begin repeated strings."""
-    distinct = found.groupBy("key", "piece", "bytes").agg(F.count("*").alias("n"))
-
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _shards(batches):
             got = repeated_windows(pdf["bytes"].tolist(), [len(x) - length + 1 for x in pdf["bytes"]],

@@ -27,6 +27,8 @@ from rungkit.session import scratch_path
 
 RULES = "no added specials;special strings by the library's default;no truncation;no padding"
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens bigint"
+#: tasks over which copies of one text are dealt when they get its count
+SALTS = 8
 
 
 class Counter:
@@ -112,8 +114,8 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, counter: Counter,
     known = (read_cache(spark, cache_path).where(F.col("tokenizer") == counter.version)
              .groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))
     # one row per digest leaves each map task, however many copies a text has
-    misses = (hashed.select("digest", "text").join(known.select("digest"), "digest", "left_anti")
-              .groupBy("digest").agg(F.first("text").alias("text")))
+    misses = (hashed.groupBy("digest").agg(F.first("text").alias("text"))
+              .join(known.select("digest"), "digest", "left_anti"))
     shared = spark.sparkContext.broadcast(counter)
 
     @F.pandas_udf("bigint")
@@ -126,6 +128,9 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, counter: Counter,
      .write.mode("append").parquet(cache_path))
     stored = (read_cache(spark, cache_path).where(F.col("tokenizer") == counter.version)
               .groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))
-    return (hashed.select("c0", "digest", F.octet_length("text").cast("bigint").alias("n_bytes"))
-            .join(stored, "digest")
+    # copies of a text are dealt over SALTS tasks, and so is its count
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("salt")
+    stored = stored.select("digest", "n_tokens", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    return (hashed.select("c0", "digest", F.octet_length("text").cast("bigint").alias("n_bytes"), salt)
+            .join(stored, ["digest", "salt"])
             .select(F.col("c0").alias(id_col), "digest", "n_bytes", "n_tokens"))

@@ -79,15 +79,19 @@ def corpus(seed, n, words):
     return rows
 
 
-@pytest.mark.parametrize("seed,n,words,least", [(1, 300, 40, 5), (2, 600, 5000, 2)])
-def test_equals_brute_force(ready, seed, n, words, least):
+@pytest.mark.parametrize("seed,n,words,least,head", [(1, 300, 40, 5, None), (2, 600, 5000, 2, None), (3, 300, 60, 4, 25)])
+def test_equals_brute_force(ready, monkeypatch, seed, n, words, least, head):
+    if head:                                # the rest of the words by a join, and many small chunks
+        monkeypatch.setattr(co, "HEAD_WORDS", head)
+        monkeypatch.setattr(co, "CHUNK_WORDS", 50)
+        monkeypatch.setattr(co, "HELD_WORDS", 30)
     rows = corpus(seed, n, words)
     df = ready.createDataFrame(rows, "text string, lang string").repartition(6)
     assert run(df, least, 5, 2000) == brute(rows, least, 5, 2000)
 
 
 def test_long_texts_are_cut_at_piece_ends():
-    text = co._END.join(b"a b c" for _ in range(3 * co.CHUNK_BYTES // 6)) + b" " + b"x" * (2 * co.CHUNK_BYTES)
+    text = co._END.join(b"a b c" for _ in range(3 * co.PART_BYTES // 6)) + b" " + b"x" * (2 * co.PART_BYTES)
     parts = list(co._parts(text))
     assert len(parts) > 1 and co._END.join(parts) == text
 

@@ -114,12 +114,36 @@ def test_induced_sort_equals_naive(monkeypatch, least):
         if it % 3 == 0:
             t = np.tile(t[:4], 15)
         t = np.append(t, 0)
-        small = {"queue_bytes": 64, "array_bytes": 16} if it % 2 else {}     # everything through disk
+        small = [{}, {"queue_bytes": 64, "array_bytes": 16}, {"queue_bytes": 64, "array_bytes": 16, "block": 3}][it // 2 % 3]     # through disk, in blocks
         with induced_sort.Workspace(**small) as work:
             sa, lcp = induced_sort.suffix_array(t, work)
             assert (list(sa), list(lcp)) == naive_suffixes(t.tolist())
 
 
+def test_induced_sort_of_a_text_ten_times_its_memory():
+    import tracemalloc
+    memory, n = 1 << 19, 10 << 19
+    rng = np.random.default_rng(17)
+    words = [rng.integers(3, 29, int(rng.integers(2, 9))) for _ in range(3000)]
+    text = np.concatenate([np.append(words[min(int(i), 2999)], 2) for i in rng.pareto(0.8, n // 4) * 3])[:n].astype(np.uint16)
+    text[n // 2:n // 2 + 20_000] = text[:20_000]         # a long repeat
+    text = np.append(text, 0).astype(np.uint16)
+    tracemalloc.start()
+    try:
+        with induced_sort.Workspace.within(memory) as work:
+            sa, lcp = induced_sort.suffix_array(text, work)
+            peak = tracemalloc.get_traced_memory()[1]
+            sa, lcp = np.array(sa), np.array(lcp)
+    finally:
+        tracemalloc.stop()
+    assert peak < 2 * memory
+    assert (np.sort(sa) == np.arange(len(text))).all() and lcp.max() >= 20_000
+    for i in rng.integers(1, len(text), 20_000).tolist():        # neighbours differ after their common prefix, in order
+        a, b, k = int(sa[i - 1]), int(sa[i]), int(lcp[i])
+        assert k == 0 or (text[a:a + k] == text[b:b + k]).all()
+        assert text[a + k] < text[b + k]
+
+
 def slow_removal(texts, length):
     from collections import Counter
     b = [(t or "").encode() for t in texts]
@@ -224,7 +248,7 @@ def test_pieces_of_copies_are_taken_once(ready, monkeypatch):
 
 @pytest.mark.parametrize("limit", [1, 3000])
 def test_wide_keys_are_parted_by_whole_windows(ready, monkeypatch, limit):
-    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", limit)
+    monkeypatch.setattr(suffix_dedup, "WIDE_BYTES", limit)
     rng = np.random.default_rng(21)
     word = lambda n: "".join(rng.choice(list("abcdé "), n))
     passage = word(50)              # one key in very many contexts, some of them twice

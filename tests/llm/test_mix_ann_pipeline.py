@@ -173,6 +173,40 @@ def test_neighbours_recall_in_a_crowd(ready):
     assert hits >= 0.9 * 5 * len(asked), hits / (5 * len(asked))
 
 
+def test_very_small_and_large_components(ready):
+    rows = [(0, [1e-200, 0.0, 0.0]), (1, [1e200, 1e200, 0.0]), (2, [0.0, 5e-324, 0.0]), (3, [1e300, 0.0, 1e300]), (4, [-1.0, 0.0, 1e-300]),
+            (50, [2.0, 2.0, 1.0])]
+    df = ready.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.nearest_neighbours(df, "vec_id", "embedding", F.col("c0") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id, r.score))
+    want = {0: [(1, 2 ** -0.5), (3, 2 ** -0.5), (50, 2 / 3), (2, 0.0), (4, -1.0)],
+            50: [(1, 4 / 3 / 2 ** 0.5), (3, 3 / 3 / 2 ** 0.5), (0, 2 / 3), (2, 2 / 3), (4, -2 / 3)]}
+    for q, rows in want.items():
+        ids, scores = zip(*[(i, s) for _, i, s in sorted(got[q])])
+        assert np.allclose(scores, [s for _, s in rows])
+        assert sorted(ids) == sorted(i for i, _ in rows) and ids[-1] == rows[-1][0]
+
+
+def test_clashing_columns(ready):
+    from rungkit.llm import embed_dedup
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(120)]
+    plain = ready.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    clash = plain.select("*", *[F.lit("x").alias(c) for c in ("c0", "c1", "key", "vec", "node", "u", "v", "sim", "new", "query", "ids", "salt",
+                                                              "cell", "n", "component", "group", "id", "score", "rank")])
+    near = lambda d: sorted(map(tuple, ann.nearest_neighbours(d, "vec_id", "embedding", F.col("c0") % 50 == 0).collect()))
+    dup = lambda d: sorted((r.vec_id, r.n_links, r.component_id) for r in embed_dedup.near_duplicates(d, "vec_id", "embedding", 0.9).collect())
+    assert near(plain) == near(clash) and dup(plain) == dup(clash)
+
+
+def test_old_pairs_are_not_compared_again(ready):
+    vec = [np.array(v, dtype=float).tobytes() for v in ([1, 0], [0.8, 0.6], [0.6, 0.8])]
+    met = [[(i, -1.0, bytearray(v), i == 2) for i, v in enumerate(vec)]]
+    groups = ready.createDataFrame([(m,) for m in met], "met array<struct<node:bigint,worst:double,vec:binary,new:boolean>>")
+    got = sorted((r.u, r.v) for r in ann._meet(groups, 6).collect())
+    assert got == [(0, 2), (1, 2), (2, 0), (2, 1)]
+
+
 def test_neighbours_edge_cases(ready):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.5, 0.5]), (4, None), (5, [0.0, 0.0]),
             (6, [float("nan"), 1.0]), (7, [1.0, 1.0, 1.0]), (None, [1.0, 0.1]), (50, [1.0, None])] + \
