@@ -3,12 +3,13 @@
 Input is an attempts table ``(sample_id, step, pos, portion, reward, split)``
 in arrival order ``(step, pos)``. The per-sample ledger, the step
 contributions, the global moving-average bounds and the sampling policy
-are all window / aggregate jobs keyed by ``sample_id``; only the global
-moving average is a sequential fold, and it runs over one row per step.
+are window / aggregate jobs; what is sequential (runs of a sample, moving
+averages) is a prefix scan over associative summaries of blocks.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from rungkit.functions.hashing import uniform
 from rungkit.operators.materialize import materialize
+from rungkit.operators.ordering import assign_index
 
 
 @dataclass(frozen=True)
@@ -44,18 +46,62 @@ def _local_runs(att: DataFrame, key: str) -> DataFrame:
                     (F.sum("_chg").over(w.rowsBetween(UNBOUNDED, 0)) - 1).cast("int").alias("local_run"))
 
 
-def ledger_segments(att: DataFrame, key: str = "sample_id", prior: DataFrame | None = None) -> DataFrame:
-    """One row per (sample, step, local run) with a per-sample ``run_id``.
+def _step_summaries(seg: DataFrame, key: str) -> DataFrame:
+    """One row per (sample, step): first and last portion, number of runs, and
+    count and sum of the last run's part in the step.  These summaries are
+    associative: a sample's history is their product in step order."""
+    last = F.max_by(F.struct("portion", "n", "reward_sum"), "local_run")
+    return (seg.groupBy(key, "step")
+            .agg(F.min_by("portion", "local_run").alias("first_p"), last.alias("tail"), F.max("local_run").alias("top"))
+            .select(key, "step", "first_p", F.col("tail.portion").alias("last_p"), (F.col("top") + 1).cast("bigint").alias("runs"),
+                    F.col("tail.n").alias("tail_n"), F.col("tail.reward_sum").alias("tail_s")))
+
+
+def _carries(summaries: DataFrame, key: str, prior: DataFrame | None) -> DataFrame:
+    """What every (sample, step) finds when it begins: ``joins`` (its first run
+    continues the one before), ``base`` (runs begun before it) and
+    ``open_n`` / ``open_s`` (count and sum of the run that is open).
+
+    A prefix scan over summary rows: at most one per training step and
+    sample, however many attempts or changes of portion a step has.
+    """
+    s = summaries.withColumn("is_prior", F.lit(False))
+    if prior is not None:
+        p = prior.select(key, F.lit(None).cast(s.schema["step"].dataType).alias("step"), F.col("last_portion").alias("first_p"),
+                         F.col("last_portion").alias("last_p"), F.lit(1).cast("bigint").alias("runs"),
+                         F.col("run_n").alias("tail_n"), F.col("run_sum").alias("tail_s"), F.lit(True).alias("is_prior"))
+        s = s.unionByName(p)
+    w = Window.partitionBy(key).orderBy(F.desc("is_prior"), "step")
+    before = F.lag("last_p").over(w)
+    s = s.withColumn("joins", before.isNotNull() & (before == F.col("first_p")))
+    # runs that begin here; those of the stored state were counted by it
+    begun = F.when(F.col("is_prior"), 0).otherwise(F.col("runs") - F.col("joins").cast("bigint"))
+    s = s.withColumns({"begun": begun, "fresh": ((F.col("runs") > 1) | ~F.col("joins")).cast("bigint")})
+    s = s.withColumns({"base": F.sum("begun").over(w.rowsBetween(UNBOUNDED, 0)) - F.col("begun"),
+                       "stretch": F.sum("fresh").over(w.rowsBetween(UNBOUNDED, 0))})
+    # the open run: this step's part of it, and, if it began before, all since
+    o = Window.partitionBy(key, "stretch").orderBy(F.desc("is_prior"), "step").rowsBetween(UNBOUNDED, 0)
+    s = s.withColumns({"out_n": F.sum("tail_n").over(o), "out_s": F.sum("tail_s").over(o)})
+    zero = F.lit(0)
+    s = s.withColumns({"open_n": F.when(F.col("joins"), F.lag("out_n").over(w)).otherwise(zero),
+                       "open_s": F.when(F.col("joins"), F.lag("out_s").over(w)).otherwise(zero.cast("double"))})
+    return s.filter(~F.col("is_prior")).select(key, "step", "joins", "base", "open_n", "open_s", (F.col("runs") - 1).alias("top"))
 
-    Two-level gaps-and-islands: runs are found inside each (sample, step)
-    (a row-level window whose partitions are one sample-step), then linked
-    across steps by one window over the segment rows of a sample, ordered
-    by (step, local_run): a step's first segment continues the previous
-    run when its portion equals the previous segment's. A sample with a
-    very long history is thus never sorted row by row in one task.
 
-    ``prior`` (key, last_portion, ...) carries state from earlier steps: a
-    sample's first new segment continues the stored run when the portions
+def ledger_segments(att: DataFrame, key: str = "sample_id", prior: DataFrame | None = None) -> DataFrame:
+    """One row per (sample, step, local run): its count and sum, a per-sample
+    ``run_id``, the running ``cum_n`` / ``cum_s`` of its run at its end, and
+    ``is_last_in_step``.
+
+    Blocked prefix scan: runs are found inside each (sample, step) by a window
+    whose partitions are one sample-step; a step is summed up in one row
+    (first and last portion, runs, open run), the summaries of a sample are
+    scanned in order, and what each step finds at its beginning is joined back
+    to its runs.  A sample with a long history of changing portions is thus
+    never in one task row by row, nor run by run.
+
+    ``prior`` (key, last_portion, run_n, run_sum) carries state from earlier
+    steps: a sample's first new run continues the stored one when the portions
     are equal.
     """
     d = _local_runs(att, key)
@@ -65,17 +111,16 @@ def ledger_segments(att: DataFrame, key: str = "sample_id", prior: DataFrame | N
         F.sum("reward").alias("reward_sum"),
         F.min("pos").alias("first_pos"),
     )
-    if prior is not None:
-        seg = seg.join(prior.select(key, F.col("last_portion").alias("_prior_p")), key, "left")
-    else:
-        seg = seg.withColumn("_prior_p", F.lit(None).cast("double"))
-    w = Window.partitionBy(key).orderBy("step", "local_run")
-    prev = F.coalesce(F.lag("portion").over(w), F.when(F.row_number().over(w) == 1, F.col("_prior_p")))
-    new_run = F.when((F.col("local_run") > 0) | prev.isNull() | (prev != F.col("portion")), 1).otherwise(0)
-    seg = seg.withColumns({"_new": new_run, "_next_step": F.lead("step").over(w)})
-    return seg.select(*[c for c in seg.columns if c not in ("_next_step", "_prior_p")],
-                      F.sum("_new").over(w.rowsBetween(UNBOUNDED, 0)).cast("bigint").alias("run_id"),
-                      F.coalesce(F.col("_next_step") != F.col("step"), F.lit(True)).alias("is_last_in_step"))
+    seg = materialize(seg, "run_segments")     # read for the summaries and for the join
+    c = _carries(_step_summaries(seg, key), key, prior)
+    c = c.select(F.col(key).alias("_k"), F.col("step").alias("_s"), "joins", "base", "open_n", "open_s", "top")
+    out = seg.join(c, F.col(key).eqNullSafe(F.col("_k")) & F.col("step").eqNullSafe(F.col("_s"))).drop("_k", "_s")
+    first = (F.col("local_run") == 0) & F.col("joins")
+    return out.select(key, "step", "local_run", "portion", "n", "reward_sum", "first_pos",
+                      (F.col("base") + F.col("local_run") + 1 - F.col("joins").cast("bigint")).cast("bigint").alias("run_id"),
+                      (F.col("n") + F.when(first, F.col("open_n")).otherwise(0)).cast("bigint").alias("cum_n"),
+                      (F.col("reward_sum") + F.when(first, F.col("open_s")).otherwise(0.0)).alias("cum_s"),
+                      (F.col("local_run") == F.col("top")).alias("is_last_in_step"))
 
 
 def attempt_ledger(att: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -97,37 +142,20 @@ def step_contribution(att: DataFrame, key: str = "sample_id", cfg: CurriculumCon
     """Per touched (sample, step): the last run's running mean reward and the
     upper/lower terms it adds to the step's moving-average update.
 
-    All windows share one partitioning (sample) and order (step, local_run):
-    the running count/sum of the current run = cumulative totals minus the
-    totals at the run's start (the latest start so far).
-
     ``prior`` = per-sample state after earlier steps (key, last_portion,
     run_n, run_sum, max_per_sample_ratio): a continuing run starts from the
     stored count/sum and the cap starts from the stored cap. Folding steps
     in pieces with ``prior`` gives the same result as one pass.
     """
     seg = ledger_segments(att, key, prior)
+    last = seg.filter("is_last_in_step").select(
+        key, "step", "run_id", "portion", (F.col("cum_s") / F.col("cum_n")).alias("run_mean_reward"),
+        F.col("cum_n").alias("run_n"), F.col("cum_s").alias("run_sum"))
     if prior is not None:
-        seg = seg.join(prior.select(key, F.col("run_n").alias("_pn"), F.col("run_sum").alias("_ps"),
-                                    F.col("max_per_sample_ratio").alias("_pmax")), key, "left")
+        caps = prior.select(F.col(key).alias("_k"), F.col("max_per_sample_ratio").alias("_pmax"))
+        last = last.join(caps, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
     else:
-        seg = seg.withColumns({"_pn": F.lit(None).cast("bigint"), "_ps": F.lit(None).cast("double"),
-                               "_pmax": F.lit(None).cast("double")})
-    w = Window.partitionBy(key).orderBy("step", "local_run")
-    upto = w.rowsBetween(UNBOUNDED, 0)
-    seg = seg.withColumns({"_cn": F.sum("n").over(upto), "_cs": F.sum("reward_sum").over(upto)})
-    # start of the current run; a run continuing the stored one starts "before" the new data
-    seg = seg.withColumns({
-        "_sn": F.coalesce(F.last(F.when(F.col("_new") == 1, F.col("_cn") - F.col("n")), ignorenulls=True).over(upto),
-                          -F.coalesce(F.col("_pn"), F.lit(0))),
-        "_ss": F.coalesce(F.last(F.when(F.col("_new") == 1, F.col("_cs") - F.col("reward_sum")),
-                                 ignorenulls=True).over(upto), -F.coalesce(F.col("_ps"), F.lit(0.0)))})
-    last = seg.filter("is_last_in_step").select(
-        key, "step", "run_id", "portion", "_pmax",
-        ((F.col("_cs") - F.col("_ss")) / (F.col("_cn") - F.col("_sn"))).alias("run_mean_reward"),
-        (F.col("_cn") - F.col("_sn")).cast("bigint").alias("run_n"),
-        (F.col("_cs") - F.col("_ss")).alias("run_sum"),
-    )
+        last = last.withColumn("_pmax", F.lit(None).cast("double"))
     ok = F.col("run_mean_reward") >= F.lit(cfg.reward_threshold)
     ws = Window.partitionBy(key).orderBy("step")
     max_before = F.coalesce(
@@ -158,34 +186,63 @@ def step_sums(contrib: DataFrame) -> DataFrame:
         F.sum("lower_term").alias("sum_lower"))
 
 
-def ema_bounds(contrib: DataFrame, cfg: CurriculumConfig = DEFAULT, init: tuple | None = None) -> DataFrame:
-    """Global moving-average bounds after every step that touched a sample.
+#: powers of alpha stay above e**-LOG_RANGE inside a block; e**-LOG_ZERO is zero in double precision
+LOG_RANGE, LOG_ZERO = 345.0, 746.0
+
+
+def ema_blocks(alpha: float) -> tuple[int, int]:
+    """(steps of a block, blocks that a block's end still reaches)."""
+    if alpha <= 0.0:
+        return 1, 1
+    if alpha >= 1.0:
+        return 1 << 62, 1
+    decay = -math.log(alpha)
+    block = max(1, int(min(LOG_RANGE / decay, 1 << 62)))
+    return block, math.ceil(LOG_ZERO / (block * decay)) + 1
 
-    A sequential fold, but over one summary row per training step (the
-    number of steps, not the data, bounds it). ``init`` = (mean_min,
-    mean_max) after earlier steps, to continue a fold incrementally.
+
+def ema_scan(df: DataFrame, order: str, alpha: float, columns: dict[str, tuple[str, float]]) -> DataFrame:
+    """``df`` with moving averages m = alpha m + (1 - alpha) x along the unique
+    non-null integer ``order``: ``columns`` maps a new column to (its x, its start).
+
+    Prefix scan over affine maps m -> A m + B.  Rows are numbered without a
+    global sort and cut into blocks; the map of a block's rows up to each row
+    is one running sum (of x over powers of alpha, which stay in range inside
+    a block), a block's end follows from the maps of the few blocks before it
+    that are not yet zero in double precision, and each row applies its map to
+    what its block starts from.  One task holds a block's rows, or one row a
+    block.
     """
-    a, b = float(cfg.alpha), float(1.0 - cfg.alpha)
-    per_step = step_sums(contrib)
-    arr = per_step.agg(F.array_sort(F.collect_list(
-        F.struct("step", "n_touched", "sum_upper", "sum_lower"))).alias("steps"))
-    out_t = "array<struct<step:int,n_touched:bigint,sum_upper:double,sum_lower:double," \
-            "mean_min_ratio:double,mean_max_ratio:double>>"
+    block, reach = ema_blocks(alpha)
+    d = assign_index(df, order, out="_i")
+    d = d.withColumns({"_b": F.expr(f"_i div {block}"), "_q": F.expr(f"_i % {block}").cast("double")})
+    up = F.pow(F.lit(float(alpha)), F.col("_q")) if alpha > 0 else F.lit(1.0)
+    w = Window.partitionBy("_b").orderBy("_q").rowsBetween(UNBOUNDED, 0)
+    local = {f"_l_{c}": F.sum(F.lit(1.0 - alpha) * F.col(x) / up).over(w) * up for c, (x, _) in columns.items()}
+    d = materialize(d.withColumns(local), "ema_blocks")
+    ends = d.groupBy("_b").agg(*[F.max_by(f"_l_{c}", "_q").alias(f"_e_{c}") for c in columns])
+    over = Window.orderBy("_b")                # one row a block
+    whole = float(alpha) ** block if alpha < 1 else 1.0
+    start = F.pow(F.lit(whole), F.col("_b").cast("double"))
+    carry = []
+    for c, (_, m0) in columns.items():
+        terms = [F.lit(whole ** j) * F.coalesce(F.lag(f"_e_{c}", j + 1).over(over), F.lit(0.0)) for j in range(reach)]
+        carry.append((sum(terms[1:], terms[0]) + start * F.lit(float(m0))).alias(f"_c_{c}"))
+    carries = ends.select(F.col("_b").alias("_cb"), *carry)
+    d = d.join(carries, F.col("_b") == F.col("_cb"))
+    after = F.pow(F.lit(float(alpha)), F.col("_q") + 1)
+    return d.select(*df.columns, *[(F.col(f"_l_{c}") + after * F.col(f"_c_{c}")).alias(c) for c in columns])
+
+
+def ema_bounds(contrib: DataFrame, cfg: CurriculumConfig = DEFAULT, init: tuple | None = None) -> DataFrame:
+    """Global moving-average bounds after every step that touched a sample
+    (see :func:`ema_scan`). ``init`` = (mean_min, mean_max) after earlier
+    steps, to continue incrementally."""
     lo0, hi0 = init if init is not None else (cfg.min_ratio, cfg.max_ratio)
-    init = F.struct(F.lit(float(lo0)).cast("double").alias("lo"),
-                    F.lit(float(hi0)).cast("double").alias("hi"),
-                    F.array().cast(out_t).alias("out"))
-
-    def merge(acc, x):
-        lo = F.lit(a) * acc["lo"] + F.lit(b) * (x["sum_lower"] / x["n_touched"])
-        hi = F.lit(a) * acc["hi"] + F.lit(b) * (x["sum_upper"] / x["n_touched"])
-        row = F.struct(x["step"].cast("int").alias("step"), x["n_touched"].alias("n_touched"),
-                       x["sum_upper"].alias("sum_upper"), x["sum_lower"].alias("sum_lower"),
-                       lo.alias("mean_min_ratio"), hi.alias("mean_max_ratio"))
-        return F.struct(lo.alias("lo"), hi.alias("hi"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    folded = arr.select(F.explode(F.aggregate("steps", init, merge)["out"]).alias("r"))
-    return folded.select("r.*")
+    per_step = materialize(step_sums(contrib), "step_sums").withColumns({
+        "_lo": F.col("sum_lower") / F.col("n_touched"), "_hi": F.col("sum_upper") / F.col("n_touched")})
+    return ema_scan(per_step, "step", float(cfg.alpha), {"mean_min_ratio": ("_lo", lo0), "mean_max_ratio": ("_hi", hi0)}).select(
+        F.col("step").cast("int").alias("step"), "n_touched", "sum_upper", "sum_lower", "mean_min_ratio", "mean_max_ratio")
 
 
 def final_bounds(ema: DataFrame, cfg: CurriculumConfig = DEFAULT) -> DataFrame:
