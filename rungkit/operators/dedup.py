@@ -33,7 +33,21 @@ def dedup_first(df: DataFrame, order: str, prompt: str = "prompt", mode: str = "
 
 
 def dedup_report(original: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows before and after, of two tables that are there anyway; where only
+    the counts are wanted, :func:`dedup_counts` reads the input once."""
     o = original.agg(F.count(F.lit(1)).cast("bigint").alias("original"))
-    kk = kept.agg(F.count(F.lit(1)).cast("bigint").alias("kept"))
-    r = o.crossJoin(kk).withColumn("removed", F.col("original") - F.col("kept"))
+    return _reduction(o.crossJoin(kept.agg(F.count(F.lit(1)).cast("bigint").alias("kept"))))      # one row each
+
+
+def _reduction(r: DataFrame) -> DataFrame:
+    r = r.withColumn("removed", F.col("original") - F.col("kept"))
     return r.withColumn("reduction_pct", F.round(F.col("removed") * 100.0 / F.nullif(F.col("original"), F.lit(0)), 2))
+
+
+def dedup_counts(df: DataFrame, prompt: str = "prompt", mode: str = "first_message") -> DataFrame:
+    """Rows, rows that stay (one per prompt) and what goes, in one pass: keys
+    are counted, then one row per key is summed up."""
+    k = F.coalesce(F.sha2(prompt_key(df, prompt, mode), 256), F.lit(""))
+    per = df.select(k.alias("_k")).groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    return _reduction(per.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("original"),
+                              F.count(F.lit(1)).cast("bigint").alias("kept")))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VAR_EPS = 1e-14
+from rungkit.operators.materialize import materialize
+from rungkit.operators.scan import prefix_sums
 
 
 def passk(n: Column, c: Column, k: Column) -> Column:
@@ -59,43 +60,72 @@ def trajectory_matrix(ledger: DataFrame, samples: DataFrame, key: str = "sample_
                .select(key, "t", "portion", "reward")
 
 
-def _moments(runs: DataFrame, cols, t_max_df: DataFrame) -> DataFrame:
-    """Per t, for each of ``cols``: mean and population std over samples with
-    history, the last value carried forward, without materialising the
-    sample x t matrix: sums over active runs at t plus cumulative sums of
-    the last values of samples whose history ended before t."""
-    aggs1, aggs2 = [F.count(F.lit(1)).alias("an")], [F.count(F.lit(1)).alias("fn")]
+def trajectory_runs(ledger: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Trajectories in run-length form: one row per run with its iteration
+    ``t_from`` and ``t_to`` (null for a sample's last run, which is carried
+    forward).  All that the matrix holds, in the size of the ledger."""
+    lens = ledger.groupBy(key).agg(F.max("run_id").alias("_r"))
+    return (ledger.join(lens, key)
+            .select(key, (F.col("run_id") - 1).alias("t_from"),
+                    F.when(F.col("run_id") < F.col("_r"), F.col("run_id") - 1).alias("t_to"),
+                    "portion", F.col("mean_reward").alias("reward")))
+
+
+def _merged(n1, m1, s1, n2, m2, s2):
+    """Mean and sum of squared deviations of two parts put together (only
+    non-negative terms are added, so equal values give exactly no spread)."""
+    n = n1 + n2
+    delta = m2 - m1
+    mean = F.when(n1 == 0, m2).when(n2 == 0, m1).otherwise(m1 + delta * n2 / n)
+    dev = F.when(n1 == 0, s2).when(n2 == 0, s1).otherwise(s1 + s2 + delta * delta * n1 * n2 / n)
+    return mean, dev
+
+
+def _sweep(runs: DataFrame, cols) -> DataFrame:
+    """Per iteration t, for each of ``cols``: count, mean and squared deviations
+    over all samples with history.
+
+    Interval sweep: at t stand the runs that end there and the last runs of
+    samples that ended at t or before.  The former are moments of the rows at t;
+    the latter are prefix merges of the moments of those that ended at each
+    iteration: their counts and means by prefix sums, and the deviations as the
+    prefix sum of what each merge adds.
+    """
+    def moments(df, by, tag):
+        aggs = [F.count(F.lit(1)).alias(f"{tag}n")]
+        for c in cols:
+            aggs += [F.avg(c).alias(f"{tag}m_{c}"), (F.var_pop(c) * F.count(c)).alias(f"{tag}s_{c}")]
+        return df.groupBy(F.col(by).alias("t")).agg(*aggs)
+
+    passing = moments(runs.filter("t_to is not null"), "t_from", "p")
+    ended = moments(runs.filter("t_to is null"), "t_from", "e")
+    top = runs.agg(F.max("t_from").alias("top"))                  # one row
+    ts = top.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top"))).alias("t"))
+    at = materialize(ts.join(ended, "t", "left").join(passing, "t", "left"), "sweep")
+    for c in cols:
+        at = at.withColumn(f"ew_{c}", F.coalesce(F.col("en") * F.col(f"em_{c}"), F.lit(0.0)))
+    at = prefix_sums(at, "t", {"N": "en", **{f"W_{c}": f"ew_{c}" for c in cols}})
+    own = F.coalesce(F.col("en"), F.lit(0))
+    before = F.col("N") - own
     for c in cols:
-        aggs1 += [F.sum(c).alias(f"a1_{c}"), F.sum(F.col(c) * F.col(c)).alias(f"a2_{c}")]
-        aggs2 += [F.sum(c).alias(f"f1_{c}"), F.sum(F.col(c) * F.col(c)).alias(f"f2_{c}")]
-    active = runs.groupBy("t").agg(*aggs1)
-    fin = runs.filter(F.col("t") == F.col("R") - 1).groupBy("R").agg(*aggs2)
-    w = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)   # one row per iteration
-    ts = t_max_df.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("T") - 1)).alias("t"))
-    fcols = ["fn"] + [f"{k}_{c}" for c in cols for k in ("f1", "f2")]
-    fin_t = ts.join(fin.withColumn("t", F.col("R")), "t", "left") \
-              .select("t", *[F.sum(F.coalesce(F.col(x), F.lit(0))).over(w).alias(x) for x in fcols])
-    m = fin_t.join(active, "t", "left")
-    n = F.coalesce("an", F.lit(0)) + F.col("fn")
-    out = [F.col("t"), n.cast("bigint").alias("n")]
+        m0 = (F.col(f"W_{c}") - F.col(f"ew_{c}")) / F.nullif(before, F.lit(0))
+        delta = F.col(f"em_{c}") - m0
+        add = F.when(own > 0, F.col(f"es_{c}") + F.when(before > 0, delta * delta * before * own / F.col("N")).otherwise(F.lit(0.0)))
+        at = at.withColumn(f"add_{c}", F.coalesce(add, F.lit(0.0)))
+    at = prefix_sums(at, "t", {f"D_{c}": f"add_{c}" for c in cols})
+    n1, n2 = F.coalesce(F.col("pn"), F.lit(0)), F.col("N")
+    out = [F.col("t"), (n1 + n2).cast("bigint").alias("n")]
     for c in cols:
-        s1 = F.coalesce(f"a1_{c}", F.lit(0.0)) + F.col(f"f1_{c}")
-        s2 = F.coalesce(f"a2_{c}", F.lit(0.0)) + F.col(f"f2_{c}")
-        mean = s1 / n
-        var = s2 / n - mean * mean
-        out += [mean.alias(f"{c}_mean"),
-                F.sqrt(F.when(var < F.lit(VAR_EPS), F.lit(0.0)).otherwise(var)).alias(f"{c}_std")]
-    return m.select(*out)
+        mean, dev = _merged(n1, F.col(f"pm_{c}"), F.col(f"ps_{c}"), n2, F.col(f"W_{c}") / F.nullif(n2, F.lit(0)), F.col(f"D_{c}"))
+        out += [mean.alias(f"{c}_mean"), F.sqrt(dev / (n1 + n2)).alias(f"{c}_std")]
+    return at.select(*out)
 
 
 def trajectory_bands(ledger: DataFrame, key: str = "sample_id", clip: bool = True) -> DataFrame:
     """Per iteration t: mean and population std of portion and reward over
     samples with history, band = mean +- std (clipped to [0, 1])."""
-    lens = ledger.groupBy(key).agg(F.max("run_id").alias("R"))
-    runs = ledger.select(key, (F.col("run_id") - 1).alias("t"), "portion",
-                         F.col("mean_reward").alias("reward")).join(lens, key)
-    T = lens.agg(F.max("R").alias("T"))   # one row
-    out = _moments(runs, ["portion", "reward"], T)
+    runs = materialize(trajectory_runs(ledger, key), "trajectory_runs")
+    out = _sweep(runs, ["portion", "reward"])
     for c in ("portion", "reward"):
         lo = F.col(f"{c}_mean") - F.col(f"{c}_std")
         hi = F.col(f"{c}_mean") + F.col(f"{c}_std")

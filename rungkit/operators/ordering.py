@@ -9,7 +9,9 @@ A contiguous 0-based rank in an explicit order is built in two passes:
    added to a ``row_number`` computed inside each bucket.
 
 Work per task is bounded by the bucket width, not by the table, so the
-rank survives a hot partition group and needs no driver loop.
+rank survives a hot partition group and needs no driver loop. Keys of any
+spread are ranked by sampled ranges of the key column instead
+(:func:`assign_index`).
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rungkit.functions.hashing import hash_key
+from rungkit.operators.materialize import materialize
 
 HASH_BUCKET_SHIFT = 20          # 2**32 >> 20 = 4096 hash buckets
 DEFAULT_KEY_BUCKETS = 4096
@@ -104,11 +107,39 @@ def prefix_offsets(df: DataFrame, order: Sequence, bucket: Column, partition_by=
     return joined.withColumns(outs).drop(*drop)
 
 
-def assign_index(df: DataFrame, key: str, partition_by=(), out: str = "index",
-                 n_buckets: int = DEFAULT_KEY_BUCKETS, range_from: DataFrame | None = None) -> DataFrame:
-    """Contiguous 0-based index in ``key`` order, restarted per ``partition_by``."""
-    d = key_bucket(df, key, n_buckets, range_from)
-    return prefix_offsets(d, [key], F.col("_kb"), partition_by, out=out).drop("_kb")
+def key_offsets(df: DataFrame, key: str, partition_by=(), out: str = "index") -> DataFrame:
+    """One row per distinct (group, key): ``_k0``.. (group columns), ``_key``
+    and ``out``, the rows of the group with a smaller key.
+
+    Only the key column moves: keys are counted, dealt into ranges by
+    splitters that Spark samples (even whatever the keys' spread: one outlier
+    does not empty the other ranges), and their counts summed up to each.
+    """
+    parts = _cols(partition_by)
+    names = [f"_k{i}" for i in range(len(parts))]
+    counts = df.select(*[F.col(c).alias(n) for c, n in zip(parts, names)], F.col(key).alias("_key")) \
+               .groupBy(*names, "_key").agg(F.count(F.lit(1)).alias("_n"))
+    ranges = materialize(materialize(counts, "key_counts").repartitionByRange(*names, "_key")
+                         .withColumn("_range", F.spark_partition_id()), "key_ranges")
+    return prefix_offsets(ranges, ["_key"], F.col("_range"), names, weight=F.col("_n"), out=out,
+                          bounded=False).select(*names, "_key", out)
+
+
+def assign_index(df: DataFrame, key: str, partition_by=(), out: str = "index") -> DataFrame:
+    """Contiguous 0-based index in ``key`` order, restarted per ``partition_by``.
+
+    Places are worked out on the key column (:func:`key_offsets`) and joined
+    to the rows, which are exchanged once; rows with one key stand in any
+    order, rows without a key or group are a key or group of their own, first.
+    """
+    parts = _cols(partition_by)
+    at = key_offsets(df, key, parts, out="_before")
+    same = df[key].eqNullSafe(at["_key"])
+    for i, c in enumerate(parts):
+        same = same & df[c].eqNullSafe(at[f"_k{i}"])
+    within = F.row_number().over(Window.partitionBy(*parts, key).orderBy(F.lit(0))) - 1
+    d = df.join(at, same).drop("_key", *[f"_k{i}" for i in range(len(parts))])
+    return d.withColumn(out, (F.col("_before") + within).cast("bigint")).drop("_before")
 
 
 def hash_order(seed, key: str) -> Column:

@@ -35,6 +35,22 @@ def cut_by_portion(df: DataFrame, answer: str, portion: Column, mode: str | None
             .withColumn("completion", F.when(keep, F.col("_comp"))).drop("_part", "_comp")
 
 
+def cut_modes(df: DataFrame, answer: str, portion: Column, modes: dict[str, str | None]) -> DataFrame:
+    """Rows cut in several ways in one scan: one row per input row and entry
+    of ``modes`` (label: mode of :func:`cut_columns`), with ``mode``,
+    ``portion``, ``partial_answer`` and ``completion`` as in
+    :func:`cut_by_portion`."""
+    d = df.withColumn("portion", portion.cast("double"))
+    cuts = []
+    for label, mode in modes.items():
+        part, comp = cut_columns(F.col(answer), F.col("portion"), mode)
+        cuts.append(F.struct(F.lit(label).alias("mode"), F.when(F.col("portion") > 0, part).alias("part"), comp.alias("comp")))
+    d = d.withColumn("_cut", F.explode(F.array(*cuts)))
+    keep = F.col("_cut.part").isNotNull() & (F.col("_cut.part") != "")
+    return d.withColumns({"mode": F.col("_cut.mode"), "partial_answer": F.when(keep, F.col("_cut.part")),
+                          "completion": F.when(keep, F.col("_cut.comp"))}).drop("_cut")
+
+
 def apply_curriculum(df: DataFrame, answer: str, portion: Column, mode: str | None = None,
                      partial: str = "partial_answer") -> DataFrame:
     """Rows that already carry a partial answer bypass the curriculum (``''``

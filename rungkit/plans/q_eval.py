@@ -114,6 +114,14 @@ def q_trajectory_matrix(spark, sf):
     return ev.trajectory_matrix(_ledger(spark, sf), V.attempts(spark, sf))
 
 
+@register("trajectory_runs", W(["attempts_train"], _LEDGER_SQL + """
+SELECT d.sample_id, d.t AS t_from, CASE WHEN d.t < l.r - 1 THEN d.t END AS t_to, d.portion, round(d.reward, 9) AS reward
+FROM ledger d JOIN lens l USING (sample_id)"""))
+def q_trajectory_runs(spark, sf):
+    """Trajectories as runs; a sample's last run has no end."""
+    return ev.trajectory_runs(_ledger(spark, sf))
+
+
 @register("trajectory_bands", W(["attempts_train"], _LEDGER_SQL + """, b AS (
   SELECT t, count(portion) AS n, avg(portion) AS pm, stddev_pop(portion) AS ps, avg(reward) AS rm,
          stddev_pop(reward) AS rs

@@ -9,7 +9,7 @@ from rungkit.functions.hashing import uniform
 from rungkit.operators import normalize as nz
 from rungkit.operators.expand import expand_steps, expand_words_k, expansion_offsets
 from rungkit.operators.materialize import materialize
-from rungkit.operators.portion import apply_curriculum, cut_by_portion
+from rungkit.operators.portion import apply_curriculum, cut_modes
 from rungkit.operators.project import render_chat
 from rungkit.plans.registry import register
 from rungkit.plans.sqlutil import hash_extract, last_boxed
@@ -128,14 +128,9 @@ FROM (SELECT *, {_P_SQL} AS p FROM cot)"""
 @register("cut_by_portion", W(["cot"], "\n" + "\nUNION ALL\n".join(_cut_sql(m) for m in ("char", "sep", "chunk"))))
 def q_cut_by_portion(spark, sf):
     """Cut whole documents at a hashed portion in char / line / chunk mode."""
-    base = V.cot(spark, sf)
-    outs = []
-    for label, mode in (("char", "char"), ("sep", "\n"), ("chunk", None)):
-        c = cut_by_portion(base, "answer", _portion_col(), mode)
-        outs.append(c.select("doc_id", F.lit(label).alias("mode"), "portion",
-                             F.md5("partial_answer").alias("partial_md5"), F.md5("completion").alias("completion_md5"),
-                             F.length("partial_answer").cast("bigint").alias("partial_len")))
-    return outs[0].unionByName(outs[1]).unionByName(outs[2])
+    d = cut_modes(V.cot(spark, sf), "answer", _portion_col(), {"char": "char", "sep": "\n", "chunk": None})
+    return d.select("doc_id", "mode", "portion", F.md5("partial_answer").alias("partial_md5"), F.md5("completion").alias("completion_md5"),
+                    F.length("partial_answer").cast("bigint").alias("partial_len"))
 
 
 _FH_P = "floor((('0x' || substr(md5(CAST(id AS VARCHAR) || ':23'), 1, 8))::BIGINT / 4294967296.0) * 20) / 20.0"

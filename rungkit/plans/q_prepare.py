@@ -89,7 +89,7 @@ FROM g WHERE gt IS NOT NULL"""))
 def q_norm_boxed(spark, sf):
     raw = V.qa_boxed(spark, sf)
     d = raw.filter(tx.last_boxed("solution").isNotNull())
-    d = assign_index(d, "id", partition_by="split", out="index", range_from=raw.select("id"))
+    d = assign_index(d, "id", partition_by="split", out="index")
     good, _ = nz.norm_boxed(d)
     return nz.flatten_rl(good, "id", extra=("split", "index"))
 
@@ -155,7 +155,7 @@ SELECT doc_id, {lit(nz.DS_MATH)} AS data_source, 'user' AS role,
 FROM k"""))
 def q_norm_multi_gen(spark, sf):
     d = nz.filter_int_answer_words(V.multi_gen(spark, sf))
-    d = assign_index(d, "doc_id", out="index", range_from=V.table(spark, sf, "documents").select("doc_id"))
+    d = assign_index(d, "doc_id", out="index")
     out = nz.norm_multi_gen(d)
     return nz.flatten_rl(out, "doc_id", extra=("split", "index", "problem", "problem_type", "question_type",
                                                "source"))
@@ -271,5 +271,4 @@ SELECT count(*) AS original, count(DISTINCT text) AS kept, count(*) - count(DIST
        round((count(*) - count(DISTINCT text)) * 100.0 / nullif(count(*), 0), 2) AS reduction_pct
 FROM documents""")
 def q_dedup_report(spark, sf):
-    p = V.prompts(spark, sf)
-    return dd.dedup_report(p, dd.dedup_first(p, "doc_id"))
+    return dd.dedup_counts(V.prompts(spark, sf))
