@@ -8,8 +8,9 @@ job) instead of aborting the job.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rungkit.functions import text as tx
@@ -94,30 +95,115 @@ def score_exact_hash(solution: Column, truth: Column) -> Column:
             .when(F.coalesce(got == truth, F.lit(False)), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-SCORERS: dict[str, Callable[[Column, Column], Column]] = {}
+def _no_pairs(solution: Column, truth: Column) -> Column:
+    """Parity texts: too few tokens, or some that are no integers."""
+    n = F.size(tx.words(truth))
+    si = _ints(F.slice(tx.words(solution), 1, n))
+    return (F.size(si) < n) | F.exists(si, lambda v: v.isNull())
 
 
-def register_scorer(name: str, fn: Callable[[Column, Column], Column]) -> None:
-    """Register a scorer for a data source (Column builder or a pandas UDF
-    wrapped to take two Columns)."""
-    SCORERS[name] = fn
+def _no_answer(solution: Column, truth: Column) -> Column:
+    return F.coalesce(tx.extract_hash_answer(solution), tx.last_boxed(solution)).isNull()
 
 
-register_scorer("xor/sequence", score_parity)
-register_scorer("xor/cumulative_sequence", score_cumulative_parity)
-register_scorer("tensor", score_tensor)
+def _few_pieces(solution: Column, truth: Column) -> Column:
+    return F.size(F.split(solution, "####", -1)) - 1 < F.size(F.split(truth, " and ", -1))
+
+
+def tensor_metrics(solution: Column, truth: Column) -> Column:
+    """A map-valued scorer: the reward under ``score`` and what it is made of."""
+    return F.create_map(F.lit("score"), score_tensor(solution, truth),
+                        F.lit("n_pieces"), (F.size(F.split(solution, "####", -1)) - 1).cast("double"),
+                        F.lit("n_truths"), F.size(F.split(truth, " and ", -1)).cast("double"))
+
+
+@dataclass(frozen=True)
+class Scorer:
+    """``fn(solution, truth)`` gives a double or a map of doubles with the
+    reward under ``score``; ``unparsable(solution, truth)`` says that the
+    solution holds nothing to compare."""
+    fn: Callable[[Column, Column], Column]
+    unparsable: Callable[[Column, Column], Column] = _no_answer
+    metrics: bool = False
+
+
+SCORERS: dict[str, Scorer] = {}
+#: data source, or the beginning of one, to the scorer it is bound to
+BINDINGS: dict[str, str] = {}
+DEFAULT_SCORER = "exact"
+
+
+def register_scorer(name: str, fn: Callable[[Column, Column], Column], unparsable=_no_answer, metrics: bool = False,
+                    sources=None) -> None:
+    """Register a scorer (Column builder or a pandas UDF wrapped to take two
+    Columns) and bind it to ``sources`` (its own name by default)."""
+    SCORERS[name] = Scorer(fn, unparsable, metrics)
+    for source in (name,) if sources is None else sources:
+        BINDINGS[source] = name
+
+
+register_scorer("exact", score_exact_hash, sources=())
+register_scorer("parity", score_parity, _no_pairs, sources=("xor/sequence",))
+register_scorer("cumulative_parity", score_cumulative_parity, _no_pairs, sources=("xor/cumulative_sequence", "xor/r3_sequence"))
+register_scorer("tensor", tensor_metrics, _few_pieces, metrics=True)
+
+
+def bindings_table(spark, bindings: dict[str, str] | None = None):
+    """The binding table: ``source``, ``scorer``.  A job may join its own."""
+    rows = list((BINDINGS if bindings is None else bindings).items())
+    return spark.createDataFrame(rows, "source string, scorer string")
+
+
+def bound(df: DataFrame, bindings: DataFrame, data_source: str = "data_source") -> DataFrame:
+    """``df`` with ``scorer``: that of the longest source in the binding table
+    which the row's data source equals or continues with ``_``, else the
+    default.  The distinct data sources are matched, not the rows: each is cut
+    at its underscores, the beginnings are joined to the table."""
+    each = df.select(F.col(data_source).alias("_ds")).distinct().where("_ds is not null")
+    parts = F.split("_ds", "_", -1)
+    cuts = each.select("_ds", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)),
+                                                    lambda i: F.array_join(F.slice(parts, F.lit(1), i), "_"))).alias("source"))
+    best = (cuts.join(bindings, "source").groupBy("_ds")
+            .agg(F.max_by("scorer", F.length("source")).alias("_scorer")))
+    return (df.join(best, F.col(data_source) == F.col("_ds"), "left")
+            .withColumn("scorer", F.coalesce("_scorer", F.lit(DEFAULT_SCORER))).drop("_ds", "_scorer"))
+
+
+def score_bound(df: DataFrame, solution: str = "solution", truth: str = "ground_truth") -> DataFrame:
+    """Rows of :func:`bound` with ``metrics`` (map), ``score`` and ``status``:
+    ``ok``, ``malformed`` (no score can be given to the truth) or ``unparsable``
+    (the solution holds nothing to compare; it keeps its score).  A scorer
+    that is not registered fails the job."""
+    sol, tr = F.col(solution), F.col(truth)
+    metrics = unparsable = None
+    for name, s in SCORERS.items():
+        here = F.col("scorer") == F.lit(name)
+        value = s.fn(sol, tr) if s.metrics else F.create_map(F.lit("score"), s.fn(sol, tr))
+        empty = F.coalesce(s.unparsable(sol, tr), F.lit(True))
+        metrics = F.when(here, value) if metrics is None else metrics.when(here, value)
+        unparsable = F.when(here, empty) if unparsable is None else unparsable.when(here, empty)
+    unknown = F.raise_error(F.concat(F.lit("no scorer named "), F.col("scorer")))
+    d = df.withColumns({"metrics": metrics.otherwise(unknown.cast("map<string,double>")), "_empty": unparsable})
+    d = d.withColumn("score", F.col("metrics")["score"])
+    return d.withColumn("status", F.when(F.col("score").isNull(), "malformed").when(F.col("_empty"), "unparsable").otherwise("ok")).drop("_empty")
+
+
+def metrics_flatten(df: DataFrame, *keys: str, metrics: str = "metrics") -> DataFrame:
+    """Map-valued scores in long form: keys, ``metric``, ``value``."""
+    return df.select(*keys, F.explode(metrics).alias("metric", "value"))
 
 
 def score_dispatch(data_source: Column, solution: Column, truth: Column, default=score_exact_hash) -> Column:
-    """Score each row with the scorer registered for its data source or for
-    the family it belongs to: ``xor/sequence`` also scores what a normaliser
-    labels ``xor/sequence_16_bitwidth_1`` (one CASE over the registry, longest
-    name first, evaluated JVM-side)."""
+    """The score alone, as one expression: each row by the scorer bound to its
+    data source or to the family it belongs to (``xor/sequence`` also scores
+    what a normaliser labels ``xor/sequence_16_bitwidth_1``); one CASE over the
+    bindings, longest first, evaluated JVM-side."""
     expr = None
-    for name in sorted(SCORERS, key=len, reverse=True):
-        fn = SCORERS[name]
-        cond = (data_source == F.lit(name)) | F.startswith(data_source, F.lit(f"{name}_"))
-        expr = F.when(cond, fn(solution, truth)) if expr is None else expr.when(cond, fn(solution, truth))
+    for source in sorted((b for b in BINDINGS if BINDINGS[b] in SCORERS), key=len, reverse=True):
+        s = SCORERS[BINDINGS[source]]
+        cond = (data_source == F.lit(source)) | F.startswith(data_source, F.lit(f"{source}_"))
+        value = s.fn(solution, truth)["score"] if s.metrics else s.fn(solution, truth)
+        expr = F.when(cond, value) if expr is None else expr.when(cond, value)
     fallback = default(solution, truth)
     return fallback if expr is None else expr.otherwise(fallback)
 

@@ -6,13 +6,17 @@ from pyspark.sql import functions as F
 
 from rungkit.functions import scoring as sc
 from rungkit.functions import text as tx
+from rungkit.operators import normalize as nz
 from rungkit.operators.topk import top_k_per_group
 from rungkit.plans.registry import register
-from rungkit.plans.sqlutil import hash_extract
+from rungkit.plans.sqlutil import hash_extract, last_boxed, lit
 from rungkit.sources import views as V
+from rungkit.sources.generators import gen_parity
 
 W = V.with_views
 VEC_LEN = 16
+PARITY_DS, CUMULATIVE_DS, R3_DS = ("xor/sequence_16_bitwidth_1", "xor/cumulative_sequence_16_bitwidth_1",
+                                   "xor/r3_sequence_16_bitwidth_1")
 
 
 def _parity_sql(sol="solution", truth="answer", cumulative=False):
@@ -62,51 +66,98 @@ def q_score_tensor(spark, sf):
 
 
 def _rollouts(spark, sf):
-    """Mixed rollouts table: (data_source, rid, solution, ground_truth, partial_answer)."""
-    p = V.parity_roll(spark, sf).select(F.lit("xor/sequence").alias("data_source"), F.col("doc_id").alias("rid"),
-                                        "solution", F.col("answer").alias("ground_truth"))
-    c = V.parity_roll(spark, sf, True).select(F.lit("xor/cumulative_sequence").alias("data_source"),
-                                              F.col("doc_id").alias("rid"), "solution",
-                                              F.col("answer").alias("ground_truth"))
-    t = V.tensor_roll(spark, sf).select(F.lit("tensor").alias("data_source"), F.col("doc_id").alias("rid"),
-                                        "solution", "ground_truth")
-    g = V.qa_hash(spark, sf).select(F.lit("openai/gsm8k").alias("data_source"), F.col("id").alias("rid"),
-                                    F.col("answer").alias("solution"),
-                                    F.coalesce(tx.extract_hash_answer("answer"), F.lit("")).alias("ground_truth"))
-    return p.unionByName(c).unionByName(t).unionByName(g)
+    """Mixed rollouts: (data_source, rid, solution, ground_truth).  The truths
+    and data sources are those the normalisers write; solutions are the parity
+    and tensor variants, the dataset's own answers and the raw replies."""
+    par, cum = V.parity_roll(spark, sf), V.parity_roll(spark, sf, True)
 
+    def rolled(g, ds, r3=False):
+        rows = nz.norm_parity(g.withColumn("split", F.lit("train")), key="doc_id", ds=ds, r3=r3)
+        truth = rows.select("doc_id", "data_source", F.col("reward_model.ground_truth").alias("ground_truth"))
+        return truth.join(g.select("doc_id", "solution"), "doc_id").select(
+            "data_source", F.col("doc_id").alias("rid"), "solution", "ground_truth")
 
+    t = V.tensor_roll(spark, sf).select(F.lit("tensor").alias("data_source"), F.col("doc_id").alias("rid"),
+                                        "solution", "ground_truth")
+    qa, boxed = V.qa_hash(spark, sf), V.qa_boxed(spark, sf)
+    h = nz.norm_hash(qa)[0].select("data_source", F.col("id").alias("rid"), F.col("answer").alias("solution"),
+                                   F.col("reward_model.ground_truth").alias("ground_truth"))
+    b = nz.norm_boxed(boxed)[0].select("data_source", "id", F.col("reward_model.ground_truth").alias("ground_truth"))
+    b = b.join(boxed.select("id", "solution", "plain_solution"), "id").select(
+        "data_source", F.col("id").alias("rid"),
+        F.when(F.col("id") % 3 == 0, F.col("plain_solution")).otherwise(F.col("solution")).alias("solution"), "ground_truth")
+    out = rolled(par, PARITY_DS)
+    for x in (rolled(cum, CUMULATIVE_DS), rolled(cum, R3_DS, True), t, h, b):
+        out = out.unionByName(x)
+    return out
+
+
+def _scored(spark, sf):
+    return sc.score_bound(sc.bound(_rollouts(spark, sf), sc.bindings_table(spark)))
+
+
+_EXACT = f"coalesce({hash_extract('solution')}, {last_boxed('solution')})"
+_TOKENS = "regexp_extract_all({0}, '\\S+')"
+_SHORT = (f"len({_TOKENS.format('solution')}) < len({_TOKENS.format('ground_truth')}) OR list_bool_or(list_transform("
+          f"{_TOKENS.format('solution')}[1:len({_TOKENS.format('ground_truth')})], lambda v: TRY_CAST(v AS BIGINT) IS NULL))")
 _ROLL_SQL = f""", rollouts AS (
-  SELECT 'xor/sequence' AS data_source, doc_id AS rid, solution, answer AS ground_truth FROM parity_roll
-  UNION ALL SELECT 'xor/cumulative_sequence', doc_id, solution, answer FROM cparity_roll
+  SELECT {lit(PARITY_DS)} AS data_source, doc_id AS rid, solution, answer AS ground_truth FROM parity_roll
+  UNION ALL SELECT {lit(CUMULATIVE_DS)}, doc_id, solution, answer FROM cparity_roll
+  UNION ALL SELECT {lit(R3_DS)}, doc_id, solution, answer FROM cparity_roll
   UNION ALL SELECT 'tensor', doc_id, solution, ground_truth FROM tensor_roll
-  UNION ALL SELECT 'openai/gsm8k', id, answer, coalesce({hash_extract('answer')}, '') FROM qa_hash),
+  UNION ALL SELECT {lit(nz.DS_GSM8K)}, id, answer, {hash_extract('answer')} FROM qa_hash WHERE {hash_extract('answer')} IS NOT NULL
+  UNION ALL SELECT {lit(nz.DS_MATH)}, id, CASE WHEN id % 3 = 0 THEN plain_solution ELSE solution END, {last_boxed('solution')}
+            FROM qa_boxed WHERE {last_boxed('solution')} IS NOT NULL),
 scored AS (
   SELECT *, CASE data_source
-      WHEN 'xor/sequence' THEN {_parity_sql(truth='ground_truth')}
-      WHEN 'xor/cumulative_sequence' THEN {_parity_sql(truth='ground_truth', cumulative=True)}
+      WHEN {lit(PARITY_DS)} THEN {_parity_sql(truth='ground_truth')}
+      WHEN {lit(CUMULATIVE_DS)} THEN {_parity_sql(truth='ground_truth', cumulative=True)}
+      WHEN {lit(R3_DS)} THEN {_parity_sql(truth='ground_truth', cumulative=True)}
       WHEN 'tensor' THEN {_tensor_sql()}
-      ELSE CASE WHEN {hash_extract('solution')} = ground_truth THEN 1.0 ELSE 0.0 END END AS score
+      ELSE CAST(CASE WHEN {_EXACT} = ground_truth THEN 1.0 ELSE 0.0 END AS DOUBLE) END AS score,
+    CASE WHEN coalesce(CASE WHEN data_source LIKE 'xor/%' THEN {_SHORT}
+                            WHEN data_source = 'tensor' THEN len(string_split(solution, '####')) - 1 < len(string_split(ground_truth, ' and '))
+                            ELSE {_EXACT} IS NULL END, true) THEN 'unparsable' ELSE 'ok' END AS status
   FROM rollouts)"""
-_ROLL_VIEWS = ["parity_roll", "cparity_roll", "tensor_roll", "qa_hash"]
+_ROLL_VIEWS = ["parity_roll", "cparity_roll", "tensor_roll", "qa_hash", "qa_boxed"]
 
 
 @register("score_dispatch", W(_ROLL_VIEWS, _ROLL_SQL + """
-SELECT data_source, rid, score FROM scored"""))
+SELECT data_source, rid, score, status FROM scored"""))
 def q_score_dispatch(spark, sf):
-    r = _rollouts(spark, sf)
-    return r.select("data_source", "rid", sc.score_dispatch(F.col("data_source"), F.col("solution"),
-                                                             F.col("ground_truth")).alias("score"))
+    """Rollouts of normalised rows scored through the binding table."""
+    return _scored(spark, sf).select("data_source", "rid", "score", "status")
 
 
 @register("score_distribution", W(_ROLL_VIEWS, _ROLL_SQL + """
-SELECT data_source, score, count(*) AS n FROM scored GROUP BY data_source, score"""))
+SELECT data_source, score, count(*) AS n, count(*) FILTER (WHERE status = 'unparsable') AS n_unparsable,
+       count(*) FILTER (WHERE score IS NULL) AS n_malformed
+FROM scored GROUP BY data_source, score"""))
 def q_score_distribution(spark, sf):
-    """groupBy(data_source, score) counts over the scored rollouts (NULL = malformed truth)."""
-    r = _rollouts(spark, sf)
-    s = r.select("data_source", sc.score_dispatch(F.col("data_source"), F.col("solution"),
-                                                  F.col("ground_truth")).alias("score"))
-    return s.groupBy("data_source", "score").agg(F.count(F.lit(1)).alias("n"))
+    """Counts by data source and score, with the solutions that hold nothing
+    to compare and the truths that could not be read."""
+    return _scored(spark, sf).groupBy("data_source", "score").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("status") == "unparsable", 1)).alias("n_unparsable"),
+        F.count(F.when(F.col("status") == "malformed", 1)).alias("n_malformed"))
+
+
+@register("score_normalised", W(["qa_hash", "qa_boxed"], f""", par AS {V.sql_gen_parity(16, 1, 0, False)},
+cum AS {V.sql_gen_parity(16, 1, 0, True)}
+SELECT {lit(nz.DS_GSM8K)} AS data_source, 'exact' AS scorer, count(*) AS n, count(*) AS n_right FROM qa_hash WHERE {hash_extract('answer')} IS NOT NULL
+UNION ALL SELECT {lit(nz.DS_MATH)}, 'exact', count(*), count(*) FROM qa_boxed WHERE {last_boxed('solution')} IS NOT NULL
+UNION ALL SELECT {lit(PARITY_DS)}, 'parity', count(*), count(*) FROM par
+UNION ALL SELECT {lit(R3_DS)}, 'cumulative_parity', count(*), count(*) FROM cum"""))
+def q_score_normalised(spark, sf):
+    """Every normaliser's rows, answered with their own answers: all score 1."""
+    docs = V.table(spark, sf, "documents").select("doc_id")
+    par, cum = (gen_parity(docs, "doc_id", 16, 1, 0, c).withColumn("split", F.lit("train")) for c in (False, True))
+    rows = None
+    for r in (nz.norm_hash(V.qa_hash(spark, sf))[0], nz.norm_boxed(V.qa_boxed(spark, sf))[0],
+              nz.norm_parity(par, ds=PARITY_DS), nz.norm_parity(cum, ds=R3_DS, r3=True)):
+        r = r.select("data_source", F.col("answer").alias("solution"), F.col("reward_model.ground_truth").alias("ground_truth"))
+        rows = r if rows is None else rows.unionByName(r)
+    s = sc.score_bound(sc.bound(rows, sc.bindings_table(spark)))
+    return s.groupBy("data_source", "scorer").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("score") == 1.0, 1)).alias("n_right"))
 
 
 def _split_partial(sol):
@@ -166,15 +217,12 @@ SELECT doc_id, metric, value FROM (
          CAST(len(string_split(solution, '####')[2:]) AS DOUBLE) AS n_pieces,
          CAST(len(string_split(ground_truth, ' and ')) AS DOUBLE) AS n_truths
   FROM tensor_roll)
-UNPIVOT (value FOR metric IN (score, n_pieces, n_truths))"""))
+UNPIVOT INCLUDE NULLS (value FOR metric IN (score, n_pieces, n_truths))"""))
 def q_score_metrics_flatten(spark, sf):
     """Dict-valued scores to long (id, metric, value) form; ``score`` is the reward."""
-    d = V.tensor_roll(spark, sf)
-    pieces = F.size(F.split("solution", "####", -1)) - 1
-    m = F.create_map(F.lit("score"), sc.score_tensor(F.col("solution"), F.col("ground_truth")),
-                     F.lit("n_pieces"), pieces.cast("double"),
-                     F.lit("n_truths"), F.size(F.split("ground_truth", " and ", -1)).cast("double"))
-    return d.select("doc_id", F.explode(m).alias("metric", "value"))
+    d = V.tensor_roll(spark, sf).withColumn("data_source", F.lit("tensor"))
+    s = sc.score_bound(sc.bound(d, sc.bindings_table(spark)))
+    return sc.metrics_flatten(s, "doc_id")
 
 
 @register("examine_samples", W(_ROLL_VIEWS, _ROLL_SQL + """
@@ -183,5 +231,4 @@ SELECT data_source, rid, score FROM (
 def q_examine_samples(spark, sf):
     """First ``num_examine`` (=1) scored rows per data source."""
     r = top_k_per_group(_rollouts(spark, sf), "data_source", "rid", 1)      # scored after the pick
-    return r.select("data_source", "rid", sc.score_dispatch(F.col("data_source"), F.col("solution"),
-                                                            F.col("ground_truth")).alias("score"))
+    return sc.score_bound(sc.bound(r, sc.bindings_table(spark))).select("data_source", "rid", "score")
