@@ -275,6 +275,15 @@ def sample_state(att_train: DataFrame, samples: DataFrame, key: str = "sample_id
     return st.withColumn("max_per_sample_ratio", F.coalesce("max_per_sample_ratio", F.lit(cfg.max_ratio)))
 
 
+def fold_state(contrib: DataFrame, key: str = "sample_id") -> DataFrame:
+    """What a state has to keep of the samples ``contrib`` touches: the last
+    run's portion, count and sum, the cap and the step; enough to go on from
+    (``prior`` of :func:`step_contribution`)."""
+    s = contrib.groupBy(key).agg(F.max_by(F.struct("portion", "run_n", "run_sum", "max_ratio_after", "step"), "step").alias("s"))
+    return s.select(key, F.col("s.portion").alias("last_portion"), F.col("s.run_n").alias("run_n"), F.col("s.run_sum").alias("run_sum"),
+                    F.col("s.max_ratio_after").alias("max_per_sample_ratio"), F.col("s.step").alias("last_step"))
+
+
 def portion_bounds(state: DataFrame, cfg: CurriculumConfig = DEFAULT) -> DataFrame:
     """Bisection bounds for the next portion of every sample (op 35)."""
     has = F.col("last_portion").isNotNull()

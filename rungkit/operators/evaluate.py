@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rungkit.functions import text as tx
 from rungkit.operators.materialize import materialize
 from rungkit.operators.scan import prefix_sums
 
@@ -144,3 +145,44 @@ def token_loss_metrics(tokens: DataFrame, batch: str = "batch", loss: str = "los
         (F.sum(F.col(loss) * m) / (F.sum(m) + F.lit(1e-8))).alias("masked_mean"))
     overall = per.agg(F.avg("masked_mean").alias("val_mean"))
     return per.crossJoin(F.broadcast(overall))   # one-row side
+
+
+# ------------------------------------------------------------ ratio grid
+
+def reveal(text: Column, ratios: list[float]) -> Column:
+    """``array<struct<ratio, cut, shown>>``: the text cut at each ratio of its
+    ``\\S+\\s*`` chunks.  The chunks' lengths are worked out once; a cut is
+    the sum of the first of them, a place in the text, and the shown part a
+    substring: no ratio splits or joins the text again."""
+    lens = F.transform(tx.chunks(text), lambda c: F.length(c))
+    n = F.size(lens)
+    out = []
+    for r in ratios:
+        cut = F.floor(n * F.lit(float(r))).cast("int")
+        at = F.aggregate(F.slice(lens, F.lit(1), cut), F.lit(0), lambda a, x: a + x)
+        out.append(F.struct(F.lit(float(r)).alias("ratio"), cut.alias("cut"), at.alias("at")))
+    return F.array(*out)
+
+
+def ratio_grid(problems: DataFrame, completions: DataFrame, key: str, ratios: list[float], rewards: dict) -> DataFrame:
+    """Ratio x question x sample grid: ``problems`` (key, answer,
+    ground_truth), ``completions`` (key, sample_no, completion), ``rewards``
+    {name: fn(solution, truth) -> double column}.
+
+    One row per (question, ratio) with one array per reward, in sample order:
+    the revealed part of the answer followed by what the sample has from the
+    same chunk on, scored by every reward.  A ratio that reveals nothing
+    scores the whole completion.
+    """
+    p = problems.select(key, "answer", "ground_truth", F.explode(reveal(F.col("answer"), ratios)).alias("r"))
+    p = p.select(key, "ground_truth", "r.ratio", "r.cut", F.expr("substring(answer, 1, r.at)").alias("shown"))
+    c = completions.select(F.col(key).alias("_k"), "sample_no", "completion")
+    g = p.join(c, F.col(key) == F.col("_k")).drop("_k")
+    rest = F.aggregate(F.slice(F.transform(tx.chunks(F.col("completion")), lambda x: F.length(x)), F.lit(1), F.col("cut")),
+                       F.lit(0), lambda a, x: a + x)
+    g = g.withColumn("_from", rest)
+    g = g.withColumn("scored", F.when(F.col("cut") > 0, F.concat("shown", F.expr("substring(completion, _from + 1)"))).otherwise(F.col("completion")))
+    g = g.select(key, "ratio", "sample_no", *[fn(F.col("scored"), F.col("ground_truth")).alias(f"_v_{name}") for name, fn in rewards.items()])
+    samples = F.array_sort(F.collect_list(F.struct("sample_no", *[f"_v_{n}" for n in rewards])))
+    g = g.groupBy(key, "ratio").agg(samples.alias("_s"))                # a question's samples
+    return g.select(key, "ratio", *[F.col(f"_s._v_{name}").alias(name) for name in rewards])

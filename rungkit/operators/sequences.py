@@ -3,16 +3,17 @@
 The tokenizer is pluggable (a Column -> array<string> function); the
 default is Python-``split()``-style ``\\S+`` pieces. Ids come from a
 dense vocabulary ranked by (count desc, token) without a global sort.
-Encoding joins token positions to the vocabulary: tokens frequent enough
-to skew a shuffle are broadcast (their number is bounded by
-total_tokens / threshold), the rest go through a shuffle join where no
-key can be hot.
+Encoding looks tokens up in dictionaries of chunks of rows: a chunk's
+distinct tokens are joined to the vocabulary (those frequent enough to skew
+a shuffle are broadcast, at most 1 / HOT_TOKEN_SHARE of them), so shuffles
+follow distinct tokens, not positions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from rungkit.operators.ordering import prefix_offsets
 
 PAD_ID, EOS_ID, N_SPECIAL = 0, 1, 2
 UNKNOWN_FAILS = None        # policy for tokens outside the vocabulary: fail the job
+CHUNK_ROWS = 1024           # rows that share a dictionary
 HOT_TOKEN_SHARE = 1e-4      # tokens above this share of all positions are broadcast
 
 Tokenizer = Callable[[Column], Column]
@@ -61,42 +63,62 @@ def _known(id_: Column, token: str, unknown_id: int | None) -> Column:
 
 def encode(df: DataFrame, key: str, text: Column, vocab: DataFrame, out: str,
            tokenizer: Tokenizer = default_tokenizer, unknown_id: int | None = UNKNOWN_FAILS) -> DataFrame:
-    """Add ``out`` = token ids of ``text`` in order (empty array for no tokens).
-    ``key`` must be unique."""
-    pos = df.select(key, F.posexplode(tokenizer(text)).alias("pos", "token"))
+    """Add ``out`` = token ids of ``text`` in order (empty array for no tokens)."""
+    return encode_many(df, key, {out: text}, vocab, tokenizer, unknown_id)
+
+
+def chunk_dictionaries(tokens: DataFrame, vocab: DataFrame, unknown_id: int | None) -> DataFrame:
+    """(_chunk, tokens, ids): the dictionary of every chunk, from the distinct
+    (_chunk, token) rows of ``tokens``.  A token that most chunks hold would be
+    a hot key; those above HOT_TOKEN_SHARE of all positions are broadcast."""
     total = vocab.agg(F.greatest(F.lit(1.0), F.sum("count") * F.lit(HOT_TOKEN_SHARE)).alias("_thr"))
     v = vocab.crossJoin(F.broadcast(total))            # one-row side
     hot = v.filter(F.col("count") >= F.col("_thr")).select("token", F.col("id").alias("_hid"))
     cold = v.filter(F.col("count") < F.col("_thr")).select("token", F.col("id").alias("_cid"))
-    j = pos.join(F.broadcast(hot), "token", "left")          # <= 1/HOT_TOKEN_SHARE rows
-    j = j.join(cold, "token", "left")                        # no cold key is hot
-    j = j.select(key, "pos", _known(F.coalesce("_hid", "_cid"), "token", unknown_id).alias("_tid"))
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "_tid"))).alias("_p"))
-    g = g.select(key, F.transform("_p", lambda x: x["_tid"]).alias(out))
-    return df.join(g, key, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<bigint>")))
+    j = tokens.join(F.broadcast(hot), "token", "left").join(cold, "token", "left")      # <= 1/HOT_TOKEN_SHARE rows; no cold key is hot
+    j = j.select("_chunk", "token", _known(F.coalesce("_hid", "_cid"), "token", unknown_id).alias("_tid"))
+    return j.groupBy("_chunk").agg(F.collect_list("token").alias("_tokens"), F.collect_list("_tid").alias("_ids"))
 
 
 def encode_many(df: DataFrame, key: str, texts: dict, vocab: DataFrame,
                 tokenizer: Tokenizer = default_tokenizer, unknown_id: int | None = UNKNOWN_FAILS) -> DataFrame:
-    """Encode several text columns in one pass ({out: text Column}): one
-    explode, one vocabulary join, one aggregation (pivoted on the column
-    tag) and one join back."""
+    """Encode several text columns in one pass ({out: text Column}).
+
+    Rows are taken in chunks of CHUNK_ROWS; a chunk's distinct tokens are
+    joined to the vocabulary once, and its rows look their tokens up in the
+    chunk's dictionary.  What is shuffled are distinct tokens and whole rows,
+    never token positions.  ``key`` names the rows only for the caller.
+    """
     outs = list(texts)
-    parts = [df.select(key, F.lit(o).alias("_part"), F.posexplode(tokenizer(c)).alias("pos", "token"))
-             for o, c in texts.items()]
-    pos = parts[0]
-    for p in parts[1:]:
-        pos = pos.unionByName(p)
-    total = vocab.agg(F.greatest(F.lit(1.0), F.sum("count") * F.lit(HOT_TOKEN_SHARE)).alias("_thr"))
-    v = vocab.crossJoin(F.broadcast(total))            # one-row side
-    hot = v.filter(F.col("count") >= F.col("_thr")).select("token", F.col("id").alias("_hid"))
-    cold = v.filter(F.col("count") < F.col("_thr")).select("token", F.col("id").alias("_cid"))
-    j = pos.join(F.broadcast(hot), "token", "left").join(cold, "token", "left")   # hot set: <= 1/share rows
-    j = j.select(key, "_part", "pos", _known(F.coalesce("_hid", "_cid"), "token", unknown_id).alias("_tid"))
-    g = j.groupBy(key).pivot("_part", outs).agg(F.array_sort(F.collect_list(F.struct("pos", "_tid"))))
-    g = g.select(key, *[F.transform(F.col(o), lambda x: x["_tid"]).alias(o) for o in outs])
-    out = df.join(g, key, "left")
-    return out.withColumns({o: F.coalesce(F.col(o), F.array().cast("array<bigint>")) for o in outs})
+    d = df.withColumns({f"_t_{o}": F.coalesce(tokenizer(c), F.array().cast("array<string>")) for o, c in texts.items()})
+    # the id's high bits are the partition, so a chunk's rows are of one partition
+    d = materialize(d.withColumn("_chunk", F.expr(f"monotonically_increasing_id() div {CHUNK_ROWS}")), "encode_rows")
+    seen = d.select("_chunk", F.explode(F.array_distinct(F.concat(*[F.col(f"_t_{o}") for o in outs]))).alias("token")).distinct()
+    known = chunk_dictionaries(seen, vocab, unknown_id).withColumnRenamed("_chunk", "_c")
+    plain = df.columns
+    fields = ", ".join([f"{n} {t}" for n, t in df.dtypes] + [f"{o} array<bigint>" for o in outs])
+
+    def look_up(rows: pa.Table, words: pa.Table) -> pa.Table:
+        table = {}
+        for tokens, ids in zip(words.column("_tokens").to_pylist(), words.column("_ids").to_pylist()):
+            table.update(zip(tokens, ids))
+        got = [pa.array([list(map(table.__getitem__, t)) for t in rows.column(f"_t_{o}").to_pylist()], pa.list_(pa.int64())) for o in outs]
+        return pa.table([*[rows.column(n) for n in plain], *got], names=[*plain, *outs])
+
+    return d.groupBy("_chunk").cogroup(known.groupBy("_c")).applyInArrow(look_up, fields)
+
+
+def padding_report(df: DataFrame, batch: str, n_tokens: Column, max_len: int) -> DataFrame:
+    """Per batch: rows, rows cut at ``max_len``, tokens kept and lost, and the
+    share of positions that padding wastes, to ``max_len`` and to the batch's
+    longest row."""
+    kept = F.least(n_tokens, F.lit(max_len))
+    g = df.groupBy(batch).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(F.when(n_tokens > max_len, 1)).alias("n_truncated"),
+        F.sum(kept).cast("bigint").alias("tokens"), F.sum(n_tokens - kept).cast("bigint").alias("tokens_lost"),
+        F.max(kept).cast("bigint").alias("longest"))
+    waste = lambda width: F.lit(1.0) - F.col("tokens") / F.nullif(F.col("n_rows") * width, F.lit(0))
+    return g.withColumns({"waste_fixed": waste(F.lit(max_len)), "waste_dynamic": waste(F.col("longest"))})
 
 
 def position_ids(mask: Column) -> Column:

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rungkit.functions import scoring as sc
+from rungkit.functions import text as tx
 from rungkit.operators import curriculum as cur
 from rungkit.operators import evaluate as ev
 from rungkit.operators.materialize import materialize
-from rungkit.operators.portion import cut_columns
-from rungkit.plans.q_scoring import _parity_sql
+from rungkit.operators import normalize as nz
+from rungkit.operators.normalize import INSTR_HASH
 from rungkit.plans.registry import register
+from rungkit.plans.sqlutil import hash_extract, last_boxed, lit
 from rungkit.session import scratch_path
 from rungkit.sources import views as V
-from rungkit.sources.io import read_eval_jsonl, write_eval_jsonl
+from rungkit.sources.io import eval_records, read_eval_jsonl, write_eval_records
 
 W = V.with_views
 N_MAX = 20
 K_MAX = 8
 RATIOS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
-GRID_SAMPLES = 4
 
 
 def _pk_sql(n="n", c="c", k="k"):
@@ -69,23 +70,39 @@ def q_pair_outputs(spark, sf):
     return o.join(V.rollouts(spark, sf), "problem_id").select("problem_id", "ground_truth", "sample_no", "reward")
 
 
-@register("eval_jsonl", W(["rollouts"], _COUNTS.replace("per AS", "per0 AS") + f"""
-SELECT problem_id AS id, n AS n_completions, c AS n_successes,
-       round(CASE WHEN c = 0 THEN 0.0 WHEN c = n THEN 1.0 ELSE 1.0 - list_reduce(
-         list_transform(range(n - c + 1, n + 1), lambda i: 1.0 - 1 / i), lambda a, b: a * b) END, 9) AS pass_at_1,
-       CAST(CASE WHEN c = 0 THEN 0.0 ELSE 1.0 END AS DOUBLE) AS pass_at_max
-FROM counts"""))
+_QA_SCORED = f""", sc AS (
+  SELECT r.id, r.sample_no, r.completion, {hash_extract('q.answer')} AS truth,
+         CAST(CASE WHEN coalesce({hash_extract('r.completion')}, {last_boxed('r.completion')}) = {hash_extract('q.answer')} THEN 1 ELSE 0 END AS DOUBLE) AS reward
+  FROM qa_rollouts r JOIN qa_hash q ON q.id = r.id WHERE {hash_extract('q.answer')} IS NOT NULL)"""
+
+
+@register("eval_jsonl", W(["qa_rollouts"], _QA_SCORED + f""",
+per AS (SELECT id, any_value(truth) AS truth, list(completion ORDER BY sample_no) AS cs, list(reward ORDER BY sample_no) AS rs,
+               count(*) AS n, CAST(sum(reward) AS BIGINT) AS c FROM sc GROUP BY id)
+SELECT p.id, md5(question || ' ' || {lit(INSTR_HASH)}) AS prompt_md5, 'user' AS role, truth AS ground_truth,
+       md5(array_to_string(cs, chr(30))) AS completions_md5,
+       array_to_string(list_transform(rs, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS rewards,
+       array_to_string(list_transform(rs, lambda x: CAST(x > 0 AS VARCHAR)), ',') AS successes,
+       array_to_string(list_transform(range(1, least(n, {N_MAX}) + 1), lambda k: CAST(CAST(round(1000000 * ({_pk_sql()})) AS BIGINT) AS VARCHAR)), ',') AS pass_at
+FROM per p JOIN qa_hash q ON q.id = p.id"""))
 def q_eval_jsonl(spark, sf):
-    """Per-problem eval records written as JSON lines and read back with a schema."""
-    r = V.rollouts(spark, sf)
+    """Evaluation records of normalised problems and their completions, scored,
+    written as JSON lines and read back with a schema; all fields, as text."""
+    qa = V.qa_hash(spark, sf)
+    problems = nz.norm_hash(qa)[0].select("id", "data_source", "prompt", F.col("reward_model.ground_truth").alias("ground_truth"))
+    bindings = sc.bindings_table(spark)
     path = scratch_path(spark, "eval_jsonl")
-    write_eval_jsonl(r, "problem_id", "sample_no", "reward", N_MAX, path)
+    records = eval_records(problems, V.qa_rollouts(spark, sf), "id", N_MAX, lambda d: sc.score_bound(sc.bound(d, bindings)))
+    write_eval_records(records, path)
     back = read_eval_jsonl(spark, path)
-    return back.select(F.col("id"), F.size("completions").cast("bigint").alias("n_completions"),
-                       F.size(F.filter("successes", lambda s: s)).cast("bigint").alias("n_successes"),
-                       F.col("`pass@k`")["1"].alias("pass_at_1"),
-                       F.element_at(F.col("`pass@k`"),
-                                    F.least(F.size("completions"), F.lit(N_MAX)).cast("string")).alias("pass_at_max"))
+    text = lambda c, f: F.array_join(F.transform(c, f), ",")
+    ks = F.sequence(F.lit(1), F.size("pass@k"))
+    return back.select("id", F.md5(F.col("prompt")[0]["content"]).alias("prompt_md5"), F.col("prompt")[0]["role"].alias("role"), "ground_truth",
+                       F.md5(F.array_join("completions", "\x1e")).alias("completions_md5"),
+                       text("rewards", lambda x: x.cast("bigint").cast("string")).alias("rewards"),
+                       text("successes", lambda x: x.cast("string")).alias("successes"),
+                       text(F.transform(ks, lambda k: F.element_at(F.col("`pass@k`"), k.cast("string"))),
+                            lambda v: F.round(v * 1000000).cast("bigint").cast("string")).alias("pass_at"))
 
 
 def _ledger(spark, sf):
@@ -146,43 +163,33 @@ def q_token_loss_metrics(spark, sf):
     return ev.token_loss_metrics(V.token_loss(spark, sf))
 
 
-def _grid(spark, sf):
-    """Staged columns: each heavy intermediate is a real column computed once,
-    not a Python expression copied into every consumer."""
-    p = V.parity_roll(spark, sf)
-    g = p.select("doc_id", "answer", F.explode(F.array(*[F.lit(r) for r in RATIOS])).alias("ratio"))
-    g = g.select("*", F.explode(F.sequence(F.lit(0), F.lit(GRID_SAMPLES - 1))).alias("sample"))
-    g = g.withColumn("sol", V.parity_solution(F.col("answer"), (F.col("doc_id") + F.col("sample")) % 8))
-    part, _ = cut_columns(F.col("answer"), F.col("ratio"), " ")
-    g = g.withColumn("part", part) \
-         .withColumn("cut", F.floor(F.size(F.split("answer", " ", -1)) * F.col("ratio")).cast("int")) \
-         .withColumn("toks", F.split("sol", " ", -1))
-    completion = F.array_join(F.slice("toks", F.col("cut") + 1, F.greatest(F.size("toks") - F.col("cut"), F.lit(0))), " ")
-    scored = F.when(F.col("part") != "", F.concat("part", F.lit(" "), completion)).otherwise(F.col("sol"))
-    g = g.withColumn("scored", F.when(F.col("sol").isNotNull(), scored))
-    return g.withColumn("score", sc.score_parity(F.col("scored"), F.col("answer")))
-
-
-@register("ratio_question_grid", W(["parity_roll"], f""", g AS (
-  SELECT doc_id, answer, ratio, sample, string_split(answer, ' ') AS t
-  FROM parity_roll, (SELECT unnest([{', '.join(map(str, RATIOS))}]::DOUBLE[]) AS ratio),
-       (SELECT unnest(range(0, {GRID_SAMPLES})) AS sample)),
-h AS (SELECT *, CAST(floor(len(t) * ratio) AS BIGINT) AS cut,
-        CASE (doc_id + sample) % 8
-          WHEN 0 THEN answer
-          WHEN 1 THEN array_to_string([CAST(1 - CAST(t[1] AS INTEGER) AS VARCHAR), CAST(1 - CAST(t[2] AS INTEGER) AS VARCHAR)] || t[3:], ' ')
-          WHEN 2 THEN array_to_string([t[1], CAST(1 - CAST(t[2] AS INTEGER) AS VARCHAR)] || t[3:], ' ')
-          WHEN 3 THEN array_to_string(t[1:len(t) - 1], ' ')
-          WHEN 4 THEN answer || ' 1'
-          WHEN 5 THEN array_to_string(t[1:3] || ['abc'] || t[5:], ' ')
-          WHEN 6 THEN '' ELSE NULL END AS sol FROM g),
-s AS (SELECT *, CASE WHEN sol IS NULL THEN NULL WHEN cut > 0 THEN array_to_string(t[1:cut], ' ') || ' ' ||
-                     array_to_string(string_split(sol, ' ')[cut + 1:], ' ') ELSE sol END AS scored FROM h)
-SELECT ratio, doc_id, round(avg(sc), 9) AS mean_score, count(*) AS n_samples FROM (
-  SELECT ratio, doc_id, {_parity_sql(sol="scored")} AS sc FROM s) GROUP BY ratio, doc_id"""))
+def has_answer(solution, truth):
+    """Reward for the form alone: there is an answer after ``####``."""
+    return tx.extract_hash_answer(solution).isNotNull().cast("double")
+
+
+REWARDS = {"exact": sc.score_exact_hash, "form": has_answer}
+_CUT = "array_to_string(regexp_extract_all({0}, '\\S+\\s*')[{1}], '')"
+
+
+@register("ratio_question_grid", W(["qa_rollouts"], f""", g AS (
+  SELECT q.id, answer, {hash_extract('answer')} AS truth, sample_no, completion, ratio,
+         CAST(floor(len(regexp_extract_all(answer, '\\S+\\s*')) * ratio) AS BIGINT) AS cut
+  FROM qa_hash q JOIN qa_rollouts r ON r.id = q.id, (SELECT unnest([{', '.join(map(str, RATIOS))}]::DOUBLE[]) AS ratio)
+  WHERE {hash_extract('answer')} IS NOT NULL),
+s AS (SELECT *, CASE WHEN cut > 0 THEN {_CUT.format('answer', '1:cut')} || {_CUT.format('completion', 'cut + 1:')} ELSE completion END AS t FROM g),
+v AS (SELECT *, CAST(CASE WHEN coalesce({hash_extract('t')}, {last_boxed('t')}) = truth THEN 1 ELSE 0 END AS BIGINT) AS exact,
+             CAST(CASE WHEN {hash_extract('t')} IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS form FROM s)
+SELECT ratio, id, string_agg(CAST(exact AS VARCHAR), ',' ORDER BY sample_no) AS exact,
+       string_agg(CAST(form AS VARCHAR), ',' ORDER BY sample_no) AS form, round(avg(exact), 9) AS mean_exact, round(avg(form), 9) AS mean_form
+FROM v GROUP BY ratio, id"""))
 def q_ratio_question_grid(spark, sf):
-    """Every ratio x question x sample: reveal the ratio of the truth, append
-    the sample's continuation, score, average per (ratio, question)."""
-    g = _grid(spark, sf)
-    return g.groupBy("ratio", "doc_id").agg(F.avg("score").alias("mean_score"),
-                                            F.count(F.lit(1)).alias("n_samples"))
+    """Every ratio x question x sample on whole texts: the revealed part of the
+    answer with the sample's continuation, one array of scores per reward."""
+    qa = V.qa_hash(spark, sf)
+    problems = nz.norm_hash(qa)[0].select("id", "answer", F.col("reward_model.ground_truth").alias("ground_truth"))
+    g = ev.ratio_grid(problems, V.qa_rollouts(spark, sf), "id", RATIOS, REWARDS)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("bigint").cast("string")), ",")
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c)
+    return g.select("ratio", "id", text("exact").alias("exact"), text("form").alias("form"),
+                    mean("exact").alias("mean_exact"), mean("form").alias("mean_form"))

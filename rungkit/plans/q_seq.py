@@ -8,6 +8,7 @@ from rungkit.operators import normalize as nz
 from rungkit.operators import sequences as sq
 from rungkit.operators.expand import expand_steps
 from rungkit.operators.materialize import materialize
+from rungkit.operators.ordering import assign_index
 from rungkit.operators.project import render_chat
 from rungkit.plans.registry import register
 from rungkit.plans.sqlutil import hash_extract, lit
@@ -16,6 +17,7 @@ from rungkit.sources import views as V
 W = V.with_views
 MAX_LEN = 256
 MAX_PROMPT = 128
+REPORT_BATCH = 32
 POLICIES = ("right", "left", "error")
 
 
@@ -94,20 +96,31 @@ def q_sft_sequences(spark, sf):
                        sq.ids_text("position_ids").alias("position_ids"), sq.ids_text("loss_mask").alias("loss_mask"))
 
 
+@register("sft_padding_report", W(["qa_hash"], _QA_SQL + f"""
+, b AS (SELECT (row_number() OVER (ORDER BY id) - 1) // {REPORT_BATCH} AS batch, len(ids) AS n, least(len(ids), {MAX_LEN}) AS k FROM seq)
+SELECT batch, count(*) AS n_rows, count(*) FILTER (WHERE n > {MAX_LEN}) AS n_truncated, CAST(sum(k) AS BIGINT) AS tokens,
+       CAST(sum(n - k) AS BIGINT) AS tokens_lost, CAST(max(k) AS BIGINT) AS longest,
+       round(1 - sum(k) / (count(*) * {MAX_LEN}), 9) AS waste_fixed, round(1 - sum(k) / (count(*) * max(k)), 9) AS waste_dynamic
+FROM b GROUP BY batch"""))
+def q_sft_padding_report(spark, sf):
+    """Truncation and padding waste per batch of rows in id order."""
+    e = assign_index(_encoded(spark, sf), "id", out="row")
+    e = e.withColumn("batch", F.floor(F.col("row") / REPORT_BATCH))
+    return sq.padding_report(e, "batch", F.size("prompt_ids") + F.size("response_ids") + 1, MAX_LEN)
+
+
 @register("truncate_policy", W(["qa_hash"], _QA_SQL + f"""
 SELECT policy, count(*) AS n_rows, count(*) FILTER (WHERE len(ids) > {MAX_LEN} AND policy <> 'error') AS n_truncated,
        count(*) FILTER (WHERE len(ids) > {MAX_LEN} AND policy = 'error') AS n_quarantined
 FROM seq, (SELECT unnest(['right', 'left', 'error']) AS policy) GROUP BY policy"""))
 def q_truncate_policy(spark, sf):
     """Rows, truncated rows and quarantined rows per truncation policy."""
-    e = _encoded(spark, sf).withColumn("_n", F.size("prompt_ids") + F.size("response_ids") + 1)
-    pols = F.explode(F.array(*[F.lit(p) for p in POLICIES])).alias("policy")
-    d = e.select("_n", pols)
-    over = F.col("_n") > MAX_LEN
-    return d.groupBy("policy").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count(F.when(over & (F.col("policy") != "error"), 1)).alias("n_truncated"),
-        F.count(F.when(over & (F.col("policy") == "error"), 1)).alias("n_quarantined"))
+    kept, bad = _sft_frames(spark, sf)
+    full = F.size("prompt_ids") + F.size("response_ids") + 1 > MAX_LEN
+    rows = kept.select("policy", full.alias("over"), F.lit(False).alias("out")).unionByName(
+        bad.select("policy", full.alias("over"), F.lit(True).alias("out")))
+    return rows.groupBy("policy").agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("over") & ~F.col("out"), 1)).alias("n_truncated"),
+                                      F.count(F.when(F.col("out"), 1)).alias("n_quarantined"))
 
 
 @register("position_ids", W(["qa_hash"], _QA_SQL + f"""

@@ -16,6 +16,7 @@ from rungkit.sources import io
 from rungkit.sources import views as V
 from rungkit.sources.generators import gen_parity
 from rungkit.sources.tables import table
+from rungkit.streaming.curriculum_stream import advance
 
 W = V.with_views
 GEN_LEN, GEN_BITS, GEN_SEED = 16, 1, 1
@@ -161,6 +162,28 @@ def q_state_snapshot(spark, sf):
     return per.crossJoin(F.broadcast(glob))   # one-row side
 
 
+RESUME_STEPS = (7, 14, 21, 29)
+
+
+@register("state_resume", _rec(["attempts_train"], "," + _STATE.lstrip() + """,
+run_ends AS (SELECT sample_id, max_by(run_n, step) AS run_n, max_by(portion, step) AS last_portion,
+             max_by(run_mean_reward * run_n, step) AS run_sum, max_by(max_ratio_after, step) AS max_per_sample_ratio, max(step) AS last_step
+      FROM (SELECT * FROM terms) GROUP BY sample_id)
+SELECT sample_id, last_portion, run_n, round(run_sum, 9) AS run_sum, round(max_per_sample_ratio, 9) AS max_per_sample_ratio, last_step,
+       round(f.mean_min_ratio, 9) AS mean_min_ratio, round(f.mean_max_ratio, 9) AS mean_max_ratio
+FROM run_ends CROSS JOIN final f"""))
+def q_state_resume(spark, sf):
+    """State advanced in four pieces, each restored from what the one before
+    wrote (a full version, deltas, one compaction): as one pass leaves it."""
+    att = V.attempts(spark, sf)
+    root, before = scratch_path(spark, "state-log"), -1
+    for step in RESUME_STEPS:
+        advance(att.filter((F.col("step") > before) & (F.col("step") <= step)), root, compact_every=3)
+        before = step
+    per, glob, _ = io.state_restore(spark, root)
+    return per.crossJoin(F.broadcast(glob))   # one-row side
+
+
 @register("assign_index", W(["qa_hash"], """
 SELECT id, split, row_number() OVER (PARTITION BY split ORDER BY id) - 1 AS "index" FROM qa_hash"""))
 def q_assign_index(spark, sf):

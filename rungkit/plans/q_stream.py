@@ -9,7 +9,7 @@ from rungkit.plans.registry import register
 from rungkit.session import scratch_path
 from rungkit.sources import views as V
 from rungkit.streaming.curriculum_stream import (StreamPaths, as_stream_rows, incremental_ema, incremental_update,
-                                                 run_until_idle)
+                                                 late_attempts, run_until_idle)
 
 # arrival plan: files cut at step edges, one cut inside a step, then a late file
 CUTS = [
@@ -29,16 +29,27 @@ def q_curriculum_stream(spark, sf):
     """Attempts replayed as 4 ordered arrivals (+1 late file), each processed
     by an availableNow run from the same checkpoint and folded into the
     versioned state; moving-average bounds of every closed step."""
+    paths, state = _replayed(spark, sf, fold=True)
+    return incremental_ema(spark, state)
+
+
+def _replayed(spark, sf, fold: bool):
+    """(paths, state root) after all arrivals."""
     att = as_stream_rows(V.attempts(spark, sf))
     root = scratch_path(spark, "stream")
     paths = StreamPaths(f"{root}/source", f"{root}/closed", f"{root}/ckpt")
-    state = f"{root}/state"
-    for cut in CUTS:
-        att.filter(cut).write.mode("append").parquet(paths.source)
-        run_until_idle(spark, paths)
-        incremental_update(spark, paths, state)
     late = att.filter(LATE).withColumn("pos", F.col("pos") + F.lit(10 ** 9))
-    late.write.mode("append").parquet(paths.source)
-    run_until_idle(spark, paths)
-    incremental_update(spark, paths, state)
-    return incremental_ema(spark, state)
+    for arrival in [*map(att.filter, CUTS), late]:
+        arrival.write.mode("append").parquet(paths.source)
+        run_until_idle(spark, paths)
+        if fold:
+            incremental_update(spark, paths, f"{root}/state")
+    return paths, f"{root}/state"
+
+
+@register("curriculum_stream_late", V.with_views(["attempts"], """
+SELECT sample_id, step, pos + 1000000000 AS pos, portion, reward, split FROM attempts WHERE step = 2 AND pos % 50 = 0"""))
+def q_curriculum_stream_late(spark, sf):
+    """Late side of the stream: attempts that arrived after their step closed."""
+    paths, _ = _replayed(spark, sf, fold=False)
+    return late_attempts(spark, paths).select("sample_id", "step", "pos", "portion", "reward", "split")

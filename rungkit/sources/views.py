@@ -94,6 +94,19 @@ def qa_hash(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("id", "question", answer.alias("answer"), "split")
 
 
+def qa_rollouts(spark: SparkSession, sf: str) -> DataFrame:
+    """Two to six completions per qa_hash row by ``(id + sample) % 4``: its
+    answer, the answer with a digit more, the question, a sentence around the
+    answer."""
+    q = qa_hash(spark, sf)
+    d = q.select("id", "question", "answer", "split",
+                 F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("id") % 5 + 1)).alias("sample_no"))
+    r = (F.col("id") + F.col("sample_no")) % 4
+    text = F.when(r == 0, F.col("answer")).when(r == 1, F.concat("answer", F.lit("7"))).when(r == 2, F.col("question")) \
+            .otherwise(F.concat(F.lit("I think: "), F.col("answer"), F.lit(" done")))
+    return d.select("id", "sample_no", text.alias("completion"))
+
+
 def qa_boxed(spark: SparkSession, sf: str) -> DataFrame:
     r"""MATH-shaped rows: problem, solution with 0, 1 or 2 ``\boxed{}`` blocks."""
     j = _qa_pairs(spark, sf)
@@ -170,6 +183,11 @@ qa_hash AS (
                        ELSE CAST(hh % 100000 AS VARCHAR) END AS answer,
          split
   FROM qa_pairs)"""
+SQL["qa_rollouts"] = """
+qa_rollouts AS (
+  SELECT id, sample_no, CASE (id + sample_no) % 4 WHEN 0 THEN answer WHEN 1 THEN answer || '7' WHEN 2 THEN question
+                        ELSE 'I think: ' || answer || ' done' END AS completion
+  FROM (SELECT *, unnest(range(0, id % 5 + 2)) AS sample_no FROM qa_hash))"""
 SQL["qa_boxed"] = """
 qa_boxed AS (
   SELECT id, question AS problem,
@@ -203,7 +221,7 @@ SQL["chats"] = """
 chats AS (
   SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS prompt
   FROM conversations GROUP BY conv_id)"""
-DEPS.update({"qa_hash": ["qa_pairs"], "qa_boxed": ["qa_pairs"]})
+DEPS.update({"qa_rollouts": ["qa_hash"], "qa_hash": ["qa_pairs"], "qa_boxed": ["qa_pairs"]})
 
 
 # ------------------------------------------------------------ rollout views

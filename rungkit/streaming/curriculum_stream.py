@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from rungkit.operators import curriculum as cur
 from rungkit.operators.materialize import materialize
-from rungkit.sources.io import complete_steps, latest_step, state_restore, state_snapshot
+from rungkit.sources.io import complete_steps, latest_step, state_base, state_restore, state_snapshot
 
 ATTEMPT_SCHEMA = T.StructType([
     T.StructField("sample_id", T.LongType()),
@@ -92,56 +92,59 @@ def closed_attempts(spark: SparkSession, paths: StreamPaths, after_step: int | N
         "sample_id", "a.step", "a.pos", "a.portion", "a.reward", "a.split")
 
 
-def incremental_update(spark: SparkSession, paths: StreamPaths, state_root: str, cfg=cur.DEFAULT,
-                       key: str = "sample_id") -> int | None:
-    """Fold the steps closed since the last state version into a new one.
+COMPACT_EVERY = 16      # versions after which every sample is written again
+
+
+def advance(new: DataFrame, state_root: str, cfg=cur.DEFAULT, key: str = "sample_id",
+            compact_every: int = COMPACT_EVERY) -> int | None:
+    """Fold attempts of later steps (training split) into the state at
+    ``state_root``; the same as one pass over all of them.
 
     State = per-sample (last portion, its run's count and reward sum, cap)
-    -- O(1) per sample, never the history -- plus the global bounds. Each
-    version is written under ``state_root/step=N`` (N = last closed step):
-    its moving-average rows, the samples and last the global bounds, whose
-    completion marker makes the version count. What an interrupted run left
-    is overwritten or never read, whatever arrives before the next run.
+    -- O(1) per sample, never the history -- plus the global bounds. A version
+    holds only the samples it touches (a delta) and its moving-average rows;
+    every ``compact_every``-th writes all samples. It counts once its manifest
+    is there: what an interrupted run left is overwritten or never read.
     Returns the last folded step.
     """
+    spark = new.sparkSession
     last = latest_step(spark, state_root)
-    new = closed_attempts(spark, paths, last)
     top = new.agg(F.max("step")).first()[0]
     if top is None:
         return last
-    prior, init = None, None
+    prior, init, base, deltas = None, None, None, []
     if last is not None:
-        prior, glob, _ = state_restore(spark, state_root, last)
+        prior, glob, _ = state_restore(spark, state_root, last, key)
         g = glob.first()
         init = (g["mean_min_ratio"], g["mean_max_ratio"])
+        base, deltas = state_base(spark, state_root, last)
+        touched = new.select(F.col(key).alias("_k")).distinct()      # of the others nothing is read
+        prior = materialize(prior.join(touched, F.col(key) == F.col("_k"), "left_semi"), "stream_prior")
     train = new.filter(F.col("split") == "train")
     c = materialize(cur.step_contribution(train, key, cfg, prior=prior), "stream_contrib")
     ema_path = f"{state_root.rstrip('/')}/step={int(top)}/ema"
     cur.ema_bounds(c, cfg, init).write.mode("overwrite").parquet(ema_path)
     ema = spark.read.parquet(ema_path)
-    upd = c.groupBy(key).agg(F.max_by(F.struct("portion", "run_n", "run_sum", "max_ratio_after", "step"),
-                                      "step").alias("s"))
-    upd = upd.select(key, F.col("s.portion").alias("u_p"), F.col("s.run_n").alias("u_n"),
-                     F.col("s.run_sum").alias("u_s"), F.col("s.max_ratio_after").alias("u_m"),
-                     F.col("s.step").alias("u_t"))
-    if prior is None:
-        samples = upd.select(key, F.col("u_p").alias("last_portion"), F.col("u_n").alias("run_n"),
-                             F.col("u_s").alias("run_sum"), F.col("u_m").alias("max_per_sample_ratio"),
-                             F.col("u_t").alias("last_step"))
-    else:
-        j = prior.join(upd, key, "full_outer")
-        samples = j.select(key, F.coalesce("u_p", "last_portion").alias("last_portion"),
-                           F.coalesce("u_n", "run_n").alias("run_n"), F.coalesce("u_s", "run_sum").alias("run_sum"),
-                           F.coalesce("u_m", "max_per_sample_ratio").alias("max_per_sample_ratio"),
-                           F.coalesce("u_t", "last_step").alias("last_step"))
     lo0, hi0 = init if init is not None else (cfg.min_ratio, cfg.max_ratio)
     glob = ema.agg(F.max_by(F.struct("mean_min_ratio", "mean_max_ratio"), "step").alias("m")).select(
         F.coalesce(F.col("m.mean_min_ratio"), F.lit(float(lo0))).alias("mean_min_ratio"),
         F.coalesce(F.col("m.mean_max_ratio"), F.lit(float(hi0))).alias("mean_max_ratio"))
-    state_snapshot(samples, glob, state_root, int(top))
+    samples = cur.fold_state(c, key)
+    if base is not None and len(deltas) + 1 >= compact_every:
+        whole, _, _ = state_restore(spark, state_root, last, key)
+        old = whole.join(samples.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_anti")
+        samples, base = old.unionByName(samples), None
+    state_snapshot(samples, glob, state_root, int(top), base)
     return int(top)
 
 
+def incremental_update(spark: SparkSession, paths: StreamPaths, state_root: str, cfg=cur.DEFAULT,
+                       key: str = "sample_id") -> int | None:
+    """Fold the steps closed since the last state version into a new one
+    (see :func:`advance`)."""
+    return advance(closed_attempts(spark, paths, latest_step(spark, state_root)), state_root, cfg, key)
+
+
 def incremental_ema(spark: SparkSession, state_root: str) -> DataFrame:
     """All moving-average rows folded so far (one per closed training step),
     from complete versions only."""
