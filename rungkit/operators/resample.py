@@ -5,8 +5,8 @@ order-independent. Each draw scales a 60-bit hash onto ``[0, total)`` in
 exact decimal arithmetic (every unit of weight can be drawn for totals up to
 2**60, evenly up to one part in 2**60 / total) and finds the sample whose
 range holds it. There are as many draws as rows; rows of weight zero are
-never drawn; a NULL or negative weight, or one so small that it would round
-to zero, fails the job. The range join is an equi-join on
+never drawn, a positive weight below the resolution counts as one unit of it
+(so that it can be drawn), a NULL or negative weight fails the job. The range join is an equi-join on
 a block of the integer axis: a sample is listed once per block its range
 touches (at most ``n_samples + n_blocks`` rows in all), a draw looks in
 its one block, so neither side is broadcast and no block is hot.
@@ -26,9 +26,10 @@ HASH_BITS = 60
 
 def weighted_resample(df: DataFrame, key: str, weight: str, seed=0) -> DataFrame:
     """N draws (N = number of rows) proportional to ``weight``; returns (draw_id, key)."""
-    bad = F.raise_error(F.lit(f"weights must be 0 or at least {0.5 / SCALE}"))
+    bad = F.raise_error(F.lit("weights must be numbers of at least 0"))
     whole = F.round(F.col(weight) * F.lit(SCALE)).cast("bigint")
-    wi = F.when((whole > 0) | (F.col(weight) == 0), whole).otherwise(bad.cast("bigint"))
+    unit = F.when(F.col(weight) > 0, F.lit(1)).otherwise(F.lit(0))
+    wi = F.when(F.col(weight) >= 0, F.greatest(whole, unit.cast("bigint"))).otherwise(bad.cast("bigint"))
     w = materialize(df.select(key, wi.alias("_wi")), "resample_weights")
     # one prefix pass: cumulative weight (range start) and rank (draw id), plus the total
     ranked = prefix_offsets(key_bucket(w, key), [key], F.col("_kb"), weight=F.col("_wi"), out="_lo",
