@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungkit.llm.common import keyed
+from rungkit.llm.common import keyed, worker_memo
 
 _MASK = (1 << 64) - 1
 _MUL = 0x9E3779B97F4A7C15
@@ -250,15 +250,9 @@ def split_chunks(text: str) -> list[str]:
     return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def _encoder(shared) -> Encoder:
     """One encoder (and memo) per worker process and vocabulary content."""
-    if shared.id not in _encoders:
-        _encoders.clear()
-        _encoders[shared.id] = Encoder(shared.value)
-    return _encoders[shared.id]
+    return worker_memo(f"bpe {shared.id}", lambda: Encoder(shared.value))
 
 
 class _Shared:

@@ -47,7 +47,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rungkit.llm.common import keyed
+from rungkit.llm.common import keyed, worker_memo
 
 MEMO_ENTRIES = 300_000        # entries of a memo at most; beyond, results are worked out anew
 MEMO_LENGTH = 64              # characters of a memoized chunk at most
@@ -351,15 +351,9 @@ class Decoder:
         return text[1:] if self.joined else text
 
 
-_workers: dict[str, tuple[Encoder, Decoder]] = {}
-
-
 def _worker(digest: str, bc) -> tuple[Encoder, Decoder]:
     """One encoder and decoder per worker process and vocabulary content."""
-    if digest not in _workers:
-        _workers.clear()
-        _workers[digest] = Encoder(bc.value), Decoder(bc.value)
-    return _workers[digest]
+    return worker_memo(f"bpe stream {digest}", lambda: (Encoder(bc.value), Decoder(bc.value)))
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, vocab: WordVocabulary) -> DataFrame:

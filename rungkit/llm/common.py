@@ -85,6 +85,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         conf.unset(key) if before is None else conf.set(key, before)
 
 
+_slot: list = [None, None]
+
+
+def worker_memo(owner: str | None, make: Callable | None = None):
+    """What a Python worker keeps from task to task: one object at a time, so
+    that an operator's memo goes when the next operator begins.  ``owner``
+    names it (None: nothing is kept); ``make()`` gives a new one."""
+    if _slot[0] != owner:
+        _slot[:] = [None, None]
+        _slot[:] = [owner, make() if make else None]
+    return _slot[1]
+
+
 def discard(df: DataFrame) -> None:
     """Delete the written table ``df`` reads, once all that was made of it is
     written itself."""

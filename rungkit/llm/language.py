@@ -34,6 +34,7 @@ TRAIN_ROWS = 4_000
 MAX_LANGUAGES = 1_000
 UNKNOWN = "und"
 _GROUP_CHARS = 300_000     # letters whose trigrams are counted together
+_TRIGRAMS = 4096
 
 _letters: np.ndarray | None = None
 _vectors: dict[int, np.ndarray] = {}
@@ -96,12 +97,15 @@ def _bundle(texts: list[str]) -> np.ndarray:
                               return_inverse=True)
     table = np.stack([_letter(int(c)) for c in letters])
     first, second, third = spot.reshape(3, -1)
-    counts = np.bincount(who[middle] * len(which) + at, minlength=len(texts) * len(which))
-    counts = counts.reshape(len(texts), len(which)).astype(np.float32)
     two, one = np.roll(table, 2, axis=1), np.roll(table, 1, axis=1)
-    for lo in range(0, len(which), 4096):
-        s = slice(lo, lo + 4096)
-        sums += counts[:, s] @ (two[first[s]] * one[second[s]] * table[third[s]]).astype(np.float32)
+    order = np.argsort(at, kind="stable")
+    at, who = at[order], who[middle][order]
+    for lo in range(0, len(which), _TRIGRAMS):        # a table of texts x _TRIGRAMS counts at a time
+        s = slice(lo, lo + _TRIGRAMS)
+        a, b = np.searchsorted(at, [lo, lo + _TRIGRAMS])
+        n = len(which[s])
+        counts = np.bincount(who[a:b] * n + at[a:b] - lo, minlength=len(texts) * n).reshape(len(texts), n).astype(np.float32)
+        sums += counts @ (two[first[s]] * one[second[s]] * table[third[s]]).astype(np.float32)
     norm = np.sqrt((sums.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
     return (sums / np.where(norm > 0, norm, 1)).astype(np.float32)
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rungkit.llm.bpe import memoized
-from rungkit.llm.common import grid_value, keyed, kth_largest, saved, uniform_open
+from rungkit.llm.common import grid_value, keyed, kth_largest, saved, uniform_open, worker_memo
 
 BUCKETS = 1 << 16
 TARGET_ROWS = 20_000
@@ -41,7 +41,6 @@ SMOOTHING = 1.0          # pseudo-count of every bucket
 SEED = 4
 _WORDS = re.compile(r"\w+|[^\w\s]").findall
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_memo: dict[str, int] = {}
 
 
 def _shape(w: str) -> int:
@@ -60,7 +59,7 @@ def ngram_buckets(text: str | None) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, dtype=np.int64)
-    code = np.fromiter(map(memoized(_memo, words, _word_codes), words), dtype=np.uint64, count=n)
+    code = np.fromiter(map(memoized(worker_memo("quality words", dict), words, _word_codes), words), dtype=np.uint64, count=n)
     word, shape = code >> np.uint64(6), code & np.uint64(63)
     a, b = word[:-1], word[1:]
     pair = np.where(a == b, np.uint64(1), a * np.uint64(31) + b)

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rungkit.llm.common import keyed, saved
+from rungkit.llm.common import keyed, saved, worker_memo
 from rungkit.llm.components import connected_components
 
 SEED = 42
@@ -70,6 +70,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 3) ->
 
     @F.pandas_udf("bigint")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        worker_memo(None)
         for s in batches:
             yield pd.Series([_fingerprint(t, shingle) for t in s], dtype="int64")
 

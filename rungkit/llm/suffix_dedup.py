@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rungkit.llm.common import keyed, saved
+from rungkit.llm.common import keyed, saved, worker_memo
 from rungkit.llm.induced_sort import Workspace, suffix_array
 
 GRAM = 128                # bytes hashed at once; at most the length
@@ -182,6 +182,7 @@ def _runs(flag: np.ndarray) -> list[tuple[int, int]]:
 def _keyed_pieces(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """digest, d1, d2 (the digest's two halves), lo, hi, key, moves."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_memo(None)
         for pdf in batches:
             got = _pieces([t.encode() for t in pdf["text"]], length, gram)
             if got is not None:
@@ -213,6 +214,7 @@ def _extracted(texts: DataFrame, pieces: DataFrame, length: int) -> DataFrame:
               .groupBy("digest").agg(F.collect_list(F.struct("lo", "hi", "key")).alias("want")))
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_memo(None)
         names, last = ["key", "piece", "digest", "lo", "bytes"], None
         for pdf in batches:
             rows, size = [], 0
@@ -295,6 +297,7 @@ def _marked_windows(distinct: DataFrame, length: int) -> DataFrame:
 def _marked(distinct: DataFrame, length: int) -> DataFrame:
     """key, piece, runs of window starts that begin repeated strings."""
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_memo(None)
         for pdf in _shards(batches):
             got = repeated_windows(pdf["bytes"].tolist(), [len(x) - length + 1 for x in pdf["bytes"]],
                                    (pdf["n"] > 1).tolist(), length)

@@ -159,10 +159,11 @@ def fit(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id:
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import IsotonicRegression
 
+    docs = keyed(df, id_col, text_col)
     lab = (keyed(labels, label_id, label_col).where("c0 is not null and c1 is not null")
            .where(~held_out(F.col("c0"))).groupBy(F.col("c0").alias("id")).agg(F.max("c1").alias("label"))
+           .join(docs.select(F.col("c0").alias("id")), "id", "left_semi")       # labels of other documents are no use
            .orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS))
-    docs = keyed(df, id_col, text_col)
     rows = saved(docs.join(F.broadcast(lab), F.col("c0") == F.col("id"))     # at most FIT_ROWS ids
                  .select("c0", F.coalesce("c1", F.lit("")).alias("c1"), (F.col("label") == 1).cast("double").alias("label")),
                  "toxic-fit")
