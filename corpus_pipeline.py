@@ -68,7 +68,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rates, _ = mixing.fit_rates(docs, "doc_id", "text", "source", exponent=MIX_EXPONENT, min_rate=1.0, max_rate=MIX_MAX_RATE)
     key = [F.col("doc_id"), F.col("text_hash")]
     times = (rates.select(F.col("doc_id").alias(_KEY), F.col("text_hash").alias(_HASH), F.col("domain").alias("__domain"),
-                          mixing.copies(F.col("rate"), *key).alias("__copies")).distinct())
+                          F.when(F.col("tokens") > 0, mixing.copies(F.col("rate"), *key)).otherwise(F.lit(1)).cast("bigint").alias("__copies")).distinct())
     same = (docs["doc_id"].eqNullSafe(times[_KEY]) & (F.xxhash64(docs["text"]) == times[_HASH])
             & docs["source"].eqNullSafe(times["__domain"]))
     return (docs.join(times, same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))))
