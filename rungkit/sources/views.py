@@ -14,6 +14,7 @@ from rungkit.functions.hashing import h32, hash_key, sql_h32
 from rungkit.sources.tables import table
 
 EPOCH = "2024-01-01"
+TURNS = 1_000_000_007           # more than a conversation has turns, so that ids of pairs do not meet
 
 
 # --------------------------------------------------------------- attempts
@@ -76,7 +77,7 @@ def _qa_pairs(spark, sf):
     a = conv.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
     j = u.join(a, ["conv_id", "turn"])
-    j = j.withColumn("id", F.col("conv_id") * 100 + F.col("turn"))
+    j = j.withColumn("id", F.col("conv_id") * TURNS + F.col("turn"))
     j = j.withColumn("hh", h32(F.col("id")))
     return j.withColumn("split", F.when(F.col("conv_id") % 5 == 0, "test").otherwise("train"))
 
@@ -167,8 +168,8 @@ def chats(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL["qa_pairs"] = f"""
 qa_pairs AS (
-  SELECT u.conv_id, u.turn, u.text AS question, a.text AS reply, u.conv_id * 100 + u.turn AS id,
-         {sql_h32('u.conv_id * 100 + u.turn')} AS hh,
+  SELECT u.conv_id, u.turn, u.text AS question, a.text AS reply, u.conv_id * {TURNS} + u.turn AS id,
+         {sql_h32(f'u.conv_id * {TURNS} + u.turn')} AS hh,
          CASE WHEN u.conv_id % 5 = 0 THEN 'test' ELSE 'train' END AS split
   FROM conversations u JOIN conversations a
     ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
