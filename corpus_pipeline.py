@@ -27,7 +27,10 @@ def _decided(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Importance resampling; the documents it does not draw go."""
+    """Importance resampling; the documents it does not draw go.  Null and empty
+    texts weigh nothing and are drawn like any other; rows with one id and text
+    stay or go together, rows that tie with the last one drawn stay; without a
+    label all stay."""
     ship_package(spark)
     out = quality.importance(docs, "doc_id", "text", read(spark, sf_dir, "labels"), "doc_id", "quality")
     keep = out.where("kept").select(F.col("doc_id").alias(_KEY), F.col("text_hash").alias(_HASH)).distinct()
@@ -52,7 +55,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated strings are cut out of the texts (a character that is cut in
-    two goes whole); every document stays, n_chars follows its text."""
+    two goes whole); every document stays, n_chars follows its text.  Null texts
+    stay null, texts of fewer than REPEAT_BYTES bytes stay as they are, copies
+    lose all of theirs, and texts of any length are taken whole."""
     ship_package(spark)
     out = suffix_dedup.rewrite(docs, "text", REPEAT_BYTES)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("bigint"))
@@ -77,7 +82,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document (packed, see :mod:`rungkit.llm.bpe`), and
-    whether they decode to its text."""
+    whether they decode to its text; a null text is empty, repeated rows give
+    repeated results, texts of any length are encoded whole."""
     ship_package(spark)
     import public_tokenizers as p
     vocab = bpe.load_vocabulary(p.path("byte_bpe_multi_50k.tiktoken"), p.PATTERN)
