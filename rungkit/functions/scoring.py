@@ -26,8 +26,7 @@ def _ints(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: t.try_cast("bigint"))
 
 
-def _truth_ok(t: Column) -> Column:
-    ti = _ints(t)
+def _truth_ok(t: Column, ti: Column) -> Column:
     return (F.size(t) % 2 == 0) & F.forall(ti, lambda v: v.isNotNull())
 
 
@@ -43,21 +42,28 @@ def _pair_values(vals: Column, cumulative: bool) -> Column:
     return x
 
 
+def _once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with the value worked out once a row, however often ``fn`` reads it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def _parity_core(solution: Column, truth: Column, cumulative: bool) -> Column:
-    t = tx.words(truth)
-    ti = _ints(t)
-    n = F.size(t)
-    s = tx.words(solution)
-    si = _ints(F.slice(s, 1, n))
-    # every token of the first L must be present and integer, else 0
-    valid = (F.size(si) == n) & F.forall(si, lambda v: v.isNotNull())
-    mismatch = F.exists(F.zip_with(_pair_values(ti, cumulative), _pair_values(si, cumulative),
-                                   lambda a, b: a != b), lambda m: F.coalesce(m, F.lit(True)))
-    score = F.lit(LENGTH_CREDIT) * (n == F.size(s)).cast("double") + \
-        F.lit(PARITY_CREDIT) * (~mismatch).cast("double")
-    return F.when(~_truth_ok(t), F.lit(None).cast("double")) \
-            .when(solution.isNull(), F.lit(0.0)) \
-            .when(~valid, F.lit(0.0)).otherwise(score)
+    def scored(x: Column) -> Column:
+        n, si, ti = F.size(x["t"]), x["si"], x["ti"]
+        # every token of the first L must be present and integer, else 0
+        valid = (F.size(si) == n) & F.forall(si, lambda v: v.isNotNull())
+        mismatch = F.exists(F.zip_with(_pair_values(ti, cumulative), _pair_values(si, cumulative),
+                                       lambda a, b: a != b), lambda m: F.coalesce(m, F.lit(True)))
+        score = F.lit(LENGTH_CREDIT) * (n == F.size(x["s"])).cast("double") + \
+            F.lit(PARITY_CREDIT) * (~mismatch).cast("double")
+        return F.when(~_truth_ok(x["t"], ti), F.lit(None).cast("double")) \
+                .when(solution.isNull(), F.lit(0.0)) \
+                .when(~valid, F.lit(0.0)).otherwise(score)
+
+    words = F.struct(tx.words(truth).alias("t"), tx.words(solution).alias("s"))
+    return _once(words, lambda w: _once(F.struct(
+        w["t"].alias("t"), w["s"].alias("s"), _ints(w["t"]).alias("ti"),
+        _ints(F.slice(w["s"], F.lit(1), F.size(w["t"]))).alias("si")), scored))
 
 
 def score_parity(solution: Column, truth: Column) -> Column:
@@ -98,8 +104,8 @@ def score_exact_hash(solution: Column, truth: Column) -> Column:
 def _no_pairs(solution: Column, truth: Column) -> Column:
     """Parity texts: too few tokens, or some that are no integers."""
     n = F.size(tx.words(truth))
-    si = _ints(F.slice(tx.words(solution), 1, n))
-    return (F.size(si) < n) | F.exists(si, lambda v: v.isNull())
+    return _once(F.struct(n.alias("n"), _ints(F.slice(tx.words(solution), F.lit(1), n)).alias("si")),
+                 lambda x: (F.size(x["si"]) < x["n"]) | F.exists(x["si"], lambda v: v.isNull()))
 
 
 def _no_answer(solution: Column, truth: Column) -> Column:
@@ -157,16 +163,18 @@ def bindings_table(spark, bindings: dict[str, str] | None = None):
 def bound(df: DataFrame, bindings: DataFrame, data_source: str = "data_source") -> DataFrame:
     """``df`` with ``scorer``: that of the longest source in the binding table
     which the row's data source equals or continues with ``_``, else the
-    default.  The distinct data sources are matched, not the rows: each is cut
-    at its underscores, the beginnings are joined to the table."""
-    each = df.select(F.col(data_source).alias("_ds")).distinct().where("_ds is not null")
-    parts = F.split("_ds", "_", -1)
-    cuts = each.select("_ds", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)),
-                                                    lambda i: F.array_join(F.slice(parts, F.lit(1), i), "_"))).alias("source"))
-    best = (cuts.join(bindings, "source").groupBy("_ds")
-            .agg(F.max_by("scorer", F.length("source")).alias("_scorer")))
-    return (df.join(best, F.col(data_source) == F.col("_ds"), "left")
-            .withColumn("scorer", F.coalesce("_scorer", F.lit(DEFAULT_SCORER))).drop("_ds", "_scorer"))
+    default.  The table (a row for each kind of data source) goes to the rows
+    as one map, in which the beginnings of the data source, cut at its
+    underscores, are looked up: rows are read once and stay where they are,
+    however few data sources they share."""
+    entries = F.collect_list(F.struct("source", "scorer"))
+    names = (bindings.where("source is not null").groupBy("source").agg(F.max("scorer").alias("scorer"))
+             .agg(F.map_from_entries(entries).alias("_bindings")))
+    parts = F.split(F.col(data_source), "_", -1)
+    cuts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "_"))
+    longest = F.try_element_at(F.filter(cuts, lambda c: F.map_contains_key("_bindings", c)), F.lit(-1))
+    return (df.crossJoin(F.broadcast(names))
+            .withColumn("scorer", F.coalesce(F.try_element_at("_bindings", longest), F.lit(DEFAULT_SCORER))).drop("_bindings"))
 
 
 def score_bound(df: DataFrame, solution: str = "solution", truth: str = "ground_truth") -> DataFrame:

@@ -205,6 +205,31 @@ def test_own_binding_table(spark):
         sc.score_bound(sc.bound(df, sc.bindings_table(spark, {"mine": "nobody"}))).collect()
 
 
+def test_binding_leaves_rows_where_they_are(spark):
+    """However few data sources the rows share, they are not gathered by them."""
+    source = F.concat(F.lit("xor/sequence_16_bitwidth_"), F.col("id") % 2)
+    df = spark.range(800).repartition(8).select("id", source.alias("data_source"))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        got = sc.bound(df, sc.bindings_table(spark)).groupBy(F.spark_partition_id().alias("p"), "scorer").count().collect()
+    finally:
+        spark.conf.set(key, before)
+    assert len(got) == 8 and {r.scorer for r in got} == {"parity"} and sum(r["count"] for r in got) == 800
+    plan = sc.bound(df, sc.bindings_table(spark))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Range") == 1                      # the rows are made once
+
+
+def test_binding_tables_of_odd_rows(spark):
+    df = spark.createDataFrame([(1, "a_b_c"), (2, "a_b"), (3, "a"), (4, "ab_c"), (5, None), (6, ""), (7, "_a"), (8, "a_n_x")], "i int, data_source string")
+    table = spark.createDataFrame([("a", "one"), ("a_b", "two"), (None, "three"), ("a_n", None), ("a_b", "two")], "source string, scorer string")
+    want = {1: "two", 2: "two", 3: "one", 4: "exact", 5: "exact", 6: "exact", 7: "exact", 8: "exact"}
+    assert {r.i: r.scorer for r in sc.bound(df, table).collect()} == want
+    got = sc.bound(df, table.limit(0))
+    assert got.columns == ["i", "data_source", "scorer"] and {r.scorer for r in got.collect()} == {"exact"}
+
+
 # ------------------------------------------------------------------ records and grid
 
 def test_eval_records(spark):
