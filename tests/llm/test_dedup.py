@@ -219,6 +219,50 @@ def test_embedding_join_equals_all_pairs(ready, monkeypatch):
     assert embed_dedup.near_duplicates(df.limit(0), "vec_id", "embedding").count() == 0
 
 
+def test_embedding_join_copies_no_vector(ready, monkeypatch):
+    """Vectors without structure visit every cell; what is written must not grow with the cells."""
+    monkeypatch.setattr(embed_dedup, "CELL_ROWS", 40)
+    monkeypatch.setattr(embed_dedup, "OWN_BLOCK", 32)
+    wrote = {}
+
+    def watched(df, name, saved=embed_dedup.saved):
+        out = saved(df, name)
+        wrote.setdefault(name, []).append((df._jdf.queryExecution().executedPlan().toString(), out.toPandas()))
+        return out
+
+    monkeypatch.setattr(embed_dedup, "saved", watched)
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(700, 64))
+    x[500:] = x[rng.integers(0, 300, 200)] + rng.normal(size=(200, 64)) * 0.44       # on both sides of the cosine
+    x = np.concatenate([x, x[:40]]).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = ready.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(4)
+    pairs = slow_links(rows, 0.9)
+    comp, n = components(len(rows), pairs), np.bincount([a for a, _ in pairs], minlength=len(rows))
+    got = embed_dedup.near_duplicates(df, "vec_id", "embedding", 0.9).collect()
+    assert sorted(tuple(r) for r in got) == [(i, int(n[i]), comp[i]) for i in range(len(rows))]
+    assert 40 < len(pairs) // 2 - 40 < 200
+    plan, _ = wrote["vec-links"][0]
+    assert "Exchange" not in plan
+    assert sum(len(v) for v in wrote["vec-blocks"][0][1]["vec"]) == 700 * 64 * 4
+
+
+def test_embedding_crowds_and_first_axes(ready, monkeypatch):
+    """Tiles full of links, tiles of few, and pairs that only their last axes tell apart."""
+    monkeypatch.setattr(embed_dedup, "CELL_ROWS", 150)
+    monkeypatch.setattr(embed_dedup, "OWN_BLOCK", 100)
+    monkeypatch.setattr(embed_dedup, "MEMBER_BLOCK", 48)
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(600, 40)) * 0.9 ** np.arange(40)
+    x[:250] = rng.normal(size=40) + rng.normal(size=(250, 40)) * 0.3
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = ready.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    pairs = slow_links(rows, 0.9)
+    comp, n = components(len(rows), pairs), np.bincount([a for a, _ in pairs], minlength=len(rows))
+    got = embed_dedup.near_duplicates(df, "vec_id", "embedding", 0.9).collect()
+    assert sorted(tuple(r) for r in got) == [(i, int(n[i]), comp[i]) for i in range(len(rows))] and len(pairs) > 10_000
+
+
 def test_embedding_repeated_and_null_ids(ready):
     rows = [(5, [1.0, 0.0]), (5, [1.0, 0.0]), (None, [1.0, 0.0]), (7, [0.0, 1.0]), (None, None)]
     df = ready.createDataFrame(rows, "vec_id bigint, embedding array<float>")
