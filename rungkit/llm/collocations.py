@@ -209,11 +209,12 @@ def _with_others(chunks: DataFrame, vocab: DataFrame) -> DataFrame:
             known = b.column("known")
             for i in range(b.num_rows):
                 w = unpack(b.column("w")[i].as_py()).astype(np.int64)
-                table = np.full(b.column("n")[i].as_py() + 1, -1, np.int64)
+                table = np.full(b.column("n")[i].as_py(), -1, np.int64)
                 if known[i].is_valid:
                     pairs = known[i].values
                     table[pairs.field("spot").to_numpy()] = pairs.field("idx").to_numpy()
-                w = np.where(w < -1, table[np.minimum(-2 - w, len(table) - 1)], w)
+                coded = w < -1                  # the others are ids, which may be beyond the table
+                w[coded] = table[-2 - w[coded]]
                 yield pa.RecordBatch.from_pydict({
                     "chunk": b.column("chunk").slice(i, 1), "lang": b.column("lang").slice(i, 1),
                     "w": pa.array([pack(w)], pa.binary())})

@@ -90,6 +90,15 @@ def test_equals_brute_force(ready, monkeypatch, seed, n, words, least, head):
     assert run(df, least, 5, 2000) == brute(rows, least, 5, 2000)
 
 
+def test_chunk_of_few_words_beyond_the_head(ready, monkeypatch):
+    """A chunk's known ids may exceed the number of its other words."""
+    monkeypatch.setattr(co, "HEAD_WORDS", 40)
+    common = " ".join(f"h{i}" for i in range(40))
+    rows = [(f"{common} rare{i % 3} {common}. once{i}", "en") for i in range(9)] + [(common, "de")]
+    df = ready.createDataFrame(rows, "text string, lang string").repartition(9)
+    assert run(df, 3, 5, 2000) == brute(rows, 3, 5, 2000)
+
+
 def test_long_texts_are_cut_at_piece_ends():
     text = co._END.join(b"a b c" for _ in range(3 * co.PART_BYTES // 6)) + b" " + b"x" * (2 * co.PART_BYTES)
     parts = list(co._parts(text))
